@@ -15,6 +15,7 @@ WHITESPACE_RUN = (
 # words is a run of everything else.  Together they tile a string.
 WORD_RUN = r"[\p{L}\p{N}]+"
 TOKEN_RUNS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"
+NON_WORD_RUN = r"[^\p{L}\p{N}]+"
 
 
 def _c(col) -> Column:
@@ -46,3 +47,9 @@ def truncate_tokens(col, n: int) -> Column:
 def non_empty(col) -> Column:
     """``length(contents) > 0``; a blank page still passes, as in the model."""
     return F.length(_c(col)) > 0
+
+
+def words(col) -> Column:
+    """Lower-cased words (runs of letters and digits) of a text, in order.
+    Splitting on the gaps is cheaper than extracting the runs."""
+    return F.filter(F.split(F.lower(_c(col)), NON_WORD_RUN), lambda w: w != "")

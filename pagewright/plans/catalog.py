@@ -693,7 +693,8 @@ top AS (SELECT qid, id, CAST(rank AS INTEGER) AS rank, score FROM (
 
 
 def _bm25(t):
-    return S.bm25(_tv(t), t.fx_prompts, k=10, qid="id", text="query")
+    index = S.bm25_index(t.fx_pages.where(non_empty("contents")))
+    return S.bm25(index, t.fx_prompts, k=10, qid="id", text="query")
 
 
 @query("bm25", V.with_views("fx_pages", "fx_prompts", extra=BM25) + "SELECT qid, id, rank, round(score, 6) AS score FROM top")
@@ -706,7 +707,7 @@ SELECT h.qid, h.id, tv.term, tv.position, tv.start_offset, tv.end_offset
 FROM (SELECT qid, id FROM top WHERE rank <= 3) h JOIN qt ON qt.qid = h.qid JOIN tv ON tv.id = h.id AND tv.term = qt.term""")
 def q_highlights(t):
     tv = _tv(t)
-    hits = S.bm25(tv, t.fx_prompts, k=10).where(F.col("rank") <= 3).select("qid", "id")
+    hits = _bm25(t).where(F.col("rank") <= 3).select("qid", "id")
     return S.highlights(tv, hits, S.query_terms(t.fx_prompts, "id", "query"))
 
 

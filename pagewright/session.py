@@ -19,6 +19,10 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # Local mode runs everything in the driver JVM.
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("PAGEWRIGHT_DRIVER_MEMORY", "16g"))
     builder = (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -74,3 +78,12 @@ def _count():
 
 
 _counter = _count()
+
+
+def materialize(df, name: str = "tmp"):
+    """Write ``df`` once as Parquet in the shared checkpoint folder and read
+    it back: cuts the lineage (a lost executor re-reads instead of
+    recomputing) and lets a result used twice be computed once."""
+    path = work_dir(df.sparkSession, name)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

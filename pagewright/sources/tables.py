@@ -9,6 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import schemas
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a source that has fewer input splits than the session has
+    cores (a file with one row group is one task) over all cores, so the
+    per-row work after it runs in parallel.  A source that is already split
+    (the normal case on a cluster) is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
+
+
 def read_table(spark: SparkSession, name: str, base: str) -> DataFrame:
     """Read table ``name`` stored as Parquet under ``base``.
 
@@ -46,7 +57,8 @@ class TestTables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TestTables.BASE:
