@@ -36,7 +36,8 @@ def html_text(content) -> Column:
 def builtin_extract(objects: DataFrame, content: str = "content") -> DataFrame:
     """Built-in extractor for the test objects: the text after the PDF marker
     is HTML; it yields one page.  Adds ``texts`` (array) and ``extract_error``."""
-    body = F.col(content).cast("string")
+    # The header line (e.g. "%PDF-1.7") is not page text.
+    body = F.regexp_replace(F.col(content).cast("string"), r"^%PDF-[0-9.]*", "")
     broken = ~F.lower(body).contains(HTML_END)
     return (objects
             .withColumn("extract_error", F.when(broken, F.lit("truncated")))

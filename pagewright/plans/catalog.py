@@ -938,3 +938,20 @@ def q_read_objects(t):
                              F.col("content").cast("string").alias("value"))
      .write.partitionBy("k").text(root))
     return read_objects(t.spark, root, glob="*.txt").select("key", "length")
+
+
+@query("run_feed")
+def q_run_feed(t):
+    """The whole feed through the streaming worker (two micro-batches), from
+    the fixture tables; returns the final index documents."""
+    from ..session import work_dir
+    from ..streaming.feed import TableStore, run_feed, seed_store, write_feed
+    spark = t.spark
+    root = work_dir(spark, "feed")
+    feed = t.fx_messages.select("seq", "ts", "routing_key", "body")
+    write_feed(feed, f"{root}/in", files=2)
+    store = TableStore(spark, f"{root}/tables")
+    inodes = apply_defaults(t.fx_inodes, "inodes", now=NOW)
+    seed_store(store, inodes, t.fx_pages)
+    run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", max_files=1)
+    return IX.flat_docs(store.read("docs"))
