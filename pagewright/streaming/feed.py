@@ -73,9 +73,13 @@ class TableStore:
 
 
 def apply_batch(store: TableStore, feed: DataFrame, batch_id: int, objects: DataFrame | None = None,
-                embedder: Callable | None = None) -> bool:
-    """Apply one micro-batch of feed rows; False when it was applied before."""
+                embedder: Callable | None = None, keys: list[str] | None = None) -> bool:
+    """Apply one micro-batch of feed rows; False when it was applied before.
+    With ``keys`` the worker takes only those routing keys (the others belong
+    to another worker's queue and are left alone)."""
     version = batch_id + 1
+    if keys is not None:
+        feed = feed.where(F.col("routing_key").isin(keys))
     if store.latest("docs") is not None and store.latest("docs") >= version:
         return False
     inodes, pages, docs = store.read("inodes"), store.read("pages"), store.read("docs")
@@ -133,16 +137,19 @@ def apply_batch(store: TableStore, feed: DataFrame, batch_id: int, objects: Data
 
 def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: str,
              objects: DataFrame | None = None, embedder: Callable | None = None,
-             max_files: int = 1, once: bool = True):
+             max_files: int = 1, once: bool = True, keys: list[str] | None = None):
     """Consume the feed files under ``feed_dir`` into the tables under
     ``store_root`` (seeded beforehand with version 0).  ``once`` drains what
     is there (``availableNow``) and returns; otherwise the query keeps
-    running and is returned."""
+    running and is returned.  Two workers with disjoint ``keys`` (e.g. an
+    ingest queue and a default queue) each need their own ``store_root``
+    tables only if they touch different tables; sharing one store they must
+    run one after the other."""
     store = TableStore(spark, store_root)
     stream = read_feed_stream(spark, feed_dir, max_files=max_files)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, batch_id, objects=objects, embedder=embedder)
+        apply_batch(store, batch, batch_id, objects=objects, embedder=embedder, keys=keys)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if once:

@@ -47,3 +47,16 @@ def test_stream_equals_batch_and_replay(spark):
     # a second run over the same checkpoint finds nothing new
     run_feed(spark, f"{root}/in", f"{root}/s", f"{root}/ck")
     assert stream_store.latest("docs") == 1
+
+
+def test_worker_keys_filter(spark):
+    feed = spark.createDataFrame([(1, None, "ingest_inode", '{"after": {"id": 9}}'),
+                                  (2, None, "index_inode", '{"after": {"id": 9}}')], schemas.FEED)
+    root = tempfile.mkdtemp(prefix="feedk-", dir="/tmp")
+    store = TableStore(spark, root)
+    seed_store(store, apply_defaults(spark.createDataFrame([(9, "u", "a", "/a")],
+                                                           "id long, owner_id string, name string, path string"),
+                                     "inodes"), spark.createDataFrame([], schemas.PAGES))
+    assert apply_batch(store, feed, 0, keys=["index_inode"]) is True
+    assert rows(store.read("docs"), "doc_id") == [("9",)]
+    assert store.output("dead_letters").count() == 0      # the ingest message is not ours
