@@ -6,18 +6,30 @@ the two dialect tokens differ.  Each view grows with the base tables.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 
+def _sql(spark, query: str, **frames: DataFrame) -> DataFrame:
+    """Run fixture SQL whose ``{name}`` slots name the given frames; each
+    frame is registered under a unique temporary view name."""
+    names = {}
+    for key, df in frames.items():
+        names[key] = f"_pw_{key}_{uuid.uuid4().hex[:12]}"
+        df.createOrReplaceTempView(names[key])
+    return spark.sql(query.format(**names))
+
+
 def fx_users(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """SELECT c_custkey AS id, c_name AS name,
                   concat(lower(replace(c_name, '#', '.')), '@example.org') AS email
            FROM {customer}""", customer=t.customer)
 
 
 def fx_inodes(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """
 WITH f AS (SELECT doc_id, text, source, lang, CAST(substr(source, 4) AS bigint) AS sn,
   CASE lang WHEN 'de' THEN 0 WHEN 'en' THEN 1 WHEN 'es' THEN 2 ELSE 3 END AS ln FROM {documents})
@@ -38,7 +50,7 @@ UNION ALL SELECT 1000 + doc_id, 100 + (sn + 1) * 10 + ln, sn, 'file', concat(doc
 
 def fx_pages(t) -> DataFrame:
     # The embeddings count is a scalar subquery (one value, planned once).
-    return t.spark.sql(
+    return _sql(t.spark, 
         """
 WITH p AS (SELECT doc_id, text, explode(sequence(0, CAST(ceil(length(text)/1000) AS int) - 1)) AS k
            FROM {documents}),
@@ -53,14 +65,14 @@ FROM q JOIN {embeddings} e ON e.vec_id = q.vec_key
 
 
 def fx_objects(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """SELECT page_id AS id, page_id % 20 AS owner_id, concat('/web/', page_id, '.html') AS path,
                   CASE WHEN page_id % 2 = 0 THEN concat('%PDF-1.7', html) ELSE html END AS content
            FROM {pages}""", pages=t.pages)
 
 
 def fx_messages(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """
 WITH m AS (SELECT event_id AS seq, ts, user_id,
   CASE WHEN event_id % 97 = 0 THEN 999999 ELSE 1000 + CAST(get_json_object(props, '$.k') AS bigint) END AS id,
@@ -79,7 +91,7 @@ FROM m LEFT JOIN {inodes} i ON i.id = m.id
 
 
 def fx_prompts(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """
 WITH u AS (SELECT conv_id, turn, text, (conv_id * 100 + turn) % (SELECT count(*) FROM {embeddings}) AS vec_key
            FROM {conversations} WHERE role = 'user')
@@ -92,6 +104,6 @@ JOIN {embeddings} e ON e.vec_id = u.vec_key
 
 
 def fx_conversations_inodes(t) -> DataFrame:
-    return t.spark.sql(
+    return _sql(t.spark, 
         """SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % 200 AS inode_id
            FROM {conversations}""", conversations=t.conversations)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,7 +46,9 @@ def read_jdbc_table(spark: SparkSession, name: str, url: str, schema_name: str =
 
 class TestTables:
     """The driver's test tables at one scale factor, plus the fixture views of
-    FIXTURES.md built from them.  Every view is lazy; nothing is cached."""
+    FIXTURES.md built from them.  Every access builds a fresh, lazy plan:
+    nothing is cached, and no executed DataFrame object is reused inside a
+    later plan (Spark 4.1 can fail to re-optimise such a union)."""
 
     BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
             "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -66,37 +67,37 @@ class TestTables:
         raise AttributeError(name)
 
     # Fixture views ---------------------------------------------------------
-    @cached_property
+    @property
     def fx_users(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_users(self)
 
-    @cached_property
+    @property
     def fx_inodes(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_inodes(self)
 
-    @cached_property
+    @property
     def fx_pages(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_pages(self)
 
-    @cached_property
+    @property
     def fx_objects(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_objects(self)
 
-    @cached_property
+    @property
     def fx_messages(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_messages(self)
 
-    @cached_property
+    @property
     def fx_prompts(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_prompts(self)
 
-    @cached_property
+    @property
     def fx_conversations_inodes(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_conversations_inodes(self)

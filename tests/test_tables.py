@@ -51,7 +51,7 @@ def test_assign_batches_sizes(spark):
     out = assign_batches(df, size=64).collect()
     sizes = {}
     for r in out:
-        sizes.setdefault((r.inode_id, r.batch), []).append(r.index)
+        sizes.setdefault((r.inode_id, r.batch), []).append(r["index"])
     assert {k: len(v) for k, v in sizes.items()} == {(2, 0): 1, (3, 0): 64, (4, 0): 64, (4, 1): 1,
                                                       (5, 0): 64, (5, 1): 64}
     for (inode, batch), idx in sizes.items():
