@@ -233,10 +233,15 @@ def share(requests: DataFrame, inodes: DataFrame) -> dict:
     }
 
 
-def delete(decoded: DataFrame, docs: DataFrame | None = None) -> dict:
+def delete(decoded: DataFrame, docs: DataFrame | None = None, inodes: DataFrame | None = None,
+           pages: DataFrame | None = None) -> dict:
     """Works from the message's *before* image (the row is gone): both
     objects of a file are deleted, and the parent doc and its pages leave the
-    index.  Deleting an absent id changes nothing."""
+    index.  Deleting an absent id changes nothing.
+
+    Given the tables, the delete also ends the id there, as the database's
+    ON DELETE CASCADE did: the inode, every inode below it and their pages
+    go, and so do the index docs of all of them."""
     before = decoded.select("seq", F.col("before_id").alias("id"), F.col("before_type").alias("type"),
                             F.col("before_owner_id").alias("owner_id"), F.col("before_path").alias("path"))
     keys = F.array(F.struct(F.lit("original").alias("kind"), object_path("owner_id", "path").alias("object_key")),
@@ -246,6 +251,13 @@ def delete(decoded: DataFrame, docs: DataFrame | None = None) -> dict:
                 .select("seq", "id", F.explode(keys).alias("_k"))
                 .select("seq", "id", "_k.kind", "_k.object_key"))
     out = {"manifest": manifest}
+    gone = before.select("id").where(F.col("id").isNotNull())
+    if inodes is not None:
+        from ..operators.tree import descendants
+        gone = descendants(inodes, gone)
+        out["inodes"] = inodes.join(gone, "id", "left_anti")
+        if pages is not None:
+            out["pages"] = pages.join(gone.select(F.col("id").alias("inode_id")), "inode_id", "left_anti")
     if docs is not None:
-        out["docs"] = IX.delete_from_index(docs, before.select("id"))
+        out["docs"] = IX.delete_from_index(docs, gone)
     return out

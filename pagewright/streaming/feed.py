@@ -2,7 +2,8 @@
 
 ``readStream`` of feed files -> ``foreachBatch``: decode, route, then the
 jobs in a fixed order (ingest, embed, move, share, index, delete) on the ids
-of the micro-batch.  Table state lives in versioned Parquet folders
+of the micro-batch.  A delete ends the id: its inode rows (and those below)
+and pages leave the tables, so later messages for it are dead letters.  Table state lives in versioned Parquet folders
 (``{root}/{table}/v{batch+1}``): a batch reads the newest version and writes
 the next one, so a path being read is never overwritten, and a batch whose
 version already exists (a replay after a failure) is skipped.  Outputs
@@ -117,8 +118,9 @@ def apply_batch(store: TableStore, feed: DataFrame, batch_id: int, objects: Data
     inodes, docs = r["inodes"], r["docs"]
     outs["notifications"].append(r["notifications"])
     letters.append(r["dead_letters"])
-    r = J.delete(decoded.where((F.col("routing_key") == "delete_inode") & (F.col("status") == "ok")), docs)
-    docs = r["docs"]
+    r = J.delete(decoded.where((F.col("routing_key") == "delete_inode") & (F.col("status") == "ok")), docs,
+                 inodes, pages)
+    docs, inodes, pages = r["docs"], r["inodes"], r["pages"]
     outs["manifest"].append(r["manifest"].select("id", "kind", "object_key", F.lit("delete").alias("action"),
                                                  F.lit(None).cast("string").alias("target")))
     # Tables first (inodes, pages, then docs: docs marks the batch done).

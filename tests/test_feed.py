@@ -60,3 +60,23 @@ def test_worker_keys_filter(spark):
     assert apply_batch(store, feed, 0, keys=["index_inode"]) is True
     assert rows(store.read("docs"), "doc_id") == [("9",)]
     assert store.output("dead_letters").count() == 0      # the ingest message is not ours
+
+
+def test_delete_ends_the_id(spark):
+    ino = apply_defaults(spark.createDataFrame(
+        [(1, None, "u", "folder", "d", "/d"), (2, 1, "u", "file", "a.pdf", "/d/a.pdf")],
+        "id long, parent_id long, owner_id string, type string, name string, path string"), "inodes")
+    pg = spark.createDataFrame([(20, 2, 0, "alpha", [0.1] * 64)], schemas.PAGES)
+    root = tempfile.mkdtemp(prefix="feedd-", dir="/tmp")
+    store = TableStore(spark, root)
+    seed_store(store, ino, pg)
+    first = spark.createDataFrame([(1, None, "index_inode", '{"after": {"id": 2}}'),
+                                   (2, None, "delete_inode", '{"before": {"id": 1, "type": "folder", '
+                                                             '"owner_id": "u", "path": "/d"}}')], schemas.FEED)
+    apply_batch(store, first, 0)
+    assert store.read("inodes").count() == 0 and store.read("pages").count() == 0
+    assert store.read("docs").count() == 0
+    later = spark.createDataFrame([(3, None, "index_inode", '{"after": {"id": 2}}')], schemas.FEED)
+    apply_batch(store, later, 1)
+    assert store.read("docs").count() == 0
+    assert rows(store.output("dead_letters").where(F.col("batch") == 1), "seq", "reason") == [(3, "missing_inode")]
