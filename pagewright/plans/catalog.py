@@ -955,3 +955,32 @@ def q_run_feed(t):
     seed_store(store, inodes, t.fx_pages)
     run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", max_files=1)
     return IX.flat_docs(store.read("docs"))
+
+
+# -- connectors (O-S10 batch form, O-S14) ------------------------------------------
+
+@query("read_feed", V.with_views("msgs") + """
+SELECT seq, routing_key, after_id, before_id, coalesce(after_id, before_id) AS id FROM msgs""")
+def q_read_feed(t):
+    """The feed written as JSON-lines files and read back by the batch feed
+    reader with its fixed schema."""
+    from ..session import work_dir
+    from ..sources.feed import read_feed
+    from ..streaming.feed import write_feed
+    path = work_dir(t.spark, "feed-json")
+    write_feed(t.fx_messages.select("seq", "ts", "routing_key", "body"), path, files=4)
+    return decode_messages(read_feed(t.spark, path)).select("seq", "routing_key", "after_id", "before_id", "id")
+
+
+@query("read_table", V.with_views("fx_inodes") + """
+SELECT id, CAST(owner_id AS VARCHAR) AS owner_id, type, path, parent_id, to_page, error,
+  is_indexed AND is_uploaded AND is_ingested AND is_embedded AS is_ready FROM fx_inodes""")
+def q_read_table(t):
+    """Inodes stored as a versioned Parquet table and read back with the
+    table's explicit schema (the JDBC reader returns the same shape)."""
+    from ..session import work_dir
+    from ..sources.tables import read_table, write_table
+    base = work_dir(t.spark, "tables")
+    write_table(apply_defaults(t.fx_inodes, "inodes", now=NOW), "inodes", base, 1)
+    df = read_table(t.spark, "inodes/v00000001", base)
+    return df.select("id", "owner_id", "type", "path", "parent_id", "to_page", "error", is_ready().alias("is_ready"))

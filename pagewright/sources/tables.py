@@ -22,13 +22,16 @@ def spread(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, name: str, base: str) -> DataFrame:
     """Read table ``name`` stored as Parquet under ``base``.
 
-    A table may be one file (``base/name.parquet``) or a versioned folder
-    written by :func:`write_table`; the explicit schema keeps types fixed.
+    ``name`` is a table (``base/name.parquet``) or a version folder written
+    by :func:`write_table` (``"inodes/v00000001"``); the table's explicit
+    schema keeps the types fixed.
     """
     reader = spark.read
-    if name in schemas.TABLES:
-        reader = reader.schema(schemas.TABLES[name])
-    return reader.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    table = name.split("/", 1)[0]
+    if table in schemas.TABLES:
+        reader = reader.schema(schemas.TABLES[table])
+    path = f"{base.rstrip('/')}/{name}"
+    return reader.parquet(path if "/" in name else f"{path}.parquet")
 
 
 def write_table(df: DataFrame, name: str, base: str, version: int) -> str:
