@@ -85,7 +85,13 @@ def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_cha
     if order:
         inc = latest_by_key(inc, keys, order).select(*keys, "contents")
     inc = inc.select(*keys, F.col("contents").alias("_new"), F.lit(True).alias("_in"))
-    cur = current.select("id", *keys, "contents", "embedding", F.lit(True).alias("_cur"))
+    # Only pages of documents in ``incoming`` take part in the merge; the
+    # rest of the table passes through (semi / anti join against the small
+    # set of touched documents, so a small batch does not shuffle it all).
+    touched_ids = inc.select("inode_id").distinct()
+    untouched = current.join(touched_ids, "inode_id", "left_anti").select("id", *keys, "contents", "embedding")
+    cur = (current.join(touched_ids, "inode_id", "left_semi")
+           .select("id", *keys, "contents", "embedding", F.lit(True).alias("_cur")))
     j = cur.join(inc, keys, "full_outer")
     new_text = F.coalesce(F.col("_new"), F.col("contents"))
     emb = F.col("embedding")
@@ -95,13 +101,11 @@ def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_cha
     merged = j.select("id", *keys, new_text.alias("contents"), emb.alias("embedding"),
                       F.col("_cur"), F.col("_in"))
     if prune:
-        touched = inc.select("inode_id").distinct().withColumn("_touched", F.lit(True))
-        merged = (merged.join(touched, "inode_id", "left")
-                  .where(~(F.col("_cur").isNotNull() & F.col("_in").isNull()
-                           & F.col("_touched").isNotNull()))
-                  .drop("_touched"))
+        # Every merged row belongs to a touched document: drop the old pages
+        # the new extraction no longer has.
+        merged = merged.where(~(F.col("_cur").isNotNull() & F.col("_in").isNull()))
     kept = merged.where(F.col("_cur").isNotNull()).select("id", *keys, "contents", "embedding")
     fresh = merged.where(F.col("_cur").isNull()).select(*keys, "contents", "embedding")
     top = current.agg(F.max("id")).first()[0]
     fresh = assign_ids(fresh, keys, start=(top or 0) + 1).select("id", *keys, "contents", "embedding")
-    return kept.unionByName(fresh)
+    return untouched.unionByName(kept).unionByName(fresh)

@@ -43,10 +43,13 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
     found, missing = lookup_inodes(requests.select("seq", "id"), inodes)
     ids = found.select("id").distinct()
     todo = (inodes.join(ids, "id", "left_semi")
-            .withColumn("key", object_path("owner_id", "path"))
-            .join(objects.select("key", "content"), "key", "left"))
-    no_object = todo.where(F.col("content").isNull()).select("id")
-    have = todo.where(F.col("content").isNotNull()).withColumn("pdf", is_pdf("content"))
+            .withColumn("key", object_path("owner_id", "path")))
+    # The object bytes are the big side: they stream through an inner join
+    # with the (small) requested keys and are never shuffled for the lookup;
+    # a missing object is found from the keys alone.
+    have = (objects.select("key", "content").join(todo, "key")
+            .withColumn("pdf", is_pdf("content")))
+    no_object = todo.join(objects.select("key"), "key", "left_anti").select("id")
     pdfs = have.where(F.col("pdf"))
     extracted = X.builtin_extract(pdfs) if extractor is None else X.extract_pages(pdfs, extractor)
     status = (extracted.select("id", "texts", "extract_error", F.lit(True).alias("pdf"))
