@@ -44,6 +44,35 @@ def resolve_paths(inodes: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
     return state.select("id", F.when(F.col("orphan"), F.lit(None)).otherwise(F.col("suffix")).alias("path"))
 
 
+def resolve_paths_of(inodes: DataFrame, ids: DataFrame, id_col: str = "id", max_depth: int = 4096) -> DataFrame:
+    """Full paths of the ``ids`` inodes only, walking up one level per round.
+
+    The state holds one row per requested inode; each round joins it to the
+    tree on the current ancestor (the state is the small side, the tree is
+    only scanned).  For a batch of moved inodes this avoids resolving the
+    whole table.  Returns (id, path); a missing ancestor gives NULL, a cycle
+    raises after ``max_depth`` rounds."""
+    ensure_checkpoint_dir(inodes.sparkSession)
+    tree = inodes.select(F.col("id").alias("anc"), F.col("parent_id").alias("_up"), F.col("name").alias("_name"))
+    state = (inodes.join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
+             .select("id", F.col("parent_id").alias("anc"), F.concat(F.lit("/"), F.col("name")).alias("suffix"),
+                     F.lit(False).alias("orphan"))
+             .checkpoint(eager=True))
+    for _ in range(max_depth):
+        if state.where(F.col("anc").isNotNull() & ~F.col("orphan")).limit(1).count() == 0:
+            return state.select("id", F.when(F.col("orphan"), F.lit(None)).otherwise(F.col("suffix")).alias("path"))
+        live = F.col("anc").isNotNull() & ~F.col("orphan")
+        found = F.col("_name").isNotNull()
+        state = (state.join(tree, "anc", "left")
+                 .select("id",
+                         F.when(live & found, F.col("_up")).otherwise(F.col("anc")).alias("anc"),
+                         F.when(live & found, F.concat(F.lit("/"), F.col("_name"), F.col("suffix")))
+                         .otherwise(F.col("suffix")).alias("suffix"),
+                         (F.col("orphan") | (live & ~found)).alias("orphan"))
+                 .checkpoint(eager=True))
+    raise ValueError("inode tree has a cycle or exceeds max_depth")
+
+
 def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id",
                 max_depth: int = 1 << 16) -> DataFrame:
     """Ids of ``roots`` and of every inode below them (level by level).

@@ -19,7 +19,7 @@ from ..operators import extract as X
 from ..operators import index as IX
 from ..operators import messages as M
 from ..operators.tables import lookup_inodes, set_flags, upsert_pages
-from ..operators.tree import resolve_paths
+from ..operators.tree import resolve_paths_of
 
 
 def _missing_letters(missing: DataFrame, task: str) -> DataFrame:
@@ -198,7 +198,7 @@ def move(requests: DataFrame, inodes: DataFrame, resolved: DataFrame | None = No
     original and the optimised key), the new path, ``should_move`` reset and
     a re-index message.  ``resolved`` may be passed in if already known."""
     found, missing = lookup_inodes(requests.select("seq", "id"), inodes)
-    resolved = resolved if resolved is not None else resolve_paths(inodes)
+    resolved = resolved if resolved is not None else resolve_paths_of(inodes, found.select("id"))
     cur = (inodes.join(found.select("id").distinct(), "id", "left_semi")
            .join(resolved.select("id", F.col("path").alias("new_path")), "id"))
     changed = cur.where(path_changed("new_path", "path"))

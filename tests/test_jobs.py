@@ -6,7 +6,7 @@ from pagewright import schemas
 from pagewright.operators import embed as E
 from pagewright.operators import index as IX
 from pagewright.operators.tables import apply_defaults
-from pagewright.operators.tree import descendants, resolve_paths
+from pagewright.operators.tree import descendants, resolve_paths, resolve_paths_of
 from pagewright.plans import jobs as J
 
 from conftest import rows
@@ -130,9 +130,13 @@ def test_tree_cycle_orphan_and_descendants(spark):
                                "id long, parent_id long, name string")
     assert rows(resolve_paths(ok)) == [(1, "/a"), (2, "/a/b"), (3, "/a/b/c"), (4, "/a/b/c/d"), (5, None)]
     assert rows(descendants(ok, spark.createDataFrame([(2,)], "id long"))) == [(2,), (3,), (4,)]
+    some = spark.createDataFrame([(4,), (5,), (1,)], "id long")
+    assert rows(resolve_paths_of(ok, some)) == [(1, "/a"), (4, "/a/b/c/d"), (5, None)]
     cyc = spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id long, parent_id long, name string")
     with pytest.raises(ValueError):
         resolve_paths(cyc, max_depth=8)
+    with pytest.raises(ValueError):
+        resolve_paths_of(cyc, spark.createDataFrame([(1,)], "id long"), max_depth=8)
     assert rows(descendants(cyc, spark.createDataFrame([(1,)], "id long"))) == [(1,), (2,)]
 
 
