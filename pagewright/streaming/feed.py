@@ -13,7 +13,6 @@ and overwritten on replay, which keeps them exactly-once.
 
 from __future__ import annotations
 
-import os
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -173,4 +172,4 @@ def write_feed(feed: DataFrame, path: str, files: int) -> None:
     feed.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").json(path)
 
 
-__all__ = ["TableStore", "apply_batch", "run_feed", "seed_store", "write_feed", "os"]
+__all__ = ["TableStore", "apply_batch", "run_feed", "seed_store", "write_feed"]

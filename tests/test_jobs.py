@@ -152,3 +152,35 @@ def test_share_and_delete(spark):
                                 "seq long, before_id long, before_type string, before_owner_id string, "
                                 "before_path string")
     assert J.delete(dec)["manifest"].count() == 2
+
+
+def test_should_move_kept_when_path_unchanged(spark):
+    """K12: ``should_move`` is reset only for inodes whose path changed."""
+    ino = inodes(spark, [(1, None, "folder", "A", "/A", 0, None, None, False),
+                         (2, 1, "file", "f.pdf", "/A/f.pdf", 0, None, None, False),
+                         (3, 1, "file", "g.pdf", "/B/g.pdf", 0, None, None, False)])
+    ino = ino.withColumn("should_move", F.lit(True))
+    req = spark.createDataFrame([(1, 2), (2, 3)], "seq long, id long")
+    out = J.move(req, ino)
+    got = {r.id: (r.path, r.should_move) for r in out["inodes"].collect()}
+    assert got == {1: ("/A", True), 2: ("/A/f.pdf", True), 3: ("/A/g.pdf", False)}
+    assert rows(out["followups"], "seq") == [(2,)]
+
+
+def test_blank_page_passes_filter_and_doc_ids(spark):
+    """K6: a whitespace-only page has length > 0, so it is embedded and
+    indexed; K16: doc field ``id`` is the inode id or the page id."""
+    ino = inodes(spark, [(7, None, "file", "a.pdf", "/a.pdf", 0, 5, None, False)])
+    pg = spark.createDataFrame([(70, 7, 0, "   ", None), (71, 7, 1, "", None)], schemas.PAGES)
+    req = spark.createDataFrame([(1, 7)], "seq long, id long")
+    emb = J.embed(req, ino, pg)
+    assert rows(emb["pages"].where(F.col("embedding").isNotNull()), "id") == [(70,)]
+    idx = J.index(req, emb["inodes"], emb["pages"])
+    assert rows(idx["new_docs"], "doc_id", "id") == [("7", 7), ("7_0", 70)]
+
+
+def test_delete_absent_id_is_noop(spark):
+    """K22: deleting an id that is not in the index changes nothing."""
+    docs = IX.inode_docs(inodes(spark, [(1, None, "file", "a", "/a", 0, None, None, False)]))
+    out = IX.delete_from_index(docs, spark.createDataFrame([(42,)], "id long"))
+    assert rows(out, "doc_id") == [("1",)]
