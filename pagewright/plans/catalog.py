@@ -943,7 +943,8 @@ def q_read_objects(t):
 @query("run_feed")
 def q_run_feed(t):
     """The whole feed through the streaming worker (two micro-batches), from
-    the fixture tables; returns the final index documents."""
+    the fixture tables; returns the final index documents and every
+    follow-up, notification and dead letter the run produced."""
     from ..session import work_dir
     from ..streaming.feed import TableStore, run_feed, seed_store, write_feed
     spark = t.spark
@@ -954,7 +955,17 @@ def q_run_feed(t):
     inodes = apply_defaults(t.fx_inodes, "inodes", now=NOW)
     seed_store(store, inodes, t.fx_pages)
     run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", max_files=1)
-    return IX.flat_docs(store.read("docs"))
+    docs = store.read("docs").select(F.lit("doc").alias("kind"), F.col("id"), F.col("doc_id").alias("detail"))
+    outs = [store.output("followups").select(F.lit("followup").alias("kind"), F.col("seq").alias("id"),
+                                             F.col("routing_key").alias("detail")),
+            store.output("notifications").select(F.lit("notification").alias("kind"), F.col("seq").alias("id"),
+                                                 F.col("channel").alias("detail")),
+            store.output("dead_letters").select(F.lit("dead_letter").alias("kind"), F.col("seq").alias("id"),
+                                                F.col("reason").alias("detail"))]
+    out = docs
+    for o in outs:
+        out = out.unionByName(o)
+    return out
 
 
 # -- connectors (O-S10 batch form, O-S14) ------------------------------------------
