@@ -225,14 +225,14 @@ SELECT seq, CASE routing_key WHEN 'ingest_inode' THEN 'embed_inode' ELSE 'index_
 FROM found
 WHERE routing_key = 'ingest_inode' OR routing_key = 'share_inode'
    OR (routing_key = 'embed_inode' AND error IS NULL)
-   OR (routing_key = 'move_inode' AND new_path IS DISTINCT FROM path)""")
+   OR (routing_key = 'move_inode' AND new_path IS NOT NULL AND new_path IS DISTINCT FROM path)""")
 def q_followups(t):
     f = _found(t)
     resolved = resolve_paths(t.fx_inodes).withColumnRenamed("path", "new_path")
     ing = M.followups(f.where(F.col("routing_key") == "ingest_inode"), "ingest_inode")
     emb = M.followups(f.where((F.col("routing_key") == "embed_inode") & F.col("error").isNull()), "embed_inode")
     mv = f.where(F.col("routing_key") == "move_inode").join(resolved, "id", "left")
-    mov = M.followups(mv.where(path_changed("new_path", "path")), "move_inode")
+    mov = M.followups(mv.where(F.col("new_path").isNotNull() & path_changed("new_path", "path")), "move_inode")
     sh = M.followups(f.where(F.col("routing_key") == "share_inode"), "share_inode")
     return ing.unionByName(emb).unionByName(mov).unionByName(sh)
 
@@ -482,7 +482,8 @@ def q_resolve_paths(t):
 @query("move_manifest", V.with_views("msgs", "fx_inodes", recursive=True, extra=V.resolved_cte() + """,
 ch AS (SELECT DISTINCT i.id, i.owner_id, i.path, r.path AS new_path FROM msgs m JOIN fx_inodes i ON i.id = m.after_id
   JOIN resolved r ON r.id = i.id
-  WHERE m.routing_key = 'move_inode' AND i.type = 'file' AND r.path IS DISTINCT FROM i.path)""") + f"""
+  WHERE m.routing_key = 'move_inode' AND i.type = 'file' AND r.path IS NOT NULL
+    AND r.path IS DISTINCT FROM i.path)""") + f"""
 SELECT id, 'original' AS kind, {V.object_path('owner_id', 'path')} AS old_key, {V.object_path('owner_id', 'new_path')} AS new_key FROM ch
 UNION ALL
 SELECT id, 'optimized', {V.optimized_object_path('owner_id', 'path')}, {V.optimized_object_path('owner_id', 'new_path')} FROM ch""")

@@ -201,7 +201,8 @@ def move(requests: DataFrame, inodes: DataFrame, resolved: DataFrame | None = No
     resolved = resolved if resolved is not None else resolve_paths_of(inodes, found.select("id"))
     cur = (inodes.join(found.select("id").distinct(), "id", "left_semi")
            .join(resolved.select("id", F.col("path").alias("new_path")), "id"))
-    changed = cur.where(path_changed("new_path", "path"))
+    # A path that cannot be resolved (missing ancestor) is not a move target.
+    changed = cur.where(F.col("new_path").isNotNull() & path_changed("new_path", "path"))
     pairs = F.array(
         F.struct(F.lit("original").alias("kind"), object_path("owner_id", "path").alias("old_key"),
                  object_path("owner_id", "new_path").alias("new_key")),
