@@ -13,9 +13,12 @@ def spread(df: DataFrame) -> DataFrame:
     cores (a file with one row group is one task) over all cores, so the
     per-row work after it runs in parallel.  A source that is already split
     (the normal case on a cluster) is left alone."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
+        pass
     return df
 
 
