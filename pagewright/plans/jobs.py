@@ -52,26 +52,34 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
     no_object = todo.join(objects.select("key"), "key", "left_anti").select("id")
     pdfs = have.where(F.col("pdf"))
     extracted = X.builtin_extract(pdfs) if extractor is None else X.extract_pages(pdfs, extractor)
-    status = (extracted.select("id", "texts", "extract_error", F.lit(True).alias("pdf"))
+    # The built-in check finds a truncated file (as a failed page count
+    # would): 'corrupted_file'.  A supplied extractor that fails leaves the
+    # error column NULL (K10); the failure shows in ``status``.
+    corrupt = F.col("extract_error").isNotNull() if extractor is None else F.lit(False)
+    status = (extracted.select("id", "texts", "extract_error", F.lit(True).alias("pdf"),
+                               F.when(corrupt, F.col("extract_error")).alias("_corrupt"))
               .unionByName(have.where(~F.col("pdf")).select(
                   "id", F.lit(None).cast("array<string>").alias("texts"),
-                  F.lit(None).cast("string").alias("extract_error"), F.lit(False).alias("pdf")))
-              .withColumn("new_error", X.ingest_status(F.col("pdf"), F.col("extract_error")))
-              .withColumn("n_texts", F.size("texts")))
-    ok = status.where(F.col("new_error").isNull())
+                  F.lit(None).cast("string").alias("extract_error"), F.lit(False).alias("pdf"),
+                  F.lit(None).cast("string").alias("_corrupt")))
+              .withColumn("new_error", X.ingest_status(F.col("pdf"), F.col("_corrupt")))
+              .withColumn("n_texts", F.when(F.col("texts").isNotNull(), F.size("texts")))
+              .drop("_corrupt"))
+    ok = status.where(F.col("new_error").isNull() & F.col("texts").isNotNull())
     numbered = X.number_pages(ok.join(inodes.select("id", "from_page"), "id"), texts="texts")
     new_pages = upsert_pages(pages, numbered)
 
-    upd = status.select("id", "new_error", "n_texts")
+    upd = status.select("id", "new_error", "n_texts", F.col("extract_error").isNotNull().alias("_failed"))
     old_error = F.lit(None) if clear_error else F.col("error")
     new_inodes = (inodes.join(upd, "id", "left")
-                  .withColumn("_done", F.col("n_texts").isNotNull() | F.col("new_error").isNotNull())
+                  .withColumn("_done", F.col("n_texts").isNotNull() | F.col("new_error").isNotNull()
+                              | F.coalesce(F.col("_failed"), F.lit(False)))
                   .withColumn("error", F.when(F.col("new_error").isNotNull(), F.col("new_error"))
                               .when(F.col("_done"), old_error).otherwise(F.col("error")))
                   .withColumn("to_page", F.when(F.col("n_texts").isNotNull(),
                                                 fill_to_page("to_page", "n_texts")).otherwise(F.col("to_page")))
                   .withColumn("is_ingested", F.col("is_ingested") | F.col("_done"))
-                  .drop("new_error", "n_texts", "_done"))
+                  .drop("new_error", "n_texts", "_done", "_failed"))
 
     good = new_inodes.join(ok.select("id"), "id", "left_semi")
     uploads = good.select("id", optimized_object_path("owner_id", "path").alias("object_key"),
@@ -86,7 +94,8 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
         found.join(no_object, "id", "left_semi").select(
             "seq", F.lit("ingest_inode").alias("routing_key"), F.lit("missing_object").alias("reason")))
     return {
-        "inodes": new_inodes, "pages": new_pages, "status": status.select("id", "new_error", "n_texts"),
+        "inodes": new_inodes, "pages": new_pages,
+        "status": status.select("id", "new_error", "n_texts", "extract_error"),
         "uploads": uploads, "tags": tags,
         "followups": M.followups(processed, "ingest_inode"),
         "notifications": M.notifications(done, "ingest_inode"),

@@ -184,3 +184,25 @@ def test_delete_absent_id_is_noop(spark):
     docs = IX.inode_docs(inodes(spark, [(1, None, "file", "a", "/a", 0, None, None, False)]))
     out = IX.delete_from_index(docs, spark.createDataFrame([(42,)], "id long"))
     assert rows(out, "doc_id") == [("1",)]
+
+
+def test_supplied_extractor_failure_keeps_error_null(spark):
+    """K10: a supplied extractor that fails leaves ``error`` NULL; the inode
+    counts as ingested, gets no pages, and the failure is in the status."""
+    ino = inodes(spark, [(1, None, "file", "a.pdf", "/a.pdf", 0, None, None, False),
+                         (2, None, "file", "b.pdf", "/b.pdf", 0, None, None, False)])
+    objects = spark.createDataFrame([("users/u1/a.pdf", bytearray(b"%PDF-1.7 good")),
+                                     ("users/u1/b.pdf", bytearray(b"%PDF-1.7 bad"))], "key string, content binary")
+
+    def extractor(raw: bytes):
+        if b"bad" in raw:
+            raise ValueError("cannot parse")
+        return ["page one", "page two"]
+
+    req = spark.createDataFrame([(1, 1), (2, 2)], "seq long, id long")
+    out = J.ingest(req, ino, objects, spark.createDataFrame([], schemas.PAGES), extractor=extractor)
+    got = {r.id: (r.error, r.to_page, r.is_ingested) for r in out["inodes"].collect()}
+    assert got == {1: (None, 2, True), 2: (None, None, True)}
+    assert rows(out["pages"], "inode_id", "index") == [(1, 0), (1, 1)]
+    failed = {r.id: r.extract_error for r in out["status"].collect()}
+    assert failed[1] is None and failed[2].startswith("ValueError")
