@@ -168,8 +168,15 @@ def seed_store(store: TableStore, inodes: DataFrame, pages: DataFrame, docs: Dat
 
 
 def write_feed(feed: DataFrame, path: str, files: int) -> None:
-    """Write feed rows as JSON files, ``files`` of them, in ``seq`` order."""
-    feed.repartitionByRange(files, "seq").sortWithinPartitions("seq").write.mode("overwrite").json(path)
+    """Write feed rows as JSON files, ``files`` of them, in ``seq`` order.
+    File boundaries are equal ``seq`` ranges (from one min/max aggregate), so
+    the same feed always splits the same way."""
+    lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
+    lo, hi = (lo or 0), (hi or 0)
+    span = hi - lo + 1
+    part = F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")
+    (feed.withColumn("_file", part).repartitionByRange(files, "_file")
+     .sortWithinPartitions("seq").drop("_file").write.mode("overwrite").json(path))
 
 
 __all__ = ["TableStore", "apply_batch", "run_feed", "seed_store", "write_feed"]
