@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, sharding
+from . import bpe, chat, exact_topk, learned_partitions, packing, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +32,17 @@ def tokenizer_file(name: str) -> bytes:
         return f.read()
 
 
+@query("op1_learned_partitions")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learned_partitions.nearest(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
+@query("op3_linear_grouping")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"),
+                                  tokenizer_file("word_bpe_49k.json").decode(), capacity=4096, end_id=1)
+
+
 @query("op4_chat_round_trip")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,3 +72,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.byte_shards(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op10_uniform_threshold")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.uniform_threshold_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)

@@ -20,9 +20,9 @@ def text_size(text: Column) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(1)
 
 
-def prefix_positions(keys: DataFrame, order: list[str], weight: str) -> DataFrame:
-    """Add ``row_before`` (rows before this one in ``order``), ``weight_before``
-    (their summed weight), ``rows_all`` and ``weight_all``.
+def prefix_positions(keys: DataFrame, order: list[str], weight: str | None = None) -> DataFrame:
+    """Add ``row_before`` (rows before this one in ``order``) and ``rows_all``;
+    with a ``weight`` column also ``weight_before`` and ``weight_all``.
 
     Rows equal in every ordering column are spread by a random salt, so a key
     that holds a third of all rows fills many partitions.  The ranged rows are
@@ -35,7 +35,8 @@ def prefix_positions(keys: DataFrame, order: list[str], weight: str) -> DataFram
     ranged = (materialize(ranged, "ranged")
               .withColumn("_part", F.shiftright("_mid", 33))
               .withColumn("_row", F.col("_mid").bitwiseAND(F.lit(_ROW_BITS))))
-    totals = ranged.groupBy("_part").agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n"))
+    by = F.col(weight) if weight else F.lit(0)
+    totals = ranged.groupBy("_part").agg(F.sum(by).alias("_w"), F.count(F.lit(1)).alias("_n"))
     # One row per partition of the range step: the ordered window below is
     # bounded by the partition count, never by the data.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -45,12 +46,14 @@ def prefix_positions(keys: DataFrame, order: list[str], weight: str) -> DataFram
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n_off"),
                             F.sum("_w").over(everything).alias("weight_all"),
                             F.sum("_n").over(everything).alias("rows_all"))
-    inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.withColumn("_w_in", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-            .join(F.broadcast(offsets), "_part")
-            .withColumn("row_before", F.col("_n_off") + F.col("_row"))
-            .withColumn("weight_before", F.col("_w_off") + F.col("_w_in"))
-            .drop("_mid", "_part", "_row", "_w_off", "_n_off", "_w_in"))
+    placed = (ranged.join(F.broadcast(offsets), "_part")
+              .withColumn("row_before", F.col("_n_off") + F.col("_row")))
+    if weight:
+        inside = Window.partitionBy("_part").orderBy("_mid").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("weight_before", F.col("_w_off") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    else:
+        placed = placed.drop("weight_all")
+    return placed.drop("_mid", "_part", "_row", "_w_off", "_n_off")
 
 
 def byte_shards(docs: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
