@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, exact_topk, learned_partitions, packing, sharding
+from . import bpe, chat, credentials, exact_topk, learned_partitions, packing, pii, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,3 +77,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_uniform_threshold")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.uniform_threshold_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
+
+
+def joined_spans(items) -> "F.Column":
+    """kind:start:end, comma-joined, of an array of structs."""
+    return F.concat_ws(",", F.transform(items, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+
+
+def count_of(items: str, field: str, value: str) -> "F.Column":
+    return F.size(F.filter(items, lambda s: s[field] == value)).cast("long")
+
+
+@query("op7_ownership_frequency")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"), repo=F.concat_ws("/", "source", "lang"),
+                                     owner=F.col("source"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*credentials.BASE_KINDS))
+    counts = [count_of("secrets", "kind", k).alias(f"n_{k}") for k in credentials.BASE_KINDS]
+    classes = [count_of("secrets", "class", c).alias(f"n_{c}") for c in ("live", "example", "unclear")]
+    return found.select("doc_id", *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"),
+                        joined_spans("secrets").alias("spans"), *classes)
+
+
+@query("op6_candidate_boosting")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents"))
+    counts = [count_of("base", "kind", k).alias(f"n_{k}") for k in pii.BASE_KINDS]
+    everything = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(joined_spans("base"), 256).alias("base_sha256"),
+                        joined_spans(everything).alias("spans"), F.size("added").cast("long").alias("n_added"))
