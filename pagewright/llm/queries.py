@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, credentials, exact_topk, learned_partitions, packing, pii, sharding
+from . import bpe, chat, credentials, exact_topk, learned_partitions, ngram_join, packing, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -106,3 +106,17 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     everything = F.array_sort(F.concat("base", "added"))
     return found.select("doc_id", *counts, F.sha2(joined_spans("base"), 256).alias("base_sha256"),
                         joined_spans(everything).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
+@query("op2_ngram_jaccard")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_crf")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return quality.score_quality(docs, model).select(
+        "doc_id", F.coalesce(quality.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
