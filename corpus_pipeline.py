@@ -1,11 +1,51 @@
-"""Corpus pipeline (stages are added below)."""
+"""Corpus pipeline: quality, near duplicates, secrets, packing.
 
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame over all rows
+that its predecessor kept; all but the last return the columns of
+``documents``.  Quality drops rejected documents, the n-gram join leaves one
+document of each group of near copies, the secret scan masks secrets inside
+texts, and packing places every document that is left in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pagewright.llm import credentials, ngram_join, packing, quality
+from pagewright.llm.queries import tokenizer_file
+from pagewright.session import ensure_checkpoint_dir, materialize
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# A learned model and packing have no SQL form; tests/llm/test_pipeline.py has brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score_quality(docs, model)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one_of_each(docs).select(*COLUMNS)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    masked = credentials.redact_secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+    return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json").decode())
+
+
+STAGES = [("quality", keep_good), ("ngram_join", drop_near_copies), ("secrets", mask_secrets), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
+    ensure_checkpoint_dir(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,21 +80,22 @@ def candidates(text: str) -> list[tuple[str, int, int, str, bool]]:
             for k, s, e, v in found]
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
-    """Row number, id, repository, owner and candidates of every row (text read once)."""
-    kind = next(f.dataType.simpleString() for f in docs.schema.fields if f.name == id_col)
+FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:string,random:boolean>>"
 
+
+def scan(docs: DataFrame, text_col: str, repo: Column, owner: Column, keep: list[str]) -> DataFrame:
+    """Row number, ``keep`` columns, repository, owner and candidates of every row (text read once)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["found"] = [[{"kind": k, "start": s, "end": e, "hash": h, "random": r} for k, s, e, h, r in candidates(t)]
-                          for t in f.pop("_text")]
+            f["_found"] = [[{"kind": k, "start": s, "end": e, "hash": h, "random": r} for k, s, e, h, r in candidates(t)]
+                           for t in f.pop("_scanned")]
             yield f
 
-    given = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"),
+    given = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in keep],
                         repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    return given.mapInPandas(run, f"_row bigint, _id {kind}, _repo string, _owner string, "
-                             "found array<struct<kind:string,start:bigint,end:bigint,hash:string,random:boolean>>")
+                        F.coalesce(F.col(text_col), F.lit("")).alias("_scanned"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInPandas(run, f"{fields}, _found {FOUND}")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -108,6 +109,22 @@ def ownership(found: DataFrame) -> DataFrame:
                                      F.sum("_n").alias("n_uses"))
 
 
+def judged(at: DataFrame, copied_owners: int) -> DataFrame:
+    """(_row, secrets) of the scanned rows that have any."""
+    each = at.select("_row", "_repo", "_owner", F.explode("_found").alias("c")).select("_row", "_repo", "_owner", "c.*")
+    verdict = ownership(each).select(F.col("hash").alias("_hash"), "n_repos", "n_owners")
+    # Candidates of a common value are spread over 16 keys; its one verdict row is copied to each.
+    spread = each.drop("_repo", "_owner").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(16)))
+    verdict = verdict.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
+    told = (spread.join(verdict, (F.col("hash") == F.col("_hash")) & (F.col("_salt") == F.col("_copy")))
+            .withColumn("class", F.when(F.col("n_owners") >= copied_owners, "example")
+                        .when(F.col("random"), "live").otherwise("unclear"))
+            .where(F.col("kind").isin(*BASE_KINDS) | (F.col("class") == "live")))
+    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    item = F.struct("start", order.alias("order"), "end", "kind", "hash", "class")
+    return told.groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("secrets"))
+
+
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo: Column | None = None,
                  owner: Column | None = None, copied_owners: int = COPIED_OWNERS) -> DataFrame:
     """One row per document: id and ``secrets``, an array by start, then kind, of
@@ -120,22 +137,28 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored.
     """
     own = owner if owner is not None else F.col("source")
-    at = materialize(scan(docs, id_col, text_col, repo if repo is not None else own, own), "candidates")
-    each = at.select("_row", "_repo", "_owner", F.explode("found").alias("c")).select("_row", "_repo", "_owner", "c.*")
-    verdict = ownership(each).select(F.col("hash").alias("_hash"), "n_repos", "n_owners")
-    # Candidates of a common value are spread over 16 keys; its one verdict row is copied to each.
-    spread = each.drop("_repo", "_owner").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(16)))
-    verdict = verdict.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    judged = (spread.join(verdict, (F.col("hash") == F.col("_hash")) & (spread["_salt"] == verdict["_salt"]))
-              .withColumn("class", F.when(F.col("n_owners") >= copied_owners, "example")
-                          .when(F.col("random"), "live").otherwise("unclear"))
-              .where(F.col("kind").isin(*BASE_KINDS) | (F.col("class") == "live")))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
-    item = F.struct("start", order.alias("order"), "end", "kind", "hash", "class")
-    held = judged.groupBy("_row").agg(F.array_sort(F.collect_list(item)).alias("secrets"))
+    at = materialize(scan(docs, text_col, repo if repo is not None else own, own, [id_col]), "candidates")
     none = F.array().cast("array<struct<start:bigint,order:bigint,end:bigint,kind:string,hash:string,class:string>>")
-    return (at.select("_row", F.col("_id").alias(id_col)).join(held, "_row", "left")
-            .select(id_col, F.coalesce("secrets", none).alias("secrets"), F.col("_row").alias("row")))
+    return (at.select("_row", id_col).join(judged(at, copied_owners), "_row", "left")
+            .select(id_col, F.coalesce("secrets", none).alias("secrets")))
+
+
+def redact_secrets(docs: DataFrame, text_col: str = "text", repo: Column | None = None, owner: Column | None = None,
+                   copied_owners: int = COPIED_OWNERS, mark: str = "[SECRET]") -> DataFrame:
+    """``docs``, all rows and columns, with every listed secret that is not a
+    widely copied example replaced by ``mark``.
+
+    Only rows with candidates are joined with their verdicts; the others pass.
+    Null and empty texts stay as they are; so do repeated rows.
+    """
+    own = owner if owner is not None else F.col("source")
+    columns = docs.columns
+    at = materialize(scan(docs, text_col, repo if repo is not None else own, own, columns), "scanned")
+    clean = at.where(F.size("_found") == 0).select(*columns)
+    told = judged(at, copied_owners).withColumn("secrets", F.filter("secrets", lambda s: s["class"] != "example"))
+    text = F.when(F.size("secrets") > 0, redacted(F.col(text_col), F.col("secrets"), mark)).otherwise(F.col(text_col))
+    changed = at.where(F.size("_found") > 0).join(told, "_row", "left").withColumn(text_col, text)
+    return clean.unionByName(changed.select(*columns))
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:

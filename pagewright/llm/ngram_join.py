@@ -215,7 +215,7 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     n_bands = bands_for(similarity, recall, rows)
     signed = materialize(signatures(docs, id_col, text_col, Bands(n_bands, rows), n), "signatures")
     classes = materialize(signed.where(F.col("fp").isNotNull()).groupBy("fp").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(F.struct("_id", "_th")).alias("rep"), F.min("_id").alias("least"),
+        F.count(F.lit(1)).alias("copies"), F.min_by(F.struct("_id", "_th"), F.struct(F.col("_id").isNull(), "_id", "_th")).alias("rep"), F.min("_id").alias("least"),
         F.first("bands").alias("bands")), "classes")
     each = classes.select("fp", F.posexplode("bands").alias("band", "bucket"))
     whole = (each.groupBy("band", "bucket")
@@ -291,6 +291,12 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
     return signed, classes, materialize(found, "links")
 
 
+def class_groups(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(fp, label) of every class; a class without links is its own group."""
+    groups = connected(found.where(F.col("b").isNotNull())).select(F.col("node").alias("fp"), "label")
+    return classes.select("fp").join(groups, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
                  n: int = N, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
     """One row per document: id, ``class_id`` (least id of its connected group of
@@ -305,9 +311,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     signed, classes, found = linked_classes(docs, id_col, text_col, similarity, n, rows, recall)
     counts = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("fp")).agg(F.sum("links").alias("links"))
-    groups = connected(found.where(F.col("b").isNotNull())).select(F.col("node").alias("fp"), "label")
-    told = (classes.select("fp", "copies", "least").join(counts, "fp", "left").join(groups, "fp", "left")
-            .withColumn("label", F.coalesce("label", "fp")))
+    told = (classes.select("fp", "copies", "least").join(counts, "fp", "left")
+            .join(class_groups(classes, found), "fp"))
     least = told.groupBy("label").agg(F.min("least").alias("class_id"))
     told = told.join(least, "label").select("fp", "class_id", F.col("least").alias("copy_id"),
                                             (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
@@ -315,3 +320,22 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                      F.col("_id").alias("copy_id"), F.lit(0).cast("long").alias("n_links"))
     return (signed.where(F.col("fp").isNotNull()).select("_id", "fp").join(told, "fp")
             .select(F.col("_id").alias(id_col), "class_id", "copy_id", "n_links").union(lone))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY,
+                     n: int = N, rows: int = ROWS, recall: float = RECALL) -> DataFrame:
+    """``docs`` with one document of each connected group: the one of least id
+    (nulls last), then text hash.
+
+    Texts without n-grams all stay.  Rows that repeat both id and text are the
+    same document and stay once.  All columns stay.
+    """
+    signed, classes, found = linked_classes(docs, id_col, text_col, similarity, n, rows, recall)
+    best = (classes.select("fp", F.struct(F.col("rep._id").isNull().alias("last"), F.col("rep._id").alias("id"), F.col("rep._th").alias("th")).alias("k"))
+            .join(class_groups(classes, found), "fp").groupBy("label").agg(F.min("k").alias("k")))
+    chosen = best.select(F.col("k.id").alias("_cid"), F.col("k.th").alias("_cth")).union(
+        signed.where(F.col("fp").isNull()).select("_id", "_th").distinct())
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.withColumn("_th", th)
+    match = kept[id_col].eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth"))
+    return kept.join(chosen, match, "left_semi").dropDuplicates([id_col, "_th"]).drop("_th")

@@ -1,5 +1,11 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pagewright.session import get_session
 
 SF = "/root/testdata/sf0.001"

@@ -65,6 +65,17 @@ def test_join_edges(spark):
     assert joined(df.limit(0)) == []
 
 
+def test_one_document_of_each_group_stays(spark, documents):
+    rows = documents + [(None, documents[0][1]), (5000, None), (5000, None), (5001, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id bigint, text string, _id int")
+    kept = ngram_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=lambda r: r[0])
+    wanted = {c for d, c, _, _ in brute(rows) if d is not None}
+    assert [d for d, _ in got] == sorted(wanted)
+    assert all(t == dict(rows)[d] for d, t in got)
+
+
 def test_join_of_a_dense_group_with_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "CHUNK", 64)

@@ -259,6 +259,9 @@ def test_secret_classes_follow_owners(spark):
     assert by[9] == [[]] and by[10] == [[]]
     assert sorted([s["kind"] for s in x] for x in by[11]) == [["assign"], ["bearer", "access"]]
     assert credentials.find_secrets(df.limit(0)).count() == 0
+    clean = {(r["doc_id"], r["text"]) for r in credentials.redact_secrets(df).collect()}
+    assert {(9, None), (10, ""), (8, "[SECRET]"), (0, rows[0][1])} <= clean and len(clean) == len(rows)
+    assert not any(live in (t or "") for _, t in clean)
 
 
 def test_redaction_covers_overlaps(spark):
