@@ -88,7 +88,7 @@ def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50
                 allowed = np.flatnonzero(ids != own)
                 best = allowed[largest(score[i, allowed], ids[allowed], k)]
                 if len(best):
-                    out.append((row, own, int(key[0]), int(key[1]), vs["row"].to_numpy()[best].tolist()))
+                    out.append((row, own, int(key[0]), int(key[1]), vs["row"].to_numpy()[best]))
         return pd.DataFrame(out, columns=["qrow", "query_id", "qb", "vb", "rows"])
 
     lists = "qrow bigint, query_id bigint, qb int, vb int, rows array<bigint>"
@@ -104,13 +104,18 @@ def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50
 
         def full(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
             out = []
-            at = {r: j for j, r in enumerate(vs["row"])}
-            ids = vs["vec_id"].to_numpy()
-            for qrow, own, v, rows in zip(qs["qrow"], qs["query_id"], qs["v"], qs["rows"]):
-                pick = np.array([at[r] for r in dict.fromkeys(rows)], dtype=np.int64)
-                score = products(np.array([v], dtype=np.int64), matrix(vs["v"].iloc[pick], np.int64))[0]
-                best = largest(score, ids[pick], keep)
-                out += zip([qrow] * len(best), [own] * len(best), ids[pick[best]].tolist(), score[best].tolist())
+            if len(qs) and len(vs):
+                order = np.argsort(vs["row"].to_numpy(), kind="stable")
+                rows, ids = vs["row"].to_numpy()[order], vs["vec_id"].to_numpy()[order]
+                dims, by_dim = vs["v"].map(len).to_numpy()[order], {}
+                for d in np.unique(dims):       # one matrix per width, made once
+                    by_dim[d] = (np.cumsum(dims == d) - 1, matrix(vs["v"].iloc[order[dims == d]], np.int64))
+                for qrow, own, v, named in zip(qs["qrow"], qs["query_id"], qs["v"], qs["rows"]):
+                    pick = np.searchsorted(rows, np.unique(named))
+                    place, block = by_dim[len(v)]
+                    score = products(np.asarray(v, dtype=np.int64)[None, :], block[place[pick]])[0]
+                    best = largest(score, ids[pick], keep)
+                    out += zip([qrow] * len(best), [own] * len(best), ids[pick[best]].tolist(), score[best].tolist())
             return pd.DataFrame(out, columns=["_qrow", "query_id", "vec_id", "score"])
 
         return (asked.groupBy("qb", "vb").cogroup(others.groupBy("qb", "vb"))
@@ -133,7 +138,7 @@ def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50
                     sent &= score[i] * slices >= int(cut)
                 if sent.any():
                     out.append((row, own, int(key[0]), int(key[1]), None if pd.isna(cut) else int(cut),
-                                rows[sent].tolist(), score[i, sent].tolist()))
+                                rows[sent], score[i, sent]))
         return pd.DataFrame(out, columns=["qrow", "query_id", "qb", "vb", "cut", "rows", "entries"])
 
     qs, vs = cells(limited, base, slices, nqb, nvb)
@@ -150,7 +155,7 @@ def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50
             known = np.bincount(where, weights=entries.astype(np.float64), minlength=len(each))
             each = each[known + (slices - times) * (float(cut) / slices) >= float(cut) - 1e-6 * max(1.0, abs(float(cut)))]
         return pd.DataFrame({"qrow": [key[0]], "query_id": [lists["query_id"].iloc[0]], "qb": [key[1]], "vb": [key[2]],
-                             "rows": [each.tolist()]})
+                             "rows": [each]})
 
     left = sent.groupBy("qrow", "qb", "vb").applyInPandas(bounded, lists)
     return top_rows(resolve(left, k), k)
