@@ -2,7 +2,7 @@
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
 
-Each query runs once to warm up, then ``BENCH_RUNS`` times (default 3) into
+Each query runs once to warm up, then ``BENCH_RUNS`` times (default 2) into
 Spark's ``noop`` sink (the whole result is computed, nothing is written);
 the median is reported.  ``value`` is the sum of the medians.
 """
@@ -30,17 +30,14 @@ HEADLINE = [
 def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = sys.argv[1:] or HEADLINE
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus * 2)
     times = {}
     for name in names:
         samples = []
-        t0 = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()   # warm-up
-        # A query slower than a minute is timed once more, not ``runs`` times.
-        n = runs if time.perf_counter() - t0 < 60 else 1
-        for _ in range(n):
+        for _ in range(runs):
             t0 = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             samples.append(time.perf_counter() - t0)

@@ -44,27 +44,45 @@ def builtin_extract(objects: DataFrame, content: str = "content") -> DataFrame:
             .withColumn("texts", F.when(~broken, F.array(html_text(body)))))
 
 
-def extract_pages(objects: DataFrame, extractor: Callable[[bytes], list[str]],
-                  content: str = "content") -> DataFrame:
+class CorruptedFile(Exception):
+    """Raised by an extractor or page counter for a file that cannot be opened."""
+
+
+def extract_pages(objects: DataFrame, extractor: Callable[[bytes], list[str]], content: str = "content",
+                  page_count: Callable[[bytes], int] | None = None) -> DataFrame:
     """Run a supplied extractor (bytes -> page texts, raising on a bad file)
-    over the objects, an Arrow batch at a time.  Adds ``texts`` and
-    ``extract_error``; file bytes stay on the executors."""
+    over the objects, an Arrow batch at a time.  Adds ``texts``,
+    ``extract_error``, ``corrupted`` (the file could not be opened) and
+    ``n_pages``; file bytes stay on the executors.
+
+    ``page_count`` (bytes -> pages) is asked first, as the number of pages is
+    known before their texts; when it fails the file counts as corrupted."""
     out_schema = T.StructType(list(objects.schema.fields) + [
         T.StructField("texts", T.ArrayType(T.StringType())),
         T.StructField("extract_error", T.StringType()),
+        T.StructField("corrupted", T.BooleanType()),
+        T.StructField("n_pages", T.IntegerType()),
     ])
 
+    def one(raw: bytes):
+        pages = None
+        try:
+            if page_count is not None:
+                try:
+                    pages = int(page_count(raw))
+                except Exception as exc:
+                    raise CorruptedFile(str(exc)) from exc
+            texts = list(extractor(raw))
+            return texts, None, False, len(texts) if pages is None else pages
+        except Exception as exc:  # the file, not the job, failed
+            return None, f"{type(exc).__name__}: {exc}", isinstance(exc, CorruptedFile), pages
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
         for pdf in batches:
-            texts, errors = [], []
-            for raw in pdf[content]:
-                try:
-                    texts.append(list(extractor(bytes(raw) if raw is not None else b"")))
-                    errors.append(None)
-                except Exception as exc:  # the file, not the job, failed
-                    texts.append(None)
-                    errors.append(type(exc).__name__ + ": " + str(exc)[:200])
-            yield pdf.assign(texts=texts, extract_error=errors)
+            done = [one(bytes(raw) if raw is not None else b"") for raw in pdf[content]]
+            texts, errors, corrupted, pages = zip(*done) if done else ((), (), (), ())
+            yield pdf.assign(texts=list(texts), extract_error=list(errors), corrupted=list(corrupted),
+                             n_pages=pd.array(list(pages), dtype="Int32"))
 
     return objects.mapInPandas(run, out_schema)
 
@@ -93,5 +111,5 @@ def chunk_texts(text, size: int = 1000) -> Column:
     return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.substring(t, k * size + 1, size))
 
 
-__all__ = ["html_text", "builtin_extract", "extract_pages", "ingest_status", "number_pages", "chunk_texts",
+__all__ = ["CorruptedFile", "html_text", "builtin_extract", "extract_pages", "ingest_status", "number_pages", "chunk_texts",
            "is_pdf"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import non_empty, page_doc_id, parent_folder, path_ancestors, readable_by, relative_index
+from ..session import materialize
 
 _DOC_COLS = [f.name for f in schemas.DOCS.fields]
 
@@ -71,7 +72,8 @@ def write_index(current: DataFrame, new: DataFrame, mode: str = "upsert") -> Dat
 
     ``mode='replace_parent'`` also drops current page docs of every parent
     present in ``new`` (so pages that vanished are not left behind)."""
-    new = _conform(new)
+    # Written once: the new documents are read by the anti-join and the union.
+    new = materialize(_conform(new), "new-docs")
     if mode == "upsert":
         keep = current.join(new.select("doc_id"), "doc_id", "left_anti")
     elif mode == "replace_parent":

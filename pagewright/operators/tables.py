@@ -70,7 +70,7 @@ def apply_defaults(df: DataFrame, table: str, now: dt.datetime | None = None) ->
 
 
 def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_change: bool = False,
-                 prune: bool = False, order: list[str] | None = None) -> DataFrame:
+                 prune: bool = False, order: list[str] | None = None, next_id: int | None = None) -> DataFrame:
     """Insert or update pages on (inode_id, index).
 
     A matching key keeps its id and embedding and takes the new contents
@@ -78,7 +78,8 @@ def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_cha
     keys get fresh ids after the current maximum, in (inode_id, index) order.
     Pages of an incoming document that the new extraction no longer has are
     kept, or dropped with ``prune``.  ``incoming`` with repeated keys is
-    reduced to the last row by ``order`` first.
+    reduced to the last row by ``order`` first.  ``next_id`` gives the first
+    fresh id when ``current`` holds only part of the table.
     """
     keys = ["inode_id", "index"]
     inc = incoming.select(*keys, *(order or []), F.col("contents"))
@@ -106,6 +107,7 @@ def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_cha
         merged = merged.where(~(F.col("_cur").isNotNull() & F.col("_in").isNull()))
     kept = merged.where(F.col("_cur").isNotNull()).select("id", *keys, "contents", "embedding")
     fresh = merged.where(F.col("_cur").isNull()).select(*keys, "contents", "embedding")
-    top = current.agg(F.max("id")).first()[0]
-    fresh = assign_ids(fresh, keys, start=(top or 0) + 1).select("id", *keys, "contents", "embedding")
+    if next_id is None:
+        next_id = (current.agg(F.max("id")).first()[0] or 0) + 1
+    fresh = assign_ids(fresh, keys, start=next_id).select("id", *keys, "contents", "embedding")
     return untouched.unionByName(kept).unionByName(fresh)

@@ -7,74 +7,74 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import ensure_checkpoint_dir
 
 
-def resolve_paths(inodes: DataFrame, max_depth: int = 1 << 16) -> DataFrame:
+def resolve_paths(inodes: DataFrame) -> DataFrame:
     """Full path of every inode: '/'-joined names from the root down.
 
-    Pointer jumping: each round joins every row with the row of its current
-    ancestor, so the covered part of the path doubles per round and a tree
-    of depth d needs about log2(d) rounds.  Each round is checkpointed to
-    the shared folder, which cuts the lineage.  A parent id that does not
-    exist gives a NULL path; a cycle raises after log2(max_depth) rounds.
-    Returns (id, path).
+    Pointer jumping: each round joins every unfinished row with the row of
+    its current ancestor, so the covered part of the path doubles per round
+    and a tree of depth d needs about log2(d) rounds.  Finished rows (roots
+    reached, or an ancestor missing) are set aside, so they never meet in a
+    join on a NULL key.  Each round is checkpointed to the shared folder.  A
+    parent id that does not exist gives a NULL path; a cycle raises as soon
+    as the covered length exceeds the number of inodes.  Returns (id, path).
     """
-    spark = inodes.sparkSession
-    ensure_checkpoint_dir(spark)
-    state = inodes.select("id", F.col("parent_id").alias("anc"),
-                          F.concat(F.lit("/"), F.col("name")).alias("suffix"),
-                          F.lit(False).alias("orphan"))
-    rounds = 0
-    while True:
-        pending = state.where(F.col("anc").isNotNull() & ~F.col("orphan")).limit(1).count()
-        if pending == 0:
-            break
-        rounds += 1
-        if (1 << (rounds - 1)) > max_depth:
-            raise ValueError("inode tree has a cycle or exceeds max_depth")
-        up = state.select(F.col("id").alias("anc"), F.col("anc").alias("_anc2"),
-                          F.col("suffix").alias("_pre"), F.col("orphan").alias("_orph"))
-        joined = state.join(up, "anc", "left")
-        live = F.col("anc").isNotNull() & ~F.col("orphan")
-        found = F.col("_pre").isNotNull()
-        state = joined.select(
-            "id",
-            F.when(live & found, F.col("_anc2")).when(live, F.col("anc")).otherwise(F.col("anc")).alias("anc"),
-            F.when(live & found, F.concat(F.col("_pre"), F.col("suffix"))).otherwise(F.col("suffix")).alias("suffix"),
-            (F.col("orphan") | (live & ~found) | F.coalesce(F.col("_orph") & live, F.lit(False))).alias("orphan"),
-        ).checkpoint(eager=True)
-    return state.select("id", F.when(F.col("orphan"), F.lit(None)).otherwise(F.col("suffix")).alias("path"))
+    ensure_checkpoint_dir(inodes.sparkSession)
+    state = inodes.select("id", F.col("parent_id").alias("anc"), F.concat(F.lit("/"), F.col("name")).alias("path"))
+    state = state.checkpoint(eager=True)
+    done = state.where(F.col("anc").isNull()).select("id", "path")
+    live, nodes, covered = state.where(F.col("anc").isNotNull()), None, 1
+    while live.limit(1).count():
+        nodes = state.count() if nodes is None else nodes
+        if covered > nodes:
+            raise ValueError("inode tree has a cycle")
+        # An ancestor is finished (its path is whole) or itself still on the way.
+        up = (done.select(F.col("id").alias("anc"), F.lit(None).cast("bigint").alias("_anc2"), F.col("path").alias("_pre"))
+              .unionByName(live.select(F.col("id").alias("anc"), F.col("anc").alias("_anc2"), F.col("path").alias("_pre"))))
+        step = (live.join(up.withColumn("_found", F.lit(True)), "anc", "left")
+                .select("id", F.col("_anc2").alias("anc"),
+                        F.when(F.col("_found"), F.concat("_pre", "path")).alias("path"))
+                .checkpoint(eager=True))
+        done = done.unionByName(step.where(F.col("anc").isNull()).select("id", "path"))
+        live = step.where(F.col("anc").isNotNull())
+        covered *= 2
+    return done
 
 
-def resolve_paths_of(inodes: DataFrame, ids: DataFrame, id_col: str = "id", max_depth: int = 4096) -> DataFrame:
+def resolve_paths_of(inodes: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
     """Full paths of the ``ids`` inodes only, walking up one level per round.
 
     The state holds one row per requested inode; each round joins it to the
     tree on the current ancestor (the state is the small side, the tree is
     only scanned).  For a batch of moved inodes this avoids resolving the
-    whole table.  Returns (id, path); a missing ancestor gives NULL, a cycle
-    raises after ``max_depth`` rounds."""
+    whole table.  Returns (id, path); a missing ancestor gives NULL.  A cycle
+    is seen in the data: every row remembers its ancestor of the last round
+    that was a power of two, and meeting it again raises."""
     ensure_checkpoint_dir(inodes.sparkSession)
     tree = inodes.select(F.col("id").alias("anc"), F.col("parent_id").alias("_up"), F.col("name").alias("_name"))
     state = (inodes.join(ids.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-             .select("id", F.col("parent_id").alias("anc"), F.concat(F.lit("/"), F.col("name")).alias("suffix"),
-                     F.lit(False).alias("orphan"))
+             .select("id", F.col("parent_id").alias("anc"), F.concat(F.lit("/"), F.col("name")).alias("path"),
+                     F.col("id").alias("_mark"))
              .checkpoint(eager=True))
-    for _ in range(max_depth):
-        if state.where(F.col("anc").isNotNull() & ~F.col("orphan")).limit(1).count() == 0:
-            return state.select("id", F.when(F.col("orphan"), F.lit(None)).otherwise(F.col("suffix")).alias("path"))
-        live = F.col("anc").isNotNull() & ~F.col("orphan")
-        found = F.col("_name").isNotNull()
-        state = (state.join(tree, "anc", "left")
-                 .select("id",
-                         F.when(live & found, F.col("_up")).otherwise(F.col("anc")).alias("anc"),
-                         F.when(live & found, F.concat(F.lit("/"), F.col("_name"), F.col("suffix")))
-                         .otherwise(F.col("suffix")).alias("suffix"),
-                         (F.col("orphan") | (live & ~found)).alias("orphan"))
-                 .checkpoint(eager=True))
-    raise ValueError("inode tree has a cycle or exceeds max_depth")
+    done, rounds = state.where(F.col("anc").isNull()).select("id", "path"), 0
+    live = state.where(F.col("anc").isNotNull())
+    while True:
+        left, again = live.agg(F.count(F.lit(1)), F.count(F.when(F.col("anc") == F.col("_mark"), 1))).first()
+        if not left:
+            return done
+        if again:
+            raise ValueError("inode tree has a cycle")
+        rounds += 1
+        mark = F.col("anc") if rounds & (rounds - 1) == 0 else F.col("_mark")
+        live = (live.withColumn("_mark", mark).join(tree, "anc", "left")
+                .select("id", F.col("_up").alias("anc"),
+                        F.when(F.col("_name").isNotNull(), F.concat(F.lit("/"), F.col("_name"), F.col("path"))).alias("path"),
+                        "_mark")
+                .checkpoint(eager=True))
+        done = done.unionByName(live.where(F.col("anc").isNull()).select("id", "path"))
+        live = live.where(F.col("anc").isNotNull())
 
 
-def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id",
-                max_depth: int = 1 << 16) -> DataFrame:
+def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id") -> DataFrame:
     """Ids of ``roots`` and of every inode below them (level by level).
 
     Each level joins the tree edges with the current frontier only; a node
@@ -84,16 +84,14 @@ def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id",
     edges = inodes.select("id", "parent_id").where(F.col("parent_id").isNotNull())
     reached = roots.select(F.col(id_col).alias("id")).distinct().checkpoint(eager=True)
     frontier = reached
-    for _ in range(max_depth):
-        nxt = (edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-               .select("id").distinct()
-               .join(reached, "id", "left_anti")
-               .checkpoint(eager=True))
-        if nxt.limit(1).count() == 0:
+    while True:
+        frontier = (edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
+                    .select("id").distinct()
+                    .join(reached, "id", "left_anti")
+                    .checkpoint(eager=True))
+        if frontier.limit(1).count() == 0:
             return reached
-        reached = reached.unionByName(nxt).checkpoint(eager=True)
-        frontier = nxt
-    raise ValueError("inode tree deeper than max_depth")
+        reached = reached.unionByName(frontier).checkpoint(eager=True)
 
 
 def cascade_delete(inodes: DataFrame, pages: DataFrame, conversations_inodes: DataFrame,

@@ -154,7 +154,8 @@ tgt AS (SELECT * FROM moved WHERE id IN (SELECT after_id FROM msgs WHERE routing
 alld AS (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM newdocs) UNION ALL SELECT * FROM newdocs)""") + """
 SELECT doc_id, parent_id, kind, id, path, folder, is_public, index, emb_first FROM alld""")
 def q_write_index(t):
-    current = _rebuild_docs(t)
+    from ..session import materialize
+    current = materialize(_rebuild_docs(t), "index")      # the index as stored
     resolved = resolve_paths(t.fx_inodes)
     moved = (t.fx_inodes.join(resolved.withColumnRenamed("path", "_rp"), "id", "left")
              .withColumn("path", F.coalesce("_rp", "path")).drop("_rp"))
@@ -705,10 +706,10 @@ def q_bm25(t):
 
 @query("highlights", V.with_views("fx_pages", "fx_prompts", extra=BM25) + """
 SELECT h.qid, h.id, tv.term, tv.position, tv.start_offset, tv.end_offset
-FROM (SELECT qid, id FROM top WHERE rank <= 3) h JOIN qt ON qt.qid = h.qid JOIN tv ON tv.id = h.id AND tv.term = qt.term""")
+FROM (SELECT qid, id FROM top) h JOIN qt ON qt.qid = h.qid JOIN tv ON tv.id = h.id AND tv.term = qt.term""")
 def q_highlights(t):
     tv = _tv(t)
-    hits = _bm25(t).where(F.col("rank") <= 3).select("qid", "id")
+    hits = _bm25(t).select("qid", "id")
     return S.highlights(tv, hits, S.query_terms(t.fx_prompts, "id", "query"))
 
 
@@ -894,19 +895,30 @@ def q_rebuild_index(t):
 
 # -- rows-only entries (no SQL equivalent) -----------------------------------------
 
-@query("embed_udf")
+@query("embed_udf", V.with_views("fx_inodes", "fx_pages", extra=SELECTION + ",\n" + V.hashed_cte("sel")) + """
+SELECT s.id, s.inode_id, 'ok' AS status, CAST(64 AS INTEGER) AS emb_dim,
+  round(coalesce((SELECT x FROM hv WHERE hv.id = s.id AND hv.b = 0), 0.0), 6) AS emb_first,
+  round(coalesce((SELECT sum(x) FROM hv WHERE hv.id = s.id), 0.0), 6) AS emb_sum
+FROM sel s""")
 def q_embed_udf(t):
     """Python embedder through mapInPandas, 64 texts per request."""
     sel = E.embed_input(E.embed_selection(t.fx_inodes, t.fx_pages))
     out = E.embed_pages(E.request_batches(sel), E.hashed_embedder(64))
-    return out.select("id", "inode_id", "status", F.size("embedding").alias("emb_dim"))
+    return out.select("id", "inode_id", "status", F.size("embedding").alias("emb_dim"),
+                      F.round(F.col("embedding")[0].cast("double"), 6).alias("emb_first"),
+                      F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6)
+                      .alias("emb_sum"))
 
 
-@query("extract_udf")
+@query("extract_udf", V.with_views("fx_objects") + f"""
+SELECT {V.object_path('owner_id', 'path')} AS key, CASE WHEN good THEN 1 END AS n_pages,
+  CASE WHEN good THEN md5({_html_sql("substr(content, 9)")}) END AS text_md5,
+  CASE WHEN NOT good THEN 'ValueError: ' || (CASE WHEN starts_with(content, '%PDF-') THEN 'truncated' ELSE 'not a PDF' END)
+  END AS extract_error FROM (SELECT *, starts_with(content, '%PDF-') AND contains(lower(content), '</html>') AS good FROM fx_objects)""")
 def q_extract_udf(t):
     """A supplied Python extractor over the object bytes (mapInPandas)."""
     out = X.extract_pages(_object_table(t), _python_html_extractor)
-    return out.select("key", F.size("texts").alias("n_pages"), "extract_error")
+    return out.select("key", F.col("n_pages"), F.md5(F.col("texts")[0]).alias("text_md5"), "extract_error")
 
 
 def _python_html_extractor(raw: bytes) -> list[str]:
@@ -921,24 +933,33 @@ def _python_html_extractor(raw: bytes) -> list[str]:
     return [" ".join(_html.unescape(_re.sub(r"<[^>]*>", " ", body)).split())]
 
 
-@query("knn_approx")
+@query("knn_approx", V.with_views("fx_pages", "fx_prompts", extra=KNN) + """
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(sqrt(d2), 6) AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d2, 9), id) AS rank FROM pd) WHERE rank <= 10""")
 def q_knn_approx(t):
-    out = K.knn_approx(t.fx_prompts, t.fx_pages, k=10, cells=16, nprobe=4, seed=42)
+    """Cell search that probes every cell, so its result is the exact one
+    (fewer probes trade recall for work; see the recall test)."""
+    out = K.knn_approx(t.fx_prompts, t.fx_pages, k=10, cells=16, nprobe=16, seed=42)
     return out.select("qid", F.col("vid").alias("id"), F.col("rank").cast("int").alias("rank"),
                       F.round("distance", 6).alias("distance"))
 
 
-@query("read_objects")
+@query("read_objects", V.with_views("fx_objects") + f"""
+SELECT {V.object_path('owner_id', 'path')} AS key, CAST(octet_length(encode(content)) AS BIGINT) AS length,
+  md5(content) AS content_md5 FROM fx_objects""")
 def q_read_objects(t):
-    """Objects written once as files (one per object key) and read back with
+    """Objects written once as files under their real keys and read back with
     the binaryFile source."""
     from ..session import work_dir
     from ..sources.objects import read_objects
     root = work_dir(t.spark, "objects")
-    (_object_table(t).select(F.regexp_replace("key", "[^A-Za-z0-9]", "_").alias("k"),
-                             F.col("content").cast("string").alias("value"))
+    # One folder per key; Spark escapes the key in its name and ends the text with a line break.
+    (_object_table(t).select(F.col("key").alias("k"), F.col("content").cast("string").alias("value"))
      .write.partitionBy("k").text(root))
-    return read_objects(t.spark, root, glob="*.txt").select("key", "length")
+    bytes_ = F.expr("substring(content, 1, int(length) - 1)")
+    return read_objects(t.spark, root, glob="*.txt").select(
+        F.url_decode(F.regexp_extract("key", "k=([^/]*)/", 1)).alias("key"), (F.col("length") - 1).alias("length"),
+        F.md5(bytes_).alias("content_md5"))
 
 
 @query("run_feed")

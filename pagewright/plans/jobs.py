@@ -20,6 +20,7 @@ from ..operators import index as IX
 from ..operators import messages as M
 from ..operators.tables import lookup_inodes, set_flags, upsert_pages
 from ..operators.tree import resolve_paths_of
+from ..session import materialize
 
 
 def _missing_letters(missing: DataFrame, task: str) -> DataFrame:
@@ -33,41 +34,48 @@ def _ready_view(inodes: DataFrame) -> DataFrame:
 # -- ingest -------------------------------------------------------------------
 
 def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: DataFrame,
-           extractor: Callable[[bytes], list[str]] | None = None, clear_error: bool = False) -> dict:
+           extractor: Callable[[bytes], list[str]] | None = None, clear_error: bool = False,
+           page_count: Callable[[bytes], int] | None = None, next_page_id: int | None = None) -> dict:
     """Objects -> page texts -> upserted pages and inode status.
 
     ``objects``: (key, content) keyed ``users/{owner}{path}``.  Without an
-    extractor the built-in (native) one is used.  Status per inode:
-    'unsupported_file_type' (not a PDF), 'corrupted_file' (extraction
-    failed), else the old error stays (``clear_error`` drops it)."""
+    extractor the built-in (native) one is used; a supplied one (and its
+    optional page counter) is called once per object.  Status per inode:
+    'unsupported_file_type' (not a PDF), 'corrupted_file' (the file could not
+    be opened), else the old error stays (``clear_error`` drops it)."""
     found, missing = lookup_inodes(requests.select("seq", "id"), inodes)
     ids = found.select("id").distinct()
     todo = (inodes.join(ids, "id", "left_semi")
             .withColumn("key", object_path("owner_id", "path")))
-    # The object bytes are the big side: they stream through an inner join
-    # with the (small) requested keys and are never shuffled for the lookup;
-    # a missing object is found from the keys alone.
+    # The requested keys are the small side of an inner join; past the
+    # broadcast limit it becomes a sort-merge join, which shuffles the bytes of
+    # the objects by key.  A missing object is found from the keys alone.
     have = (objects.select("key", "content").join(todo, "key")
             .withColumn("pdf", is_pdf("content")))
     no_object = todo.join(objects.select("key"), "key", "left_anti").select("id")
     pdfs = have.where(F.col("pdf"))
-    extracted = X.builtin_extract(pdfs) if extractor is None else X.extract_pages(pdfs, extractor)
-    # The built-in check finds a truncated file (as a failed page count
-    # would): 'corrupted_file'.  A supplied extractor that fails leaves the
-    # error column NULL (K10); the failure shows in ``status``.
-    corrupt = F.col("extract_error").isNotNull() if extractor is None else F.lit(False)
-    status = (extracted.select("id", "texts", "extract_error", F.lit(True).alias("pdf"),
-                               F.when(corrupt, F.col("extract_error")).alias("_corrupt"))
+    # The built-in check finds a truncated file, a supplied extractor raises
+    # CorruptedFile or has its page counter fail: 'corrupted_file'.  Any other
+    # failure leaves the error column NULL (K10) and shows in ``status``.
+    if extractor is None:
+        extracted = (X.builtin_extract(pdfs).withColumn("corrupted", F.col("extract_error").isNotNull())
+                     .withColumn("n_pages", F.when(F.col("texts").isNotNull(), F.size("texts"))))
+    else:
+        extracted = X.extract_pages(pdfs.select("id", "content"), extractor, page_count=page_count)
+    status = (extracted.select("id", "texts", "extract_error", F.lit(True).alias("pdf"), "n_pages",
+                               F.when(F.col("corrupted"), F.col("extract_error")).alias("_corrupt"))
               .unionByName(have.where(~F.col("pdf")).select(
                   "id", F.lit(None).cast("array<string>").alias("texts"),
                   F.lit(None).cast("string").alias("extract_error"), F.lit(False).alias("pdf"),
-                  F.lit(None).cast("string").alias("_corrupt")))
+                  F.lit(None).cast("int").alias("n_pages"), F.lit(None).cast("string").alias("_corrupt")))
               .withColumn("new_error", X.ingest_status(F.col("pdf"), F.col("_corrupt")))
-              .withColumn("n_texts", F.when(F.col("texts").isNotNull(), F.size("texts")))
-              .drop("_corrupt"))
+              .withColumn("n_texts", F.col("n_pages"))
+              .drop("_corrupt", "n_pages"))
+    if extractor is not None:       # one call per object, however often the result is used
+        status = materialize(status, "extracted")
     ok = status.where(F.col("new_error").isNull() & F.col("texts").isNotNull())
     numbered = X.number_pages(ok.join(inodes.select("id", "from_page"), "id"), texts="texts")
-    new_pages = upsert_pages(pages, numbered)
+    new_pages = upsert_pages(pages, numbered, next_id=next_page_id)
 
     upd = status.select("id", "new_error", "n_texts", F.col("extract_error").isNotNull().alias("_failed"))
     old_error = F.lit(None) if clear_error else F.col("error")
@@ -133,7 +141,8 @@ def embed(requests: DataFrame, inodes: DataFrame, pages: DataFrame,
     if embedder is None:
         vectors = E.hashed_embeddings(text, "id", "text", dim)
     else:
-        out = E.embed_pages(E.request_batches(text, batch), embedder, batch)
+        # One call per request, however often the result is used below.
+        out = materialize(E.embed_pages(E.request_batches(text, batch), embedder, batch), "embedded")
         failed_ids = out.where(F.col("status") != "ok").select(F.col("inode_id").alias("id")).distinct()
         vectors = (out.join(failed_ids.select(F.col("id").alias("inode_id")), "inode_id", "left_anti")
                    .select("id", "embedding"))

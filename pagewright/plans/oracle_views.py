@@ -38,7 +38,8 @@ WITH p AS (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text)/1000) AS
   CASE WHEN page_id % 2 = 0 THEN concat('%PDF-1.7', html) ELSE html END AS content FROM pages)""",
     "fx_messages": """fx_messages AS (
 WITH m AS (SELECT event_id AS seq, ts, user_id,
-  CASE WHEN event_id % 97 = 0 THEN 999999 ELSE 1000 + CAST(json_extract_string(props, '$.k') AS bigint) END AS id,
+  CASE WHEN event_id % 97 = 0 THEN 999999 WHEN event_id % 10 = 0 THEN 1000 + CAST(json_extract_string(props, '$.k') AS bigint)
+    ELSE 1000 + (event_id * 7919) % (SELECT count(*) FROM documents) END AS id,
   CASE event_type WHEN 'signup' THEN 'ingest_inode' WHEN 'view' THEN 'embed_inode'
     WHEN 'click' THEN 'index_inode'
     WHEN 'purchase' THEN CASE user_id % 3 WHEN 0 THEN 'move_inode' WHEN 1 THEN 'share_inode'
@@ -56,7 +57,7 @@ SELECT u.conv_id * 100 + u.turn AS id, u.conv_id AS conversation_id, u.text AS q
   1 AND a.role = 'assistant' CROSS JOIN (SELECT count(*) AS n FROM embeddings) n JOIN embeddings e ON
   e.vec_id = (u.conv_id * 100 + u.turn) % n.n WHERE u.role = 'user')""",
     "fx_conversations_inodes": """fx_conversations_inodes AS (
-SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % 200 AS inode_id FROM conversations)""",
+SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % (SELECT count(*) FROM documents) AS inode_id FROM conversations)""",
     # Derived here (not in FIXTURES.md): one inode per test object, for ingest.
     "fx_object_inodes": """fx_object_inodes AS (
 SELECT 500000 + id AS id, CAST(NULL AS bigint) AS parent_id, owner_id, 'file' AS type,

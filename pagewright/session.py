@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -72,17 +73,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for written intermediate tables, beside the checkpoints."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/pagewright-{name}-{os.getpid()}-{next(_counter)}"
-
-
-def _count():
-    i = 0
-    while True:
-        i += 1
-        yield i
-
-
-_counter = _count()
+    if not base:
+        raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder every executor can reach")
+    return f"{base}/pagewright-{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df, name: str = "tmp"):

@@ -75,7 +75,8 @@ def fx_messages(t) -> DataFrame:
     return _sql(t.spark, 
         """
 WITH m AS (SELECT event_id AS seq, ts, user_id,
-  CASE WHEN event_id % 97 = 0 THEN 999999 ELSE 1000 + CAST(get_json_object(props, '$.k') AS bigint) END AS id,
+  CASE WHEN event_id % 97 = 0 THEN 999999 WHEN event_id % 10 = 0 THEN 1000 + CAST(get_json_object(props, '$.k') AS bigint)
+    ELSE 1000 + (event_id * 7919) % (SELECT count(*) FROM {documents}) END AS id,
   CASE event_type WHEN 'signup' THEN 'ingest_inode' WHEN 'view' THEN 'embed_inode'
     WHEN 'click' THEN 'index_inode'
     WHEN 'purchase' THEN CASE user_id % 3 WHEN 0 THEN 'move_inode' WHEN 1 THEN 'share_inode'
@@ -87,7 +88,7 @@ SELECT m.seq, m.ts, m.routing_key,
       coalesce(cast(i.owner_id as string), ''), '", "path": "', coalesce(i.path, ''), '"}}}}')
     ELSE concat('{{"after": {{"id": ', m.id, '}}}}') END AS body
 FROM m LEFT JOIN {inodes} i ON i.id = m.id
-""", events=t.events, inodes=fx_inodes(t).select("id", "owner_id", "path"))
+""", events=t.events, documents=t.documents, inodes=fx_inodes(t).select("id", "owner_id", "path"))
 
 
 def fx_prompts(t) -> DataFrame:
@@ -105,5 +106,5 @@ JOIN {embeddings} e ON e.vec_id = u.vec_key
 
 def fx_conversations_inodes(t) -> DataFrame:
     return _sql(t.spark, 
-        """SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % 200 AS inode_id
-           FROM {conversations}""", conversations=t.conversations)
+        """SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % (SELECT count(*) FROM {documents}) AS inode_id
+           FROM {conversations}""", conversations=t.conversations, documents=t.documents)

@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a source that has fewer input splits than the session has
-    cores (a file with one row group is one task) over all cores, so the
-    per-row work after it runs in parallel.  A source that is already split
-    (the normal case on a cluster) is left alone."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-    except Exception:  # no RDD view (e.g. a Spark Connect session): leave as is
-        pass
-    return df
-
-
 def read_table(spark: SparkSession, name: str, base: str) -> DataFrame:
     """Read table ``name`` stored as Parquet under ``base``.
 
@@ -45,9 +30,20 @@ def write_table(df: DataFrame, name: str, base: str, version: int) -> str:
 
 
 def read_jdbc_table(spark: SparkSession, name: str, url: str, schema_name: str = "private",
-                    properties: dict | None = None) -> DataFrame:
-    """Same table from a relational database over JDBC (needs the driver jar)."""
-    return spark.read.jdbc(url, f"{schema_name}.{name}", properties=properties or {})
+                    properties: dict | None = None, column: str = "id", partitions: int | None = None) -> DataFrame:
+    """Same table from a relational database over JDBC (needs the driver jar).
+
+    The bounds of the numeric key ``column`` are asked of the database first,
+    and the table is read in ``partitions`` key ranges (the session's shuffle
+    partitions unless given), one task each."""
+    source, properties = f"{schema_name}.{name}", properties or {}
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    low, high = spark.read.jdbc(url, f"(SELECT min({column}) AS lo, max({column}) AS hi FROM {source}) AS bounds",
+                                properties=properties).first()
+    if low is None or n < 2:
+        return spark.read.jdbc(url, source, properties=properties)
+    return spark.read.jdbc(url, source, column=column, lowerBound=int(low), upperBound=int(high) + 1,
+                           numPartitions=n, properties=properties)
 
 
 class TestTables:
@@ -64,8 +60,7 @@ class TestTables:
         self.sf_dir = sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df)
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TestTables.BASE:

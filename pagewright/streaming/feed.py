@@ -1,156 +1,273 @@
 """The worker loop as a streaming query.
 
-``readStream`` of feed files -> ``foreachBatch``: decode, route, then the
-jobs in a fixed order (ingest, embed, move, share, index, delete) on the ids
-of the micro-batch.  A delete ends the id: its inode rows (and those below)
-and pages leave the tables, so later messages for it are dead letters.  Table state lives in versioned Parquet folders
-(``{root}/{table}/v{batch+1}``): a batch reads the newest version and writes
-the next one, so a path being read is never overwritten, and a batch whose
-version already exists (a replay after a failure) is skipped.  Outputs
-(follow-ups, notifications, dead letters, manifests) are written per batch
-and overwritten on replay, which keeps them exactly-once.
+``readStream`` of feed files -> ``foreachBatch``.  A micro-batch is decoded
+once and cut into waves: an id's messages, in ``seq`` order, form runs of equal
+tasks, and wave n holds the n-th run of every id, so each id sees its messages
+in feed order whatever files they came in.  A finished task's follow-up is run
+at once (ingest, then embed, then index), before the id's next message.  A
+delete ends the id: its inode rows (and those below) and pages leave the
+tables, so later messages for it are dead letters.
+
+State is kept in tables of hash buckets.  A commit file names, per table and
+bucket, the version that holds it, and the last batch applied per query; only
+buckets with touched documents are rewritten.  Commits are created, never
+overwritten: of two workers that commit the same version one fails and applies
+its batch again on the new state.
 """
 
 from __future__ import annotations
 
+import json
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import schemas
 from ..operators import messages as M
+from ..operators.tree import descendants
 from ..plans import jobs as J
+from ..session import materialize
 from ..sources.feed import decode_messages, read_feed_stream
 
 TABLE_SCHEMAS = {"inodes": schemas.INODES, "pages": schemas.PAGES, "docs": schemas.DOCS}
+BUCKETS = 16
+CHAIN = {"ingest_inode": "embed_inode", "embed_inode": "index_inode",
+         "move_inode": "index_inode", "share_inode": "index_inode"}
+
+
+def owner_of(table: str):
+    """Column with the inode id that a row of ``table`` belongs to."""
+    return {"inodes": F.col("id"), "pages": F.col("inode_id"),
+            "docs": F.coalesce("parent_id", "doc_id").cast("bigint")}[table]
+
+
+class ConcurrentCommit(Exception):
+    """Another worker committed this version first."""
 
 
 class TableStore:
-    """Versioned Parquet tables under one root folder."""
+    """Bucketed Parquet tables and their commits under one root folder."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.buckets = buckets
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
     def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return path.getFileSystem(conf), jvm
-
-    def versions(self, table: str) -> list[int]:
-        fs, jvm = self._fs()
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}")
-        if not fs.exists(p):
-            return []
-        out = []
-        for st in fs.listStatus(p):
-            name = st.getPath().getName()
-            done = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{table}/{name}/_SUCCESS")
-            if name.startswith("v") and name[1:].isdigit() and fs.exists(done):
-                out.append(int(name[1:]))
-        return sorted(out)
-
-    def latest(self, table: str) -> int | None:
-        v = self.versions(table)
-        return v[-1] if v else None
-
-    def read(self, table: str, version: int | None = None) -> DataFrame:
-        version = self.latest(table) if version is None else version
-        if version is None:
+        return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def commit(self) -> dict:
+        """The newest commit: version, tables, applied."""
+        fs, folder = self._fs(), self._path(f"{self.root}/commits")
+        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+        if not names:
+            return {"version": -1, "buckets": self.buckets, "tables": {t: {} for t in TABLE_SCHEMAS}, "applied": {}}
+        stream = fs.open(self._path(f"{self.root}/commits/{names[-1]}"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def publish(self, commit: dict) -> None:
+        """Create the commit's file; fails when its version exists."""
+        path = self._path(f"{self.root}/commits/v{commit['version']:08d}")
+        try:
+            stream = self._fs().create(path, False)
+        except Exception as exc:
+            if self._fs().exists(path):
+                raise ConcurrentCommit(str(commit["version"])) from exc
+            raise
+        stream.write(bytearray(json.dumps(commit).encode()))
+        stream.close()
+
+    def folder(self, table: str, bucket: str | int, version) -> str:
+        return f"{self.root}/{table}/v{version}/b={bucket}"
+
+    def read(self, table: str, commit: dict | None = None, buckets: list[str] | None = None) -> DataFrame:
+        held = (commit or self.commit())["tables"][table]
+        names = [b for b in held if buckets is None or b in buckets]
+        paths = [self.folder(table, b, held[b]) for b in names]
+        paths = [p for p in paths if self._fs().exists(self._path(p))]      # a bucket may have become empty
+        if not paths:
             return self.spark.createDataFrame([], TABLE_SCHEMAS[table])
-        return self.spark.read.schema(TABLE_SCHEMAS[table]).parquet(f"{self.root}/{table}/v{version:08d}")
+        return self.spark.read.schema(TABLE_SCHEMAS[table]).parquet(*paths)
 
-    def write(self, table: str, df: DataFrame, version: int) -> None:
+    @staticmethod
+    def bucket(key, buckets: int) -> "F.Column":
+        return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(buckets)).cast("string")
+
+    def write(self, table: str, df: DataFrame, version: str, buckets: int) -> None:
+        """Rows of some buckets as a new version folder, a sub-folder per bucket.
+        A store keeps the number of buckets it was seeded with."""
         cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[table].fields]
-        df.select(*cols).write.mode("overwrite").parquet(f"{self.root}/{table}/v{version:08d}")
+        (df.withColumn("b", self.bucket(owner_of(table), buckets)).select(*cols, "b")
+         .write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/{table}/v{version}"))
 
-    def write_output(self, name: str, df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/out/{name}/batch={batch_id}")
+    def write_output(self, name: str, df: DataFrame, query_id: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/out/{name}/query={query_id}/batch={batch_id}")
 
     def output(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/out/{name}")
 
 
+def message_waves(decoded: DataFrame) -> DataFrame:
+    """Add ``wave``: the number of task changes before a message among the
+    messages of its id, in ``seq`` order."""
+    w = Window.partitionBy("id").orderBy("seq")
+    turn = F.coalesce((F.col("task") != F.lag("task").over(w)).cast("int"), F.lit(0))
+    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return decoded.withColumn("_turn", turn).withColumn("wave", F.sum("_turn").over(running).cast("int")).drop("_turn")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def apply_batch(store: TableStore, feed: DataFrame, batch_id: int, objects: DataFrame | None = None,
-                embedder: Callable | None = None, keys: list[str] | None = None) -> bool:
-    """Apply one micro-batch of feed rows; False when it was applied before.
-    With ``keys`` the worker takes only those routing keys (the others belong
-    to another worker's queue and are left alone)."""
-    version = batch_id + 1
+                embedder: Callable | None = None, keys: list[str] | None = None, extractor: Callable | None = None,
+                page_count: Callable | None = None, query_id: str = "batch", publish_dir: str | None = None) -> bool:
+    """Apply one micro-batch of feed rows; False when ``query_id`` applied it before.
+
+    With ``keys`` the worker takes only those routing keys; the others belong
+    to another worker's queue.  A follow-up whose key is another worker's is
+    written to ``publish_dir`` (the folder that worker reads) as a new feed file.
+    Without ``objects`` an ingest message is a dead letter (``no_object_source``).
+    """
+    while True:
+        commit = store.commit()
+        if commit["applied"].get(query_id, -1) >= batch_id:
+            return False
+        try:
+            _apply(store, commit, feed, batch_id, objects, embedder, keys, extractor, page_count, query_id, publish_dir)
+            return True
+        except ConcurrentCommit:
+            continue
+
+
+def _apply(store, commit, feed, batch_id, objects, embedder, keys, extractor, page_count, query_id, publish_dir) -> None:
+    mine = (lambda key: keys is None or key in keys)
     if keys is not None:
         feed = feed.where(F.col("routing_key").isin(keys))
-    if store.latest("docs") is not None and store.latest("docs") >= version:
-        return False
-    inodes, pages, docs = store.read("inodes"), store.read("pages"), store.read("docs")
     decoded = M.route(decode_messages(feed))
-    ok = decoded.where(F.col("status") == "ok")
-    letters = [decoded.where(F.col("status") != "ok")
-               .select("seq", "routing_key", F.col("status").alias("reason"))]
+    ident = F.when(F.col("routing_key") == "delete_inode", F.col("before_id")).otherwise(F.col("after_id"))
+    decoded = materialize(decoded.withColumn("id", ident), "decoded")
+    ok = materialize(message_waves(decoded.where(F.col("status") == "ok")), "waves")
+    letters = [decoded.where(F.col("status") != "ok").select("seq", "routing_key", F.col("status").alias("reason"))]
     outs: dict[str, list[DataFrame]] = {"followups": [], "notifications": [], "manifest": [], "tags": []}
+    base = {t: store.read(t, commit) for t in TABLE_SCHEMAS}
+
+    # The working set: the batch's documents and what its deletes take along.
+    touched = ok.select("id").distinct()
+    gone = ok.where(F.col("routing_key") == "delete_inode").select("id")
+    present = {(r["wave"], r["task"]) for r in ok.select("wave", "task").distinct().collect()}
+    if any(task == "delete_inode" for _, task in present):
+        touched = touched.union(descendants(base["inodes"], gone)).distinct()
+    touched = materialize(touched, "touched")
+
+    def part(table: str, how: str) -> DataFrame:
+        key = owner_of(table)
+        return base[table].withColumn("_own", key).join(touched.select(F.col("id").alias("_own")), "_own", how).drop("_own")
+
+    inodes, pages, docs = (materialize(part(t, "left_semi"), t) for t in TABLE_SCHEMAS)
+    others = part("inodes", "left_anti")
+    next_page = (base["pages"].agg(F.max("id")).first()[0] or 0) + 1
+
+    def finish(r: dict, *names: str) -> None:
+        letters.append(materialize(r["dead_letters"], "letters"))
+        for name in names:
+            outs[name].append(materialize(r[name], name))
+
+    for wave in range(1 + max((w for w, _ in present), default=-1)):
+        chained: dict[str, list[DataFrame]] = {"embed_inode": [], "index_inode": []}
+
+        def requests(key: str) -> DataFrame | None:
+            """The wave's messages of a task and the follow-ups that lead to it."""
+            own = [ok.where((F.col("wave") == wave) & (F.col("task") == key)).select("seq", "id")] if (wave, key) in present else []
+            return _union(own + chained.get(key, [])) if own or chained.get(key) else None
+
+        def chain(task: str) -> None:
+            """The follow-ups that ``task`` just gave, if this worker runs them."""
+            if mine(CHAIN[task]):
+                last = outs["followups"][-1]
+                chained[CHAIN[task]].append(last.select("seq", F.get_json_object("body", "$.after.id").cast("bigint").alias("id")))
+
+        if (req := requests("ingest_inode")) is not None:
+            if objects is None:
+                letters.append(req.select("seq", F.lit("ingest_inode").alias("routing_key"), F.lit("no_object_source").alias("reason")))
+            else:
+                r = J.ingest(req, inodes, objects, pages, extractor=extractor, page_count=page_count, next_page_id=next_page)
+                finish(r, "followups", "notifications", "tags")
+                inodes, pages = materialize(r["inodes"], "inodes"), materialize(r["pages"], "pages")
+                next_page = max(next_page, (pages.agg(F.max("id")).first()[0] or 0) + 1)
+                chain("ingest_inode")
+        if (req := requests("embed_inode")) is not None:
+            r = J.embed(req, inodes, pages, embedder=embedder)
+            finish(r, "followups", "notifications")
+            inodes, pages = materialize(r["inodes"], "inodes"), materialize(r["pages"], "pages")
+            chain("embed_inode")
+        if (req := requests("move_inode")) is not None:
+            r = J.move(req, inodes, resolved=J.resolve_paths_of(inodes.unionByName(others), req.select("id")))
+            finish(r, "followups")
+            outs["manifest"].append(materialize(r["manifest"].select(
+                "id", "kind", F.col("old_key").alias("object_key"), F.lit("move").alias("action"),
+                F.col("new_key").alias("target")), "manifest"))
+            inodes = materialize(r["inodes"], "inodes")
+            chain("move_inode")
+        if (req := requests("share_inode")) is not None:
+            r = J.share(req, inodes)
+            finish(r, "followups", "tags")
+            chain("share_inode")
+        if (req := requests("index_inode")) is not None:
+            r = J.index(req, inodes, pages, docs)
+            finish(r, "notifications")
+            inodes, docs = materialize(r["inodes"], "inodes"), materialize(r["docs"], "docs")
+        if (wave, "delete_inode") in present:
+            r = J.delete(ok.where((F.col("wave") == wave) & (F.col("task") == "delete_inode")), docs, inodes, pages)
+            outs["manifest"].append(r["manifest"].select("id", "kind", "object_key", F.lit("delete").alias("action"),
+                                                         F.lit(None).cast("string").alias("target")))
+            inodes, pages, docs = (materialize(r[t], t) for t in TABLE_SCHEMAS)
 
-    def req(key):
-        return ok.where(F.col("routing_key") == key).select("seq", "id")
-
-    if objects is not None:
-        r = J.ingest(req("ingest_inode"), inodes, objects, pages)
-        inodes, pages = r["inodes"], r["pages"]
-        outs["followups"].append(r["followups"])
-        outs["notifications"].append(r["notifications"])
-        letters.append(r["dead_letters"])
-    r = J.embed(req("embed_inode"), inodes, pages, embedder=embedder)
-    inodes, pages = r["inodes"], r["pages"]
-    outs["followups"].append(r["followups"])
-    outs["notifications"].append(r["notifications"])
-    letters.append(r["dead_letters"])
-    r = J.move(req("move_inode"), inodes)
-    inodes = r["inodes"]
-    outs["followups"].append(r["followups"])
-    outs["manifest"].append(r["manifest"].select("id", "kind", F.col("old_key").alias("object_key"),
-                                                 F.lit("move").alias("action"), F.col("new_key").alias("target")))
-    letters.append(r["dead_letters"])
-    r = J.share(req("share_inode"), inodes)
-    outs["followups"].append(r["followups"])
-    outs["tags"].append(r["tags"])
-    letters.append(r["dead_letters"])
-    r = J.index(req("index_inode"), inodes, pages, docs)
-    inodes, docs = r["inodes"], r["docs"]
-    outs["notifications"].append(r["notifications"])
-    letters.append(r["dead_letters"])
-    r = J.delete(decoded.where((F.col("routing_key") == "delete_inode") & (F.col("status") == "ok")), docs,
-                 inodes, pages)
-    docs, inodes, pages = r["docs"], r["inodes"], r["pages"]
-    outs["manifest"].append(r["manifest"].select("id", "kind", "object_key", F.lit("delete").alias("action"),
-                                                 F.lit(None).cast("string").alias("target")))
-    # Tables first (inodes, pages, then docs: docs marks the batch done).
-    store.write("inodes", inodes, version)
-    store.write("pages", pages, version)
-    for name, parts in outs.items():
+    version = commit["version"] + 1
+    name = f"{version:08d}-{query_id}-{batch_id}"
+    tables = {t: dict(held) for t, held in commit["tables"].items()}
+    for t, new in (("inodes", inodes), ("pages", pages), ("docs", docs)):
+        old_rows = part(t, "left_anti")
+        hit = sorted({r[0] for r in touched.select(store.bucket(F.col("id"), commit["buckets"]).alias("b")).distinct().collect()})     # bucket names
+        rest = old_rows.where(store.bucket(owner_of(t), commit["buckets"]).isin(hit))
+        store.write(t, rest.select(*new.columns).unionByName(new), name, commit["buckets"])
+        tables[t].update({b: name for b in hit})
+    for out, parts in outs.items():
         if parts:
-            out = parts[0]
-            for p in parts[1:]:
-                out = out.unionByName(p)
-            store.write_output(name, out, batch_id)
-    store.write_output("dead_letters", M.dead_letters(*letters), batch_id)
-    store.write("docs", docs, version)
-    return True
+            store.write_output(out, _union(parts), query_id, batch_id)
+    if publish_dir and outs["followups"]:
+        foreign = _union(outs["followups"]).where(~F.col("routing_key").isin(*(keys or list(schemas.ROUTING_KEYS))))
+        foreign.select("seq", F.lit(None).cast("timestamp").alias("ts"), "routing_key", "body").coalesce(1).write.mode("append").json(publish_dir)
+    store.write_output("dead_letters", M.dead_letters(*letters), query_id, batch_id)
+    store.publish({"version": version, "buckets": commit["buckets"], "tables": tables, "applied": commit["applied"] | {query_id: batch_id}})
 
 
 def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: str,
              objects: DataFrame | None = None, embedder: Callable | None = None,
-             max_files: int = 1, once: bool = True, keys: list[str] | None = None):
+             max_files: int = 1, once: bool = True, keys: list[str] | None = None,
+             extractor: Callable | None = None, page_count: Callable | None = None, publish_dir: str | None = None):
     """Consume the feed files under ``feed_dir`` into the tables under
-    ``store_root`` (seeded beforehand with version 0).  ``once`` drains what
-    is there (``availableNow``) and returns; otherwise the query keeps
-    running and is returned.  Two workers with disjoint ``keys`` (e.g. an
-    ingest queue and a default queue) each need their own ``store_root``
-    tables only if they touch different tables; sharing one store they must
-    run one after the other."""
+    ``store_root`` (seeded beforehand).  ``once`` drains what is there
+    (``availableNow``) and returns; otherwise the query keeps running and is
+    returned.  Batches are told apart by the checkpoint's own query id, so
+    several workers and fresh checkpoints may share a store."""
     store = TableStore(spark, store_root)
     stream = read_feed_stream(spark, feed_dir, max_files=max_files)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        apply_batch(store, batch, batch_id, objects=objects, embedder=embedder, keys=keys)
+        told = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])
+        apply_batch(store, batch, batch_id, objects=objects, embedder=embedder, keys=keys, extractor=extractor,
+                    page_count=page_count, query_id=told["id"], publish_dir=publish_dir)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if once:
@@ -161,22 +278,29 @@ def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: st
 
 
 def seed_store(store: TableStore, inodes: DataFrame, pages: DataFrame, docs: DataFrame | None = None) -> None:
-    """Write version 0 of the tables."""
-    store.write("inodes", inodes, 0)
-    store.write("pages", pages, 0)
-    store.write("docs", docs if docs is not None else store.read("docs"), 0)
+    """Write the first version of all tables and commit it."""
+    tables = {}
+    for t, df in (("inodes", inodes), ("pages", pages), ("docs", docs)):
+        if df is None:
+            df = store.spark.createDataFrame([], TABLE_SCHEMAS[t])
+        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[t].fields if f.name not in df.columns]
+        store.write(t, df.select("*", *missing), "00000000-seed", store.buckets)
+        tables[t] = {str(b): "00000000-seed" for b in range(store.buckets)}
+    store.publish({"version": 0, "buckets": store.buckets, "tables": tables, "applied": {}})
 
 
 def write_feed(feed: DataFrame, path: str, files: int) -> None:
     """Write feed rows as JSON files, ``files`` of them, in ``seq`` order.
     File boundaries are equal ``seq`` ranges (from one min/max aggregate), so
-    the same feed always splits the same way."""
+    the same feed always splits the same way; files are written one after the
+    other, as the stream takes them by age."""
     lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
     lo, hi = (lo or 0), (hi or 0)
     span = hi - lo + 1
-    part = F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")
-    (feed.withColumn("_file", part).repartitionByRange(files, "_file")
-     .sortWithinPartitions("seq").drop("_file").write.mode("overwrite").json(path))
+    frozen = materialize(feed.withColumn("_file", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")), "feed")
+    for k in range(files):
+        (frozen.where(F.col("_file") == k).drop("_file").repartition(1).sortWithinPartitions("seq")
+         .write.mode("append").json(path))
 
 
-__all__ = ["TableStore", "apply_batch", "run_feed", "seed_store", "write_feed"]
+__all__ = ["TableStore", "apply_batch", "message_waves", "run_feed", "seed_store", "write_feed"]

@@ -134,7 +134,7 @@ def test_tree_cycle_orphan_and_descendants(spark):
     assert rows(resolve_paths_of(ok, some)) == [(1, "/a"), (4, "/a/b/c/d"), (5, None)]
     cyc = spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id long, parent_id long, name string")
     with pytest.raises(ValueError):
-        resolve_paths(cyc, max_depth=8)
+        resolve_paths(cyc)
     with pytest.raises(ValueError):
         resolve_paths_of(cyc, spark.createDataFrame([(1,)], "id long"), max_depth=8)
     assert rows(descendants(cyc, spark.createDataFrame([(1,)], "id long"))) == [(1,), (2,)]
