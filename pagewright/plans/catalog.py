@@ -734,20 +734,20 @@ def q_in_folder(t):
 
 # -- 2.12 audits ----------------------------------------------------------------------
 
-@query("audit_duplicate_keys", V.with_views("fx_inodes", "fx_pages", "fx_conversations_inodes") + """
-SELECT 'inodes' AS tbl, CAST(id AS VARCHAR) AS key, count(*) AS n FROM fx_inodes GROUP BY id HAVING count(*) > 1
-UNION ALL SELECT 'pages', CAST(id AS VARCHAR), count(*) FROM fx_pages GROUP BY id HAVING count(*) > 1
+@query("audit_duplicate_keys", V.with_views("fx_inodes_bad", "fx_pages_bad", "fx_links_bad") + """
+SELECT 'inodes' AS tbl, CAST(id AS VARCHAR) AS key, count(*) AS n FROM fx_inodes_bad GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'pages', CAST(id AS VARCHAR), count(*) FROM fx_pages_bad GROUP BY id HAVING count(*) > 1
 UNION ALL SELECT 'pages_inode_index', CAST(inode_id AS VARCHAR) || '/' || CAST(index AS VARCHAR), count(*)
-  FROM fx_pages GROUP BY inode_id, index HAVING count(*) > 1
+  FROM fx_pages_bad GROUP BY inode_id, index HAVING count(*) > 1
 UNION ALL SELECT 'conversations_inodes', CAST(conversation_id AS VARCHAR) || '/' || CAST(inode_id AS VARCHAR), count(*)
-  FROM fx_conversations_inodes GROUP BY conversation_id, inode_id HAVING count(*) > 1""")
+  FROM fx_links_bad GROUP BY conversation_id, inode_id HAVING count(*) > 1""")
 def q_audit_duplicate_keys(t):
     parts = [
-        A.duplicate_keys(t.fx_inodes, ["id"]).select(F.lit("inodes").alias("tbl"), F.col("id").cast("string").alias("key"), "n"),
-        A.duplicate_keys(t.fx_pages, ["id"]).select(F.lit("pages").alias("tbl"), F.col("id").cast("string").alias("key"), "n"),
-        A.duplicate_keys(t.fx_pages, ["inode_id", "index"]).select(
+        A.duplicate_keys(t.fx_inodes_bad, ["id"]).select(F.lit("inodes").alias("tbl"), F.col("id").cast("string").alias("key"), "n"),
+        A.duplicate_keys(t.fx_pages_bad, ["id"]).select(F.lit("pages").alias("tbl"), F.col("id").cast("string").alias("key"), "n"),
+        A.duplicate_keys(t.fx_pages_bad, ["inode_id", "index"]).select(
             F.lit("pages_inode_index").alias("tbl"), F.concat_ws("/", "inode_id", "index").alias("key"), "n"),
-        A.duplicate_keys(t.fx_conversations_inodes, ["conversation_id", "inode_id"]).select(
+        A.duplicate_keys(t.fx_links_bad, ["conversation_id", "inode_id"]).select(
             F.lit("conversations_inodes").alias("tbl"), F.concat_ws("/", "conversation_id", "inode_id").alias("key"), "n"),
     ]
     out = parts[0]
@@ -756,38 +756,38 @@ def q_audit_duplicate_keys(t):
     return out
 
 
-@query("audit_duplicate_paths", V.with_views("fx_inodes") + """
-SELECT owner_id, lower(path) AS lpath, count(*) AS n FROM fx_inodes GROUP BY owner_id, lower(path) HAVING count(*) > 1""")
+@query("audit_duplicate_paths", V.with_views("fx_inodes_bad") + """
+SELECT owner_id, lower(path) AS lpath, count(*) AS n FROM fx_inodes_bad GROUP BY owner_id, lower(path) HAVING count(*) > 1""")
 def q_audit_duplicate_paths(t):
-    return A.duplicate_paths(t.fx_inodes)
+    return A.duplicate_paths(t.fx_inodes_bad)
 
 
-@query("audit_blank_names", V.with_views("fx_inodes") + "SELECT id, name FROM fx_inodes WHERE trim(name) = ''")
+@query("audit_blank_names", V.with_views("fx_inodes_bad") + "SELECT id, name FROM fx_inodes_bad WHERE trim(name) = ''")
 def q_audit_blank_names(t):
-    return A.blank_names(t.fx_inodes)
+    return A.blank_names(t.fx_inodes_bad)
 
 
-@query("audit_orphans", V.with_views("fx_inodes", "fx_pages", "fx_conversations_inodes") + """
-SELECT 'pages.inode_id' AS fk, id AS key FROM fx_pages p WHERE NOT EXISTS (SELECT 1 FROM fx_inodes i WHERE i.id = p.inode_id)
-UNION ALL SELECT 'inodes.parent_id', id FROM fx_inodes c WHERE parent_id IS NOT NULL
-  AND NOT EXISTS (SELECT 1 FROM fx_inodes i WHERE i.id = c.parent_id)
-UNION ALL SELECT 'conversations_inodes.inode_id', conversation_id FROM fx_conversations_inodes l
-  WHERE NOT EXISTS (SELECT 1 FROM fx_inodes i WHERE i.id = l.inode_id)""")
+@query("audit_orphans", V.with_views("fx_inodes_bad", "fx_pages_bad", "fx_links_bad") + """
+SELECT 'pages.inode_id' AS fk, id AS key FROM fx_pages_bad p WHERE NOT EXISTS (SELECT 1 FROM fx_inodes_bad i WHERE i.id = p.inode_id)
+UNION ALL SELECT 'inodes.parent_id', id FROM fx_inodes_bad c WHERE parent_id IS NOT NULL
+  AND NOT EXISTS (SELECT 1 FROM fx_inodes_bad i WHERE i.id = c.parent_id)
+UNION ALL SELECT 'conversations_inodes.inode_id', conversation_id FROM fx_links_bad l
+  WHERE NOT EXISTS (SELECT 1 FROM fx_inodes_bad i WHERE i.id = l.inode_id)""")
 def q_audit_orphans(t):
-    ino = t.fx_inodes
-    return (A.orphans(t.fx_pages, ino, "inode_id").select(F.lit("pages.inode_id").alias("fk"), F.col("id").alias("key"))
+    ino = t.fx_inodes_bad
+    return (A.orphans(t.fx_pages_bad, ino, "inode_id").select(F.lit("pages.inode_id").alias("fk"), F.col("id").alias("key"))
             .unionByName(A.orphans(ino, ino, "parent_id").select(F.lit("inodes.parent_id").alias("fk"),
                                                                   F.col("id").alias("key")))
-            .unionByName(A.orphans(t.fx_conversations_inodes, ino, "inode_id").select(
+            .unionByName(A.orphans(t.fx_links_bad, ino, "inode_id").select(
                 F.lit("conversations_inodes.inode_id").alias("fk"), F.col("conversation_id").alias("key"))))
 
 
-@query("audit_enums", V.with_views("fx_inodes") + f"""
-SELECT id, 'type' AS col, type AS value FROM fx_inodes WHERE type NOT IN ('folder', 'file')
-UNION ALL SELECT id, 'error', error FROM fx_inodes WHERE error IS NOT NULL
+@query("audit_enums", V.with_views("fx_inodes_bad") + f"""
+SELECT id, 'type' AS col, type AS value FROM fx_inodes_bad WHERE type NOT IN ('folder', 'file')
+UNION ALL SELECT id, 'error', error FROM fx_inodes_bad WHERE error IS NOT NULL
   AND error NOT IN ('unsupported_file_type', 'corrupted_file')""")
 def q_audit_enums(t):
-    ino = t.fx_inodes
+    ino = t.fx_inodes_bad
     return (A.bad_enum(ino, "type", schemas.INODE_TYPES).select("id", F.lit("type").alias("col"), F.col("type").alias("value"))
             .unionByName(A.bad_enum(ino, "error", schemas.FILE_ERRORS).select("id", F.lit("error").alias("col"),
                                                                               F.col("error").alias("value"))))
@@ -798,24 +798,27 @@ NN_INODES = ["owner_id", "type", "name", "path", "is_indexed", "is_public", "is_
 NN_PAGES = ["inode_id", "index", "contents"]
 
 
-@query("audit_nulls", V.with_views("fx_inodes", "fx_pages") + " UNION ALL ".join(
-    [f"SELECT 'inodes' AS tbl, id, '{c}' AS col FROM fx_inodes WHERE {c} IS NULL" for c in NN_INODES]
-    + [f"SELECT 'pages', id, '{c}' FROM fx_pages WHERE {c} IS NULL" for c in NN_PAGES]))
+@query("audit_nulls", V.with_views("fx_inodes_bad", "fx_pages_bad") + " UNION ALL ".join(
+    [f"SELECT 'inodes' AS tbl, id, '{c}' AS col FROM fx_inodes_bad WHERE {c} IS NULL" for c in NN_INODES]
+    + [f"SELECT 'pages', id, '{c}' FROM fx_pages_bad WHERE {c} IS NULL" for c in NN_PAGES]))
 def q_audit_nulls(t):
-    a = A.null_violations(t.fx_inodes, NN_INODES).select(F.lit("inodes").alias("tbl"), "id", F.col("column").alias("col"))
-    b = A.null_violations(t.fx_pages, NN_PAGES).select(F.lit("pages").alias("tbl"), "id", F.col("column").alias("col"))
+    a = A.null_violations(t.fx_inodes_bad, NN_INODES).select(F.lit("inodes").alias("tbl"), "id", F.col("column").alias("col"))
+    b = A.null_violations(t.fx_pages_bad, NN_PAGES).select(F.lit("pages").alias("tbl"), "id", F.col("column").alias("col"))
     return a.unionByName(b)
 
 
-@query("audit_dimension", V.with_views("fx_pages", "fx_prompts") + f"""
-SELECT 'pages' AS tbl, id, CAST(len(embedding) AS INTEGER) AS dim FROM fx_pages
-  WHERE embedding IS NOT NULL AND len(embedding) <> {schemas.EMBEDDING_DIM}
+FIXTURE_DIM = 64       # width of the test vectors
+
+
+@query("audit_dimension", V.with_views("fx_pages_bad", "fx_prompts") + f"""
+SELECT 'pages' AS tbl, id, CAST(len(embedding) AS INTEGER) AS dim FROM fx_pages_bad
+  WHERE embedding IS NOT NULL AND len(embedding) <> {FIXTURE_DIM}
 UNION ALL SELECT 'prompts', id, CAST(len(embedding) AS INTEGER) FROM fx_prompts
-  WHERE embedding IS NOT NULL AND len(embedding) <> {schemas.EMBEDDING_DIM}""")
+  WHERE embedding IS NOT NULL AND len(embedding) <> {FIXTURE_DIM}""")
 def q_audit_dimension(t):
-    a = A.bad_dimension(t.fx_pages, schemas.EMBEDDING_DIM).select(F.lit("pages").alias("tbl"), "id",
+    a = A.bad_dimension(t.fx_pages_bad, FIXTURE_DIM).select(F.lit("pages").alias("tbl"), "id",
                                                                   F.size("embedding").alias("dim"))
-    b = A.bad_dimension(t.fx_prompts, schemas.EMBEDDING_DIM).select(F.lit("prompts").alias("tbl"), "id",
+    b = A.bad_dimension(t.fx_prompts, FIXTURE_DIM).select(F.lit("prompts").alias("tbl"), "id",
                                                                     F.size("embedding").alias("dim"))
     return a.unionByName(b)
 

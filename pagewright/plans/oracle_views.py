@@ -7,6 +7,7 @@ with the views it needs as WITH clauses.  The fixture SQL is FIXTURES.md's.
 from __future__ import annotations
 
 from ..functions.text import TOKEN_RUNS, WHITESPACE_RUN, WORD_RUN
+from ..sources.fixtures import BAD_INODES, BAD_LINKS, BAD_PAGES
 
 FX = {
     "fx_users": """fx_users AS (SELECT c_custkey AS id, c_name AS name,
@@ -74,7 +75,14 @@ SELECT 500000 + id AS id, CAST(NULL AS bigint) AS parent_id, owner_id, 'file' AS
   json_extract_string(body, '$.before.path') AS before_path FROM fx_messages)""",
 }
 
+FX["fx_inodes_bad"] = f"fx_inodes_bad AS ({BAD_INODES.format(inodes='fx_inodes')})"
+FX["fx_pages_bad"] = f"fx_pages_bad AS ({BAD_PAGES.format(pages='fx_pages').replace('SLICE', 'list_slice')})"
+FX["fx_links_bad"] = f"fx_links_bad AS ({BAD_LINKS.format(links='fx_conversations_inodes')})"
+
 DEPENDS = {
+    "fx_inodes_bad": ["fx_inodes"],
+    "fx_pages_bad": ["fx_pages"],
+    "fx_links_bad": ["fx_conversations_inodes"],
     "fx_messages": ["fx_inodes"],
     "fx_object_inodes": ["fx_objects"],
     "msgs": ["fx_messages"],

@@ -108,3 +108,32 @@ def fx_conversations_inodes(t) -> DataFrame:
     return _sql(t.spark, 
         """SELECT DISTINCT conv_id AS conversation_id, 1000 + (conv_id * 7) % (SELECT count(*) FROM {documents}) AS inode_id
            FROM {conversations}""", conversations=t.conversations, documents=t.documents)
+
+
+# Seeded violations for the audits; the same SQL runs on both engines (``SLICE``
+# is the one dialect token).
+BAD_INODES = """SELECT id, CASE WHEN id % 43 = 0 THEN 77000000 + id ELSE parent_id END AS parent_id, owner_id,
+  CASE WHEN id % 47 = 0 THEN 'link' ELSE type END AS type, CASE WHEN id % 37 = 0 THEN '  ' ELSE name END AS name,
+  CASE WHEN id % 59 = 0 THEN NULL ELSE path END AS path, is_public, is_uploaded, is_ingested, is_embedded, is_indexed,
+  CASE WHEN id % 61 = 0 THEN NULL ELSE from_page END AS from_page, to_page,
+  CASE WHEN id % 53 = 0 THEN 'lost' ELSE error END AS error FROM {inodes}
+UNION ALL SELECT id, parent_id, owner_id, type, name, upper(path), is_public, is_uploaded, is_ingested, is_embedded,
+  is_indexed, from_page, to_page, error FROM {inodes} WHERE id % 41 = 0"""
+BAD_PAGES = """SELECT id, CASE WHEN id % 73 = 0 THEN 88000000 + id ELSE inode_id END AS inode_id, index,
+  CASE WHEN id % 79 = 0 THEN NULL ELSE contents END AS contents,
+  CASE WHEN id % 83 = 0 THEN SLICE(embedding, 1, 63) ELSE embedding END AS embedding FROM {pages}
+UNION ALL SELECT id, inode_id, index, contents, embedding FROM {pages} WHERE id % 71 = 0"""
+BAD_LINKS = """SELECT conversation_id, CASE WHEN (conversation_id + inode_id) % 7 = 0 THEN 99000000 ELSE inode_id END AS inode_id
+FROM {links} UNION ALL SELECT conversation_id, inode_id FROM {links} WHERE conversation_id % 5 = 0"""
+
+
+def fx_inodes_bad(t) -> DataFrame:
+    return _sql(t.spark, BAD_INODES, inodes=fx_inodes(t))
+
+
+def fx_pages_bad(t) -> DataFrame:
+    return _sql(t.spark, BAD_PAGES, pages=fx_pages(t))
+
+
+def fx_links_bad(t) -> DataFrame:
+    return _sql(t.spark, BAD_LINKS, links=fx_conversations_inodes(t))

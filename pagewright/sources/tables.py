@@ -102,3 +102,18 @@ class TestTables:
     def fx_conversations_inodes(self) -> DataFrame:
         from . import fixtures
         return fixtures.fx_conversations_inodes(self)
+
+    @property
+    def fx_inodes_bad(self) -> DataFrame:
+        from . import fixtures
+        return fixtures.fx_inodes_bad(self)
+
+    @property
+    def fx_pages_bad(self) -> DataFrame:
+        from . import fixtures
+        return fixtures.fx_pages_bad(self)
+
+    @property
+    def fx_links_bad(self) -> DataFrame:
+        from . import fixtures
+        return fixtures.fx_links_bad(self)
