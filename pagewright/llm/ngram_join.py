@@ -33,6 +33,7 @@ RECALL = 0.9999         # wanted chance that a pair at the threshold shares a ba
 BLOCK = 256             # classes of a bucket in one block; a cell holds two blocks
 CHUNK = 4096            # n-grams in one matrix product
 KNOWN_WORDS = 400_000   # remembered word hashes per Python worker
+BROADCAST_KEYS = 500_000    # (id, text hash) pairs that may be broadcast: some 32 MB
 SEED = 0x9E3779B97F4A7C15
 
 
@@ -207,6 +208,12 @@ def cut_cells(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.Da
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """``keys`` marked for broadcast when a count shows that they are few; more
+    of them are joined by shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS else keys
+
+
 def linked_classes(docs: DataFrame, id_col: str, text_col: str, similarity: float, n: int, rows: int, recall: float,
                    pairs: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Signatures of all rows, classes (fp, copies, least id), and links of
@@ -225,20 +232,22 @@ def linked_classes(docs: DataFrame, id_col: str, text_col: str, similarity: floa
             .select(F.col("k.band").alias("band"), F.col("k.bucket").alias("bucket"), "n"))
     held = (each.join(kept, ["band", "bucket"])
             .groupBy("fp").agg(F.collect_list(F.struct("band", "bucket", "n")).alias("held")))      # one entry per band at most
-    wanted = classes.join(held, "fp").select("fp", "copies", "held", F.col("rep._id").alias("_rep"), F.col("rep._th").alias("_rth"))
+    wanted = materialize(classes.join(held, "fp").select("fp", "copies", "held", F.col("rep._id").alias("_rep"),
+                                                         F.col("rep._th").alias("_rth")), "wanted")
 
     def full(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["grams"] = [s.view(np.int64) for part in bounded(f.pop("_text").tolist()) for s in ngram_sets(part, n)]
-            yield f
+            sets = [s for part in bounded(f["_text"].tolist()) for s in ngram_sets(part, n)]
+            yield pd.DataFrame({"fp": [fingerprint(s) for s in sets], "grams": [s.view(np.int64) for s in sets]})
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"))
+    keys = wanted.select("_rep", "_rth")
     match = F.col("_id").eqNullSafe(F.col("_rep")) & (F.col("_th") == F.col("_rth"))
-    sets = (texts.join(wanted, match).select("fp", "copies", "held", "_text")
-            .mapInPandas(full, "fp string, copies bigint, held array<struct<band:int,bucket:bigint,n:bigint>>, grams array<bigint>"))
-    # A row that is repeated with its id and text matches more than once.
-    sets = materialize(sets.groupBy("fp").agg(F.first("copies").alias("copies"), F.first("held").alias("held"), F.first("grams").alias("grams")), "sets")
+    sets = texts.join(small(keys), match, "left_semi").mapInPandas(full, "fp string, grams array<bigint>")
+    # A row that is repeated with its id and text comes more than once.
+    sets = sets.groupBy("fp").agg(F.first("grams").alias("grams"))
+    sets = materialize(sets.join(wanted.select("fp", "copies", "held"), "fp"), "sets")
 
     blocks = F.ceil(F.col("h.n") / BLOCK).cast("int")
     cells = (sets.select("fp", "copies", "grams", "held", F.explode("held").alias("h"))
@@ -333,9 +342,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     signed, classes, found = linked_classes(docs, id_col, text_col, similarity, n, rows, recall)
     best = (classes.select("fp", F.struct(F.col("rep._id").isNull().alias("last"), F.col("rep._id").alias("id"), F.col("rep._th").alias("th")).alias("k"))
             .join(class_groups(classes, found), "fp").groupBy("label").agg(F.min("k").alias("k")))
-    chosen = best.select(F.col("k.id").alias("_cid"), F.col("k.th").alias("_cth")).union(
-        signed.where(F.col("fp").isNull()).select("_id", "_th").distinct())
-    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    kept = docs.withColumn("_th", th)
-    match = kept[id_col].eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth"))
-    return kept.join(chosen, match, "left_semi").dropDuplicates([id_col, "_th"]).drop("_th")
+    chosen = best.select(F.col("k.id").alias("_cid"), F.col("k.th").alias("_cth"))
+    rows_of = signed.groupBy("_id", "_th").agg(F.count(F.lit(1)).alias("_n"), F.max("fp").alias("_fp"))
+    same = F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_th") == F.col("_cth"))
+    gone = materialize(rows_of.where(F.col("_fp").isNotNull()).join(chosen, same, "left_anti")
+                       .select(F.col("_id").alias("_gid"), F.col("_th").alias("_gth")), "gone")
+    twice = materialize(rows_of.where(F.col("_n") > 1).select(F.col("_id").alias("_tid"), F.col("_th").alias("_tth")), "twice")
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    kept = hashed.join(small(gone), hashed[id_col].eqNullSafe(F.col("_gid")) & (F.col("_hash") == F.col("_gth")), "left_anti")
+    if twice.limit(1).count():      # rows that repeat id and text: the others need no shuffle
+        again = kept[id_col].eqNullSafe(F.col("_tid")) & (F.col("_hash") == F.col("_tth"))
+        kept = (kept.join(small(twice), again, "left_anti")
+                .unionByName(kept.join(small(twice), again, "left_semi").dropDuplicates([id_col, "_hash"])))
+    return kept.drop("_hash")
