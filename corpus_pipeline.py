@@ -16,26 +16,36 @@ from pagewright.llm.queries import tokenizer_file
 from pagewright.session import ensure_checkpoint_dir, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+# Rows of an Arrow batch: whole texts are long, and a worker holds a batch several times over.
+ARROW_ROWS = 2000
 # A learned model and packing have no SQL form; tests/llm/test_pipeline.py has brute force.
 ORACLE_SQL = None
 
 
+def short_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     model = quality.fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality.score_quality(docs, model)
     return scored.where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return ngram_join.keep_one_of_each(docs).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     masked = credentials.redact_secrets(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    short_batches(spark)
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json").decode())
 
 

@@ -282,7 +282,7 @@ def worker_codec(content: bytes, pattern: str) -> Codec:
     return held[key]
 
 
-def bounded(texts: list[str], chars: int = 1 << 21) -> Iterator[list[str]]:
+def bounded(texts: list[str], chars: int = 1 << 20) -> Iterator[list[str]]:
     """Consecutive texts in lists of about ``chars`` characters (one text at least)."""
     part, held = [], 0
     for t in texts:

@@ -87,14 +87,15 @@ def scan(docs: DataFrame, text_col: str, repo: Column, owner: Column, keep: list
     """Row number, ``keep`` columns, repository, owner and candidates of every row (text read once)."""
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["_found"] = [[{"kind": k, "start": s, "end": e, "hash": h, "random": r} for k, s, e, h, r in candidates(t)]
-                           for t in f.pop("_scanned")]
+            texts = f.pop("_scanned") if text_col not in keep else f[text_col]
+            f["_found"] = [[{"kind": k, "start": s, "end": e, "hash": h, "random": r} for k, s, e, h, r in candidates(t or "")]
+                           for t in texts]
             yield f
 
     given = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in keep],
                         repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"),
-                        F.coalesce(F.col(text_col), F.lit("")).alias("_scanned"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+                        *([] if text_col in keep else [F.coalesce(F.col(text_col), F.lit("")).alias("_scanned")]))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "_scanned")
     return given.mapInPandas(run, f"{fields}, _found {FOUND}")
 
 

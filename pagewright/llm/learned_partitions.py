@@ -21,7 +21,7 @@ from ..session import materialize
 from .vectors import block_of, blocks, largest, matrix, top_rows, usable
 
 SAMPLE = 6000           # rows that the index is fitted on, at most
-ROWS_PER_PART = 1500    # wanted mean of a part, as long as the sample can tell so many parts apart
+ROWS_PER_PART = 500     # wanted mean of a part, as long as the sample can tell so many parts apart
 MAX_PARTS = 32
 QUERY_BLOCK = 512
 VECTOR_BLOCK = 4096

@@ -32,7 +32,7 @@ ROWS = 5                # MinHash values per band
 RECALL = 0.9999         # wanted chance that a pair at the threshold shares a band
 BLOCK = 256             # classes of a bucket in one block; a cell holds two blocks
 CHUNK = 4096            # n-grams in one matrix product
-KNOWN_WORDS = 400_000   # remembered word hashes per Python worker
+KNOWN_WORDS = 150_000   # remembered word hashes per Python worker
 BROADCAST_KEYS = 500_000    # (id, text hash) pairs that may be broadcast: some 32 MB
 SEED = 0x9E3779B97F4A7C15
 

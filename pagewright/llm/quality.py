@@ -232,10 +232,10 @@ def score_quality(docs: DataFrame, model: LineModel, id_col: str = "doc_id", tex
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = f.pop("_filled").tolist()
+            texts = [t or "" for t in f[text_col]]
             f["score"] = np.concatenate([model.score(part) for part in bounded(texts)]) if texts else np.zeros(0)
             yield f
 
-    given = docs.select(*[F.col(f"`{f.name}`") for f in kept], F.coalesce(F.col(text_col), F.lit("")).alias("_filled"))
+    given = docs.select(*[F.col(f"`{f.name}`") for f in kept])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return given.mapInPandas(run, f"{fields}, score double")

@@ -13,7 +13,7 @@ import sys
 
 import numpy as np
 
-TABLE_BYTES = 160 << 20                 # a worker's remembered words, as estimated
+TABLE_BYTES = 64 << 20                  # a worker's remembered words, as estimated
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")   # white space to Python or the library, not to both
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 # The tokenizer file's own splitting pattern, for the letters of PLAIN.
