@@ -136,7 +136,7 @@ def test_tree_cycle_orphan_and_descendants(spark):
     with pytest.raises(ValueError):
         resolve_paths(cyc)
     with pytest.raises(ValueError):
-        resolve_paths_of(cyc, spark.createDataFrame([(1,)], "id long"), max_depth=8)
+        resolve_paths_of(cyc, spark.createDataFrame([(1,)], "id long"))
     assert rows(descendants(cyc, spark.createDataFrame([(1,)], "id long"))) == [(1,), (2,)]
 
 
