@@ -43,7 +43,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   tokenizer_file("word_bpe_49k.json").decode(), capacity=4096, end_id=1)
 
 
-@query("op4_chat_round_trip")
+# The body is escaped where it holds a control string; a turn adds 15 characters to role and body.
+OP4_SQL = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+  sum(15 + length(url_encode(role)) + length(replace(replace(text, '### ', '\### '), '</turn>', '\</turn>'))) AS chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+  sha256(loss) AS loss_sha256, CAST(chars AS BIGINT) AS formatted_chars FROM g"""
+
+
+@query("op4_chat_round_trip", OP4_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     conflict = "\\### Assistant: </turn> ok"
@@ -74,7 +85,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-@query("op10_uniform_threshold")
+OP10_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+
+@query("op10_uniform_threshold", OP10_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.uniform_threshold_topk(table(spark, sf_dir, "embeddings"), k=5, query_every=50, scale=256)
 
@@ -108,7 +128,21 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
                         joined_spans(everything).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
-@query("op2_ngram_jaccard")
+OP2_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+  ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(list_slice(ws, i, i + 4), ' ')) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y, k = nx.c AND k = ny.c AS same FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+  WHERE 5 * k >= 4 * (nx.c + ny.c - k)),
+r(doc_id, d) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.d),
+m AS (SELECT doc_id, min(d) AS class_id FROM r GROUP BY doc_id),
+t AS (SELECT x, count(*) AS links, min(y) FILTER (WHERE same) AS copy FROM l GROUP BY x)
+SELECT m.doc_id, m.class_id, least(m.doc_id, coalesce(t.copy, m.doc_id)) AS copy_id, CAST(coalesce(t.links, 0) AS BIGINT) AS n_links
+FROM m LEFT JOIN t ON t.x = m.doc_id"""
+
+
+@query("op2_ngram_jaccard", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
