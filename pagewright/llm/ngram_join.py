@@ -176,19 +176,33 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, bands: Bands, n: int
 def connected(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node connected to each node of ``edges`` (a, b).
 
-    Each round takes the smallest label of the neighbours and then the label's
-    own label; rounds end when nothing changes, about log(diameter) of them.
+    Every round hooks each node to its smallest neighbour, follows the hooks to
+    their ends and replaces the edges by those between different ends, so a
+    group's edges are gone after a round or two and are not joined again.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+                           .where(F.col("a") != F.col("b")).distinct(), "edges")
+
+    left, total = ordered(edges), None
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jump = labels.select(F.col("node").alias("via"), F.col("label").alias("far"))
-        nexts = materialize(lower.join(jump, "via", "left").select("node", "old", F.least("via", F.coalesce("far", "via")).alias("label")), "labels")
-        if nexts.where(F.col("label") != F.col("old")).limit(1).count() == 0:
-            return nexts.select("node", "label")
-        labels = nexts.select("node", "label")
+        both = left.union(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        labels = materialize(both.groupBy("a").agg(F.min("b").alias("m"))
+                             .select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+        moved = True
+        while moved:        # pointer jumping: about log(depth) times
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+            nexts = materialize(labels.join(up, "label").select("node", F.col("label").alias("old"), F.col("far").alias("label")), "labels")
+            moved = nexts.where(F.col("label") != F.col("old")).limit(1).count() > 0
+            labels = nexts.select("node", "label")
+        ends = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        total = labels if total is None else materialize(
+            total.join(ends, "label", "left").select("node", F.coalesce("far", "label").alias("label")), "total")
+        left = ordered(left.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
+                       .join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+                       .select(F.col("la").alias("a"), F.col("lb").alias("b")))
+        if left.limit(1).count() == 0:
+            return total
 
 
 def cut_cells(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
