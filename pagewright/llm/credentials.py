@@ -35,13 +35,20 @@ WIDER = (
     ("bearer", re.compile(r"""\b(?:bearer|authorization)(?:\x20*+[:=]\x20*+|\x20++)([A-Za-z0-9+/_.~=-]{16,})""", re.I | re.A), 1),
     ("prefixed", re.compile(r"\b(?:ghp|gho|ghs|glpat|sk|pk|xox[abprs]|AIza)[_-][A-Za-z0-9_-]{16,}", re.A), 0),
     ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+"), 0),
-    ("pem", re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), 0),
+    # A whole block; one without an end line goes on as far as its base64 lines do.
+    ("pem", re.compile(r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9 ])*+PRIVATE KEY(?: BLOCK)?-----"
+                       r"((?:[^-]++|-(?!----(?:BEGIN|END) ))*+(?=-----END (?:(?!PRIVATE KEY)[A-Z0-9 ])*+PRIVATE KEY(?: BLOCK)?-----)"
+                       r"|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\s|\\[nr])++[A-Za-z0-9+/]++={0,2}+\s*+\Z)?+)"
+                       r"(?:-----END [A-Z0-9 ]++-----)?+"), 1),
     ("keyed", re.compile(r"""\b(?:pwd|passphrase|credential|private_?key|client_?id|access_?key|auth)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{12,})""", re.I | re.A), 1),
 )
 KINDS = BASE_KINDS + tuple(k for k, _, _ in WIDER)
 COPIED_OWNERS = 5       # from so many distinct owners on, a value is a copied example
 LIVE_BITS = 3.0         # bits per character from which a value looks random
 LIVE_LENGTH = 12
+PEM_BREAK = re.compile(r"\\r|\\n|\r")                           # also as written in string literals
+PEM_HEADER = re.compile(r"^[ \t\"']*+[A-Za-z0-9-]++: .*$", re.M)     # Proc-Type, DEK-Info, Version
+PEM_LINE = re.compile(r"[A-Za-z0-9+/]{16,}+={0,2}+")
 
 
 def randomness(value: str) -> float:
@@ -55,11 +62,17 @@ def looks_random(value: str) -> bool:
             and any(ch.isdigit() for ch in value) and any(ch.isalpha() for ch in value))
 
 
+def pem_value(body: str) -> str:
+    """The base64 lines of a block as one text, however it is wrapped or quoted."""
+    return "".join(PEM_LINE.findall(PEM_HEADER.sub("", PEM_BREAK.sub("\n", body))))
+
+
 def candidates(text: str) -> list[tuple[str, int, int, str, bool]]:
     """(kind, start, end, value hash, looks random) of every candidate, by start, then kind.
 
     Base rules: leftmost non-overlapping matches per kind, those that are too
-    short dropped without a second try.  Wider candidates that overlap a base span are left out.
+    short dropped without a second try.  Wider candidates that overlap a base span are left out,
+    but for key blocks: a base span holds a part of one at most ('secret: -----BEGIN').
     """
     found = []
     for kind in BASE_KINDS:
@@ -73,8 +86,9 @@ def candidates(text: str) -> list[tuple[str, int, int, str, bool]]:
     for kind, rule, group in WIDER:
         for m in rule.finditer(text):
             before = bisect_left(starts, m.end())
-            if not before or reach[before - 1] <= m.start():
-                found.append((kind, m.start(), m.end(), m.group(group)))
+            if kind == "pem" or not before or reach[before - 1] <= m.start():
+                value = m.group(group)
+                found.append((kind, m.start(), m.end(), pem_value(value) if kind == "pem" else value))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return [(k, s, e, hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32], looks_random(v))
             for k, s, e, v in found]
