@@ -30,11 +30,12 @@ BASE = {
     "hex": re.compile(r"[0-9a-f]{24,}"),
 }
 ASSIGN_LEAST = 6
-# Wider generators: (kind, rule, group that holds the value).
+# Wider generators: (kind, rule, group that holds the value; a match without the group only moves the scan on).
 WIDER = (
     ("bearer", re.compile(r"""\b(?:bearer|authorization)(?:\x20*+[:=]\x20*+|\x20++)([A-Za-z0-9+/_.~=-]{16,})""", re.I | re.A), 1),
-    ("prefixed", re.compile(r"\b(?:ghp|gho|ghs|glpat|sk|pk|xox[abprs]|AIza)[_-][A-Za-z0-9_-]{16,}", re.A), 0),
-    ("jwt", re.compile(r"\beyJ[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+\.[A-Za-z0-9_-]{8,4096}+"), 0),
+    ("prefixed", re.compile(r"\b(?:(?:ghp|gho|ghs|glpat|sk|pk|xox[abprs]|AIza)[_-][A-Za-z0-9_-]{16,}|AIza[A-Za-z0-9_-]{30,})", re.A), 0),
+    # A run without two more segments is passed over at once: from a later 'eyJ' in it, it has none either.
+    ("jwt", re.compile(r"\b(?:(eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)|eyJ[A-Za-z0-9_-]{8,}+)"), 1),
     # A whole block; one without an end line goes on as far as its base64 lines do.
     ("pem", re.compile(r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z0-9 ])*+PRIVATE KEY(?: BLOCK)?-----"
                        r"((?:[^-]++|-(?!----(?:BEGIN|END) ))*+(?=-----END (?:(?!PRIVATE KEY)[A-Z0-9 ])*+PRIVATE KEY(?: BLOCK)?-----)"
@@ -85,9 +86,8 @@ def candidates(text: str) -> list[tuple[str, int, int, str, bool]]:
     reach = list(accumulate((e for _, e in base), max))      # furthest end so far
     for kind, rule, group in WIDER:
         for m in rule.finditer(text):
-            before = bisect_left(starts, m.end())
-            if kind == "pem" or not before or reach[before - 1] <= m.start():
-                value = m.group(group)
+            value, before = m.group(group), bisect_left(starts, m.end())
+            if value is not None and (kind == "pem" or not before or reach[before - 1] <= m.start()):
                 found.append((kind, m.start(), m.end(), pem_value(value) if kind == "pem" else value))
     found.sort(key=lambda x: (x[1], KINDS.index(x[0])))
     return [(k, s, e, hashlib.sha256(v.encode("utf-8", "surrogatepass")).hexdigest()[:32], looks_random(v))
