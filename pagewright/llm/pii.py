@@ -33,12 +33,17 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+"
 CARD = r"[0-9][0-9\x20-]++"
 LOOSE_SEPARATOR = r"[\x20-](?![0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
+# 15 to 35 characters, in groups of four and a shorter last one, if any.
+IBAN_HEAD = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
+IBAN_REST = (r"(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0-9]{4}){2}\x20?[A-Z0-9]{3})"
+             r"(?![A-Za-z0-9])")
+IBAN_REACH = 44         # its code points with spaces, and the one behind it
 WIDER = {
     "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]{1,63}"
                      r"(?:\x20?[\[(](?:dot|DOT|\.)[\])]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}",
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": IBAN_HEAD + IBAN_REST,
     DECOY: r"(?<![0-9A-Za-z])[0-9]{4,32}(?![0-9A-Za-z])",
 }
 # Whether a text can hold the kind at all; cheaper than the full pattern.
@@ -75,8 +80,42 @@ def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def iban_holds(value: Column) -> Column:
+    """Whether an account number's length and check digits (mod 97) are right."""
+    bare = F.replace(value, F.lit(" "), F.lit(""))
+    codes = F.transform(F.filter(F.split(F.concat(F.substring(bare, 5, 40), F.substring(bare, 1, 4)), ""), lambda c: c != ""),
+                        lambda c: F.ascii(c) - F.when(F.ascii(c) < 58, 48).otherwise(55))
+    rest = F.aggregate(codes, F.lit(0), lambda a, c: F.pmod(a * F.when(c < 10, 10).otherwise(100) + c, F.lit(97)))
+    return F.length(bare).between(15, 34) & (rest == 1)
+
+
+def iban_matches(text: Column) -> Column:
+    """Like ``matches``, but a number ends with the last group up to which its
+    check digits hold, so that words behind it stay outside and a number behind
+    it is found too.  Without such a group it is the whole match.
+    """
+    def cut(value: Column) -> Column:
+        groups = F.split(value, " ")
+        heads = F.transform(F.sequence(F.size(groups), F.lit(1), F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return F.coalesce(F.get(F.filter(heads, iban_holds), 0), value)
+
+    values = F.transform(matches(text, f"{IBAN_HEAD}(?={IBAN_REST})"), lambda m: F.struct(m["start"].alias("start"), cut(
+        F.regexp_extract(F.substring(text, (m["start"] + 1).cast("int"), F.lit(IBAN_REACH)), f"^{IBAN_HEAD}{IBAN_REST}", 0)).alias("value")))
+    spans = F.transform(values, lambda m: F.struct(m["start"].alias("start"), (m["start"] + F.length(m["value"])).alias("end"),
+                                                   m["value"].alias("value"), iban_holds(m["value"]).alias("holds")))
+    # A group inside a number may look like the head of one: ``any`` and ``sure``
+    # are the furthest ends of all numbers so far and of those that hold.
+    far = F.lit(0).cast("long")
+    none = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,value:string>>").alias("out"), far.alias("any"), far.alias("sure"))
+    return F.aggregate(spans, none, lambda a, s: F.struct(
+        F.when((s["start"] >= a["any"]) | (s["holds"] & (s["start"] >= a["sure"])), F.concat(a["out"], F.array(F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))))).otherwise(a["out"]).alias("out"),
+        F.greatest(a["any"], s["end"]).alias("any"),
+        F.when(s["holds"], F.greatest(a["sure"], s["end"])).otherwise(a["sure"]).alias("sure")), lambda a: a["out"])
+
+
 def passes(kind: str, value: Column) -> Column:
-    """The base rules' checks of a match."""
+    """The checks of a match: the base rules' and an account number's."""
     n = F.length(digits(value))
     if kind == "ip":
         return F.forall(F.split(value, r"\."), lambda p: (F.length(F.ltrim(p, F.lit("0"))) <= 3) & (F.right(F.concat(F.lit("000"), p), F.lit(3)).cast("int") <= 255))
@@ -84,13 +123,15 @@ def passes(kind: str, value: Column) -> Column:
         return F.when((n >= 16) & (n <= 19), F.call_function("luhn_check", digits(value))).otherwise(False)
     if kind == "phone":
         return (n >= 8) & (n <= 15)
+    if kind == "iban":
+        return iban_holds(value)
     return F.lit(True)
 
 
 def kind_spans(text: Column, kind: str, pattern: str) -> Column:
     """The candidates of one kind, checked and with their surroundings."""
     seen = F.regexp_replace(text, LOOSE_SEPARATOR, "x") if kind == "card" else text
-    spans = F.transform(matches(seen, pattern), lambda m: F.struct(
+    spans = F.transform(iban_matches(text) if kind == "iban" else matches(seen, pattern), lambda m: F.struct(
         F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"),
         passes(kind, m["value"]).alias("good"),
         F.substring(text, F.greatest(m["start"] - CONTEXT, F.lit(0)).cast("int") + 1,
@@ -112,6 +153,7 @@ def with_features(rows: DataFrame) -> DataFrame:
     parts = {
         "f_size": size, "f_digits": n, "f_share": n / F.greatest(size, F.lit(1)),
         "f_luhn": F.when(n.between(1, 32), F.call_function("luhn_check", digits(value))).otherwise(False),
+        "f_iban": F.when(value.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,39}$"), iban_holds(value)).otherwise(False),
         "f_groups": F.size(F.split(value, "[^0-9]+")), "f_dots": F.length(value) - F.length(F.replace(value, F.lit("."), F.lit(""))),
         "f_at": value.contains("@"), "f_plus": value.startswith("+"), "f_letters": value.rlike("[A-Za-z]"),
         "f_high": F.size(F.filter(F.split(value, r"\."), lambda p: F.length(p) > 3)),
@@ -121,7 +163,7 @@ def with_features(rows: DataFrame) -> DataFrame:
     return rows.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items()])
 
 
-FEATURES = ["f_size", "f_digits", "f_share", "f_luhn", "f_groups", "f_dots", "f_at", "f_plus", "f_letters", "f_high",
+FEATURES = ["f_size", "f_digits", "f_share", "f_luhn", "f_iban", "f_groups", "f_dots", "f_at", "f_plus", "f_letters", "f_high",
             "f_word", "f_joined", "f_quoted", "f_next"]
 
 
@@ -179,7 +221,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     each = with_features(at.select("_row", F.explode("found").alias("s")).select("_row", "s.*"))
     is_base = F.col("kind").isin(*BASE_KINDS)
-    known = each.where(is_base | (F.col("kind") == DECOY)).withColumn("label", (is_base & F.col("good")).cast("double"))
+    known = (each.where(is_base | F.col("kind").isin(DECOY, "iban"))
+             .withColumn("label", ((F.col("kind") != DECOY) & F.col("good")).cast("double")))
     fitted = fit_trees(known)
     out = at.select("_row", F.col("_id").alias(id_col), base.alias("base"))
     empty = F.array().cast("array<struct<order:bigint,start:bigint,end:bigint,kind:string>>")

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from pagewright.llm import bpe, chat, credentials, packing, pii, sharding, tokens
 from pagewright.llm.queries import QUERIES, tokenizer_file
@@ -226,6 +227,24 @@ def test_pii_edges(spark, edge):
     assert pii.find_pii(edge.limit(0)).count() == 0
 
 
+IBANS = ("DE89370400440532013000 GB29NWBK60161331926819 FR1420041010050500013M02606 NL91ABNA0417164300 NO9386011117947 BE71096123456769 "
+         "KZ86125KZT5004100100 MT84MALT011000012345MTLCAST001S").split()
+
+
+def test_account_numbers_of_any_length_are_candidates(spark):
+    spaced = [" ".join(x[i:i + 4] for i in range(0, len(x), 4)) for x in IBANS]
+    cases = [(x, [x]) for x in IBANS + spaced] + [(f"\U0001f642 to {x} EUR 12", [x]) for x in spaced] + [(" ".join(spaced), spaced)]
+    cases += [("DE88 3704 0044 0532 0130 00", ["DE88 3704 0044 0532 0130 00"]), ("AB12 CDEF GHIJ DE89", []), ("xDE89370400440532013000 ", [])]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, text string")
+    found = df.select("i", F.explode(pii.candidate_spans(F.col("text"))).alias("s")).where("s.kind = 'iban'").select("i", "s.*")
+    got = {}
+    for r in pii.with_features(found).orderBy("i", "start").collect():
+        text = cases[r["i"]][0]
+        assert text[r["start"]:r["end"]] == r["value"] and r["f_iban"] == r["good"] == (r["value"][:4] != "DE88")
+        got.setdefault(r["i"], []).append(r["value"])
+    assert [got.get(i, []) for i in range(len(cases))] == [want for _, want in cases]
+
+
 # -- secrets ----------------------------------------------------------------------
 
 def base_secrets(text):
