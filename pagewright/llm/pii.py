@@ -4,9 +4,9 @@ Everything is DataFrame expressions and the DataFrame form of boosted trees.
 Base matches that pass their checks (digit counts, Luhn, part sizes) are always
 reported.  What the base rules reject and what the wider generators propose
 becomes a candidate with format and context features; trees fitted on the
-corpus's own checked and rejected matches give a probability, and each kind's
-threshold is the lowest that kept the wanted precision on rows left out of the
-fit.
+corpus's own checked and rejected matches give a probability, and each kind
+family's threshold is the lowest that kept the wanted precision on all labelled
+candidates left out of the fit (``family_thresholds``).
 
 Spans are found with two passes of one pattern, ``split`` for the gaps and
 ``regexp_extract_all`` for the matches; running lengths give the offsets, in
@@ -25,6 +25,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 WIDER_KINDS = ("email_spelled", "phone_local", "ssn", "iban", "ip_loose", "card_loose", "phone_loose")
 KINDS = BASE_KINDS + WIDER_KINDS
 DECOY = "digits"
+# Kinds whose labelled matches calibrate another kind.
+FAMILY = {"email_spelled": "email", "phone_local": "phone", "ip_loose": "ip", "card_loose": "card", "phone_loose": "phone"}
 
 # A local part starts where its run of letters starts, or where the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -56,8 +58,8 @@ MAY_HOLD = {
 }
 WORDS = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|credit|account|iban|ssn|social|address|host|ip)\W{0,4}$"
 CONTEXT = 24            # code points before a span that its features see
-FIT_ROWS = 20_000       # candidates that the trees are fitted on, at most
-PRECISION = 0.98        # wanted of each kind's threshold
+FIT_ROWS = 20_000       # different candidates that the trees are fitted on, at most
+PRECISION = 0.98        # wanted of each kind family's threshold
 SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,good:boolean,before:string,after:string>>"
 
 
@@ -167,40 +169,72 @@ FEATURES = ["f_size", "f_digits", "f_share", "f_luhn", "f_iban", "f_groups", "f_
             "f_word", "f_joined", "f_quoted", "f_next"]
 
 
+def lowest(bins: list[tuple[int, float, int]], precision: float) -> float | None:
+    """The lowest threshold from which upwards the share of good ones is ``precision``; bins are (bin, good, all)."""
+    good = n = 0
+    threshold = None
+    for at, g, k in sorted(bins, reverse=True):
+        good, n = good + g, n + k
+        if good / n >= precision:
+            threshold = at / 100
+    return None if threshold is None else max(threshold, 0.5)
+
+
+def family_thresholds(counts: list[tuple[str, int, float, int]], precision: float) -> dict[str, float | None]:
+    """The threshold of every kind that can be added, from (kind, bin, good, all).
+
+    A family has its own if it holds accepted and rejected candidates.  One
+    without (no labels, or nothing rejected, as with e-mails) takes the
+    threshold of all candidates of the families that do, and of plain digit
+    runs, taken together.  None: no threshold keeps the precision, nothing is added.
+    """
+    bins: dict[str, dict[int, tuple[float, int]]] = {}
+    for kind, at, good, n in counts:
+        held = bins.setdefault(FAMILY.get(kind, kind), {})
+        held[at] = (held.get(at, (0, 0))[0] + good, held.get(at, (0, 0))[1] + n)
+    listed = {f: [(at, g, n) for at, (g, n) in held.items()] for f, held in bins.items()}
+    both = [f for f, held in listed.items() if 0 < sum(g for _, g, _ in held) < sum(n for _, _, n in held)]
+    own = {f: lowest(listed[f], precision) for f in both}
+    together: dict[int, tuple[float, int]] = {}
+    for f in dict.fromkeys([*both, DECOY]):
+        for at, g, n in listed.get(f, []):
+            together[at] = (together.get(at, (0, 0))[0] + g, together.get(at, (0, 0))[1] + n)
+    pooled = lowest([(at, g, n) for at, (g, n) in together.items()], precision)
+    return {kind: own.get(FAMILY.get(kind, kind), pooled) for kind in WIDER_KINDS}
+
+
 def fit_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION):
-    """Boosted trees and one threshold per kind family, or None without two classes.
+    """Boosted trees and one threshold per kind, or None without two classes.
 
-    ``labelled``: candidates with features and ``label``.  At most ``fit_rows``
-    rows are read, those with the smallest hashes, so the fit does not depend
-    on the layout; every fourth is left out and calibrates the threshold.
+    ``labelled``: candidates with features and ``label``.  The trees see three
+    quarters of at most ``fit_rows`` different candidates, those with the
+    smallest hashes, so the fit does not depend on the layout.  All other
+    labelled candidates, copies counted, calibrate the thresholds.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    order = F.xxhash64("kind", "value", "before", "start")
-    drawn = materialize(labelled.select(*FEATURES, "label", order.alias("_h")).orderBy("_h").limit(fit_rows).coalesce(2), "fit")
-    if drawn.select("label").distinct().count() < 2:
+    # Equal hashes have equal features and labels.
+    hashed = labelled.withColumn("_h", F.xxhash64("kind", "value", "before", "after"))
+    last = hashed.select("_h").distinct().orderBy("_h").limit(fit_rows).agg(F.max("_h")).first()[0]
+    if last is None:
         return None
-    ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    inside, outside = drawn.where(F.pmod("_h", F.lit(4)) != 0), drawn.where(F.pmod("_h", F.lit(4)) == 0)
+    seen = (F.col("_h") <= last) & (F.pmod("_h", F.lit(4)) != 0)
+    inside = materialize(hashed.where(seen).select(*FEATURES, "label", "_h").dropDuplicates(["_h"])
+                         .repartitionByRange(2, "_h").sortWithinPartitions("_h"), "fit")
     if inside.select("label").distinct().count() < 2:
         return None
+    ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
     model = GBTClassifier(labelCol="label", maxIter=8, maxDepth=3, seed=7).fit(ready.transform(inside))
 
     def score(rows: DataFrame) -> DataFrame:
         return model.transform(ready.transform(rows)).withColumn("p", vector_to_array("probability")[1]).drop(
             "features", "rawPrediction", "probability", "prediction")
 
-    bins = score(outside).groupBy(F.floor(F.col("p") * 100).alias("bin")).agg(
-        F.sum("label").alias("good"), F.count(F.lit(1)).alias("n")).orderBy(F.col("bin").desc()).collect()  # 101 rows at most
-    good = n = 0
-    threshold = None
-    for b in bins:
-        good, n = good + b["good"], n + b["n"]
-        if good / n >= precision:
-            threshold = b["bin"] / 100
-    return None if threshold is None else (score, max(threshold, 0.5))
+    counts = score(hashed.where(~seen).select("kind", *FEATURES, "label")).groupBy(
+        "kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum("label"), F.count(F.lit(1))).collect()  # 101 rows a kind at most
+    return score, family_thresholds([tuple(r) for r in counts], precision)
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -228,10 +262,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     empty = F.array().cast("array<struct<order:bigint,start:bigint,end:bigint,kind:string>>")
     if fitted is None:
         return out.withColumn("added", empty)
-    score, threshold = fitted
+    score, thresholds = fitted
+    least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(t))) for k, t in thresholds.items() if t is not None], F.lit(2.0))
     open_ones = (each.where(~is_base | ~F.col("good")).where(F.col("kind") != DECOY)
                  .withColumn("kind", F.when(is_base, F.concat("kind", F.lit("_loose"))).otherwise(F.col("kind"))))
-    added = (score(open_ones).where(F.col("p") >= threshold).groupBy("_row")
+    added = (score(open_ones).where(F.col("p") >= least).groupBy("_row")
              .agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind"))).alias("added")))
     return out.join(added, "_row", "left").withColumn("added", F.coalesce("added", empty))
 
