@@ -24,7 +24,7 @@ from ..operators import index as IX
 from ..operators import knn as K
 from ..operators import messages as M
 from ..operators import search as S
-from ..operators.ids import assign_batches, assign_ids, latest_by_key
+from ..operators.ids import assign_batches, assign_ids, global_positions, latest_by_key
 from ..operators.tables import apply_defaults, lookup_inodes, page_counts, set_flags, upsert_pages
 from ..operators.tree import cascade_delete, resolve_paths
 from ..sources import TestTables, decode_messages
@@ -968,18 +968,31 @@ def q_read_objects(t):
 @query("run_feed")
 def q_run_feed(t):
     """The whole feed through the streaming worker (two micro-batches), from
-    the fixture tables; returns the final index documents and every
-    follow-up, notification and dead letter the run produced."""
+    the fixture tables and their objects; returns the final index documents and
+    every follow-up, notification and dead letter the run produced.
+
+    Ingest messages name inodes of objects, which get ids behind all others;
+    those for the missing inode (999999) stay."""
     from ..session import work_dir
     from ..streaming.feed import TableStore, run_feed, seed_store, write_feed
     spark = t.spark
     root = work_dir(spark, "feed")
-    feed = t.fx_messages.select("seq", "ts", "routing_key", "body")
+    missing = 999999
+    first = max(missing, t.fx_inodes.agg(F.max("id")).first()[0] or 0) + 1
+    at = global_positions(t.fx_objects.select("id"), ["id"], "_at").select(
+        F.col("_at").alias("_object"), (F.col("id") + first).alias("_inode"))
+    n = max(t.fx_objects.count(), 1)
+    named = F.get_json_object("body", "$.after.id").cast("bigint")
+    ingests = (F.col("routing_key") == "ingest_inode") & (named != missing)
+    body = F.when(ingests & F.col("_inode").isNotNull(), F.concat(F.lit('{"after": {"id": '), F.col("_inode"), F.lit("}}"))).otherwise(F.col("body"))
+    feed = (t.fx_messages.withColumn("_object", F.pmod(F.xxhash64("seq"), F.lit(n)))
+            .join(at, "_object", "left").select("seq", "ts", "routing_key", body.alias("body")))
     write_feed(feed, f"{root}/in", files=2)
     store = TableStore(spark, f"{root}/tables")
-    inodes = apply_defaults(t.fx_inodes, "inodes", now=NOW)
+    held = _object_inodes(t).withColumn("id", F.col("id") - 500000 + first)
+    inodes = apply_defaults(t.fx_inodes.unionByName(held, allowMissingColumns=True), "inodes", now=NOW)
     seed_store(store, inodes, t.fx_pages)
-    run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", max_files=1)
+    run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", objects=_object_table(t), max_files=1)
     docs = store.read("docs").select(F.lit("doc").alias("kind"), F.col("id"), F.col("doc_id").alias("detail"))
     outs = [store.output("followups").select(F.lit("followup").alias("kind"), F.col("seq").alias("id"),
                                              F.col("routing_key").alias("detail")),

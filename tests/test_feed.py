@@ -228,3 +228,23 @@ def test_corrupted_files_and_page_counts_of_a_supplied_extractor(spark):
                 objects=objects, extractor=extract, page_count=count)
     got = rows(store.read("inodes").where("id between 2 and 4"), "id", "error", "to_page", "is_ingested")
     assert got == [(2, "corrupted_file", None, True), (3, None, 7, True), (4, None, 7, True)]
+
+
+def test_registered_feed_ingests_embeds_and_indexes_objects(spark, monkeypatch):
+    from pagewright.plans.catalog import QUERIES
+    from pagewright.sources import TestTables
+    from pagewright.sources.feed import read_feed
+    from pagewright.streaming import feed as worker
+    from conftest import SF_SMALL
+
+    # The registered query's own store, feed and objects; the ingest messages in one batch.
+    def ingests(spark, feed_dir, store_root, checkpoint, objects=None, **_):
+        apply_batch(TableStore(spark, store_root), read_feed(spark, feed_dir).where("routing_key = 'ingest_inode'"), 0, objects=objects)
+
+    monkeypatch.setattr(worker, "run_feed", ingests)
+    out = [tuple(r) for r in QUERIES["run_feed"](spark, SF_SMALL).select("kind", "detail").collect()]
+    assert {d for k, d in out if k == "dead_letter"} >= {"missing_inode"} and ("dead_letter", "no_object_source") not in out
+    pdfs = {r["id"] + 1_000_000 for r in TestTables(spark, SF_SMALL).fx_objects.where("content like '%PDF-%'").select("id").collect()}
+    paged = {int(d.split("_")[0]) for k, d in out if k == "doc" and "_" in d}
+    assert paged and paged <= pdfs and paged <= {int(d) for k, d in out if k == "doc" and "_" not in d}
+    assert {"embed_inode", "index_inode"} <= {d for k, d in out if k == "followup"}
