@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe, chat, credentials, exact_topk, learned_partitions, ngram_join, packing, periodic_runs, pii, quality,
-               sharding, winnowing)
+from . import (bpe, chat, conversation_trie, credentials, exact_topk, learned_partitions, ngram_join, packing, periodic_runs,
+               pii, quality, sharding, winnowing)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,6 +183,37 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+# Paths as text (lengths make them unambiguous); a node's subtree is what has it on its own path.
+OP12_SQL = r"""WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 100 AS b, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(range(1, length(s) + 1),
+    lambda i: [CAST(ascii(substr(s, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c, CAST(c AS VARCHAR) AS s FROM t)),
+r AS (SELECT k.c, 0 AS own, p, role, text FROM k JOIN t ON t.c = b AND p <= h
+  UNION ALL SELECT k.c, 1, p, role, text FROM k JOIN t ON t.c = k.c AND p > h),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, p) AS d, length(text) AS n,
+  length(role) || ':' || role || length(text) || ':' || text AS turn FROM r),
+x AS (SELECT c, d, n, string_agg(turn, '') OVER (PARTITION BY c ORDER BY d) AS path FROM o UNION ALL SELECT c, 0, 0, '' FROM k),
+g AS (SELECT d, path, min(c) AS conv_id, count(*) AS n_convs, max(n) AS n FROM x GROUP BY d, path),
+e AS (SELECT d, path, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM x
+  JOIN (SELECT c, max(d) AS d FROM x GROUP BY c) USING (c, d) GROUP BY d, path),
+u AS (SELECT g.d, g.path, q.conv_id AS up_conv, x.path AS up FROM g JOIN x ON x.c = g.conv_id AND x.d = g.d - 1 JOIN g q ON q.d = x.d AND q.path = x.path),
+n AS (SELECT d - 1 AS d, up AS path, count(*) AS n_children FROM u GROUP BY ALL),
+s AS (SELECT x.d, x.path, count(*) FILTER (WHERE n.n_children IS NULL) AS n_leaves, sum((g.n_convs - 1) * g.n) AS saved
+  FROM g LEFT JOIN n ON n.d = g.d AND n.path = g.path JOIN x ON x.c = g.conv_id AND x.d <= g.d GROUP BY x.d, x.path)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, u.up_conv AS parent_conv_id, g.n_convs, coalesce(n.n_children, 0) AS n_children, s.n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM g JOIN s ON s.d = g.d AND s.path = g.path LEFT JOIN u ON u.d = g.d AND u.path = g.path
+LEFT JOIN n ON n.d = g.d AND n.path = g.path LEFT JOIN e ON e.d = g.d AND e.path = g.path"""
+
+
+@query("op12_tree_contraction", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 @query("op13_maximal_pairs")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(table(spark, sf_dir, "documents"), rewrite=periodic_runs.repeated_tail,
