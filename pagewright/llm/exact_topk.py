@@ -8,56 +8,116 @@ pair's score is the sum of its entries over the slices.
    k-th best of a query's scores is a safe cutoff ``c`` (never above the true
    k-th best score).
 2. A pair all of whose entries are below ``c / slices`` sums below ``c`` and
-   cannot be among the k best.  Each list sends every entry that reaches
-   the uniform threshold; entries of a pair are summed, with the threshold as
-   bound for what was not sent, and pairs that cannot reach ``c`` go.
-3. The remaining pairs' scores are computed in full; the k best stay.
-
-A block of queries meets each block of vectors in a task of its own, so no
-task holds more than two blocks, whatever vector or id is common.
+   cannot be among the k best.  Lists give every entry that reaches the uniform
+   threshold; a pair's known entries, with the threshold for those not given,
+   bound its score, and pairs that cannot reach ``c`` go.
+3. The remaining pairs are scored in full; the k best of a block leave the task.
+
+A group of queries meets a block of vectors in a task of its own, which works
+through the queries in bounded steps, all lists of a step at once.  No pair
+leaves a task but a query's k best, whatever vector, id or score is common and
+whatever the cutoff's sign.
 """
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
-from .vectors import block_of, blocks, largest, matrix, top_rows, usable
+from .vectors import block_of, blocks, usable
 
-QUERY_BLOCK = 512
+QUERY_GROUP = 8192      # queries that meet a block of vectors in one task
+QUERY_BLOCK = 256        # of which so many are worked on at a time
 VECTOR_BLOCK = 4096
-FIT = 1 << 52           # below this, float64 products of integers are exact
-
-
-def integers(vectors: DataFrame, scale: int, id_col: str, vector_col: str) -> DataFrame:
-    """id and floor(scale * x) per component, of the vectors that take part."""
-    return (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-            .where(usable(F.col("v")) & F.col("vec_id").isNotNull())
-            .select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")).alias("v"))
-            .withColumn("dim", F.size("v")))
-
-
-def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products of all rows of ``a`` and ``b``; through float64 where that is exact."""
-    high = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if high < FIT:
-        return np.rint(a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
-
-
-def cells(queries: DataFrame, vectors: DataFrame, slices: int, nqb: int, nvb: int):
-    """Both sides keyed by (query block, vector block, dim, slice): each query
-    block meets each vector block once per slice."""
-    def keyed(side: DataFrame, own: str, other: str, n: int) -> DataFrame:
-        cut = (F.col("dim") + F.lit(slices - 1)).cast("int")
-        return (side.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-                .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-                .withColumn("_step", F.floor(cut / F.lit(slices)).cast("int"))
-                .withColumn("part", F.slice("v", F.col("slice") * F.col("_step") + 1, F.col("_step"))).drop("_step", "v"))
-    keys = ("qb", "vb", "dim", "slice")
-    return keyed(queries, "qb", "vb", nvb).groupBy(*keys), keyed(vectors, "vb", "qb", nqb).groupBy(*keys)
+PLAIN = 1 << 22         # components up to this multiply exactly as doubles
+WIDEST = 1 << 6         # components of such a product; wider vectors take Python's integers where they must
+LONG = (1 << 63) - 1
+DIGITS = 99999
+
+
+def integer_rows(column: pd.Series, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """floor(scale * x) of rows of equal length as doubles, and which rows are not
+    exact that way (their integers come from ``exact_rows``)."""
+    raw = np.array(column.tolist(), dtype=np.float64).reshape(len(column), -1)
+    with np.errstate(over="ignore"):
+        made = np.floor(raw * scale)
+    most = PLAIN if raw.shape[1] <= WIDEST else PLAIN * WIDEST // raw.shape[1]
+    return made, (np.abs(made) > most).any(axis=1)
+
+
+def exact_rows(column: pd.Series, scale: int) -> np.ndarray:
+    """floor(scale * x) as Python integers, whatever their size."""
+    def whole(x: float) -> int:
+        top, bottom = float(x).as_integer_ratio()
+        return top * scale // bottom
+    out = np.empty((len(column), len(column.iloc[0]) if len(column) else 0), dtype=object)
+    for i, row in enumerate(column):
+        out[i] = [whole(x) for x in row]
+    return out
+
+
+def told(score: int) -> tuple[int, str]:
+    """The score as a long and, beyond that, as text in the same order."""
+    if -LONG - 1 <= score <= LONG:
+        return score, ""
+    digits = str(abs(score))
+    if score > 0:
+        return LONG, f"1{len(digits):05d}{digits}"
+    return -LONG - 1, f"0{DIGITS - len(digits):05d}" + "".join(str(9 - int(d)) for d in digits)
+
+
+def read_back(score: str, big: str) -> int:
+    if not big:
+        return int(score)
+    if big[0] == "1":
+        return int(big[6:])
+    return -int("".join(str(9 - int(d)) for d in big[6:]))
+
+
+def lists(queries: np.ndarray, vectors: np.ndarray, slices: int) -> list[np.ndarray]:
+    """Partial products of all pairs, one matrix per slice."""
+    step = -(-queries.shape[1] // slices)
+    return [queries[:, j:j + step] @ vectors[:, j:j + step].T for j in range(0, queries.shape[1], step)]
+
+
+def best_columns(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each row's k largest finite entries, ties to the first column."""
+    scores, rows, columns = scores.copy(), [], []
+    every = np.arange(len(scores))
+    for _ in range(min(k, scores.shape[1])):
+        at = scores.argmax(axis=1)
+        there = np.flatnonzero(scores[every, at] > -np.inf)
+        rows.append(there)
+        columns.append(at[there])
+        scores[every, at] = -np.inf
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (every[:0], every[:0])
+
+
+def named_pairs(entries: list[np.ndarray], allowed: np.ndarray, k: int) -> np.ndarray:
+    """Phase 1: pairs that some list has among a query's k best."""
+    out = np.zeros(allowed.shape, dtype=bool)
+    for e in entries:
+        out[best_columns(np.where(allowed, e, -np.inf), k)] = True
+    return out
+
+
+def possible_pairs(entries: list[np.ndarray], allowed: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Phase 2: pairs that the uniform threshold ``cuts / lists`` does not rule out.
+    A query without a cutoff (minus infinity) keeps all of its pairs."""
+    n, cut = len(entries), cuts[:, None]
+    known, missing, given = 0, 0, np.zeros(allowed.shape, dtype=bool)
+    for e in entries:
+        sent = e * n >= cut
+        given |= sent
+        known = known + np.where(sent, e, 0)
+        missing = missing + ~sent
+    open_ = cuts == -np.inf
+    reach = known * n + missing * np.where(open_, 0, cuts)[:, None] >= np.where(open_, 0, cuts)[:, None] * n
+    return allowed & (open_[:, None] | (given & reach))
 
 
 def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50, scale: int = 256, slices: int = 2,
@@ -69,93 +129,64 @@ def uniform_threshold_topk(vectors: DataFrame, k: int = 5, query_every: int = 50
     ones, those with null or non-finite components and rows with a null id
     take no part; repeated rows each count (as query and as candidate);
     ties go to the smaller id.  Tables without queries or candidates give no
-    rows; other columns are ignored.
+    rows; other columns are ignored.  Components and scores of any size are
+    exact; a score beyond a long ranks by its true value and is returned as the
+    nearest long.
     """
-    ints = integers(vectors, scale, id_col, vector_col)
-    n = ints.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("q")).first()
-    nqb, nvb = blocks(n["q"], QUERY_BLOCK), blocks(n["n"], VECTOR_BLOCK)
-    base = materialize(ints.withColumn("row", F.monotonically_increasing_id())
-                       .withColumn("vb", block_of(nvb, "row")), "ints")
-    queries = materialize(base.where(F.col("vec_id") % query_every == 0)
-                          .select("row", F.col("vec_id").alias("query_id"), "v", "dim", block_of(nqb, "row").alias("qb")), "queries")
-
-    # Phase 1: the k best entries of every list.
-    def first(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qs) and len(vs):
-            score, ids = products(matrix(qs["part"], np.int64), matrix(vs["part"], np.int64)), vs["vec_id"].to_numpy()
-            for i, (row, own) in enumerate(zip(qs["row"], qs["query_id"])):
-                allowed = np.flatnonzero(ids != own)
-                best = allowed[largest(score[i, allowed], ids[allowed], k)]
-                if len(best):
-                    out.append((row, own, int(key[0]), int(key[1]), vs["row"].to_numpy()[best]))
-        return pd.DataFrame(out, columns=["qrow", "query_id", "qb", "vb", "rows"])
-
-    lists = "qrow bigint, query_id bigint, qb int, vb int, rows array<bigint>"
-    qs, vs = cells(queries, base, slices, nqb, nvb)
-    named = qs.cogroup(vs).applyInPandas(first, lists)
-
-    def resolve(candidates: DataFrame, keep: int) -> DataFrame:
-        """Full scores of the named pairs: each query's ``keep`` best per block."""
-        held = candidates.groupBy("qrow", "query_id", "qb", "vb").agg(F.flatten(F.collect_list("rows")).alias("rows"))
-        asked = (queries.select(F.col("row").alias("qrow"), "v")
-                 .join(held, "qrow").select("qrow", "query_id", "qb", "vb", "v", "rows"))
-        others = base.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))).select("qb", "vb", "row", "vec_id", "v")
-
-        def full(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-            out = []
-            if len(qs) and len(vs):
-                order = np.argsort(vs["row"].to_numpy(), kind="stable")
-                rows, ids = vs["row"].to_numpy()[order], vs["vec_id"].to_numpy()[order]
-                dims, by_dim = vs["v"].map(len).to_numpy()[order], {}
-                for d in np.unique(dims):       # one matrix per width, made once
-                    by_dim[d] = (np.cumsum(dims == d) - 1, matrix(vs["v"].iloc[order[dims == d]], np.int64))
-                for qrow, own, v, named in zip(qs["qrow"], qs["query_id"], qs["v"], qs["rows"]):
-                    pick = np.searchsorted(rows, np.unique(named))
-                    place, block = by_dim[len(v)]
-                    score = products(np.asarray(v, dtype=np.int64)[None, :], block[place[pick]])[0]
-                    best = largest(score, ids[pick], keep)
-                    out += zip([qrow] * len(best), [own] * len(best), ids[pick[best]].tolist(), score[best].tolist())
-            return pd.DataFrame(out, columns=["_qrow", "query_id", "vec_id", "score"])
-
-        return (asked.groupBy("qb", "vb").cogroup(others.groupBy("qb", "vb"))
-                .applyInPandas(full, "_qrow bigint, query_id bigint, vec_id bigint, score bigint"))
-
-    # The safe cutoff: one number per query, shipped with the queries.  With
-    # fewer than k scored pairs there is none and every entry is sent.
-    best = top_rows(resolve(named, k).select("_qrow", F.col("_qrow").alias("qrow"), "vec_id", "score"), k, query="qrow")
-    cutoff = best.where(F.col("rank") == k).select(F.col("qrow").alias("row"), F.col("score").alias("cut"))
-    limited = materialize(queries.join(cutoff, "row", "left"), "cutoff")
-
-    # Phase 2: every entry that reaches the uniform threshold.
-    def second(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qs) and len(vs):
-            score, ids, rows = products(matrix(qs["part"], np.int64), matrix(vs["part"], np.int64)), vs["vec_id"].to_numpy(), vs["row"].to_numpy()
-            for i, (row, own, cut) in enumerate(zip(qs["row"], qs["query_id"], qs["cut"])):
-                sent = ids != own
-                if not pd.isna(cut):
-                    sent &= score[i] * slices >= int(cut)
-                if sent.any():
-                    out.append((row, own, int(key[0]), int(key[1]), None if pd.isna(cut) else int(cut),
-                                rows[sent], score[i, sent]))
-        return pd.DataFrame(out, columns=["qrow", "query_id", "qb", "vb", "cut", "rows", "entries"])
-
-    qs, vs = cells(limited, base, slices, nqb, nvb)
-    sent = qs.cogroup(vs).applyInPandas(second, "qrow bigint, query_id bigint, qb int, vb int, cut bigint, "
-                                                "rows array<bigint>, entries array<bigint>")
-
-    # Phase 3: bound by known entries, then score in full.
-    def bounded(key, lists: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([np.asarray(r, dtype=np.int64) for r in lists["rows"]])
-        entries = np.concatenate([np.asarray(e, dtype=np.int64) for e in lists["entries"]])
-        each, where, times = np.unique(rows, return_inverse=True, return_counts=True)
-        cut = lists["cut"].iloc[0]
-        if not pd.isna(cut):
-            known = np.bincount(where, weights=entries.astype(np.float64), minlength=len(each))
-            each = each[known + (slices - times) * (float(cut) / slices) >= float(cut) - 1e-6 * max(1.0, abs(float(cut)))]
-        return pd.DataFrame({"qrow": [key[0]], "query_id": [lists["query_id"].iloc[0]], "qb": [key[1]], "vb": [key[2]],
-                             "rows": [each]})
-
-    left = sent.groupBy("qrow", "qb", "vb").applyInPandas(bounded, lists)
-    return top_rows(resolve(left, k), k)
+    usable_rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+                   .where(usable(F.col("v")) & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
+                   .withColumn("row", F.monotonically_increasing_id()))
+    base = materialize(usable_rows, "vectors")
+    is_query = F.col("vec_id") % query_every == 0
+    n = base.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(is_query, 1)).alias("q")).first()
+    groups, n_blocks = blocks(n["q"], QUERY_GROUP), blocks(n["n"], VECTOR_BLOCK)
+    queries = materialize(base.where(is_query).select(F.col("row").alias("qrow"), F.col("vec_id").alias("query_id"), "v", "dim",
+                                                      block_of(groups, "row").alias("qg")), "queries")
+
+    def cells(side: DataFrame, other: str, count: int):
+        keyed = side.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(count - 1))))
+        return keyed.groupBy("qg", "vb", "dim")
+
+    def scored(qs: pd.DataFrame, vs: pd.DataFrame, chosen) -> Iterator[pd.DataFrame]:
+        """The k best of the pairs that ``chosen(entries, allowed, cuts)`` leaves, per query."""
+        (qi, q_big), (vi, v_big) = integer_rows(qs["v"], scale), integer_rows(vs["v"], scale)
+        for large_q in (False, True):
+            for large_v in (False, True):
+                q, v = qs[q_big == large_q], vs[v_big == large_v].sort_values("vec_id", kind="stable")
+                if not len(q) or not len(v):
+                    continue
+                exact = large_q or large_v
+                vm = exact_rows(v["v"], scale) if exact else vi[v.index]
+                ids = v["vec_id"].to_numpy()
+                for at in range(0, len(q), QUERY_BLOCK):
+                    part = q.iloc[at:at + QUERY_BLOCK]
+                    entries = lists(exact_rows(part["v"], scale) if exact else qi[part.index], vm, slices)
+                    allowed = ids[None, :] != part["query_id"].to_numpy()[:, None]
+                    cuts = np.array([-np.inf if c is None else read_back(c, b) if exact else float(read_back(c, b))
+                                     for c, b in zip(part["cut"], part["big"])], dtype=object if exact else np.float64)
+                    whole = np.where(chosen(entries, allowed, cuts), sum(entries[1:], entries[0]), -np.inf)
+                    rows, columns = best_columns(whole, k)
+                    pairs = [told(int(s)) for s in whole[rows, columns]]
+                    if pairs:
+                        yield pd.DataFrame({"_qrow": part["qrow"].to_numpy()[rows], "query_id": part["query_id"].to_numpy()[rows],
+                                            "vec_id": ids[columns], "score": np.array([s for s, _ in pairs], dtype=np.int64),
+                                            "big": [b for _, b in pairs]})
+
+    def phase(queries: DataFrame, chosen) -> DataFrame:
+        def cell(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+            found = list(scored(qs.reset_index(drop=True), vs.reset_index(drop=True), chosen)) if len(qs) and len(vs) else []
+            return pd.concat(found) if found else pd.DataFrame(columns=["_qrow", "query_id", "vec_id", "score", "big"])
+
+        others = base.withColumn("vb", block_of(n_blocks, "row")).select("vb", "dim", "vec_id", "v")
+        found = (cells(queries, "vb", n_blocks).cogroup(cells(others, "qg", groups))
+                 .applyInPandas(cell, "_qrow bigint, query_id bigint, vec_id bigint, score bigint, big string"))
+        best = Window.partitionBy("_qrow").orderBy(F.col("score").desc(), F.col("big").desc(), "vec_id")
+        return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    first = phase(queries.withColumn("cut", F.lit(None).cast("string")).withColumn("big", F.lit("")),
+                  lambda entries, allowed, _: named_pairs(entries, allowed, k))
+    # The safe cutoff: one number per query, sent along with it.  Where fewer than k
+    # pairs were scored there is none, and all pairs are resolved.
+    cutoff = first.where(F.col("rank") == k).select(F.col("_qrow").alias("qrow"), F.col("score").cast("string").alias("cut"), "big")
+    limited = materialize(queries.join(cutoff, "qrow", "left").withColumn("big", F.coalesce("big", F.lit(""))), "cutoff")
+    return phase(limited, possible_pairs).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -69,6 +69,39 @@ def test_topk_edges(spark, rows):
     assert got == brute_integer(rows, 4, 10)
 
 
+def whole_numbers(v, scale=256):
+    ratios = [float(x).as_integer_ratio() for x in v]
+    return [top * scale // bottom for top, bottom in ratios]
+
+
+def test_topk_of_components_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(exact_topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(exact_topk, "VECTOR_BLOCK", 64)
+    monkeypatch.setattr(exact_topk, "QUERY_GROUP", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=2 + i % 2) * rng.choice([1, 1, 1e3, 1e9, 1e30, 1e200], size=2 + i % 2)])
+            for i in range(300)]
+    rows += [(1000 + i, [-1.0, -1.0, -1.0, 0.5]) for i in range(200)] + [(2000, [1.0, 1.0, 1.0, 0.25])]     # cutoffs below zero
+    rows += [(50, [1e30, 1.0]), (301, [1e30, 2.0])]
+    made = {}
+    for n, (i, v) in enumerate(rows):
+        made.setdefault(len(v), []).append((i, whole_numbers(v), n))
+    want = []
+    for same in made.values():
+        for q, a, _ in same:
+            if q % 50 == 0:
+                best = sorted((-sum(x * y for x, y in zip(a, b)), i) for i, b, _ in same if i != q)[:5]
+                want += [(q, r + 1, i, max(-2 ** 63, min(2 ** 63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    assert rows_of(exact_topk.uniform_threshold_topk(df)) == sorted(want)
+
+
+def test_scores_beyond_a_long_keep_their_order():
+    values = sorted([0, 5, -5, 2 ** 63 - 1, 2 ** 63, 2 ** 63 + 1, 10 ** 40, 10 ** 40 + 1, -2 ** 63, -2 ** 63 - 1, -10 ** 40, -10 ** 41, -10 ** 41 - 1])
+    assert sorted(values, key=exact_topk.told) == values
+    assert [exact_topk.read_back(*map(str, exact_topk.told(v))) for v in values] == values
+
+
 def test_learned_partitions_recall_and_scores(spark, table):
     want = brute_cosine(table, 5, 50)
     got = rows_of(QUERIES["op1_learned_partitions"](spark, SF))
