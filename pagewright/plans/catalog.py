@@ -965,18 +965,57 @@ def q_read_objects(t):
         F.md5(bytes_).alias("content_md5"))
 
 
-@query("run_feed")
-def q_run_feed(t):
-    """The whole feed through the streaming worker (two micro-batches), from
-    the fixture tables and their objects; returns the final index documents and
-    every follow-up, notification and dead letter the run produced.
-
-    Ingest messages name inodes of objects, which get ids behind all others;
-    those for the missing inode (999999) stay."""
+# The feed's net effect in SQL: when each inode is ingested, moved, embedded and indexed
+# for the first time, and what every message finds at its place in the feed.
+FEED_CTE = V.resolved_cte() + """,
+o AS (SELECT id, content, row_number() OVER (ORDER BY id) - 1 AS at, count(*) OVER () AS n FROM fx_objects),
+f AS (SELECT greatest(999999, max(id)) + 1 AS first FROM fx_inodes),
+i AS (SELECT id, owner_id, type, path, is_public, is_uploaded, is_ingested, is_embedded, is_indexed, from_page, to_page, error,
+    CAST(NULL AS VARCHAR) AS content FROM fx_inodes
+  UNION ALL SELECT x.id - 500000 + first, x.owner_id, type, path, is_public, is_uploaded, is_ingested, is_embedded, is_indexed, from_page,
+    to_page, error, content FROM fx_object_inodes x JOIN o ON o.id = x.id - 500000, f),
+m AS (SELECT seq, routing_key AS task, CASE WHEN routing_key = 'delete_inode' THEN before_id
+    WHEN routing_key = 'ingest_inode' AND after_id <> 999999 THEN first + o.id ELSE after_id END AS id
+  FROM msgs LEFT JOIN o ON o.at = (seq * 7919) % o.n, f),
+e AS (SELECT id, min(seq) AS gone FROM m WHERE task = 'delete_inode' GROUP BY id),
+a AS (SELECT m.*, i.id IS NOT NULL AND (gone IS NULL OR seq < gone) AS alive FROM m LEFT JOIN i ON i.id = m.id LEFT JOIN e ON e.id = m.id),
+v AS (SELECT i.id, min(seq) FILTER (WHERE task = 'ingest_inode') AS ingest_at, min(seq) FILTER (WHERE task = 'move_inode'
+    AND r.path IS NOT NULL AND r.path IS DISTINCT FROM i.path) AS move_at, any_value(r.path) AS new_path
+  FROM i LEFT JOIN resolved r ON r.id = i.id LEFT JOIN a ON a.id = i.id AND alive GROUP BY i.id),
+w AS (SELECT i.* EXCLUDE (error, to_page), ingest_at, move_at, new_path, gone,
+  CASE WHEN ingest_at IS NULL THEN error WHEN NOT starts_with(content, '%PDF-') THEN 'unsupported_file_type'
+    WHEN NOT contains(lower(content), '</html>') THEN 'corrupted_file' ELSE error END AS error,
+  content IS NOT NULL AND ingest_at IS NOT NULL AND starts_with(content, '%PDF-') AND contains(lower(content), '</html>') AS paged,
+  CASE WHEN content IS NULL THEN to_page ELSE coalesce(nullif(to_page, 0), 1) END AS to_page
+  FROM i JOIN v ON v.id = i.id LEFT JOIN e ON e.id = i.id),
+p AS (SELECT inode_id, index, contents, embedding IS NOT NULL AS filled FROM fx_pages WHERE length(contents) > 0
+  UNION ALL SELECT * FROM (SELECT id, from_page, HTML AS contents, false FROM (SELECT id, from_page, regexp_replace(content, '^%PDF-[0-9.]*', '') AS body
+    FROM w WHERE paged)) WHERE length(contents) > 0),
+q AS (SELECT inode_id AS id, bool_or(NOT filled) AS open, bool_or(NOT filled AND NOT coalesce(index >= from_page AND index < to_page, false)) AS open_after
+  FROM p JOIN w ON w.id = inode_id GROUP BY inode_id),
+b AS (SELECT a.seq, a.id, w.error FROM a JOIN w ON w.id = a.id WHERE alive AND task IN ('embed_inode', 'ingest_inode')),
+g AS (SELECT id, min(seq) AS embed_at FROM b WHERE error IS NULL GROUP BY id),
+x AS (SELECT seq, id FROM b WHERE error IS NULL UNION ALL SELECT a.seq, a.id FROM a JOIN w ON w.id = a.id
+  WHERE alive AND (task IN ('index_inode', 'share_inode') OR task = 'move_inode' AND seq = move_at)),
+y AS (SELECT seq, x.id, coalesce(CASE WHEN embed_at <= seq THEN open_after ELSE open END, false) AS open
+  FROM x LEFT JOIN q ON q.id = x.id LEFT JOIN g ON g.id = x.id),
+h AS (SELECT id, min(seq) AS index_at FROM y WHERE NOT open GROUP BY id),
+z AS (SELECT w.*, embed_at, index_at FROM w LEFT JOIN g ON g.id = w.id LEFT JOIN h ON h.id = w.id),
+n AS (SELECT seq, 0 AS step, id FROM a WHERE alive AND task = 'ingest_inode' UNION ALL SELECT seq, 1, id FROM b WHERE error IS NULL
+  UNION ALL SELECT seq, 2, id FROM y WHERE NOT open),
+d AS (SELECT z.*, EXISTS (SELECT 1 FROM x WHERE x.id = z.id) AS seen FROM z WHERE gone IS NULL)
+""".replace("HTML", _html_sql("body"))
+FEED_DOCS = """SELECT 'doc' AS kind, id, CAST(id AS VARCHAR) || ' ' || CASE WHEN move_at IS NULL THEN path ELSE new_path END AS detail FROM d WHERE seen
+UNION ALL SELECT 'doc', id, CAST(id AS VARCHAR) || '_' || CAST(index AS VARCHAR) || ' ' || md5(contents) FROM d JOIN p ON p.inode_id = d.id
+  WHERE seen AND (filled OR (embed_at IS NOT NULL AND index >= from_page AND index < to_page))"""
+
+
+def _feed_world(t, name: str):
+    """A seeded store, its feed and objects.  Ingest messages name inodes of the fixture
+    objects, which get ids behind all others; those for the missing inode (999999) stay."""
     from ..session import work_dir
-    from ..streaming.feed import TableStore, run_feed, seed_store, write_feed
-    spark = t.spark
-    root = work_dir(spark, "feed")
+    from ..streaming.feed import FeedTables, seed_store
+    root = work_dir(t.spark, name)
     missing = 999999
     first = max(missing, t.fx_inodes.agg(F.max("id")).first()[0] or 0) + 1
     at = global_positions(t.fx_objects.select("id"), ["id"], "_at").select(
@@ -985,27 +1024,66 @@ def q_run_feed(t):
     named = F.get_json_object("body", "$.after.id").cast("bigint")
     ingests = (F.col("routing_key") == "ingest_inode") & (named != missing)
     body = F.when(ingests & F.col("_inode").isNotNull(), F.concat(F.lit('{"after": {"id": '), F.col("_inode"), F.lit("}}"))).otherwise(F.col("body"))
-    feed = (t.fx_messages.withColumn("_object", F.pmod(F.xxhash64("seq"), F.lit(n)))
+    feed = (t.fx_messages.withColumn("_object", (F.col("seq") * 7919) % n)
             .join(at, "_object", "left").select("seq", "ts", "routing_key", body.alias("body")))
-    write_feed(feed, f"{root}/in", files=2)
-    store = TableStore(spark, f"{root}/tables")
     held = _object_inodes(t).withColumn("id", F.col("id") - 500000 + first)
     inodes = apply_defaults(t.fx_inodes.unionByName(held, allowMissingColumns=True), "inodes", now=NOW)
+    store = FeedTables(t.spark, f"{root}/tables")
     seed_store(store, inodes, t.fx_pages)
-    run_feed(spark, f"{root}/in", f"{root}/tables", f"{root}/checkpoint", objects=_object_table(t), max_files=1)
-    docs = store.read("docs").select(F.lit("doc").alias("kind"), F.col("id"), F.col("doc_id").alias("detail"))
-    outs = [store.output("followups").select(F.lit("followup").alias("kind"), F.col("seq").alias("id"),
-                                             F.col("routing_key").alias("detail")),
-            store.output("notifications").select(F.lit("notification").alias("kind"), F.col("seq").alias("id"),
-                                                 F.col("channel").alias("detail")),
-            store.output("dead_letters").select(F.lit("dead_letter").alias("kind"), F.col("seq").alias("id"),
-                                                F.col("reason").alias("detail"))]
-    out = docs
-    for o in outs:
-        out = out.unionByName(o)
+    return root, store, feed
+
+
+def _feed_docs(store) -> DataFrame:
+    docs = store.read("docs")
+    return docs.select(F.lit("doc").alias("kind"), F.coalesce("parent_id", "doc_id").cast("bigint").alias("id"),
+                       F.concat_ws(" ", "doc_id", F.coalesce("path", F.md5("contents"))).alias("detail"))
+
+
+@query("run_feed", V.with_views("fx_object_inodes", "msgs", "fx_inodes", "fx_pages", recursive=True, extra=FEED_CTE) + FEED_DOCS + """
+UNION ALL SELECT 'followup', seq, 'embed_inode' FROM a WHERE alive AND task = 'ingest_inode'
+UNION ALL SELECT 'followup', seq, 'index_inode' FROM b WHERE error IS NULL
+UNION ALL SELECT 'followup', seq, 'index_inode' FROM a JOIN z ON z.id = a.id WHERE alive AND (task = 'share_inode' OR task = 'move_inode' AND seq = move_at)
+UNION ALL SELECT 'notification', seq, CASE WHEN is_public THEN 'public' ELSE 'user-' || CAST(owner_id AS VARCHAR) END FROM n JOIN z ON z.id = n.id
+  WHERE coalesce(error, '') <> '' OR (is_uploaded AND (is_ingested OR coalesce(ingest_at <= seq, false))
+    AND (is_embedded OR coalesce(embed_at < seq OR (embed_at = seq AND step >= 1), false))
+    AND (is_indexed OR coalesce(index_at < seq OR (index_at = seq AND step = 2), false)))
+UNION ALL SELECT 'dead_letter', seq, 'unknown_key' FROM m WHERE task = 'unknown_key'
+UNION ALL SELECT 'dead_letter', seq, 'missing_inode' FROM a WHERE NOT alive AND task NOT IN ('unknown_key', 'delete_inode')
+UNION ALL SELECT 'dead_letter', seq, 'errored_inode' FROM b WHERE error IS NOT NULL
+UNION ALL SELECT 'dead_letter', seq, 'missing_embedding' FROM y WHERE open""")
+def q_run_feed(t):
+    """The whole feed through the streaming worker (two ranges of messages), from the
+    fixture tables and their objects: the final index documents and every follow-up,
+    notification and dead letter of the run."""
+    from ..streaming.feed import run_feed, write_feed
+    root, store, feed = _feed_world(t, "feed")
+    files = write_feed(feed, f"{root}/in", files=2)
+    run_feed(t.spark, f"{root}/in", store.root, f"{root}/checkpoint", objects=_object_table(t), max_files=files)
+    out = _feed_docs(store)
+    for kind, name, detail in (("followup", "followups", "routing_key"), ("notification", "notifications", "channel"),
+                               ("dead_letter", "dead_letters", "reason")):
+        out = out.unionByName(store.output(name).select(F.lit(kind).alias("kind"), F.col("seq").alias("id"), F.col(detail).alias("detail")))
     return out
 
 
+@query("run_feed_workers", V.with_views("fx_object_inodes", "msgs", "fx_inodes", "fx_pages", recursive=True, extra=FEED_CTE) + FEED_DOCS)
+def q_run_feed_workers(t):
+    """Two workers on one store, as the reference runs them: one takes the ingest queue
+    and publishes the follow-ups, the other takes the rest.  Then a third, with a
+    checkpoint of its own, takes the whole feed again.  The documents are those of one
+    worker's single run."""
+    from ..streaming.feed import run_feed, write_feed
+    root, store, feed = _feed_world(t, "workers")
+    files = write_feed(feed, f"{root}/in", files=1)
+    others = [k for k in schemas.ROUTING_KEYS if k != "ingest_inode"]
+    objects = _object_table(t)
+    run_feed(t.spark, f"{root}/in", store.root, f"{root}/ingest", objects=objects, max_files=files, keys=["ingest_inode"], publish_dir=f"{root}/next")
+    run_feed(t.spark, f"{root}/in", store.root, f"{root}/default", max_files=files, keys=others)
+    run_feed(t.spark, f"{root}/next", store.root, f"{root}/next-default", max_files=1000, keys=others)
+    run_feed(t.spark, f"{root}/in", store.root, f"{root}/again", objects=objects, max_files=files)
+    return _feed_docs(store)
+
+
 # -- connectors (O-S10 batch form, O-S14) ------------------------------------------
 
 @query("read_feed", V.with_views("msgs") + """

@@ -1,5 +1,5 @@
 """Structured Streaming driver of the change feed."""
 
-from .feed import run_feed, apply_batch, TableStore
+from .feed import run_feed, apply_batch, FeedTables
 
-__all__ = ["run_feed", "apply_batch", "TableStore"]
+__all__ = ["run_feed", "apply_batch", "FeedTables"]

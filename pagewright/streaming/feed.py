@@ -1,18 +1,18 @@
 """The worker loop as a streaming query.
 
-``readStream`` of feed files -> ``foreachBatch``.  A micro-batch is decoded
-once and cut into waves: an id's messages, in ``seq`` order, form runs of equal
-tasks, and wave n holds the n-th run of every id, so each id sees its messages
-in feed order whatever files they came in.  A finished task's follow-up is run
-at once (ingest, then embed, then index), before the id's next message.  A
-delete ends the id: its inode rows (and those below) and pages leave the
-tables, so later messages for it are dead letters.
-
-State is kept in tables of hash buckets.  A commit file names, per table and
-bucket, the version that holds it, and the last batch applied per query; only
-buckets with touched documents are rewritten.  Commits are created, never
-overwritten: of two workers that commit the same version one fails and applies
-its batch again on the new state.
+``readStream`` of feed files -> ``foreachBatch``.  A micro-batch is decoded once, the
+moments at which each inode changes are found by aggregation (see ``fold``), and
+each kind of work is then done once for all inodes: early embedding, ingest, late
+embedding, documents.  The number of Spark jobs does not depend on how many messages an
+id has.  A finished task's follow-up is run at once (ingest, then embed, then index),
+before the id's next message.  A delete ends the id and everything below it from its
+``seq`` on: later messages for it are dead letters.
+
+An inode's object is looked up under the path it has when the batch begins (the
+manifest's moves are carried out after the batch).  An embedder that fails for an inode
+fails for all its embed messages of that phase.
+
+Tables are changes per (query, batch), see ``change_log``.
 """
 
 from __future__ import annotations
@@ -20,236 +20,188 @@ from __future__ import annotations
 import json
 from typing import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import schemas
+from ..functions import is_file, non_empty, object_path, optimized_object_path, path_changed
+from ..operators import index as IX
 from ..operators import messages as M
-from ..operators.tree import descendants
+from ..operators.tree import resolve_paths_of
 from ..plans import jobs as J
 from ..session import materialize
 from ..sources.feed import decode_messages, read_feed_stream
+from . import fold
+from .change_log import FeedTables, compact, seed_store
 
-TABLE_SCHEMAS = {"inodes": schemas.INODES, "pages": schemas.PAGES, "docs": schemas.DOCS}
-BUCKETS = 16
-CHAIN = {"ingest_inode": "embed_inode", "embed_inode": "index_inode",
-         "move_inode": "index_inode", "share_inode": "index_inode"}
-
-
-def owner_of(table: str):
-    """Column with the inode id that a row of ``table`` belongs to."""
-    return {"inodes": F.col("id"), "pages": F.col("inode_id"),
-            "docs": F.coalesce("parent_id", "doc_id").cast("bigint")}[table]
-
-
-class ConcurrentCommit(Exception):
-    """Another worker committed this version first."""
-
-
-class TableStore:
-    """Bucketed Parquet tables and their commits under one root folder."""
-
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark = spark
-        self.root = root.rstrip("/")
-        self.buckets = buckets
-
-    def _path(self, path: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-
-    def _fs(self):
-        return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def commit(self) -> dict:
-        """The newest commit: version, tables, applied."""
-        fs, folder = self._fs(), self._path(f"{self.root}/commits")
-        names = sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-        if not names:
-            return {"version": -1, "buckets": self.buckets, "tables": {t: {} for t in TABLE_SCHEMAS}, "applied": {}}
-        stream = fs.open(self._path(f"{self.root}/commits/{names[-1]}"))
-        try:
-            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def publish(self, commit: dict) -> None:
-        """Create the commit's file; fails when its version exists."""
-        path = self._path(f"{self.root}/commits/v{commit['version']:08d}")
-        try:
-            stream = self._fs().create(path, False)
-        except Exception as exc:
-            if self._fs().exists(path):
-                raise ConcurrentCommit(str(commit["version"])) from exc
-            raise
-        stream.write(bytearray(json.dumps(commit).encode()))
-        stream.close()
-
-    def folder(self, table: str, bucket: str | int, version) -> str:
-        return f"{self.root}/{table}/v{version}/b={bucket}"
-
-    def read(self, table: str, commit: dict | None = None, buckets: list[str] | None = None) -> DataFrame:
-        held = (commit or self.commit())["tables"][table]
-        names = [b for b in held if buckets is None or b in buckets]
-        paths = [self.folder(table, b, held[b]) for b in names]
-        paths = [p for p in paths if self._fs().exists(self._path(p))]      # a bucket may have become empty
-        if not paths:
-            return self.spark.createDataFrame([], TABLE_SCHEMAS[table])
-        return self.spark.read.schema(TABLE_SCHEMAS[table]).parquet(*paths)
-
-    @staticmethod
-    def bucket(key, buckets: int) -> "F.Column":
-        return F.pmod(F.xxhash64(key.cast("bigint")), F.lit(buckets)).cast("string")
-
-    def write(self, table: str, df: DataFrame, version: str, buckets: int) -> None:
-        """Rows of some buckets as a new version folder, a sub-folder per bucket.
-        A store keeps the number of buckets it was seeded with."""
-        cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[table].fields]
-        (df.withColumn("b", self.bucket(owner_of(table), buckets)).select(*cols, "b")
-         .write.mode("overwrite").partitionBy("b").parquet(f"{self.root}/{table}/v{version}"))
-
-    def write_output(self, name: str, df: DataFrame, query_id: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/out/{name}/query={query_id}/batch={batch_id}")
-
-    def output(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/out/{name}")
-
-
-def message_waves(decoded: DataFrame) -> DataFrame:
-    """Add ``wave``: the number of task changes before a message among the
-    messages of its id, in ``seq`` order."""
-    w = Window.partitionBy("id").orderBy("seq")
-    turn = F.coalesce((F.col("task") != F.lag("task").over(w)).cast("int"), F.lit(0))
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return decoded.withColumn("_turn", turn).withColumn("wave", F.sum("_turn").over(running).cast("int")).drop("_turn")
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def apply_batch(store: TableStore, feed: DataFrame, batch_id: int, objects: DataFrame | None = None,
+ROWS_PER_FILE = 250_000
+FACTS = ["id", "owner_id", "type", "path", "is_indexed", "is_public", "is_uploaded", "is_ingested", "is_embedded", "error"]
+
+
+def _keys(path: str) -> Column:
+    """Both objects of a file, as (kind, object_key) structs."""
+    return F.array(F.struct(F.lit("original").alias("kind"), object_path("owner_id", path).alias("object_key")),
+                   F.struct(F.lit("optimized").alias("kind"), optimized_object_path("owner_id", path).alias("object_key")))
+
+
+def _requests(ids: DataFrame) -> DataFrame:
+    return ids.select(F.col("id").alias("seq"), "id").distinct()
+
+
+def _open(pages: DataFrame, name: str) -> DataFrame:
+    """Inodes with a page that should be indexed and has no vector."""
+    return (pages.where(non_empty("contents") & F.col("embedding").isNull())
+            .select(F.col("inode_id").alias("id"), F.lit(True).alias(name)).distinct())
+
+
+def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: DataFrame | None = None,
                 embedder: Callable | None = None, keys: list[str] | None = None, extractor: Callable | None = None,
                 page_count: Callable | None = None, query_id: str = "batch", publish_dir: str | None = None) -> bool:
     """Apply one micro-batch of feed rows; False when ``query_id`` applied it before.
 
     With ``keys`` the worker takes only those routing keys; the others belong
-    to another worker's queue.  A follow-up whose key is another worker's is
-    written to ``publish_dir`` (the folder that worker reads) as a new feed file.
-    Without ``objects`` an ingest message is a dead letter (``no_object_source``).
+    to another worker's queue (one worker at a time has the ingest key, which numbers
+    new pages).  A follow-up whose key is another worker's is written to
+    ``publish_dir`` (the folder that worker reads) as feed files.  Without
+    ``objects`` an ingest message is a dead letter (``no_object_source``).
     """
-    while True:
-        commit = store.commit()
-        if commit["applied"].get(query_id, -1) >= batch_id:
-            return False
-        try:
-            _apply(store, commit, feed, batch_id, objects, embedder, keys, extractor, page_count, query_id, publish_dir)
-            return True
-        except ConcurrentCommit:
-            continue
-
-
-def _apply(store, commit, feed, batch_id, objects, embedder, keys, extractor, page_count, query_id, publish_dir) -> None:
+    if tables.applied(query_id, batch_id):
+        return False
+    spark, here = tables.spark, (query_id, batch_id)
     mine = (lambda key: keys is None or key in keys)
     if keys is not None:
         feed = feed.where(F.col("routing_key").isin(keys))
-    decoded = M.route(decode_messages(feed))
     ident = F.when(F.col("routing_key") == "delete_inode", F.col("before_id")).otherwise(F.col("after_id"))
-    decoded = materialize(decoded.withColumn("id", ident), "decoded")
-    ok = materialize(message_waves(decoded.where(F.col("status") == "ok")), "waves")
-    letters = [decoded.where(F.col("status") != "ok").select("seq", "routing_key", F.col("status").alias("reason"))]
-    outs: dict[str, list[DataFrame]] = {"followups": [], "notifications": [], "manifest": [], "tags": []}
-    base = {t: store.read(t, commit) for t in TABLE_SCHEMAS}
-
-    # The working set: the batch's documents and what its deletes take along.
-    touched = ok.select("id").distinct()
-    gone = ok.where(F.col("routing_key") == "delete_inode").select("id")
-    present = {(r["wave"], r["task"]) for r in ok.select("wave", "task").distinct().collect()}
-    if any(task == "delete_inode" for _, task in present):
-        touched = touched.union(descendants(base["inodes"], gone)).distinct()
-    touched = materialize(touched, "touched")
-
-    def part(table: str, how: str) -> DataFrame:
-        key = owner_of(table)
-        return base[table].withColumn("_own", key).join(touched.select(F.col("id").alias("_own")), "_own", how).drop("_own")
-
-    inodes, pages, docs = (materialize(part(t, "left_semi"), t) for t in TABLE_SCHEMAS)
-    others = part("inodes", "left_anti")
-    next_page = (base["pages"].agg(F.max("id")).first()[0] or 0) + 1
-
-    def finish(r: dict, *names: str) -> None:
-        letters.append(materialize(r["dead_letters"], "letters"))
-        for name in names:
-            outs[name].append(materialize(r[name], name))
-
-    for wave in range(1 + max((w for w, _ in present), default=-1)):
-        chained: dict[str, list[DataFrame]] = {"embed_inode": [], "index_inode": []}
-
-        def requests(key: str) -> DataFrame | None:
-            """The wave's messages of a task and the follow-ups that lead to it."""
-            own = [ok.where((F.col("wave") == wave) & (F.col("task") == key)).select("seq", "id")] if (wave, key) in present else []
-            return _union(own + chained.get(key, [])) if own or chained.get(key) else None
-
-        def chain(task: str) -> None:
-            """The follow-ups that ``task`` just gave, if this worker runs them."""
-            if mine(CHAIN[task]):
-                last = outs["followups"][-1]
-                chained[CHAIN[task]].append(last.select("seq", F.get_json_object("body", "$.after.id").cast("bigint").alias("id")))
-
-        if (req := requests("ingest_inode")) is not None:
-            if objects is None:
-                letters.append(req.select("seq", F.lit("ingest_inode").alias("routing_key"), F.lit("no_object_source").alias("reason")))
-            else:
-                r = J.ingest(req, inodes, objects, pages, extractor=extractor, page_count=page_count, next_page_id=next_page)
-                finish(r, "followups", "notifications", "tags")
-                inodes, pages = materialize(r["inodes"], "inodes"), materialize(r["pages"], "pages")
-                next_page = max(next_page, (pages.agg(F.max("id")).first()[0] or 0) + 1)
-                chain("ingest_inode")
-        if (req := requests("embed_inode")) is not None:
-            r = J.embed(req, inodes, pages, embedder=embedder)
-            finish(r, "followups", "notifications")
-            inodes, pages = materialize(r["inodes"], "inodes"), materialize(r["pages"], "pages")
-            chain("embed_inode")
-        if (req := requests("move_inode")) is not None:
-            r = J.move(req, inodes, resolved=J.resolve_paths_of(inodes.unionByName(others), req.select("id")))
-            finish(r, "followups")
-            outs["manifest"].append(materialize(r["manifest"].select(
-                "id", "kind", F.col("old_key").alias("object_key"), F.lit("move").alias("action"),
-                F.col("new_key").alias("target")), "manifest"))
-            inodes = materialize(r["inodes"], "inodes")
-            chain("move_inode")
-        if (req := requests("share_inode")) is not None:
-            r = J.share(req, inodes)
-            finish(r, "followups", "tags")
-            chain("share_inode")
-        if (req := requests("index_inode")) is not None:
-            r = J.index(req, inodes, pages, docs)
-            finish(r, "notifications")
-            inodes, docs = materialize(r["inodes"], "inodes"), materialize(r["docs"], "docs")
-        if (wave, "delete_inode") in present:
-            r = J.delete(ok.where((F.col("wave") == wave) & (F.col("task") == "delete_inode")), docs, inodes, pages)
-            outs["manifest"].append(r["manifest"].select("id", "kind", "object_key", F.lit("delete").alias("action"),
-                                                         F.lit(None).cast("string").alias("target")))
-            inodes, pages, docs = (materialize(r[t], t) for t in TABLE_SCHEMAS)
-
-    version = commit["version"] + 1
-    name = f"{version:08d}-{query_id}-{batch_id}"
-    tables = {t: dict(held) for t, held in commit["tables"].items()}
-    for t, new in (("inodes", inodes), ("pages", pages), ("docs", docs)):
-        old_rows = part(t, "left_anti")
-        hit = sorted({r[0] for r in touched.select(store.bucket(F.col("id"), commit["buckets"]).alias("b")).distinct().collect()})     # bucket names
-        rest = old_rows.where(store.bucket(owner_of(t), commit["buckets"]).isin(hit))
-        store.write(t, rest.select(*new.columns).unionByName(new), name, commit["buckets"])
-        tables[t].update({b: name for b in hit})
-    for out, parts in outs.items():
-        if parts:
-            store.write_output(out, _union(parts), query_id, batch_id)
-    if publish_dir and outs["followups"]:
-        foreign = _union(outs["followups"]).where(~F.col("routing_key").isin(*(keys or list(schemas.ROUTING_KEYS))))
-        foreign.select("seq", F.lit(None).cast("timestamp").alias("ts"), "routing_key", "body").coalesce(1).write.mode("append").json(publish_dir)
-    store.write_output("dead_letters", M.dead_letters(*letters), query_id, batch_id)
-    store.publish({"version": version, "buckets": commit["buckets"], "tables": tables, "applied": commit["applied"] | {query_id: batch_id}})
+    decoded = materialize(M.route(decode_messages(feed)).withColumn("id", ident), "decoded")
+    messages = decoded.where(F.col("status") == "ok").select("seq", "id", "task")
+    tasks = {r["task"] for r in messages.select("task").distinct().collect()}
+    nobody = spark.createDataFrame([], "id bigint")
+
+    # The working set: the batch's inodes and what its deletes take along.
+    whole = tables.read("inodes", without=here)
+    deletes = messages.where(F.col("task") == "delete_inode").select("id", F.col("seq").alias("end"))
+    ends = fold.subtree_ends(whole.select("id", "parent_id"), deletes) if "delete_inode" in tasks else nobody.withColumn("end", F.lit(0))
+    touched = materialize(messages.select("id").union(ends.select("id")).distinct(), "touched")
+    buckets = sorted(r[0] for r in touched.select(tables.bucket(F.col("id"))).distinct().collect())
+    inodes = materialize(tables.read("inodes", touched, buckets, here), "inodes")
+    pages = materialize(tables.read("pages", touched, buckets, here), "pages")
+
+    # The moments of every inode.
+    asked = (lambda task: messages.where(F.col("task") == task).select("id").distinct())
+    moved = resolve_paths_of(whole, asked("move_inode")) if "move_inode" in tasks else nobody.withColumn("path", F.lit(""))
+    keyed = inodes.join(asked("ingest_inode"), "id", "left_semi").select("id", object_path("owner_id", "path").alias("key"))
+    held = nobody if objects is None else keyed.join(objects.select("key"), "key", "left_semi").select("id")
+    facts = (inodes.select(*FACTS).join(ends, "id", "left").join(moved.select("id", F.col("path").alias("new_path")), "id", "left")
+             .join(held.withColumn("has_object", F.lit(True)), "id", "left")
+             .withColumn("has_object", F.coalesce("has_object", F.lit(False))).withColumn("end", F.coalesce("end", F.lit(fold.NEVER))))
+    moves = F.col("new_path").isNotNull() & path_changed("new_path", "path") & (F.col("task") == "move_inode")
+    moments = (messages.join(facts, "id").where(F.col("seq") < F.col("end")).groupBy("id")
+               .agg(fold.first(F.col("seq"), (F.col("task") == "ingest_inode") & F.col("has_object")).alias("ingest_at"),
+                    fold.first(F.col("seq"), moves).alias("move_at")))
+    never = F.lit(fold.NEVER)
+    facts = materialize(facts.join(moments, "id", "left").withColumn("ingest_at", F.coalesce("ingest_at", never))
+                        .withColumn("move_at", F.coalesce("move_at", never)), "facts")
+    known = messages.join(facts, "id").where(F.col("seq") < F.col("end"))
+
+    def embedded(ids: DataFrame, inodes: DataFrame, pages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """Pages with the vectors of ``ids`` filled in, and the ids that failed."""
+        if not ids.limit(1).count():
+            return pages, nobody
+        r = J.embed(_requests(ids), inodes, pages, embedder=embedder)
+        lost = r["dead_letters"].where(F.col("reason") == "embedding_failed").select(F.col("seq").alias("id"))
+        return materialize(r["pages"], name), materialize(lost.distinct(), "failed")
+
+    # Embedding before the first ingest, ingest, embedding after it.
+    early = known.where((F.col("task") == "embed_inode") & ~fold.phase_of(F.col("seq")) & F.col("error").isNull()).select("id").distinct()
+    pages_early, failed_early = embedded(early, inodes, pages, "pages-early")
+    ingested = facts.where(F.col("ingest_at") != fold.NEVER).select("id")
+    inodes_late, pages_late, tags = inodes, pages_early, None
+    if ingested.limit(1).count():
+        next_page = (tables.changes("pages", here).agg(F.max("id")).first()[0] or 0) + 1
+        r = J.ingest(_requests(ingested), inodes, objects, pages_early, extractor=extractor, page_count=page_count, next_page_id=next_page)
+        inodes_late, pages_late = materialize(r["inodes"], "inodes-late"), materialize(r["pages"], "pages-late")
+        tags = r["tags"]
+    facts = facts.join(inodes_late.select("id", F.col("error").alias("error_after"), F.col("to_page").alias("new_to_page")), "id")
+    chain_embed, chain_index = mine("embed_inode"), mine("index_inode")
+    no_failures = facts.withColumn("failed_early", F.lit(False)).withColumn("failed_late", F.lit(False))
+    late = fold.embed_events(messages, no_failures, chain_embed).where(F.col("late") & (F.col("outcome") == "ok")).select("id").distinct()
+    pages_done, failed_late = embedded(late, inodes_late, pages_late, "pages-done")
+
+    # What every message finds.
+    flags = [failed_early.withColumn("failed_early", F.lit(True)), failed_late.withColumn("failed_late", F.lit(True)),
+             _open(pages, "open_early"), _open(pages_early, "open_early_after"), _open(pages_late, "open_late"), _open(pages_done, "open_late_after")]
+    for flag in flags:
+        name = flag.columns[1]
+        facts = facts.join(flag, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    facts = materialize(facts, "facts")
+    embeds = materialize(fold.embed_events(messages, facts, chain_embed), "embeds")
+    done = F.col("outcome") == "ok"
+    firsts = embeds.groupBy("id").agg(fold.first(F.col("seq"), done & ~F.col("late")).alias("embed_early"),
+                                      fold.first(F.col("seq"), done & F.col("late")).alias("embed_late"))
+    facts = materialize(facts.join(firsts, "id", "left").withColumn("embed_early", F.coalesce("embed_early", never))
+                        .withColumn("embed_late", F.coalesce("embed_late", never)), "facts")
+    indexes = materialize(fold.index_events(messages, facts, embeds, chain_index), "indexes")
+    out = fold.outcomes(messages, facts, embeds, indexes, objects is not None)
+    facts = materialize(out["facts"], "facts")
+
+    # Documents: of an inode's last index event, and of the last one before its ingest.
+    seen = indexes.groupBy("id").agg(F.max(F.when(F.col("late"), F.col("seq"))).alias("late_at"), F.max(F.when(~F.col("late"), F.col("seq"))).alias("early_at"))
+    living = facts.where(F.col("end") == fold.NEVER).join(seen, "id").select("id", "new_path", "move_at", "late_at", "early_at")
+
+    def documents(at: str, inodes: DataFrame, pages: DataFrame) -> DataFrame:
+        rows = inodes.join(living.where(F.col(at).isNotNull()), "id").withColumn(
+            "path", F.when(F.col(at) >= F.col("move_at"), F.col("new_path")).otherwise(F.col("path")))
+        made = IX.inode_docs(rows).unionByName(IX.page_docs(rows, pages)[0])
+        return made.withColumn("_id", F.coalesce("parent_id", "doc_id").cast("bigint")).join(
+            rows.select(F.col("id").alias("_id"), F.col(at).alias("version")), "_id").drop("_id")
+
+    docs = documents("late_at", inodes_late, pages_done).unionByName(documents("early_at", inodes, pages_early))
+
+    # What changed.
+    true = F.lit(True)
+    living = facts.where(F.col("end") == fold.NEVER)
+    embed_at = F.least("embed_early", "embed_late")
+    patches = [living.where(F.col("ingest_at") != never).select("id", F.col("ingest_at").alias("version"), true.alias("is_ingested"),
+                                                                F.col("error_after").alias("error"), F.col("new_to_page").alias("to_page")),
+               living.where(embed_at != never).select("id", embed_at.alias("version"), true.alias("is_embedded")),
+               living.where(F.col("index_at") != never).select("id", F.col("index_at").alias("version"), true.alias("is_indexed")),
+               living.where(F.col("move_at") != never).select("id", F.col("move_at").alias("version"), F.col("new_path").alias("path"),
+                                                              F.lit(False).alias("should_move"))]
+    changes = patches[0]
+    for p in patches[1:]:
+        changes = changes.unionByName(p, allowMissingColumns=True)
+    before = pages.select(F.col("id").alias("_id"), F.col("contents").alias("_contents"), F.col("embedding").isNotNull().alias("_filled"))
+    new_text = ~F.col("contents").eqNullSafe(F.col("_contents"))
+    new_vector = F.col("embedding").isNotNull() & ~F.coalesce("_filled", F.lit(False))
+    page_changes = (pages_done.join(before, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | new_text | new_vector)
+                    .join(living.select(F.col("id").alias("inode_id"), "ingest_at", embed_at.alias("_embed_at")), "inode_id")
+                    .select("id", "inode_id", "index", F.when(F.col("_id").isNull() | new_text, F.col("contents")).alias("contents"),
+                            F.when(new_vector, F.col("embedding")).alias("embedding"),
+                            F.least("ingest_at", "_embed_at").alias("version")))
+
+    at_path = F.when(F.col("seq") >= F.col("move_at"), F.col("new_path")).otherwise(F.col("path"))
+    shared = J.public_tags(out["shared"].where(is_file("type")).withColumn("path", at_path))
+    before_image = decoded.where((F.col("status") == "ok") & (F.col("task") == "delete_inode")).select(
+        F.col("before_id").alias("id"), F.col("before_type").alias("type"), F.col("before_owner_id").alias("owner_id"), F.col("before_path").alias("path"))
+    removed = (before_image.where(is_file("type")).select("id", F.explode(_keys("path")).alias("_k"))
+               .select("id", "_k.kind", "_k.object_key", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("target")))
+    pairs = F.arrays_zip(_keys("path").alias("old"), _keys("new_path").alias("new"))
+    relocated = (out["moved"].where(is_file("type")).select("id", F.explode(pairs).alias("_k"))
+                 .select("id", "_k.old.kind", "_k.old.object_key", F.lit("move").alias("action"), F.col("_k.new.object_key").alias("target")))
+    letters = decoded.where(F.col("status") != "ok").select("seq", "routing_key", F.col("status").alias("reason"))
+    followups = materialize(out["followups"], "followups")
+    outputs = {"followups": followups, "notifications": out["notifications"], "dead_letters": M.dead_letters(letters, out["dead_letters"]),
+               "manifest": removed.unionByName(relocated), "tags": shared if tags is None else tags.unionByName(shared)}
+    for name, rows in outputs.items():
+        tables.write_output(name, rows, query_id, batch_id)
+    for name, rows in (("inodes", changes), ("pages", page_changes), ("docs", docs),
+                       ("deleted", ends.select("id", F.col("end").alias("version")))):
+        tables.write(name, rows, query_id, batch_id)
+    if publish_dir:
+        foreign = followups.where(~F.col("routing_key").isin(*(keys or list(schemas.ROUTING_KEYS))))
+        (foreign.select("seq", F.lit(None).cast("timestamp").alias("ts"), "routing_key", "body").hint("rebalance")
+         .write.mode("append").json(publish_dir))
+    tables.finish(query_id, batch_id)
+    return True
 
 
 def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: str,
@@ -261,12 +213,12 @@ def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: st
     (``availableNow``) and returns; otherwise the query keeps running and is
     returned.  Batches are told apart by the checkpoint's own query id, so
     several workers and fresh checkpoints may share a store."""
-    store = TableStore(spark, store_root)
+    tables = FeedTables(spark, store_root)
     stream = read_feed_stream(spark, feed_dir, max_files=max_files)
 
     def each(batch: DataFrame, batch_id: int) -> None:
         told = json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])
-        apply_batch(store, batch, batch_id, objects=objects, embedder=embedder, keys=keys, extractor=extractor,
+        apply_batch(tables, batch, batch_id, objects=objects, embedder=embedder, keys=keys, extractor=extractor,
                     page_count=page_count, query_id=told["id"], publish_dir=publish_dir)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -277,30 +229,19 @@ def run_feed(spark: SparkSession, feed_dir: str, store_root: str, checkpoint: st
     return writer.trigger(processingTime="10 seconds").start()
 
 
-def seed_store(store: TableStore, inodes: DataFrame, pages: DataFrame, docs: DataFrame | None = None) -> None:
-    """Write the first version of all tables and commit it."""
-    tables = {}
-    for t, df in (("inodes", inodes), ("pages", pages), ("docs", docs)):
-        if df is None:
-            df = store.spark.createDataFrame([], TABLE_SCHEMAS[t])
-        missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in TABLE_SCHEMAS[t].fields if f.name not in df.columns]
-        store.write(t, df.select("*", *missing), "00000000-seed", store.buckets)
-        tables[t] = {str(b): "00000000-seed" for b in range(store.buckets)}
-    store.publish({"version": 0, "buckets": store.buckets, "tables": tables, "applied": {}})
-
-
-def write_feed(feed: DataFrame, path: str, files: int) -> None:
-    """Write feed rows as JSON files, ``files`` of them, in ``seq`` order.
-    File boundaries are equal ``seq`` ranges (from one min/max aggregate), so
-    the same feed always splits the same way; files are written one after the
-    other, as the stream takes them by age."""
-    lo, hi = feed.agg(F.min("seq"), F.max("seq")).first()
+def write_feed(feed: DataFrame, path: str, files: int, rows_per_file: int = ROWS_PER_FILE) -> int:
+    """Write feed rows as JSON in ``seq`` order: ``files`` equal ranges of ``seq``, one
+    after the other (the stream takes files by age), each cut into as many files as
+    its rows need.  Returns that number, the ``max_files`` of a range."""
+    lo, hi, n = feed.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
     lo, hi = (lo or 0), (hi or 0)
     span = hi - lo + 1
-    frozen = materialize(feed.withColumn("_file", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")), "feed")
+    parts = max(1, -(-n // (files * rows_per_file)))
+    frozen = materialize(feed.withColumn("_range", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")), "feed")
     for k in range(files):
-        (frozen.where(F.col("_file") == k).drop("_file").repartition(1).sortWithinPartitions("seq")
+        (frozen.where(F.col("_range") == k).drop("_range").repartitionByRange(parts, "seq").sortWithinPartitions("seq")
          .write.mode("append").json(path))
+    return parts
 
 
-__all__ = ["TableStore", "apply_batch", "message_waves", "run_feed", "seed_store", "write_feed"]
+__all__ = ["FeedTables", "apply_batch", "compact", "run_feed", "seed_store", "write_feed"]
