@@ -28,7 +28,7 @@ from ..operators import index as IX
 from ..operators import messages as M
 from ..operators.tree import resolve_paths_of
 from ..plans import jobs as J
-from ..session import materialize
+from ..session import materialize, work_dir
 from ..sources.feed import decode_messages, read_feed_stream
 from . import fold
 from .change_log import FeedTables, compact, seed_store
@@ -71,7 +71,10 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     if keys is not None:
         feed = feed.where(F.col("routing_key").isin(keys))
     ident = F.when(F.col("routing_key") == "delete_inode", F.col("before_id")).otherwise(F.col("after_id"))
-    decoded = materialize(M.route(decode_messages(feed)).withColumn("id", ident), "decoded")
+    # Read again by the tables' own session: a micro-batch's session plans without AQE.
+    path = work_dir(spark, "decoded")
+    M.route(decode_messages(feed)).withColumn("id", ident).write.parquet(path)
+    decoded = spark.read.parquet(path)
     messages = decoded.where(F.col("status") == "ok").select("seq", "id", "task")
     tasks = {r["task"] for r in messages.select("task").distinct().collect()}
     nobody = spark.createDataFrame([], "id bigint")
