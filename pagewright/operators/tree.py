@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, materialize
+from .ids import global_positions
 
 
 def resolve_paths(inodes: DataFrame) -> DataFrame:
@@ -74,21 +75,91 @@ def resolve_paths_of(inodes: DataFrame, ids: DataFrame, id_col: str = "id") -> D
         live = live.where(F.col("anc").isNotNull())
 
 
-def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id") -> DataFrame:
-    """Ids of ``roots`` and of every inode below them (level by level).
+def tree_intervals(inodes: DataFrame) -> DataFrame:
+    """(id, enter, leave): where a walk through the tree enters and leaves each inode.
 
-    Each level joins the tree edges with the current frontier only; a node
-    already reached is never visited again, so a cycle ends the walk.  The
-    reached set is checkpointed every level."""
+    An inode lies below another exactly if its interval lies inside the other's, so a
+    subtree is one range of ``enter``.  The walk (children in id order, tops one after
+    the other; an inode whose parent is missing is a top) is a linked list of two steps
+    per inode, ranked by pointer jumping: about log2(2 n) rounds, whatever the depth.
+    Siblings are linked through their place in one global order, so a folder with very many
+    children is no task of its own.  Inodes on or below a cycle have no place in
+    the walk: their ``enter`` and ``leave`` are null.
+    """
+    ids = inodes.select("id", "parent_id")
+    tops = ids.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
+    linked = ids.join(tops, "parent_id", "left").select("id", F.when(F.col("_there"), F.col("parent_id")).alias("up"))
+    place = materialize(global_positions(linked, [F.col("up").asc_nulls_first(), "id"], "k"), "places")
+    parents = place.select(F.col("id").alias("up"), F.col("k").alias("up_k"))
+    numbered = materialize(place.join(parents, "up", "left").select("id", "k", "up_k"), "numbered")
+    first = numbered.where(F.col("up_k").isNotNull()).groupBy(F.col("up_k").alias("k")).agg(F.min("k").alias("child"))
+    after = numbered.select((F.col("k") - 1).alias("k"), F.col("up_k").alias("after_up"), F.lit(True).alias("more"))
+    both = numbered.join(first, "k", "left").join(after, "k", "left")
+    sibling = F.coalesce(F.col("more"), F.lit(False)) & F.col("after_up").eqNullSafe(F.col("up_k"))
+    # Step 2 k enters inode k, step 2 k + 1 leaves it.
+    steps = both.select(F.explode(F.array(
+        F.struct((F.col("k") * 2).alias("step"), F.coalesce(F.col("child") * 2, F.col("k") * 2 + 1).alias("then")),
+        F.struct((F.col("k") * 2 + 1).alias("step"), F.when(sibling, F.col("k") * 2 + 2).otherwise(F.col("up_k") * 2 + 1).alias("then")))).alias("s"))
+    live = materialize(steps.select("s.step", "s.then", F.lit(1).cast("bigint").alias("left")), "walk")
+    done = live.where(F.col("then").isNull()).select("step", "left")
+    reached, total = 1, live.count()
+    live = live.where(F.col("then").isNotNull())
+    while reached < 2 * total:          # a step's distance to the end of the walk, covered twice as far each round
+        on = (done.select(F.col("step").alias("then"), F.lit(None).cast("bigint").alias("_then"), F.col("left").alias("_left"))
+              .unionByName(live.select(F.col("step").alias("then"), F.col("then").alias("_then"), F.col("left").alias("_left"))))
+        jumped = materialize(live.join(on, "then").select("step", F.col("_then").alias("then"), (F.col("left") + F.col("_left")).alias("left")), "walk")
+        done = materialize(done.unionByName(jumped.where(F.col("then").isNull()).select("step", "left")), "done")
+        live = jumped.where(F.col("then").isNotNull())
+        if not live.limit(1).count():
+            break
+        reached *= 2
+    length = done.agg(F.coalesce(F.max("left"), F.lit(0))).first()[0]
+    at = done.select("step", (F.lit(length) - F.col("left")).alias("at"))
+    pair = at.groupBy(F.floor(F.col("step") / 2).alias("k")).agg(F.min("at").alias("enter"), F.max("at").alias("leave"))
+    return materialize(numbered.join(pair, "k", "left").select("id", "enter", "leave"), "intervals")
+
+
+def inside(intervals: DataFrame, roots: DataFrame, block: int = 1 << 16, most_blocks: int = 10_000) -> DataFrame:
+    """Rows of ``intervals`` (with places) that are one of ``roots`` (ids) or below one.
+
+    A running count of open roots along the walk: sums per block of the walk (at most
+    ``most_blocks``) are carried over, then counted on inside each block."""
+    marked = intervals.where(F.col("enter").isNotNull()).join(roots.select("id").distinct().withColumn("_root", F.lit(1)), "id", "left")
+    end = marked.agg(F.coalesce(F.max("leave"), F.lit(0))).first()[0]
+    size = max(block, -(-(end + 1) // most_blocks))
+    opened = marked.select("id", "enter", "leave", F.col("enter").alias("at"), F.coalesce("_root", F.lit(0)).alias("delta"))
+    closed = marked.where(F.col("_root") == 1).select(F.lit(None).cast("bigint").alias("id"), "enter", "leave", F.col("leave").alias("at"), F.lit(-1).alias("delta"))
+    walk = materialize(opened.unionByName(closed).withColumn("block", F.floor(F.col("at") / size)), "opened")
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = walk.groupBy("block").agg(F.sum("delta").alias("_sum")).select("block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_open"))
+    here = Window.partitionBy("block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (walk.withColumn("_here", F.sum("delta").over(here)).join(F.broadcast(carried), "block")
+            .where(F.col("id").isNotNull() & (F.col("_here") + F.col("_open") > 0)).select("id", "enter", "leave"))
+
+
+def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id", intervals: DataFrame | None = None) -> DataFrame:
+    """Ids of ``roots`` and of every inode below them.
+
+    Through the intervals of :func:`tree_intervals` (which may be passed in, if they are
+    known): no round per level.  Inodes on or below a cycle have none; those are walked
+    level by level, each at most once."""
     ensure_checkpoint_dir(inodes.sparkSession)
-    edges = inodes.select("id", "parent_id").where(F.col("parent_id").isNotNull())
-    reached = roots.select(F.col(id_col).alias("id")).distinct().checkpoint(eager=True)
-    frontier = reached
+    roots = materialize(roots.select(F.col(id_col).alias("id")).distinct(), "roots")
+    intervals = tree_intervals(inodes) if intervals is None else intervals
+    found = roots.unionByName(inside(intervals, roots).select("id"))
+    looped = intervals.where(F.col("enter").isNull()).select("id")
+    if looped.limit(1).count():
+        edges = materialize(inodes.select("id", "parent_id").join(looped, "id", "left_semi"), "looped")
+        found = found.unionByName(_level_by_level(edges, edges.join(roots, "id", "left_semi").select("id")))
+    return found.distinct()
+
+
+def _level_by_level(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """Ids reached from ``roots`` over (id, parent_id), a node at most once."""
+    reached = frontier = roots.checkpoint(eager=True)
     while True:
         frontier = (edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
-                    .select("id").distinct()
-                    .join(reached, "id", "left_anti")
-                    .checkpoint(eager=True))
+                    .select("id").distinct().join(reached, "id", "left_anti").checkpoint(eager=True))
         if frontier.limit(1).count() == 0:
             return reached
         reached = reached.unionByName(frontier).checkpoint(eager=True)
