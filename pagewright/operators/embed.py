@@ -31,6 +31,35 @@ def embed_selection(inodes: DataFrame, pages: DataFrame) -> DataFrame:
             .select(pages.columns))
 
 
+def truncate_pages(pages: DataFrame, make_tokenizer: Callable, n: int = schemas.MAX_TOKENS, text_col: str = "contents") -> DataFrame:
+    """``text`` (squashed) cut to its first ``n`` tokens of a supplied tokenizer, and
+    ``n_tokens`` kept.  ``make_tokenizer()`` returns an object with ``encode(text) -> list``
+    and ``decode(list) -> text``; it is called once per task, not per page.
+
+    A tokenizer may give back a part of a character at the cut (byte-level ones do); what
+    does not decode to a prefix of the text loses its last token until it does.  Null text
+    counts as empty."""
+    def run(frames):
+        tokenizer = make_tokenizer()
+        for texts in frames:
+            kept, counts = [], []
+            for text in texts:
+                text = text or ""
+                ids = list(tokenizer.encode(text))
+                cut, out = len(ids), text
+                if len(ids) > n:
+                    cut, out = n, tokenizer.decode(ids[:n])
+                    while cut and not text.startswith(out):
+                        cut -= 1
+                        out = tokenizer.decode(ids[:cut])
+                kept.append(out)
+                counts.append(cut)
+            yield pd.DataFrame({"text": kept, "n_tokens": counts})
+
+    made = F.pandas_udf(run, "text string, n_tokens int", functionType=F.PandasUDFType.SCALAR_ITER)
+    return pages.withColumn("_cut", made(squash_ws(text_col))).withColumn("text", F.col("_cut.text")).withColumn("n_tokens", F.col("_cut.n_tokens")).drop("_cut")
+
+
 def embed_input(pages: DataFrame, max_tokens: int = schemas.MAX_TOKENS) -> DataFrame:
     """Text sent to the model: whitespace squashed, cut to ``max_tokens``."""
     return pages.withColumn("text", truncate_tokens(squash_ws("contents"), max_tokens))

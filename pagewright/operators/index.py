@@ -123,6 +123,22 @@ def visible_to(docs: DataFrame, user: str) -> DataFrame:
     return docs.where(F.col("is_public") | F.array_contains("readable_by", user))
 
 
+def visible_to_owner(is_public: str, owner: str, reader: str) -> F.Column:
+    """The same rule on inode columns, whose readers are their owner: public, or the reader's own."""
+    own = F.col(owner).cast("string") == F.col(reader).cast("string")
+    return F.coalesce(F.col(is_public), F.lit(False)) | F.coalesce(own, F.lit(False))
+
+
+def in_subtree(docs: DataFrame, intervals: DataFrame, folder_id: int) -> DataFrame:
+    """Inode and page docs of a folder and all below it by the tree itself (not by
+    stored paths): one range of the walk, see ``tree.tree_intervals``."""
+    top = intervals.where(F.col("id") == folder_id).first()
+    if top is None or top["enter"] is None:
+        return docs.limit(0)
+    below = intervals.where((F.col("enter") >= top["enter"]) & (F.col("leave") <= top["leave"])).select(F.col("id").cast("string").alias("_root"))
+    return docs.withColumn("_root", F.coalesce("parent_id", "doc_id")).join(below, "_root", "left_semi").drop("_root")
+
+
 def flat_docs(docs: DataFrame) -> DataFrame:
     """Docs with arrays flattened for comparison: readable_by joined, the
     vector reduced to its width and rounded first element."""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import ensure_checkpoint_dir, materialize
 from .ids import global_positions
 
+LEVELS = 8      # walked one by one before the whole tree is numbered
+
 
 def resolve_paths(inodes: DataFrame) -> DataFrame:
     """Full path of every inode: '/'-joined names from the root down.
@@ -137,31 +141,44 @@ def inside(intervals: DataFrame, roots: DataFrame, block: int = 1 << 16, most_bl
             .where(F.col("id").isNotNull() & (F.col("_here") + F.col("_open") > 0)).select("id", "enter", "leave"))
 
 
-def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id", intervals: DataFrame | None = None) -> DataFrame:
+def descendants(inodes: DataFrame, roots: DataFrame, id_col: str = "id", intervals: DataFrame | None = None,
+                levels: int = LEVELS) -> DataFrame:
     """Ids of ``roots`` and of every inode below them.
 
-    Through the intervals of :func:`tree_intervals` (which may be passed in, if they are
-    known): no round per level.  Inodes on or below a cycle have none; those are walked
-    level by level, each at most once."""
+    The first ``levels`` are walked down from the roots, each by a join of the edges with the
+    last level.  What goes on below that is found through the intervals of
+    :func:`tree_intervals` (used at once if they are passed in): no round per level.
+    Inodes on or below a cycle have no interval; those are walked level by level,
+    each at most once."""
     ensure_checkpoint_dir(inodes.sparkSession)
-    roots = materialize(roots.select(F.col(id_col).alias("id")).distinct(), "roots")
-    intervals = tree_intervals(inodes) if intervals is None else intervals
-    found = roots.unionByName(inside(intervals, roots).select("id"))
+    asked = roots.select(F.col(id_col).alias("id")).distinct()
+    edges = inodes.select("id", "parent_id")
+    if intervals is None:
+        found, deeper = _level_by_level(edges.where(F.col("parent_id").isNotNull()), asked, levels)
+        if deeper is None:
+            return found
+        asked, intervals = deeper, tree_intervals(inodes)
+    else:
+        asked = found = materialize(asked, "roots")
+    found = found.unionByName(inside(intervals, asked).select("id"))
     looped = intervals.where(F.col("enter").isNull()).select("id")
     if looped.limit(1).count():
-        edges = materialize(inodes.select("id", "parent_id").join(looped, "id", "left_semi"), "looped")
-        found = found.unionByName(_level_by_level(edges, edges.join(roots, "id", "left_semi").select("id")))
+        among = materialize(edges.join(looped, "id", "left_semi"), "looped")
+        found = found.unionByName(_level_by_level(among, among.join(asked, "id", "left_semi").select("id"))[0])
     return found.distinct()
 
 
-def _level_by_level(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """Ids reached from ``roots`` over (id, parent_id), a node at most once."""
+def _level_by_level(edges: DataFrame, roots: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Ids reached from ``roots`` over (id, parent_id), a node at most once; and the last level,
+    if ``levels`` ended the walk."""
     reached = frontier = roots.checkpoint(eager=True)
-    while True:
+    for level in count():
+        if level == levels:
+            return reached, frontier
         frontier = (edges.join(frontier.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
                     .select("id").distinct().join(reached, "id", "left_anti").checkpoint(eager=True))
         if frontier.limit(1).count() == 0:
-            return reached
+            return reached, None
         reached = reached.unionByName(frontier).checkpoint(eager=True)
 
 

@@ -9,6 +9,7 @@ both sides; floats are rounded to 6 digits, ranks break ties by id.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,12 +23,17 @@ from ..operators import embed as E
 from ..operators import extract as X
 from ..operators import index as IX
 from ..operators import knn as K
+from ..operators import pq as PQ
+from ..operators import relations as R
 from ..operators import messages as M
 from ..operators import search as S
 from ..operators.ids import assign_batches, assign_ids, global_positions, latest_by_key
 from ..operators.tables import apply_defaults, lookup_inodes, page_counts, set_flags, upsert_pages
-from ..operators.tree import cascade_delete, resolve_paths
+from ..operators.retrieval import retrieve_sources
+from ..operators.tree import cascade_delete, resolve_paths, tree_intervals
+from ..session import materialize
 from ..sources import TestTables, decode_messages
+from ..sources.fixtures import _sql
 from . import jobs as J
 from . import oracle_views as V
 
@@ -98,13 +104,12 @@ def q_all_inode_ids(t):
 
 
 @query("upload_manifest", V.with_views("fx_inodes") + f"""
-SELECT id, {V.optimized_object_path('owner_id', 'path')} AS object_key,
+SELECT id, 'optimized' AS kind, {V.object_path('owner_id', 'path')} AS source_key, {V.optimized_object_path('owner_id', 'path')} AS object_key,
   {V.optimized_object_path('owner_id', 'path')} = {V.object_path('owner_id', 'path')} AS collides
 FROM fx_inodes WHERE type = 'file' AND error IS NULL""")
 def q_upload_manifest(t):
     f = t.fx_inodes.where((F.col("type") == "file") & F.col("error").isNull())
-    return f.select("id", optimized_object_path("owner_id", "path").alias("object_key"),
-                    (optimized_object_path("owner_id", "path") == object_path("owner_id", "path")).alias("collides"))
+    return J.upload_manifest(f)
 
 
 INC900 = """inc AS (SELECT i.id AS inode_id, CAST(i.from_page + d.k AS INTEGER) AS index,
@@ -387,9 +392,9 @@ def q_is_ready(t):
     return t.fx_inodes.select("id", is_ready().alias("is_ready"))
 
 
-TAGS = """SELECT id, 'original' AS kind, {op} AS object_key, CASE WHEN is_public THEN 'True' ELSE 'False' END AS tag
+TAGS = """SELECT id, 'original' AS kind, {op} AS object_key, CASE WHEN is_public THEN 'True' ELSE 'False' END AS tag, {op} = {oo} AS collides
 FROM {src} UNION ALL
-SELECT id, 'optimized', {oo}, CASE WHEN is_public THEN 'True' ELSE 'False' END FROM {src}"""
+SELECT id, 'optimized', {oo}, CASE WHEN is_public THEN 'True' ELSE 'False' END, false FROM {src} WHERE {op} <> {oo}"""
 
 
 @query("public_tags", V.with_views("fx_inodes", extra="pub AS (SELECT * FROM fx_inodes WHERE type = 'file' AND is_public)")
@@ -484,10 +489,11 @@ def q_resolve_paths(t):
 ch AS (SELECT DISTINCT i.id, i.owner_id, i.path, r.path AS new_path FROM msgs m JOIN fx_inodes i ON i.id = m.after_id
   JOIN resolved r ON r.id = i.id
   WHERE m.routing_key = 'move_inode' AND i.type = 'file' AND r.path IS NOT NULL
-    AND r.path IS DISTINCT FROM i.path)""") + f"""
-SELECT id, 'original' AS kind, {V.object_path('owner_id', 'path')} AS old_key, {V.object_path('owner_id', 'new_path')} AS new_key FROM ch
-UNION ALL
-SELECT id, 'optimized', {V.optimized_object_path('owner_id', 'path')}, {V.optimized_object_path('owner_id', 'new_path')} FROM ch""")
+    AND r.path IS DISTINCT FROM i.path),""" + f"""
+ck AS (SELECT id, {V.object_path('owner_id', 'path')} AS o, {V.optimized_object_path('owner_id', 'path')} AS oo,
+  {V.object_path('owner_id', 'new_path')} AS n, {V.optimized_object_path('owner_id', 'new_path')} AS no FROM ch)""") + """
+SELECT id, 'original' AS kind, o AS old_key, n AS new_key, o = oo OR n = no AS collides FROM ck
+UNION ALL SELECT id, 'optimized', oo, no, false FROM ck WHERE o <> oo AND n <> no""")
 def q_move_manifest(t):
     return J.move(_requests(t, ["move_inode"]), t.fx_inodes)["manifest"]
 
@@ -501,8 +507,10 @@ def q_share_tags(t):
 
 @query("delete_manifest", V.with_views("msgs", extra="""dl AS (SELECT seq, before_id AS id, before_owner_id AS owner_id,
   before_path AS path FROM msgs WHERE routing_key = 'delete_inode' AND before_type = 'file')""") + f"""
-SELECT seq, id, 'original' AS kind, {V.object_path('owner_id', 'path')} AS object_key FROM dl
-UNION ALL SELECT seq, id, 'optimized', {V.optimized_object_path('owner_id', 'path')} FROM dl""")
+SELECT seq, id, 'original' AS kind, {V.object_path('owner_id', 'path')} AS object_key,
+  {V.object_path('owner_id', 'path')} = {V.optimized_object_path('owner_id', 'path')} AS collides FROM dl
+UNION ALL SELECT seq, id, 'optimized', {V.optimized_object_path('owner_id', 'path')}, false FROM dl
+  WHERE {V.object_path('owner_id', 'path')} <> {V.optimized_object_path('owner_id', 'path')}""")
 def q_delete_manifest(t):
     return J.delete(_decoded(t).where(F.col("routing_key") == "delete_inode"))["manifest"]
 
@@ -645,18 +653,9 @@ src AS (SELECT qid AS prompt_id, id AS page_id, CAST(rank AS INTEGER) AS rank, 1
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d2, 9), id) AS rank FROM sc) WHERE rank <= 5)"""
 
 
-def _sources(t, k: int = 5) -> DataFrame:
-    """O-R3: top-k pages of the conversation's own files per prompt;
-    similarity = 1 / (1 + squared L2 distance)."""
-    q = t.fx_prompts.where(F.col("embedding").isNotNull()).select(
-        F.col("conversation_id").alias("grp"), F.col("id").alias("qid"), F.col("embedding").alias("qvec"))
-    pages = t.fx_pages.where(F.col("embedding").isNotNull() & non_empty("contents"))
-    v = (t.fx_conversations_inodes.join(pages.withColumnRenamed("id", "vid"), "inode_id")
-         .select(F.col("conversation_id").alias("grp"), "vid", F.col("embedding").alias("vvec")))
-    out = K.knn_scoped(q, v, k=k)
-    return out.select(F.col("qid").alias("prompt_id"), F.col("vid").alias("page_id"),
-                      F.col("rank").cast("int").alias("rank"),
-                      (1.0 / (1.0 + F.col("distance") * F.col("distance"))).alias("similarity"))
+def _sources(t) -> DataFrame:
+    """O-R3 without visibility: the conversation's own files."""
+    return retrieve_sources(t.fx_prompts, t.fx_pages, t.fx_conversations_inodes)
 
 
 @query("retrieve_sources", V.with_views("fx_pages", "fx_prompts", "fx_conversations_inodes", extra=SCOPED) + """
@@ -1111,3 +1110,197 @@ def q_read_table(t):
     write_table(apply_defaults(t.fx_inodes, "inodes", now=NOW), "inodes", base, 1)
     df = read_table(t.spark, "inodes/v00000001", base)
     return df.select("id", "owner_id", "type", "path", "parent_id", "to_page", "error", is_ready().alias("is_ready"))
+
+
+# -- relations: navigations, deletions over the declared keys, audits of all tables -------
+
+REL = {
+    "fx_conversations": """SELECT DISTINCT conv_id AS id, conv_id % 25 AS owner_id,
+  CASE WHEN conv_id % 9 = 0 THEN 'completion_context_exceeded' END AS error FROM {conversations}""",
+    "fx_sources": """SELECT q.id AS prompt_id, p.id AS page_id, CAST(0.5 AS DOUBLE) AS similarity FROM {fx_prompts} q
+  JOIN {fx_conversations_inodes} l ON l.conversation_id = q.conversation_id JOIN {fx_pages} p ON p.inode_id = l.inode_id""",
+    "fx_conversations_bad": """SELECT id, CASE WHEN id % 19 = 0 THEN 555000 + id WHEN id % 17 = 0 THEN NULL ELSE owner_id END AS owner_id,
+  CASE WHEN id % 13 = 0 THEN 'odd' ELSE error END AS error FROM {fx_conversations}
+UNION ALL SELECT id, owner_id, error FROM {fx_conversations} WHERE id % 31 = 0""",
+    "fx_prompts_bad": """SELECT id, CASE WHEN id % 23 = 0 THEN 66000000 + id ELSE conversation_id END AS conversation_id,
+  CASE WHEN id % 29 = 0 THEN NULL ELSE query END AS query, CASE WHEN id % 37 = 0 THEN 'odd' END AS error FROM {fx_prompts}""",
+    "fx_sources_bad": """SELECT prompt_id, CASE WHEN page_id % 41 = 0 THEN 99000000 ELSE page_id END AS page_id,
+  CASE WHEN (prompt_id + page_id) % 43 = 0 THEN NULL ELSE similarity END AS similarity FROM {fx_sources}""",
+}
+REL_NEEDS = {"fx_conversations": ["conversations"], "fx_sources": ["fx_prompts", "fx_conversations_inodes", "fx_pages"],
+             "fx_conversations_bad": ["fx_conversations"], "fx_prompts_bad": ["fx_prompts"], "fx_sources_bad": ["fx_sources"]}
+
+
+class _Slots(dict):
+    def __missing__(self, key):
+        return key
+
+
+def _rel_ctes(*names: str) -> str:
+    """The views as CTEs for DuckDB, in the order given."""
+    return ",\n".join(f"{n} AS ({REL[n].format_map(_Slots())})" for n in names)
+
+
+def _rel(t, name: str) -> DataFrame:
+    if name not in REL:
+        return getattr(t, name)
+    return _sql(t.spark, REL[name], **{n: _rel(t, n) for n in REL_NEEDS[name]})
+
+
+def _rel_tables(t) -> dict[str, DataFrame]:
+    return {"users": t.fx_users, "conversations": _rel(t, "fx_conversations"), "inodes": t.fx_inodes, "pages": t.fx_pages,
+            "prompts": t.fx_prompts, "conversations_inodes": t.fx_conversations_inodes, "sources": _rel(t, "fx_sources")}
+
+
+REL_VIEWS = ("fx_users", "fx_inodes", "fx_pages", "fx_prompts", "fx_conversations_inodes")
+GONE = """gc AS (SELECT id FROM fx_conversations WHERE CONVERSATIONS),
+gi(id) AS (SELECT id FROM fx_inodes WHERE INODES UNION SELECT c.id FROM fx_inodes c JOIN gi ON c.parent_id = gi.id),
+gp AS (SELECT id FROM fx_pages WHERE inode_id IN (SELECT id FROM gi)),
+gq AS (SELECT id FROM fx_prompts WHERE conversation_id IN (SELECT id FROM gc))"""
+GONE_ROWS = """SELECT 'conversations' AS kind, CAST(id AS VARCHAR) AS key1, CAST(NULL AS VARCHAR) AS key2 FROM gc
+UNION ALL SELECT 'inodes', CAST(id AS VARCHAR), NULL FROM gi UNION ALL SELECT 'pages', CAST(id AS VARCHAR), NULL FROM gp
+UNION ALL SELECT 'prompts', CAST(id AS VARCHAR), NULL FROM gq
+UNION ALL SELECT DISTINCT 'conversations_inodes', CAST(conversation_id AS VARCHAR), CAST(inode_id AS VARCHAR) FROM fx_conversations_inodes
+  WHERE conversation_id IN (SELECT id FROM gc) OR inode_id IN (SELECT id FROM gi)
+UNION ALL SELECT DISTINCT 'sources', CAST(prompt_id AS VARCHAR), CAST(page_id AS VARCHAR) FROM fx_sources
+  WHERE prompt_id IN (SELECT id FROM gq) OR page_id IN (SELECT id FROM gp)"""
+
+
+@query("cascade_conversations", V.with_views(*REL_VIEWS, recursive=True, extra=_rel_ctes("fx_conversations", "fx_sources") + ",\n"
+       + GONE.replace("CONVERSATIONS", "id % 7 = 0").replace("INODES", "false")) + GONE_ROWS)
+def q_cascade_conversations(t):
+    """Conversations go, and with them their prompts, the prompts' sources and the links to files."""
+    tables = _rel_tables(t)
+    return R.cascade(tables, "conversations", tables["conversations"].where("id % 7 = 0").select("id"))
+
+
+@query("cascade_users", V.with_views(*REL_VIEWS, recursive=True, extra=_rel_ctes("fx_conversations", "fx_sources") + ",\n"
+       + GONE.replace("CONVERSATIONS", "owner_id IN (SELECT id FROM fx_users WHERE id % 5 = 0)")
+       .replace("INODES", "owner_id IN (SELECT id FROM fx_users WHERE id % 5 = 0)")) + GONE_ROWS + """
+UNION ALL SELECT 'users', CAST(id AS VARCHAR), NULL FROM fx_users WHERE id % 5 = 0""")
+def q_cascade_users(t):
+    """Users go with everything they own."""
+    tables = _rel_tables(t)
+    return R.cascade(tables, "users", tables["users"].where("id % 5 = 0").select("id"), owned=True)
+
+
+@query("navigations", V.with_views(*REL_VIEWS, extra=_rel_ctes("fx_conversations", "fx_sources")) + """
+SELECT 'user_conversations' AS nav, u.id AS a, c.id AS b FROM fx_users u JOIN fx_conversations c ON c.owner_id = u.id
+UNION ALL SELECT 'user_inodes', u.id, i.id FROM fx_users u JOIN fx_inodes i ON i.owner_id = u.id
+UNION ALL SELECT 'conversation_files', l.conversation_id, i.id FROM fx_conversations_inodes l JOIN fx_inodes i ON i.id = l.inode_id
+UNION ALL SELECT 'conversation_prompts', c.id, q.id FROM fx_conversations c JOIN fx_prompts q ON q.conversation_id = c.id
+UNION ALL SELECT 'inode_pages', i.id, p.id FROM fx_inodes i JOIN fx_pages p ON p.inode_id = i.id
+UNION ALL SELECT 'prompt_sources', s.prompt_id, p.inode_id FROM fx_sources s JOIN fx_prompts q ON q.id = s.prompt_id
+  JOIN fx_pages p ON p.id = s.page_id JOIN fx_inodes i ON i.id = p.inode_id""")
+def q_navigations(t):
+    tables = _rel_tables(t)
+    navs = {"user_conversations": ("user_id", "conversation_id"), "user_inodes": ("user_id", "inode_id"),
+            "conversation_files": ("conversation_id", "inode_id"), "conversation_prompts": ("conversation_id", "prompt_id"),
+            "inode_pages": ("inode_id", "page_id"), "prompt_sources": ("prompt_id", "inode_id")}
+    parts = [getattr(R, n)(tables).select(F.lit(n).alias("nav"), F.col(a).cast("bigint").alias("a"), F.col(b).cast("bigint").alias("b"))
+             for n, (a, b) in navs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+BAD = {"users": "fx_users", "conversations": "fx_conversations_bad", "inodes": "fx_inodes_bad", "pages": "fx_pages_bad",
+       "prompts": "fx_prompts_bad", "conversations_inodes": "fx_links_bad", "sources": "fx_sources_bad"}
+
+
+def _key_sql(table: str) -> str:
+    return " || '/' || ".join(f"CAST({c} AS VARCHAR)" for c in R.PRIMARY_KEYS[table])
+
+
+def _audit_sql() -> str:
+    held = {"users": ["id", "name", "email"], "conversations": ["id", "owner_id", "error"], "prompts": ["id", "conversation_id", "query", "error"],
+            "inodes": ["id", *NN_INODES, "error"], "pages": ["id", *NN_PAGES], "conversations_inodes": R.PRIMARY_KEYS["conversations_inodes"],
+            "sources": ["prompt_id", "page_id", "similarity"]}
+    parts = [f"SELECT 'foreign_key' AS rule, '{k.child}' AS tbl, '{k.column}' AS col, {_key_sql(k.child)} AS key FROM {BAD[k.child]} c "
+             f"WHERE {k.column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {BAD[k.parent]} p WHERE p.id = c.{k.column})" for k in R.FOREIGN_KEYS]
+    parts += [f"SELECT 'primary_key', '{t}', '{','.join(keys)}', {_key_sql(t)} FROM {BAD[t]} GROUP BY {', '.join(keys)} HAVING count(*) > 1"
+              for t, keys in R.PRIMARY_KEYS.items()]
+    for (t, c), domain in schemas.ENUMS.items():
+        parts.append(f"SELECT 'enum', '{t}', '{c}', {_key_sql(t)} FROM {BAD[t]} WHERE {c} NOT IN ({', '.join(repr(d) for d in domain)})")
+    for t in BAD:
+        parts += [f"SELECT 'not_null', '{t}', '{c}', {_key_sql(t)} FROM {BAD[t]} WHERE {c} IS NULL"
+                  for c in schemas.not_null_columns(t) if c in held[t]]
+    return "\nUNION ALL ".join(parts)
+
+
+@query("audit_tables", V.with_views("fx_users", "fx_inodes_bad", "fx_pages_bad", "fx_links_bad", "fx_prompts", extra=_rel_ctes(
+    "fx_conversations", "fx_sources", "fx_conversations_bad", "fx_prompts_bad", "fx_sources_bad")) + _audit_sql())
+def q_audit_tables(t):
+    """All nine foreign keys, seven primary keys, four enums and every NOT NULL column, over tables
+    with seeded violations."""
+    tables = {name: _rel(t, view) for name, view in BAD.items()}
+    return R.all_orphans(tables).unionByName(R.all_duplicates(tables)).unionByName(R.all_bad_values(tables))
+
+
+@query("folder_sizes", V.with_views("fx_inodes", recursive=True, extra="""d(top, id) AS (SELECT id, id FROM fx_inodes
+  UNION ALL SELECT d.top, c.id FROM d JOIN fx_inodes c ON c.parent_id = d.id)""") + "SELECT top AS id, count(*) - 1 AS n_below FROM d GROUP BY top")
+def q_folder_sizes(t):
+    """How many inodes lie below each: half of its interval in the walk through the tree."""
+    return tree_intervals(t.fx_inodes).select("id", ((F.col("leave") - F.col("enter") - 1) / 2).cast("bigint").alias("n_below"))
+
+
+@query("subtree_docs", V.with_views("fx_inodes", "fx_pages", recursive=True, extra=DOCS_ALL + """,
+d(id) AS (SELECT id FROM fx_inodes WHERE id = 2 UNION ALL SELECT c.id FROM fx_inodes c JOIN d ON c.parent_id = d.id)""") + """
+SELECT doc_id, kind FROM docs WHERE coalesce(parent_id, doc_id) IN (SELECT CAST(id AS VARCHAR) FROM d)""")
+def q_subtree_docs(t):
+    """Documents of the folder 'src1' and all below it by the tree, stale paths notwithstanding."""
+    return IX.in_subtree(_rebuild_docs(t), tree_intervals(t.fx_inodes), 2).select("doc_id", "kind")
+
+
+# -- retrieval: visibility, token limit, product quantisation ------------------------------
+
+@query("visible_sources", V.with_views("fx_inodes", "fx_pages", "fx_prompts", "fx_conversations_inodes", extra=_rel_ctes("fx_conversations") + """,
+sc AS (SELECT q.id AS qid, p.id, list_sum(list_transform(range(1, len(q.embedding) + 1),
+  lambda i: (CAST(q.embedding[i] AS DOUBLE) - CAST(p.embedding[i] AS DOUBLE)) ** 2)) AS d2
+  FROM fx_prompts q JOIN fx_conversations_inodes l ON l.conversation_id = q.conversation_id JOIN fx_pages p ON p.inode_id = l.inode_id
+  JOIN fx_inodes i ON i.id = l.inode_id JOIN fx_conversations c ON c.id = q.conversation_id
+  WHERE q.embedding IS NOT NULL AND p.embedding IS NOT NULL AND length(p.contents) > 0 AND (i.is_public OR i.owner_id = c.owner_id))""") + """
+SELECT qid AS prompt_id, id AS page_id, CAST(rank AS INTEGER) AS rank, round(1.0 / (1.0 + d2), 6) AS similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(d2, 9), id) AS rank FROM sc) WHERE rank <= 5""")
+def q_visible_sources(t):
+    """Sources among the pages that the conversation's owner may read."""
+    return retrieve_sources(t.fx_prompts, t.fx_pages, t.fx_conversations_inodes, inodes=t.fx_inodes, conversations=_rel(t, "fx_conversations")).withColumn(
+        "similarity", F.round("similarity", 6))
+
+
+TOKEN_LIMIT = 100
+
+
+class _Pieces:
+    """A small tokenizer: letters, digits or single other characters, each with the space before it."""
+
+    def encode(self, text: str) -> list:
+        import re
+        return re.findall(" ?(?:[a-zA-Z]+|[0-9]|[^a-zA-Z0-9])", text, re.S)
+
+    def decode(self, pieces: list) -> str:
+        return "".join(pieces)
+
+
+@query("truncate_tokenizer", f"""
+SELECT doc_id, md5(array_to_string(list_slice(p, 1, {TOKEN_LIMIT}), '')) AS text_md5, CAST(least(len(p), {TOKEN_LIMIT}) AS INTEGER) AS n_tokens
+FROM (SELECT doc_id, regexp_extract_all({V.squash('text')}, '(?s) ?(?:[a-zA-Z]+|[0-9]|[^a-zA-Z0-9])') AS p FROM documents)""")
+def q_truncate_tokenizer(t):
+    """The model's token limit with a supplied tokenizer, set once per task."""
+    cut = E.truncate_pages(t.documents, _Pieces, TOKEN_LIMIT, text_col="text")
+    return cut.select("doc_id", F.md5("text").alias("text_md5"), "n_tokens")
+
+
+@query("knn_pq", V.with_views("fx_prompts") + """
+SELECT id AS qid, CAST(10 AS BIGINT) AS n_found, true AS recall_90, true AS under_30_percent FROM fx_prompts WHERE embedding IS NOT NULL""")
+def q_knn_pq(t):
+    """Approximate search over product-quantised codes: per prompt the rows it found, with
+    what the whole search reached: recall of the exact answer, share of rows whose vector was read."""
+    pages = materialize(t.fx_pages.where(F.col("embedding").isNotNull()).select("id", "embedding"), "page-vectors")
+    prompts = materialize(t.fx_prompts.where(F.col("embedding").isNotNull()).select("id", "embedding"), "prompt-vectors")
+    codec = PQ.fit(pages)
+    found, scored = PQ.search(prompts, pages, materialize(PQ.encode(pages, codec), "codes"), codec, k=10)
+    found = materialize(found, "found")
+    hit = PQ.recall(found, K.knn_exact(prompts, pages, k=10)).agg((F.sum("n_hit") / F.sum("n_exact")).alias("recall"))
+    share = scored.agg((F.count(F.lit(1)) / F.lit(float(max(1, pages.count() * prompts.count())))).alias("share"))
+    reached, read = hit.first()[0], share.first()[0]
+    return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_found")).select(
+        "qid", "n_found", F.lit(reached >= 0.9).alias("recall_90"), F.lit(read < 0.3).alias("under_30_percent"))

@@ -71,8 +71,8 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
               .withColumn("new_error", X.ingest_status(F.col("pdf"), F.col("_corrupt")))
               .withColumn("n_texts", F.col("n_pages"))
               .drop("_corrupt", "n_pages"))
-    if extractor is not None:       # one call per object, however often the result is used
-        status = materialize(status, "extracted")
+    # Written once: one extraction per object, however many outputs use it.
+    status = materialize(status, "extracted")
     ok = status.where(F.col("new_error").isNull() & F.col("texts").isNotNull())
     numbered = X.number_pages(ok.join(inodes.select("id", "from_page"), "id"), texts="texts")
     new_pages = upsert_pages(pages, numbered, next_id=next_page_id)
@@ -90,9 +90,7 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
                   .drop("new_error", "n_texts", "_done", "_failed"))
 
     good = new_inodes.join(ok.select("id"), "id", "left_semi")
-    uploads = good.select("id", optimized_object_path("owner_id", "path").alias("object_key"),
-                          (optimized_object_path("owner_id", "path") == object_path("owner_id", "path"))
-                          .alias("collides"))
+    uploads = upload_manifest(good)
     tags = public_tags(good.where(F.col("is_public")))
     processed = found.select("seq", "id").join(no_object, "id", "left_anti")
     after = _ready_view(new_inodes)
@@ -111,14 +109,42 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
     }
 
 
+def object_keys(path: str = "path") -> F.Column:
+    """A file's objects as (kind, object_key, collides): the original and the optimised one.
+    Where the optimised key is the original's (no folder, no extension), there is one
+    object only, and ``collides`` says so."""
+    original, optimized = object_path("owner_id", path), optimized_object_path("owner_id", path)
+
+    def one(kind: str, key: F.Column, collides: bool) -> F.Column:
+        return F.struct(F.lit(kind).alias("kind"), key.alias("object_key"), F.lit(collides).alias("collides"))
+
+    return (F.when(original == optimized, F.array(one("original", original, True)))
+            .otherwise(F.array(one("original", original, False), one("optimized", optimized, False))))
+
+
+def upload_manifest(inodes: DataFrame) -> DataFrame:
+    """Optimised objects to write: the object they are made from, their key, and whether that
+    key is the original's own, which the upload then replaces."""
+    source, target = object_path("owner_id", "path"), optimized_object_path("owner_id", "path")
+    return inodes.select("id", F.lit("optimized").alias("kind"), source.alias("source_key"), target.alias("object_key"), (source == target).alias("collides"))
+
+
 def public_tags(inodes: DataFrame) -> DataFrame:
-    """Tag both objects of each inode (original and optimised key) with
-    ``is_public`` as 'True' / 'False'."""
-    keys = F.array(F.struct(F.lit("original").alias("kind"), object_path("owner_id", "path").alias("object_key")),
-                   F.struct(F.lit("optimized").alias("kind"),
-                            optimized_object_path("owner_id", "path").alias("object_key")))
-    return (inodes.select("id", "is_public", F.explode(keys).alias("_k"))
-            .select("id", "_k.kind", "_k.object_key", public_tag("is_public").alias("tag")))
+    """Tag the objects of each inode (original and optimised key) with
+    ``is_public`` as 'True' / 'False'; a key that both share is tagged once."""
+    return (inodes.select("id", "is_public", F.explode(object_keys()).alias("_k"))
+            .select("id", "_k.kind", "_k.object_key", public_tag("is_public").alias("tag"), "_k.collides"))
+
+
+def move_pairs(files: DataFrame, new_path: str = "new_path") -> DataFrame:
+    """(id, kind, old_key, new_key, collides) of moved files.  The optimised object is moved
+    beside the original only where it is one of its own before and after."""
+    old, new = object_keys(), object_keys(new_path)
+    collides = (F.size(old) == 1) | (F.size(new) == 1)
+    kinds = F.when(collides, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    return (files.withColumn("_old", old).withColumn("_new", new).withColumn("_collides", collides).withColumn("_i", F.explode(kinds))
+            .select("id", F.expr("_old[_i].kind").alias("kind"), F.expr("_old[_i].object_key").alias("old_key"),
+                    F.expr("_new[_i].object_key").alias("new_key"), F.col("_collides").alias("collides")))
 
 
 # -- embed --------------------------------------------------------------------
@@ -221,14 +247,7 @@ def move(requests: DataFrame, inodes: DataFrame, resolved: DataFrame | None = No
            .join(resolved.select("id", F.col("path").alias("new_path")), "id"))
     # A path that cannot be resolved (missing ancestor) is not a move target.
     changed = cur.where(F.col("new_path").isNotNull() & path_changed("new_path", "path"))
-    pairs = F.array(
-        F.struct(F.lit("original").alias("kind"), object_path("owner_id", "path").alias("old_key"),
-                 object_path("owner_id", "new_path").alias("new_key")),
-        F.struct(F.lit("optimized").alias("kind"), optimized_object_path("owner_id", "path").alias("old_key"),
-                 optimized_object_path("owner_id", "new_path").alias("new_key")))
-    manifest = (changed.where(is_file("type"))
-                .select("id", "owner_id", "path", F.explode(pairs).alias("_p"))
-                .select("id", "_p.kind", "_p.old_key", "_p.new_key"))
+    manifest = move_pairs(changed.where(is_file("type")))
     upd = changed.select("id", "new_path")
     new_inodes = (inodes.join(upd, "id", "left")
                   .withColumn("should_move", F.when(F.col("new_path").isNotNull(), F.lit(False))
@@ -266,12 +285,9 @@ def delete(decoded: DataFrame, docs: DataFrame | None = None, inodes: DataFrame
     go, and so do the index docs of all of them."""
     before = decoded.select("seq", F.col("before_id").alias("id"), F.col("before_type").alias("type"),
                             F.col("before_owner_id").alias("owner_id"), F.col("before_path").alias("path"))
-    keys = F.array(F.struct(F.lit("original").alias("kind"), object_path("owner_id", "path").alias("object_key")),
-                   F.struct(F.lit("optimized").alias("kind"),
-                            optimized_object_path("owner_id", "path").alias("object_key")))
     manifest = (before.where(is_file("type"))
-                .select("seq", "id", F.explode(keys).alias("_k"))
-                .select("seq", "id", "_k.kind", "_k.object_key"))
+                .select("seq", "id", F.explode(object_keys()).alias("_k"))
+                .select("seq", "id", "_k.kind", "_k.object_key", "_k.collides"))
     out = {"manifest": manifest}
     gone = before.select("id").where(F.col("id").isNotNull())
     if inodes is not None:

@@ -20,10 +20,10 @@ from __future__ import annotations
 import json
 from typing import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
-from ..functions import is_file, non_empty, object_path, optimized_object_path, path_changed
+from ..functions import is_file, non_empty, object_path, path_changed
 from ..operators import index as IX
 from ..operators import messages as M
 from ..operators.tree import resolve_paths_of
@@ -37,12 +37,6 @@ ROWS_PER_FILE = 250_000
 FACTS = ["id", "owner_id", "type", "path", "is_indexed", "is_public", "is_uploaded", "is_ingested", "is_embedded", "error"]
 
 
-def _keys(path: str) -> Column:
-    """Both objects of a file, as (kind, object_key) structs."""
-    return F.array(F.struct(F.lit("original").alias("kind"), object_path("owner_id", path).alias("object_key")),
-                   F.struct(F.lit("optimized").alias("kind"), optimized_object_path("owner_id", path).alias("object_key")))
-
-
 def _requests(ids: DataFrame) -> DataFrame:
     return ids.select(F.col("id").alias("seq"), "id").distinct()
 
@@ -185,11 +179,10 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     shared = J.public_tags(out["shared"].where(is_file("type")).withColumn("path", at_path))
     before_image = decoded.where((F.col("status") == "ok") & (F.col("task") == "delete_inode")).select(
         F.col("before_id").alias("id"), F.col("before_type").alias("type"), F.col("before_owner_id").alias("owner_id"), F.col("before_path").alias("path"))
-    removed = (before_image.where(is_file("type")).select("id", F.explode(_keys("path")).alias("_k"))
+    removed = (before_image.where(is_file("type")).select("id", F.explode(J.object_keys()).alias("_k"))
                .select("id", "_k.kind", "_k.object_key", F.lit("delete").alias("action"), F.lit(None).cast("string").alias("target")))
-    pairs = F.arrays_zip(_keys("path").alias("old"), _keys("new_path").alias("new"))
-    relocated = (out["moved"].where(is_file("type")).select("id", F.explode(pairs).alias("_k"))
-                 .select("id", "_k.old.kind", "_k.old.object_key", F.lit("move").alias("action"), F.col("_k.new.object_key").alias("target")))
+    relocated = J.move_pairs(out["moved"].where(is_file("type"))).select(
+        "id", "kind", F.col("old_key").alias("object_key"), F.lit("move").alias("action"), F.col("new_key").alias("target"))
     letters = decoded.where(F.col("status") != "ok").select("seq", "routing_key", F.col("status").alias("reason"))
     followups = materialize(out["followups"], "followups")
     outputs = {"followups": followups, "notifications": out["notifications"], "dead_letters": M.dead_letters(letters, out["dead_letters"]),

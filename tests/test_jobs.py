@@ -47,7 +47,7 @@ def test_ingest_statuses(spark):
     assert rows(out["pages"], "inode_id", "index", "contents") == [(1, 3, "Hello & bye"), (4, 0, "Hello & bye")]
     assert rows(out["dead_letters"], "seq", "reason") == [(5, "missing_object"), (6, "missing_inode")]
     assert sorted(r.routing_key for r in out["followups"].collect()) == ["embed_inode"] * 4  # K9
-    assert rows(out["tags"], "id", "kind", "tag") == [(1, "optimized", "True"), (1, "original", "True")]
+    assert rows(out["tags"], "id", "kind", "tag", "collides") == [(1, "original", "True", True)]      # K7: one object
 
 
 def test_embed_ranges_and_all_or_nothing(spark):
@@ -119,8 +119,7 @@ def test_move_paths_and_manifest(spark):
     assert rows(out["manifest"], "id", "kind", "old_key", "new_key") == [
         (3, "optimized", "users/u1/a/g_optimized.pdf", "users/u1/A/g_optimized.pdf"),
         (3, "original", "users/u1/a/g.pdf", "users/u1/A/g.pdf"),
-        (5, "optimized", "users/u1/s", "users/u1/r"),
-        (5, "original", "users/u1/s", "users/u1/r")]
+        (5, "original", "users/u1/s", "users/u1/r")]       # K7: one object
     assert {r.id: r.should_move for r in out["inodes"].collect()} == {i: False for i in range(1, 6)}
 
 
@@ -206,3 +205,18 @@ def test_supplied_extractor_failure_keeps_error_null(spark):
     assert rows(out["pages"], "inode_id", "index") == [(1, 0), (1, 1)]
     failed = {r.id: r.extract_error for r in out["status"].collect()}
     assert failed[1] is None and failed[2].startswith("ValueError")
+
+
+def test_colliding_keys_give_one_object(spark):
+    """A root-level file or one without extension has no optimised key of its own (K7)."""
+    ino = spark.createDataFrame([(1, "u", "/a.pdf", "/d/a.pdf", True), (2, "u", "/d/b", "/e/b", False), (3, "u", "/d/c.pdf", "/e/c.pdf", True)],
+                                "id long, owner_id string, path string, new_path string, is_public boolean")
+    assert rows(J.public_tags(ino), "id", "kind", "object_key", "collides") == [
+        (1, "original", "users/u/a.pdf", True), (2, "original", "users/u/d/b", True),
+        (3, "optimized", "users/u/d/c_optimized.pdf", False), (3, "original", "users/u/d/c.pdf", False)]
+    assert rows(J.move_pairs(ino), "id", "kind", "old_key", "new_key", "collides") == [
+        (1, "original", "users/u/a.pdf", "users/u/d/a.pdf", True), (2, "original", "users/u/d/b", "users/u/e/b", True),
+        (3, "optimized", "users/u/d/c_optimized.pdf", "users/u/e/c_optimized.pdf", False), (3, "original", "users/u/d/c.pdf", "users/u/e/c.pdf", False)]
+    assert rows(J.upload_manifest(ino), "id", "source_key", "object_key", "collides") == [
+        (1, "users/u/a.pdf", "users/u/a.pdf", True), (2, "users/u/d/b", "users/u/d/b", True),
+        (3, "users/u/d/c.pdf", "users/u/d/c_optimized.pdf", False)]

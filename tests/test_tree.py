@@ -52,6 +52,9 @@ def test_descendants_of_many_roots_and_through_cycles(spark):
     for roots in ([3], [3, 4, 40, 499], [1001], [1003, 7], [1005], [77777], []):
         asked = spark.createDataFrame([(r,) for r in roots * 2], "id long")
         assert {r["id"] for r in descendants(df, asked, intervals=intervals).collect()} == below(edges, roots)
+    for levels in (0, 1, 3):        # a few levels, then the intervals
+        asked = spark.createDataFrame([(3,), (1001,)], "id long")
+        assert {r["id"] for r in descendants(df, asked, levels=levels).collect()} == below(edges, [3, 1001])
     asked = spark.createDataFrame([(3,), (4,), (40,)], "id long")
     small = inside(intervals, asked, block=16)
     assert {r["id"] for r in small.collect()} == below(edges, [3, 4, 40])
