@@ -98,17 +98,21 @@ FOUND = "array<struct<kind:string,start:bigint,end:bigint,hash:string,random:boo
 
 
 def scan(docs: DataFrame, text_col: str, repo: Column, owner: Column, keep: list[str]) -> DataFrame:
-    """Row number, ``keep`` columns, repository, owner and candidates of every row (text read once)."""
+    """Row number, ``keep`` columns, repository, owner and candidates of every row (text read once).
+
+    The kept columns come back as u0, u1, ... in order, so no name of theirs can clash."""
+    texts_at = f"u{keep.index(text_col)}" if text_col in keep else "_scanned"
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            texts = f.pop("_scanned") if text_col not in keep else f[text_col]
+            texts = f.pop("_scanned") if texts_at == "_scanned" else f[texts_at]
             f["_found"] = [[{"kind": k, "start": s, "end": e, "hash": h, "random": r} for k, s, e, h, r in candidates(t or "")]
                            for t in texts]
             yield f
 
-    given = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`") for c in keep],
+    given = docs.select(F.monotonically_increasing_id().alias("_row"), *[F.col(f"`{c}`").alias(f"u{i}") for i, c in enumerate(keep)],
                         repo.cast("string").alias("_repo"), owner.cast("string").alias("_owner"),
-                        *([] if text_col in keep else [F.coalesce(F.col(text_col), F.lit("")).alias("_scanned")]))
+                        *([] if text_col in keep else [F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_scanned")]))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields if f.name != "_scanned")
     return given.mapInPandas(run, f"{fields}, _found {FOUND}")
 
@@ -128,10 +132,8 @@ def judged(at: DataFrame, copied_owners: int) -> DataFrame:
     """(_row, secrets) of the scanned rows that have any."""
     each = at.select("_row", "_repo", "_owner", F.explode("_found").alias("c")).select("_row", "_repo", "_owner", "c.*")
     verdict = ownership(each).select(F.col("hash").alias("_hash"), "n_repos", "n_owners")
-    # Candidates of a common value are spread over 16 keys; its one verdict row is copied to each.
-    spread = each.drop("_repo", "_owner").withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(16)))
-    verdict = verdict.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    told = (spread.join(verdict, (F.col("hash") == F.col("_hash")) & (F.col("_salt") == F.col("_copy")))
+    # One verdict row a value: the candidates of a very common value are split by the skew join.
+    told = (each.drop("_repo", "_owner").join(verdict, F.col("hash") == F.col("_hash"))
             .withColumn("class", F.when(F.col("n_owners") >= copied_owners, "example")
                         .when(F.col("random"), "live").otherwise("unclear"))
             .where(F.col("kind").isin(*BASE_KINDS) | (F.col("class") == "live")))
@@ -154,8 +156,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = owner if owner is not None else F.col("source")
     at = materialize(scan(docs, text_col, repo if repo is not None else own, own, [id_col]), "candidates")
     none = F.array().cast("array<struct<start:bigint,order:bigint,end:bigint,kind:string,hash:string,class:string>>")
-    return (at.select("_row", id_col).join(judged(at, copied_owners), "_row", "left")
-            .select(id_col, F.coalesce("secrets", none).alias("secrets")))
+    return (at.select("_row", "u0").join(judged(at, copied_owners), "_row", "left")
+            .select(F.col("u0").alias(id_col), F.coalesce("secrets", none).alias("secrets")))
 
 
 def redact_secrets(docs: DataFrame, text_col: str = "text", repo: Column | None = None, owner: Column | None = None,
@@ -164,16 +166,17 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", repo: Column | None
     widely copied example replaced by ``mark``.
 
     Only rows with candidates are joined with their verdicts; the others pass.
-    Null and empty texts stay as they are; so do repeated rows.
+    Null and empty texts stay as they are; so do repeated rows.  Columns may have
+    any names; an empty table gives no rows.
     """
     own = owner if owner is not None else F.col("source")
-    columns = docs.columns
-    at = materialize(scan(docs, text_col, repo if repo is not None else own, own, columns), "scanned")
+    columns, text_at = [f"u{i}" for i in range(len(docs.columns))], f"u{docs.columns.index(text_col)}"
+    at = materialize(scan(docs, text_col, repo if repo is not None else own, own, docs.columns), "scanned")
     clean = at.where(F.size("_found") == 0).select(*columns)
     told = judged(at, copied_owners).withColumn("secrets", F.filter("secrets", lambda s: s["class"] != "example"))
-    text = F.when(F.size("secrets") > 0, redacted(F.col(text_col), F.col("secrets"), mark)).otherwise(F.col(text_col))
-    changed = at.where(F.size("_found") > 0).join(told, "_row", "left").withColumn(text_col, text)
-    return clean.unionByName(changed.select(*columns))
+    text = F.when(F.size("secrets") > 0, redacted(F.col(text_at), F.col("secrets"), mark)).otherwise(F.col(text_at))
+    changed = at.where(F.size("_found") > 0).join(told, "_row", "left").withColumn(text_at, text)
+    return clean.unionByName(changed.select(*columns)).toDF(*docs.columns)
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
