@@ -351,8 +351,16 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (nulls last), then text hash.
 
     Texts without n-grams all stay.  Rows that repeat both id and text are the
-    same document and stay once.  All columns stay.
+    same document and stay once.  All columns stay, whatever their names; an empty
+    table gives no rows.
     """
+    names = docs.columns
+    plain = docs.toDF(*[f"u{i}" for i in range(len(names))])       # no name of the caller's can clash with one of ours
+    kept = _one_of_each(plain, f"u{names.index(id_col)}", f"u{names.index(text_col)}", similarity, n, rows, recall)
+    return kept.toDF(*names)
+
+
+def _one_of_each(docs: DataFrame, id_col: str, text_col: str, similarity: float, n: int, rows: int, recall: float) -> DataFrame:
     signed, classes, found = linked_classes(docs, id_col, text_col, similarity, n, rows, recall)
     best = (classes.select("fp", F.struct(F.col("rep._id").isNull().alias("last"), F.col("rep._id").alias("id"), F.col("rep._th").alias("th")).alias("k"))
             .join(class_groups(classes, found), "fp").groupBy("label").agg(F.min("k").alias("k")))
