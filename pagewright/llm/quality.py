@@ -4,22 +4,28 @@ Every line of a text has features of its own characters and words and those of
 the lines beside it.  A two-label chain (bad, good) gives each line its
 forward-backward marginal; marginals weighted by line length make the
 document's share of good text, and a fitted logistic curve turns that share
-into a probability.  Labels are known per document only, so a labelled
-document's lines all carry its label in the fit.
+into a probability.  Labels are known per document only: a line's label in the fit is
+its document's, unless a line classifier learned from all documents clearly says
+otherwise (see ``line_labels``).  So labels change inside documents and the chain
+learns where they do.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import materialize
 from .bpe import bounded
 
 FIT_DOCS = 2500         # labelled documents in the fit, at most
-FIT_LINES = 60          # lines of each of them, at most
+FIT_LINES = 400_000     # lines of all of them, at most (whole documents, in hash order)
+KEPT = 0.75             # of a document's lines keep its label in the fit, at least
+MARGIN = 2.0            # log-odds against its document's label from which a line changes it
 THRESHOLD = 0.7
 CLASSES = 8             # upper, lower, digit, space, stop marks, exclamation, symbols, other
 OWN = 17                # features of a line by itself
@@ -142,11 +148,33 @@ class LineModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(share / (1 - share)) + self.shift, -40, 40)))
 
 
+def line_labels(x: np.ndarray, per_text: np.ndarray, label: np.ndarray, rounds: int = 60, rate: float = 0.2) -> np.ndarray:
+    """0 or 1 per line: the document's label, but for lines that a logistic line classifier
+    holds to be of the other kind by ``MARGIN``.  The ``KEPT`` share of a document's lines
+    that are most like its label keep it; so do all lines of a document most of whose lines
+    do not show its label by themselves (what makes it good or bad lies between lines)."""
+    truth, weight = np.repeat(label, per_text), np.repeat(1.0 / per_text, per_text) / len(per_text)
+    w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
+    for step in range(1, rounds + 1):
+        g = x.T @ ((1 / (1 + np.exp(-np.clip(x @ w, -40, 40))) - truth) * weight) + 1e-3 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    alike = np.where(truth == 1, x @ w, -(x @ w))       # with the document's label
+    owner = np.repeat(np.arange(len(per_text)), per_text)
+    order = np.lexsort((-alike, owner))
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.arange(len(x)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+    agree = np.bincount(owner, weights=alike > 0, minlength=len(per_text)) / np.maximum(per_text, 1)
+    own = (alike > -MARGIN) | (place < np.ceil(KEPT * per_text)[owner]) | (agree < KEPT)[owner]
+    return np.where(own, truth, 1 - truth)
+
+
 def fit_lines(own: np.ndarray, size: np.ndarray, per_text: np.ndarray, label: np.ndarray, rounds: int = 80,
               rate: float = 0.1, ridge: float = 1e-3) -> LineModel:
     """Maximum likelihood by Adam, then the curve from share to probability."""
     x = with_neighbours(own, per_text)
     starts = np.cumsum(per_text) - per_text
+    lines_of = line_labels(x, per_text, label)
     batches = []                    # texts with about as many lines, padded to the longest
     order = np.argsort(per_text, kind="stable")
     for docs in np.array_split(order, 8):
@@ -154,8 +182,10 @@ def fit_lines(own: np.ndarray, size: np.ndarray, per_text: np.ndarray, label: np
             steps = int(per_text[docs].max())
             inside = np.arange(steps) < per_text[docs, None]
             index = np.minimum(starts[docs, None] + np.arange(steps), len(x) - 1)
-            batches.append((index, inside, per_text[docs], np.broadcast_to(label[docs, None], inside.shape)))
-    pairs = np.array([((1 - label) * (per_text - 1)).sum(), 0, 0, (label * (per_text - 1)).sum()]).reshape(2, 2)
+            batches.append((index, inside, per_text[docs], lines_of[index]))
+    owner = np.repeat(np.arange(len(per_text)), per_text)
+    beside = owner[1:] == owner[:-1]
+    pairs = np.bincount((2 * lines_of[:-1] + lines_of[1:])[beside].astype(np.int64), minlength=4).reshape(2, 2).astype(np.float64)
     p = [np.zeros(x.shape[1]), np.zeros((2, 2))]
     m, v = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p]
     lines = len(x)
@@ -189,12 +219,13 @@ def held_out(key: Column) -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                label_col: str = "quality", fit_docs: int = FIT_DOCS, lines_each: int = FIT_LINES) -> LineModel:
-    """Fit on at most ``fit_docs`` labelled documents (those with the smallest
-    hashes that are not held out) and at most ``lines_each`` lines of each.
+                label_col: str = "quality", fit_docs: int = FIT_DOCS, fit_lines_at_most: int = FIT_LINES) -> LineModel:
+    """Fit on a sample of labelled documents that are not held out: those with the smallest
+    hashes, at most ``fit_docs`` and at most ``fit_lines_at_most`` lines in all, each whole.
 
-    Rows with a null id or label are not learned from; without labels of both
-    kinds the model calls everything good.
+    Rows with a null id or label are not learned from; of rows that repeat an id one
+    is (that of the smallest text hash); without labels of both kinds the model calls
+    everything good.
     """
     known = (labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col)))
              .groupBy(id_col).agg(F.min(label_col).alias("label"))
@@ -202,16 +233,22 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            kept = ["\n".join(t.split("\n", lines_each)[:lines_each]) for t in f["_text"]]
-            own, size, per_text = line_features(kept)
+            own, size, per_text = line_features(f["_text"].tolist())
             ends = np.cumsum(per_text)
-            yield pd.DataFrame({"label": f["label"].astype("float64"),
+            yield pd.DataFrame({"at": f["at"], "label": f["label"].astype("float64"), "lines": per_text,
                                 "own": [own[e - n:e].ravel() for e, n in zip(ends, per_text)],
                                 "size": [size[e - n:e] for e, n in zip(ends, per_text)]})
 
-    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    held = (texts.join(F.broadcast(known), F.col("_id") == F.col(id_col)).select("_id", "_text", "label")
-            .mapInPandas(run, "label double, own array<double>, size array<bigint>").limit(2 * fit_docs).collect())
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
+    one = (texts.join(F.broadcast(known), F.col("_id") == F.col(id_col))
+           .groupBy("_id").agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"), F.first("label").alias("label"))
+           .withColumn("at", F.xxhash64("_id")))
+    made = materialize(one.select("at", "_text", "label").mapInPandas(
+        run, "at bigint, label double, lines bigint, own array<double>, size array<bigint>"), "labelled")
+    sizes = made.select("at", "lines").orderBy("at").collect()              # fit_docs rows at most
+    upto = [r["at"] for r, total in zip(sizes, accumulate(r["lines"] for r in sizes)) if total <= fit_lines_at_most]
+    held = made.where(F.col("at") <= upto[-1]).orderBy("at").collect() if upto else []
     label = np.array([r["label"] for r in held])
     if len(set(label.tolist())) < 2:
         width = 3 * OWN + 3

@@ -163,3 +163,36 @@ def test_features_do_not_depend_on_the_batch():
     assert np.allclose(own, np.concatenate([a[0] for a in alone]))
     model = quality.LineModel(np.random.default_rng(0).normal(size=3 * quality.OWN + 3), np.array([[.5, -.2], [-.3, .4]]))
     assert np.allclose(model.score(texts), [model.score([t])[0] for t in texts])
+
+
+def test_line_labels_change_inside_documents():
+    """Bad documents whose last lines read like the good ones: the fitted chain tells the two kinds apart."""
+    rng = np.random.default_rng(5)
+    good = lambda: " ".join(rng.choice(["the", "house", "stood", "quietly", "near", "a", "river"], 9)).capitalize() + "."
+    bad = lambda: "".join(rng.choice(list("!!$#@%&*0123456789ABCXYZ"), 40))
+    texts = ["\n".join(good() for _ in range(12)) for _ in range(300)] + ["\n".join([bad() for _ in range(10)] + [good() for _ in range(2)]) for _ in range(10)]
+    own, size, per_text = quality.line_features(texts)
+    label = np.array([1.0] * 300 + [0.0] * 10)
+    made = quality.line_labels(quality.with_neighbours(own, per_text), per_text, label).reshape(310, 12)
+    assert (made[:300] == 1).all() and (made[300:, :10] == 0).all() and made[300:, 11].mean() > 0.9
+    model = quality.fit_lines(own, size, per_text, label)
+    halves = np.array(model.good_share(*quality.line_features(["\n".join(bad() for _ in range(4)), "\n".join(good() for _ in range(4)),
+                                                               "\n".join([bad() for _ in range(4)] + [good() for _ in range(4)])])))
+    assert halves[0] < 0.2 and halves[1] > 0.8 and 0.15 < halves[2] < 0.9
+
+
+def test_document_score_is_the_weighted_marginals_by_enumeration():
+    """Every labelling of every line, weighed: the score of small texts without the recursion."""
+    import itertools
+    rng = np.random.default_rng(6)
+    model = quality.LineModel(rng.normal(size=3 * quality.OWN + 3) / 3, np.array([[.8, -.4], [-.1, .6]]), 1.3, -0.2)
+    for text in ("one line", "Two lines.\nHERE 12", "a\n\nb!!\nlonger line of words", "x\ny\nz\n\nw"):
+        own, size, per_text = quality.line_features([text])
+        emission = quality.with_neighbours(own, per_text) @ model.weights
+        weights, goods = [], []
+        for ys in itertools.product((0, 1), repeat=len(emission)):
+            weights.append(np.exp(sum(e * y for e, y in zip(emission, ys)) + sum(model.move[a, b] for a, b in zip(ys, ys[1:]))))
+            goods.append(sum(y * (n + 1.0) for y, n in zip(ys, size)) / (size + 1.0).sum())
+        share = np.clip(np.dot(weights, goods) / np.sum(weights), 1e-6, 1 - 1e-6)
+        want = 1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.shift)))
+        assert abs(model.score([text])[0] - want) < 1e-9

@@ -4,6 +4,9 @@ import re
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
+
+from pagewright.llm import credentials, ngram_join
 
 from test_near import brute
 from test_texts import base_secrets, check_packed
@@ -59,3 +62,26 @@ def test_packing_holds_every_document(outputs):
 def test_run_gives_the_stages_rows(spark, outputs):
     got = {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {(r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in outputs[4]}
+
+
+def test_stages_on_nulls_repeats_and_clashing_columns(spark):
+    good = "The river ran past the old mill and the people of the town came down to see it in the evening light. " * 3
+    rows = [(1, good, "en", "s1", 5), (2, good, "en", "s2", 5), (2, good, "en", "s2", 5), (None, good + "And more.", None, None, None),
+            (4, None, "en", "s1", None), (5, "", "en", "s1", 0), (6, "password = hunter2secret99 and nothing else here", "en", "s1", 3)]
+    extra = ("_row", "_hash", "_found", "_owner", "_repo", "secrets", "_gid", "_gth", "u0", "_n", "score", "_text")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, clashing = (sorted(map(str, stage(spark, d, SF).collect())) for d in (docs, wide))
+        assert plain == clashing, name
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        assert tuple(stage(spark, wide, SF).columns) == corpus_pipeline.COLUMNS
+    assert corpus_pipeline.pack(spark, wide, SF).select("doc_id").distinct().count() == 6
+    assert corpus_pipeline.pack(spark, docs.limit(0), SF).count() == 0
+    kept = ngram_join.keep_one_of_each(wide)
+    assert kept.columns == wide.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [1, 4, 5, 6]
+    masked = credentials.redact_secrets(wide)
+    assert masked.columns == wide.columns and masked.count() == len(rows)
+    got = {r["doc_id"]: r for r in masked.collect()}
+    assert got[6]["text"] == "password = hunter2secret99 and nothing else here".replace("password = hunter2secret99", "[SECRET]")
+    assert got[4]["text"] is None and [got[1][c] for c in extra] == list(range(len(extra)))
