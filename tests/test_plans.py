@@ -7,7 +7,7 @@ from pagewright.plans.catalog import QUERIES
 
 from conftest import SF_SMALL
 
-EAGER = {"run_feed", "read_objects", "read_feed", "read_table"}      # these run a job while building
+EAGER = {"run_feed", "run_feed_workers", "read_objects", "read_feed", "read_table"}      # these run a job while building
 
 
 def plan_of(df):
