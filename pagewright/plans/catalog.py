@@ -1297,10 +1297,12 @@ def q_knn_pq(t):
     pages = materialize(t.fx_pages.where(F.col("embedding").isNotNull()).select("id", "embedding"), "page-vectors")
     prompts = materialize(t.fx_prompts.where(F.col("embedding").isNotNull()).select("id", "embedding"), "prompt-vectors")
     codec = PQ.fit(pages)
-    found, scored = PQ.search(prompts, pages, materialize(PQ.encode(pages, codec), "codes"), codec, k=10)
+    rows = pages.count()
+    rerank = max(10, min(200, rows // 5))       # a fifth of a small table
+    found, scored = PQ.search(prompts, pages, materialize(PQ.encode(pages, codec), "codes"), codec, k=10, rerank=rerank)
     found = materialize(found, "found")
     hit = PQ.recall(found, K.knn_exact(prompts, pages, k=10)).agg((F.sum("n_hit") / F.sum("n_exact")).alias("recall"))
-    share = scored.agg((F.count(F.lit(1)) / F.lit(float(max(1, pages.count() * prompts.count())))).alias("share"))
+    share = scored.agg((F.count(F.lit(1)) / F.lit(float(max(1, rows * prompts.count())))).alias("share"))
     reached, read = hit.first()[0], share.first()[0]
     return found.groupBy("qid").agg(F.count(F.lit(1)).alias("n_found")).select(
         "qid", "n_found", F.lit(reached >= 0.9).alias("recall_90"), F.lit(read < 0.3).alias("under_30_percent"))

@@ -242,7 +242,7 @@ def test_registered_feed_ingests_embeds_and_indexes_objects(spark, monkeypatch):
         apply_batch(FeedTables(spark, store_root), read_feed(spark, feed_dir).where("routing_key = 'ingest_inode'"), 0, objects=objects)
 
     monkeypatch.setattr(worker, "run_feed", ingests)
-    out = [tuple(r) for r in QUERIES["run_feed"](spark, SF_SMALL).select("kind", "detail").collect()]
+    out = [(r["kind"], r["detail"].split(" ")[0]) for r in QUERIES["run_feed"](spark, SF_SMALL).select("kind", "detail").collect()]
     assert {d for k, d in out if k == "dead_letter"} >= {"missing_inode"} and ("dead_letter", "no_object_source") not in out
     pdfs = {r["id"] + 1_000_000 for r in TestTables(spark, SF_SMALL).fx_objects.where("content like '%PDF-%'").select("id").collect()}
     paged = {int(d.split("_")[0]) for k, d in out if k == "doc" and "_" in d}

@@ -10,7 +10,6 @@ from pagewright.plans.catalog import ORACLE, QUERIES
 from conftest import SF_SMALL
 
 TABLES = ["customer", "events", "documents", "embeddings", "pages", "benchmark", "conversations"]
-SLOW = {"run_feed"}          # tests/test_feed.py
 
 
 @pytest.fixture(scope="module")
@@ -53,5 +52,5 @@ def test_audits_find_some_rows_and_not_all(spark, name):
     assert 0 < found < t.fx_inodes_bad.count() + t.fx_pages_bad.count()
 
 
-def test_only_the_feed_has_no_oracle():
-    assert set(QUERIES) - set(ORACLE) == SLOW
+def test_every_query_has_an_oracle():
+    assert set(QUERIES) == set(ORACLE)
