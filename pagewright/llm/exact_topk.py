@@ -62,7 +62,7 @@ def exact_rows(column: pd.Series, scale: int) -> np.ndarray:
 
 def told(score: int) -> tuple[int, str]:
     """The score as a long and, beyond that, as text in the same order."""
-    if -LONG - 1 <= score <= LONG:
+    if -LONG <= score <= LONG:
         return score, ""
     digits = str(abs(score))
     if score > 0:
