@@ -7,10 +7,12 @@ from typing import Callable, Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions import in_page_range, needs_embedding, non_empty, squash_ws, truncate_tokens
+from ..session import materialize
 from .ids import assign_batches
 
 
@@ -110,6 +112,19 @@ def hashed_embedder(dim: int = 64) -> Callable[[list[str]], list[list[float]]]:
     return embed
 
 
+def whole_requests(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    """The same rows, cut so that no (inode_id, batch) is split over two frames."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if len(pdf):
+            last = (pdf["inode_id"] == pdf["inode_id"].iloc[-1]) & (pdf["batch"] == pdf["batch"].iloc[-1])
+            held = pdf[last].reset_index(drop=True)
+            yield pdf[~last].reset_index(drop=True)
+    if held is not None:
+        yield held
+
+
 def embed_pages(pages: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
                 batch: int = schemas.EMBED_BATCH, text_col: str = "text") -> DataFrame:
     """Call ``embedder`` on requests of at most ``batch`` texts.
@@ -127,7 +142,7 @@ def embed_pages(pages: DataFrame, embedder: Callable[[list[str]], list[list[floa
     ])
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in whole_requests(batches):
             if pdf.empty:
                 continue
             vecs, status = [None] * len(pdf), ["ok"] * len(pdf)
@@ -153,6 +168,46 @@ def embed_pages(pages: DataFrame, embedder: Callable[[list[str]], list[list[floa
     return clustered.select("id", "inode_id", "batch", "index", text_col).mapInPandas(run, schema)
 
 
+def embed_stored(pages: DataFrame, embedder: Callable[[list[str]], list[list[float]]], store: str,
+                 batch: int = schemas.EMBED_BATCH, per_commit: int = 4096) -> DataFrame:
+    """Like :func:`embed_pages` over ``pages`` (id, inode_id, index, text), with the
+    replies kept in the folder ``store``: (id, inode_id, embedding, status, run).
+
+    Requests are sent ``per_commit`` at a time, each time one write that is whole or not
+    there; a run that breaks off loses at most that many.  A later run (``run``
+    counts from 0) sends only pages without a vector for their present text, so what
+    was stored is never asked for again and only failed requests are repeated."""
+    spark = pages.sparkSession
+    asked = pages.select("id", "inode_id", "index", "text").withColumn("text_md5", F.md5("text"))
+    held = stored_vectors(spark, store)
+    last = held.agg(F.max("run")).first()[0]
+    run = 0 if last is None else last + 1
+    good = held.where(F.col("status") == "ok").select("id", "text_md5")
+    todo = request_batches(asked.join(good, ["id", "text_md5"], "left_anti"), batch)
+    todo = materialize(todo.select("id", "inode_id", "index", "text", "batch", "text_md5"), "requests")
+    requests = todo.select("inode_id", "batch").distinct().count()
+    commits = -(-requests // per_commit)
+    for at in range(commits):
+        part = todo.where(F.pmod(F.xxhash64("inode_id", "batch"), F.lit(commits)) == at)
+        replies = embed_pages(part, embedder, batch).join(part.select("id", "text_md5"), "id")
+        replies.write.mode("overwrite").parquet(f"{store.rstrip('/')}/run={run}/commit={at}")
+    # A page's newest reply for its present text: the vector, once there is one.
+    mine = stored_vectors(spark, store).join(asked.select("id", "text_md5"), ["id", "text_md5"], "left_semi")
+    newest = F.max_by(F.struct("inode_id", "embedding", "status", "run"), F.struct(F.col("status") == "ok", "run"))
+    return mine.groupBy("id").agg(newest.alias("_r")).select("id", "_r.*")
+
+
+def stored_vectors(spark: SparkSession, store: str) -> DataFrame:
+    """All replies that ``store`` holds; none if there is no such folder yet."""
+    schema = "id bigint, inode_id bigint, embedding array<float>, status string, text_md5 string, run int, commit int"
+    try:
+        return spark.read.schema(schema).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def request_batches(selection: DataFrame, size: int = schemas.EMBED_BATCH) -> DataFrame:
     """Per document, in page order, requests of at most ``size`` pages."""
     return assign_batches(selection, key="inode_id", order="index", size=size)

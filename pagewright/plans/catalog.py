@@ -31,7 +31,7 @@ from ..operators.ids import assign_batches, assign_ids, global_positions, latest
 from ..operators.tables import apply_defaults, lookup_inodes, page_counts, set_flags, upsert_pages
 from ..operators.retrieval import retrieve_sources
 from ..operators.tree import cascade_delete, resolve_paths, tree_intervals
-from ..session import materialize
+from ..session import materialize, work_dir
 from ..sources import TestTables, decode_messages
 from ..sources.fixtures import _sql
 from . import jobs as J
@@ -159,7 +159,7 @@ tgt AS (SELECT * FROM moved WHERE id IN (SELECT after_id FROM msgs WHERE routing
 alld AS (SELECT * FROM docs WHERE doc_id NOT IN (SELECT doc_id FROM newdocs) UNION ALL SELECT * FROM newdocs)""") + """
 SELECT doc_id, parent_id, kind, id, path, folder, is_public, index, emb_first FROM alld""")
 def q_write_index(t):
-    from ..session import materialize
+    from ..session import materialize, work_dir
     current = materialize(_rebuild_docs(t), "index")      # the index as stored
     resolved = resolve_paths(t.fx_inodes)
     moved = (t.fx_inodes.join(resolved.withColumnRenamed("path", "_rp"), "id", "left")
@@ -577,6 +577,22 @@ def q_term_stats(t):
     return S.term_stats(_tv(t))
 
 
+@query("doc_lengths", V.with_views("fx_pages", extra=TV) + """,
+dl AS (SELECT id, count(*) AS dl FROM tv GROUP BY id)
+SELECT id, dl, round(dl / (SELECT avg(dl) FROM dl), 6) AS share_of_mean FROM dl""")
+def q_doc_lengths(t):
+    tv = materialize(_tv(t).select("id"), "words")
+    mean = S.length_stats(tv).first()["mean_length"]
+    return S.doc_lengths(tv).select("id", "dl", F.round(F.col("dl") / F.lit(mean), 6).alias("share_of_mean"))
+
+
+@query("length_stats", V.with_views("fx_pages", extra=TV) + """,
+dl AS (SELECT id, count(*) AS dl FROM tv GROUP BY id)
+SELECT count(*) AS n_docs, CAST(sum(dl) AS BIGINT) AS n_terms, round(avg(dl), 6) AS mean_length FROM dl""")
+def q_length_stats(t):
+    return S.length_stats(_tv(t)).withColumn("mean_length", F.round("mean_length", 6))
+
+
 # -- 2.6 windows ---------------------------------------------------------------------
 
 @query("assign_batches", V.with_views("fx_pages") + """
@@ -853,6 +869,17 @@ def q_ingest_job(t):
                     F.coalesce("n_pages", F.lit(0)).cast("bigint").alias("n_pages")))
 
 
+@query("ingest_pages", V.with_views("fx_object_inodes") + f"""
+SELECT i.id AS inode_id, CAST(coalesce(i.from_page, 0) AS INTEGER) AS index, md5({_html_sql("substr(o.content, 9)")}) AS contents_md5
+FROM fx_object_inodes i JOIN fx_objects o ON 500000 + o.id = i.id
+WHERE starts_with(o.content, '%PDF-') AND contains(lower(o.content), '</html>')""")
+def q_ingest_pages(t):
+    """The pages that the ingest job writes, with their contents."""
+    inodes = _object_inodes(t)
+    out = J.ingest(inodes.select(F.col("id").alias("seq"), "id"), inodes, _object_table(t), t.spark.createDataFrame([], schemas.PAGES))
+    return out["pages"].select("inode_id", "index", F.md5("contents").alias("contents_md5"))
+
+
 @query("index_job", V.with_views("msgs", "fx_inodes", "fx_pages", extra="""tgt AS (SELECT * FROM fx_inodes
   WHERE id IN (SELECT after_id FROM msgs WHERE routing_key = 'index_inode'))""" + ",\n" + V.docs_cte("tgt", "fx_pages", "nd"))
        + "SELECT doc_id, parent_id, kind, id, path, folder, index, emb_first FROM nd")
@@ -888,6 +915,47 @@ def q_embed_job(t):
             .select("id", "is_embedded", F.coalesce("n_embedded", F.lit(0)).cast("bigint").alias("n_embedded")))
 
 
+REQUESTED = """req AS (SELECT DISTINCT after_id AS id FROM msgs WHERE routing_key = 'embed_inode'),
+sel AS (SELECT p.id, p.inode_id, p.contents AS text,
+    (row_number() OVER (PARTITION BY p.inode_id ORDER BY p.index, p.id) - 1) // 64 AS batch
+  FROM fx_pages p JOIN fx_inodes i ON i.id = p.inode_id
+  WHERE i.id IN (SELECT id FROM req) AND p.index >= i.from_page AND p.index < i.to_page AND p.embedding IS NULL
+    AND length(p.contents) > 0 AND i.error IS NULL)"""
+VECTOR_DIGEST = """round(coalesce((SELECT x FROM hv WHERE hv.id = s.id AND hv.b = 0), 0.0), 6) AS emb_first,
+  round(coalesce((SELECT sum(x) FROM hv WHERE hv.id = s.id), 0.0), 6) AS emb_sum"""
+
+
+def _vector_digest() -> list:
+    return [F.round(F.col("embedding")[0].cast("double"), 6).alias("emb_first"),
+            F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double")), 6).alias("emb_sum")]
+
+
+@query("embed_vectors", V.with_views("msgs", "fx_inodes", "fx_pages", extra=REQUESTED + ",\n" + V.hashed_cte("sel"))
+       + f"SELECT s.id, s.inode_id, {VECTOR_DIGEST} FROM sel s")
+def q_embed_vectors(t):
+    """The vectors that the embed job puts on pages."""
+    out = J.embed(_requests(t, ["embed_inode"]), t.fx_inodes, t.fx_pages)
+    new = t.fx_pages.where(needs_embedding("embedding")).select("id")
+    return out["pages"].join(new, "id", "left_semi").where(F.col("embedding").isNotNull()).select("id", "inode_id", *_vector_digest())
+
+
+def _odd_requests_fail(texts: list[str]) -> list[list[float]]:
+    if len(texts) % 2:
+        raise ConnectionError("no reply")
+    return E.hashed_embedder(64)(texts)
+
+
+@query("embed_stored", V.with_views("msgs", "fx_inodes", "fx_pages", extra=REQUESTED + ",\n" + V.hashed_cte("sel")) + f"""
+SELECT s.id, s.inode_id, CAST(count(*) OVER (PARTITION BY s.inode_id, s.batch) % 2 AS INTEGER) AS run, {VECTOR_DIGEST} FROM sel s""")
+def q_embed_stored(t):
+    """Requests of an odd number of pages fail in the first run; the second
+    sends only these, and every document gets its vectors."""
+    store = work_dir(t.spark, "replies")
+    J.embed(_requests(t, ["embed_inode"]), t.fx_inodes, t.fx_pages, embedder=_odd_requests_fail, store=store)
+    J.embed(_requests(t, ["embed_inode"]), t.fx_inodes, t.fx_pages, embedder=E.hashed_embedder(64), store=store)
+    return E.stored_vectors(t.spark, store).where(F.col("status") == "ok").select("id", "inode_id", "run", *_vector_digest())
+
+
 @query("rebuild_index", V.with_views("fx_inodes", "fx_pages", extra=DOCS_ALL) + """
 SELECT doc_id, parent_id, kind, id, owner_id, is_public, readable_by, path, type, folder, filename, index,
   contents_md5, emb_dim, emb_first FROM docs""")

@@ -151,13 +151,15 @@ def move_pairs(files: DataFrame, new_path: str = "new_path") -> DataFrame:
 
 def embed(requests: DataFrame, inodes: DataFrame, pages: DataFrame,
           embedder: Callable[[list[str]], list[list[float]]] | None = None, dim: int = 64,
-          batch: int = 64) -> dict:
+          batch: int = 64, store: str | None = None) -> dict:
     """Fill missing vectors of the requested inodes.
 
     Without an embedder the native hashed embedder runs in SQL.  With one,
     requests of at most ``batch`` pages per document go through
     ``mapInPandas``; a document any of whose requests failed keeps no new
-    vector and is not marked embedded (all or nothing, per document)."""
+    vector and is not marked embedded (all or nothing, per document).  With
+    ``store``, a folder, replies are kept there, and a later run sends only the
+    requests that failed (:func:`embed_stored`)."""
     found, missing = lookup_inodes(requests.select("seq", "id"), inodes)
     ok, rejected = E.embeddable(found)
     ids = ok.select("id").distinct()
@@ -168,7 +170,8 @@ def embed(requests: DataFrame, inodes: DataFrame, pages: DataFrame,
         vectors = E.hashed_embeddings(text, "id", "text", dim)
     else:
         # One call per request, however often the result is used below.
-        out = materialize(E.embed_pages(E.request_batches(text, batch), embedder, batch), "embedded")
+        out = (materialize(E.embed_pages(E.request_batches(text, batch), embedder, batch), "embedded") if store is None
+               else E.embed_stored(text, embedder, store, batch))
         failed_ids = out.where(F.col("status") != "ok").select(F.col("inode_id").alias("id")).distinct()
         vectors = (out.join(failed_ids.select(F.col("id").alias("inode_id")), "inode_id", "left_anti")
                    .select("id", "embedding"))
