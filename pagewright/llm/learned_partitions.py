@@ -2,13 +2,15 @@
 
 Fitting, on a bounded sample: its neighbour graph is cut into parts of equal
 size with few edges between them, and a small network learns to tell from a
-vector alone how its neighbours spread over the parts.  Indexing: every row
-goes to its most probable part.  Search: a query visits its most probable parts,
-as many as the sample needs for the wanted recall, and every row there is
-scored exactly.
+vector alone how its neighbours spread over the parts; an offset per part
+keeps the parts equal when the network places rows.  Indexing: every row goes
+to its most probable part.  Search: a query visits its own most probable
+parts, until their probabilities add up to what rows kept from the fit needed
+for the wanted recall, and every row there is scored exactly.
 
-Parts are cut into blocks of bounded size, so a part that holds a third of all
-rows is many tasks; a query meets the blocks of the parts it visits.
+A vector is sent to the query blocks of its own part only.  Parts are cut into
+blocks of bounded size, so a part that holds a third of all rows (equal vectors
+cannot be told apart) is many tasks.
 """
 
 from __future__ import annotations
@@ -18,17 +20,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .vectors import block_of, blocks, largest, matrix, top_rows, usable
+from .vectors import largest, matrix, top_rows, usable
 
 SAMPLE = 6000           # rows that the index is fitted on, at most
 ROWS_PER_PART = 500     # wanted mean of a part, as long as the sample can tell so many parts apart
-MAX_PARTS = 32
-QUERY_BLOCK = 512
+SAMPLE_PER_PART = 50    # sample rows that a part needs at least; a larger sample allows more parts
+QUERY_BLOCK = 8192
+QUERY_GROUP = 256       # queries scored at a time
 VECTOR_BLOCK = 4096
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Every row times a power of two that brings its largest component to 0.5..1,
+    so that no square over- or underflows; cosines stay as they are."""
+    if not x.size:
+        return x
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x = levelled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -105,8 +117,21 @@ class Router:
     def __init__(self, w1, b1, w2, b2):
         self.w1, self.b1, self.w2, self.b2 = w1, b1, w2, b2
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        return np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        z = np.maximum(x @ self.w1 + self.b1, 0) @ self.w2 + self.b2
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return z / z.sum(axis=1, keepdims=True)
+
+    def balance(self, x: np.ndarray, rounds: int = 60) -> None:
+        """Offsets under which the rows' most probable parts are as equal in size as they can."""
+        parts = len(self.b2)
+        best, least = self.b2, None
+        for at in range(rounds):
+            size = np.bincount(self.probabilities(x).argmax(axis=1), minlength=parts)
+            if least is None or size.max() < least:
+                best, least = self.b2, size.max()
+            self.b2 = self.b2 - 0.5 * (1 - at / rounds) * np.log((size + 1) / (len(x) / parts + 1))
+        self.b2 = best
 
     @classmethod
     def fit(cls, x: np.ndarray, target: np.ndarray, hidden: int = 96, epochs: int = 40, rate: float = 3e-3,
@@ -135,15 +160,25 @@ class Router:
         return cls(*p)
 
 
-def fit_index(sample: np.ndarray, parts: int, k: int, target_recall: float) -> tuple[Router, int]:
-    """Router and number of parts to visit, from unit vectors.
+def visits(router: Router, x: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's parts, most probable first, and how many of them it visits: the
+    fewest whose probabilities add up to ``share``."""
+    p = router.probabilities(x)
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
+    return order, np.maximum(1, (before < share).sum(axis=1))
+
 
-    The last fifth of the sample is kept from the fit; the visits are the
-    fewest that find ``target_recall`` of these rows' k nearest sample rows.
+def fit_index(sample: np.ndarray, parts: int, k: int, target_recall: float) -> tuple[Router, float]:
+    """Router, and the share of probability to visit, from unit vectors.
+
+    The last third of the sample is kept from the fit; the share is the least
+    that finds ``target_recall`` of these rows' k nearest among themselves, which
+    the router has seen as little as it will see the indexed rows.
     """
     if parts == 1 or len(sample) < 20:
-        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, parts)), np.zeros(parts)), parts
-    held = max(1, len(sample) // 5)
+        return Router(np.zeros((sample.shape[1], 1)), np.zeros(1), np.zeros((1, parts)), np.zeros(parts)), 1.0
+    held = max(1, len(sample) // 3)
     fit, test = sample[:-held], sample[-held:]
     near = neighbours(fit, 10)
     label = balanced_parts(fit, near, parts)
@@ -151,15 +186,16 @@ def fit_index(sample: np.ndarray, parts: int, k: int, target_recall: float) -> t
     np.add.at(target, (np.repeat(np.arange(len(fit)), near.shape[1]), label[near].ravel()), 1.0)
     np.add.at(target, (np.arange(len(fit)), label), 1.0)
     router = Router.fit(fit, target / target.sum(axis=1, keepdims=True))
-    placed = router.scores(sample).argmax(axis=1)
-    order = np.argsort(-router.scores(test), axis=1)
+    router.balance(sample)
+    p = router.probabilities(test)
+    order = np.argsort(-p, axis=1, kind="stable")
+    before = np.cumsum(np.take_along_axis(p, order, axis=1), axis=1) - np.take_along_axis(p, order, axis=1)
     place = np.argsort(order, axis=1)               # visit at which each part comes
-    score = test @ sample.T
-    score[np.arange(held), np.arange(len(sample) - held, len(sample))] = -np.inf
-    best = np.argsort(-score, axis=1)[:, :k]
-    visit = np.take_along_axis(place, placed[best], axis=1).ravel()
-    found = np.cumsum(np.bincount(visit, minlength=parts)) / len(visit)
-    return router, int(min(parts, np.searchsorted(found, target_recall) + 1))
+    at = np.take_along_axis(place, p.argmax(axis=1)[neighbours(test, k)], axis=1)
+    needed = np.sort(np.take_along_axis(before, at, axis=1).ravel())
+    if not len(needed):
+        return router, 1.0
+    return router, float(np.nextafter(needed[min(len(needed) - 1, int(np.ceil(target_recall * len(needed))))], 2.0))
 
 
 def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, target_recall: float = 0.96,
@@ -171,62 +207,73 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, target_recall
     are rows with another id and as many components.  Null, empty or zero
     vectors, those with null or non-finite components, and rows with a null
     id take no part; repeated rows each count; a table without usable rows
-    gives none; other columns are ignored.  The fit reads a sample of at most
-    ``sample`` rows of the commonest width; rows of another width make one part
-    of their own per width.
+    gives none; other columns are ignored; components of any finite size keep
+    their cosine.  The fit reads a sample of at most ``sample`` rows of the
+    commonest width, which bounds the parts (``SAMPLE_PER_PART``); rows of another
+    width make one part of their own per width.
     """
-    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     rows = (vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
-            .where(usable(F.col("v")) & F.col("vec_id").isNotNull()).where(norm > 0)
+            .where(usable(F.col("v")) & F.col("vec_id").isNotNull()).where(F.exists("v", lambda x: x != 0))
             .withColumn("dim", F.size("v")).withColumn("row", F.monotonically_increasing_id()))
     rows = materialize(rows, "vectors")
-    stats = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"),
-                                    F.count(F.when(F.col("vec_id") % query_every == 0, 1)).alias("q"))
-    main = stats.orderBy(F.col("n").desc(), "dim").first()
-    dim, n, q = (main["dim"], main["n"], main["q"]) if main else (1, 0, 0)
+    main = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "dim").first()
+    dim, n = (main["dim"], main["n"]) if main else (1, 0)
     # The rows with the smallest hashes: bounded, and the same for any layout.
-    drawn = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "row")).limit(sample).select("v").collect()
+    drawn = rows.where(F.col("dim") == dim).orderBy(F.xxhash64("vec_id", "v")).limit(sample).select("v").collect()
     x = unit(np.array([r["v"] for r in drawn], dtype=np.float64).reshape(-1, dim))
-    parts = max(1, min(MAX_PARTS, n // ROWS_PER_PART, len(x) // 100))
-    router, visits = fit_index(x, parts, k, target_recall)
+    parts = max(1, min(n // ROWS_PER_PART, len(x) // SAMPLE_PER_PART))
+    router, share = fit_index(x, parts, k, target_recall)
 
     def routed(frames):
         for f in frames:
-            f["parts"] = [[0]] * len(f)
+            part, visited = np.zeros(len(f), dtype=np.int32), [None] * len(f)
+            asks = (f["vec_id"] % query_every == 0).to_numpy()
             own = np.flatnonzero(f["dim"].to_numpy() == dim)
+            for i in np.flatnonzero(asks).tolist():
+                visited[i] = [0]
             if len(own):
-                score = router.scores(unit(matrix(f["v"].iloc[own])))
-                order = np.argsort(-score, axis=1, kind="stable")[:, :visits].tolist()
-                for i, o in zip(own.tolist(), order):
-                    f.iat[i, f.columns.get_loc("parts")] = o
+                order, count = visits(router, unit(matrix(f["v"].iloc[own])), share)
+                part[own] = order[:, 0]
+                for j in np.flatnonzero(asks[own]).tolist():
+                    visited[own[j]] = order[j, :count[j]].tolist()
+            f["part"], f["visited"] = part, visited
             yield f
 
-    placed = rows.mapInPandas(routed, "vec_id bigint, v array<double>, dim int, row bigint, parts array<int>")
-    placed = materialize(placed.withColumn("part", F.col("parts")[0]), "placed")
-    sizes = (placed.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n"))
-             .withColumn("cuts", F.ceil(F.col("n") / VECTOR_BLOCK).cast("int")))     # a row per part
-    index = (placed.join(F.broadcast(sizes), ["dim", "part"])
-             .withColumn("cut", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")))
-    nqb = blocks(q, QUERY_BLOCK)
-    asked = materialize(placed.where(F.col("vec_id") % query_every == 0)
-                        .select(F.col("row").alias("qrow"), F.col("vec_id").alias("query_id"), "v", "dim",
-                                F.explode("parts").alias("part"), block_of(nqb, "row").alias("qb")), "asked")
-    asked = (asked
-             .join(F.broadcast(sizes), ["dim", "part"])
-             .withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))))
-    index = index.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1))))
+    placed = materialize(rows.mapInPandas(
+        routed, "vec_id bigint, v array<double>, dim int, row bigint, part int, visited array<int>"), "placed")
+    asked = placed.where(F.col("visited").isNotNull()).select(
+        F.col("row").alias("qrow"), F.col("vec_id").alias("query_id"), "v", "dim", F.explode("visited").alias("part"))
+    # Blocks of a part: of its vectors (cuts) and of the queries that visit it.
+    sizes = placed.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n")).join(
+        asked.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("q")), ["dim", "part"])
+    sizes = sizes.select("dim", "part", F.ceil(F.col("n") / VECTOR_BLOCK).cast("int").alias("cuts"),
+                         F.ceil(F.col("q") / QUERY_BLOCK).cast("int").alias("qbs"))
+
+    def numbered(count: str):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    index = (placed.select("vec_id", "v", "dim", "part", "row").join(sizes, ["dim", "part"])
+             .withColumn("cut", F.pmod(F.xxhash64("row"), F.col("cuts")).cast("int")).withColumn("qb", numbered("qbs")))
+    asked = (asked.join(sizes, ["dim", "part"])
+             .withColumn("qb", F.pmod(F.xxhash64("qrow"), F.col("qbs")).cast("int")).withColumn("cut", numbered("cuts")))
 
     def rerank(key, qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        found = []
         if len(qs) and len(vs):
-            a, b, ids = matrix(qs["v"]), matrix(vs["v"]), vs["vec_id"].to_numpy()
-            length = np.sqrt((b * b).sum(axis=1))
-            for qrow, own, v in zip(qs["qrow"], qs["query_id"], a):
-                allowed = np.flatnonzero(ids != own)
-                score = (b[allowed] * v).sum(axis=1) / (length[allowed] * np.sqrt((v * v).sum()))
-                best = largest(score, ids[allowed], k)
-                out += zip([qrow] * len(best), [own] * len(best), ids[allowed[best]].tolist(), score[best].tolist())
-        return pd.DataFrame(out, columns=["_qrow", "query_id", "vec_id", "score"])
+            a, b, ids = levelled(matrix(qs["v"])), levelled(matrix(vs["v"])), vs["vec_id"].to_numpy()
+            length, own, qrow = np.sqrt((b * b).sum(axis=1)), qs["query_id"].to_numpy(), qs["qrow"].to_numpy()
+            for at in range(0, len(a), QUERY_GROUP):
+                group = a[at:at + QUERY_GROUP]
+                rough = (group @ b.T) / (length * np.sqrt((group * group).sum(axis=1))[:, None])
+                rough[own[at:at + QUERY_GROUP, None] == ids] = -np.inf
+                # Products are summed in another order for every block: the near ones are scored again alike.
+                least = np.partition(rough, -k, axis=1)[:, -k] if len(b) > k else np.full(len(group), -2.0)
+                for i, v in enumerate(group):
+                    near = np.flatnonzero(rough[i] >= max(least[i] - 1e-9, -2.0))
+                    score = (b[near] * v).sum(axis=1) / (length[near] * np.sqrt((v * v).sum()))
+                    best = largest(score, ids[near], k)
+                    found += zip([qrow[at + i]] * len(best), [own[at + i]] * len(best), ids[near[best]].tolist(), score[best].tolist())
+        return pd.DataFrame(found, columns=["_qrow", "query_id", "vec_id", "score"])
 
     keys = ("dim", "part", "cut", "qb")
     found = (asked.select("qrow", "query_id", "v", *keys).groupBy(*keys)

@@ -128,6 +128,31 @@ def test_learned_partitions_many_parts(spark, table, monkeypatch):
     assert all([r for r, _ in sorted(v)] == [1, 2, 3, 4, 5] for v in lists.values())
 
 
+def test_learned_partitions_visit_few_parts_of_clustered_rows():
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(60, 32))
+    x = learned_partitions.unit(centres[rng.integers(0, 60, 6000)] + 0.4 * rng.normal(size=(6000, 32)))
+    router, share = learned_partitions.fit_index(x[:2500], 50, 5, 0.96)
+    queries = np.arange(0, 6000, 50)
+    order, count = learned_partitions.visits(router, x[queries], share)
+    part = router.probabilities(x).argmax(axis=1)
+    size = np.bincount(part, minlength=50)
+    near = np.argsort(-(x[queries] @ x.T), axis=1)[:, 1:6]
+    hit = [np.isin(part[b], o[:c]).mean() for b, o, c in zip(near, order, count)]
+    assert np.mean(hit) >= 0.9
+    assert np.mean([size[o[:c]].sum() for o, c in zip(order, count)]) < 0.3 * len(x)
+    assert size.max() < 3 * size.mean() and count.min() < count.max()
+
+
+def test_learned_partitions_components_of_any_size(spark):
+    rng = np.random.default_rng(2)
+    directions = rng.normal(size=(40, 6))
+    rows = [(i, [float(c) for c in v * scale]) for i, (v, scale) in enumerate(zip(directions, np.resize([1.0, 1e200, 1e-200, 1e-310], 40)))]
+    got = rows_of(learned_partitions.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), k=3, query_every=10))
+    want = sorted((q, i) for q, w in brute_cosine([(i, list(v)) for i, v in enumerate(directions)], 3, 10).items() for i, _ in w)
+    assert sorted((q, i) for q, _, i, _ in got) == want and all(-1 <= s <= 1 + 1e-12 for *_, s in got)
+
+
 @pytest.mark.parametrize("rows", [EDGE, EDGE[:1], []])
 def test_learned_partitions_edges(spark, rows):
     got = rows_of(learned_partitions.nearest(spark.createDataFrame(rows, SCHEMA), k=3, query_every=10))
