@@ -276,7 +276,9 @@ def nearest(vectors: DataFrame, k: int = 5, query_every: int = 50, target_recall
         return pd.DataFrame(found, columns=["_qrow", "query_id", "vec_id", "score"])
 
     keys = ("dim", "part", "cut", "qb")
-    found = (asked.select("qrow", "query_id", "v", *keys).groupBy(*keys)
+    asked = asked.select("qrow", "query_id", "v", *keys)
+    # Both sides come from one table; toDF gives the queries' columns an identity of their own.
+    found = (asked.toDF(*asked.columns).groupBy(*keys)
              .cogroup(index.select("vec_id", "v", *keys).groupBy(*keys))
              .applyInPandas(rerank, "_qrow bigint, query_id bigint, vec_id bigint, score double"))
     return top_rows(found, k)
