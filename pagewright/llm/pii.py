@@ -3,10 +3,13 @@
 Everything is DataFrame expressions and the DataFrame form of boosted trees.
 Base matches that pass their checks (digit counts, Luhn, part sizes) are always
 reported.  What the base rules reject and what the wider generators propose
-becomes a candidate with format and context features; trees fitted on the
-corpus's own checked and rejected matches give a probability, and each kind
-family's threshold is the lowest that kept the wanted precision on all labelled
-candidates left out of the fit (``family_thresholds``).
+becomes a candidate with format and context features, unless it lies in an
+accepted base span; trees fitted on the corpus's own candidates (``labelled``)
+give a probability, and each kind family's threshold is the lowest that kept the
+wanted precision on all labelled candidates left out of the fit
+(``family_thresholds``).  What defines a base label is hidden from the trees for
+its kind (Luhn for cards, digit counts for phones, part sizes for addresses), so
+that they judge what the checks reject by its format and surroundings.
 
 Spans are found with two passes of one pattern, ``split`` for the gaps and
 ``regexp_extract_all`` for the matches; running lengths give the offsets, in
@@ -16,7 +19,7 @@ neither long runs nor long texts make a match expensive.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
@@ -41,12 +44,12 @@ IBAN_REST = (r"(?:(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?|(?:\x20?[A-Z0
              r"(?![A-Za-z0-9])")
 IBAN_REACH = 44         # its code points with spaces, and the one behind it
 WIDER = {
-    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]{1,63}"
-                     r"(?:\x20?[\[(](?:dot|DOT|\.)[\])]\x20?[A-Za-z0-9-]{1,63}|\.[A-Za-z0-9-]{1,63}){1,4}",
+    "email_spelled": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(](?:at|AT|@)[\])]\x20?[A-Za-z0-9-]++"
+                     r"(?:\x20?[\[(](?:dot|DOT|\.)[\])]\x20?[A-Za-z0-9-]++|\.[A-Za-z0-9-]++)++",
     "phone_local": r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": IBAN_HEAD + IBAN_REST,
-    DECOY: r"(?<![0-9A-Za-z])[0-9]{4,32}(?![0-9A-Za-z])",
+    DECOY: r"(?<![0-9A-Za-z])[0-9]{4,}+(?![0-9A-Za-z])",
 }
 # Whether a text can hold the kind at all; cheaper than the full pattern.
 MAY_HOLD = {
@@ -57,6 +60,8 @@ MAY_HOLD = {
     "iban": lambda t: t.rlike(r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"), DECOY: lambda t: t.rlike("[0-9]{4}"),
 }
 WORDS = r"(?i)(?:phone|tel|call|fax|mobile|mail|contact|card|visa|credit|account|iban|ssn|social|address|host|ip)\W{0,4}$"
+# What stands before numbers that are nobody's.
+OTHER_WORDS = r"(?i)(?:order|invoice|part|serial|version|build|item|sku|isbn|ticket|case|page|line|ref|no|nr|id|date)\W{0,4}$"
 CONTEXT = 24            # code points before a span that its features see
 FIT_ROWS = 20_000       # different candidates that the trees are fitted on, at most
 PRECISION = 0.98        # wanted of each kind family's threshold
@@ -149,26 +154,73 @@ def candidate_spans(text: Column) -> Column:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """Format and context of a candidate, as doubles (never whether it passed)."""
-    value = F.col("value")
+    """Format and context of a candidate, as doubles; what its kind's check looks at is zero."""
+    value, kind = F.col("value"), F.col("kind")
     size, n = F.length(value), F.length(digits(value))
     parts = {
-        "f_size": size, "f_digits": n, "f_share": n / F.greatest(size, F.lit(1)),
-        "f_luhn": F.when(n.between(1, 32), F.call_function("luhn_check", digits(value))).otherwise(False),
+        "f_size": F.when(~kind.isin("card", "phone"), size), "f_digits": F.when(~kind.isin("card", "phone"), n), "f_share": n / F.greatest(size, F.lit(1)),
+        "f_luhn": F.when((kind != "card") & n.between(1, 32), F.call_function("luhn_check", digits(value))).otherwise(False),
         "f_iban": F.when(value.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{11,39}$"), iban_holds(value)).otherwise(False),
         "f_groups": F.size(F.split(value, "[^0-9]+")), "f_dots": F.length(value) - F.length(F.replace(value, F.lit("."), F.lit(""))),
         "f_at": value.contains("@"), "f_plus": value.startswith("+"), "f_letters": value.rlike("[A-Za-z]"),
-        "f_high": F.size(F.filter(F.split(value, r"\."), lambda p: F.length(p) > 3)),
+        "f_spelled": value.rlike(r"[\[(](?:at|AT|@)[\])]"),
+        "f_even": F.size(F.array_distinct(F.transform(F.split(value, "[^0-9A-Za-z]+"), F.length))),
+        "f_other": F.col("before").rlike(OTHER_WORDS),
         "f_word": F.col("before").rlike(WORDS), "f_joined": F.col("before").rlike("[A-Za-z0-9]$"),
         "f_quoted": F.col("before").rlike("[\"'=:]\\s?$"), "f_next": F.col("after").rlike("[A-Za-z0-9]"),
     }
     return rows.select("*", *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(k) for k, c in parts.items()])
 
 
-FEATURES = ["f_size", "f_digits", "f_share", "f_luhn", "f_iban", "f_groups", "f_dots", "f_at", "f_plus", "f_letters", "f_high",
+FEATURES = ["f_size", "f_digits", "f_share", "f_luhn", "f_iban", "f_groups", "f_dots", "f_at", "f_plus", "f_letters", "f_spelled", "f_even", "f_other",
             "f_word", "f_joined", "f_quoted", "f_next"]
 
 
+def among(each: DataFrame) -> DataFrame:
+    """Adds whether a candidate overlaps an accepted base span (``in_base``) or any other
+    candidate that can be reported (``in_solid``), itself left out."""
+    order = Window.partitionBy("_row").orderBy("start", "end", "kind")
+    before, behind = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    base = F.col("kind").isin(*BASE_KINDS) & F.col("good")
+
+    def overlaps(which: Column) -> Column:
+        return (F.coalesce(F.max(F.when(which, F.col("end"))).over(before) > F.col("start"), F.lit(False))
+                | F.coalesce(F.min(F.when(which, F.col("start"))).over(behind) < F.col("end"), F.lit(False)))
+
+    return each.withColumn("in_base", overlaps(base)).withColumn("in_solid", overlaps(base | F.col("kind").isin(*WIDER)
+                                                                                   & (F.col("kind") != DECOY)))
+
+
+def labelled(each: DataFrame) -> DataFrame:
+    """Candidates with a ``label``.
+
+    Good: base matches that pass, account numbers whose check digits hold, and
+    what accepted matches look like when written another way (e-mails spelled out,
+    phones without the country code).  Not good: the rejected ones of both, unless
+    another candidate overlaps them and may be right; plain digit runs.  Such digits
+    are rejected examples of the wider kinds, too.  Where
+    the checks know nothing (``ssn``, ``phone_local``, ``email_spelled``), words before the
+    candidate label it; the others have no label.
+    """
+    is_base, wider = F.col("kind").isin(*BASE_KINDS), F.col("kind").isin("ssn", "phone_local", "email_spelled") & ~F.col("in_base")
+    told, other = F.col("before").rlike(WORDS), F.col("before").rlike(OTHER_WORDS)
+    label = (F.when(F.col("kind") == DECOY, F.when(~F.col("in_solid"), 0.0))
+             .when(is_base, F.when(F.col("good"), 1.0).when(~F.col("in_solid"), 0.0))
+             .when(F.col("kind") == "iban", F.col("good").cast("double"))
+             .when(wider & (told != other), told.cast("double")))
+    value = F.col("value")
+    spelled = F.replace(F.replace(value, F.lit("@"), F.lit(" [at] ")), F.lit("."), F.lit(" [dot] "))
+    local = F.regexp_extract(value, r"\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}$", 0)
+    again = (each.where(F.col("good") & F.col("kind").isin("email", "phone"))
+             .withColumn("value", F.when(F.col("kind") == "email", spelled).otherwise(local))
+             .withColumn("kind", F.when(F.col("kind") == "email", "email_spelled").otherwise("phone_local"))
+             .where(F.col("value") != "").withColumn("label", F.lit(1.0)))
+    known = each.withColumn("label", label).where(F.col("label").isNotNull())
+    # Digits that are nobody's are nobody's phone, number or address either.
+    nobody = known.where((F.col("label") == 0) & F.col("kind").isin(DECOY, "card"))
+    return known.unionByName(again).unionByName(nobody.withColumn("kind", F.explode(F.array(*map(F.lit, ("phone_local", "ssn", "email_spelled"))))))
+
+
 def lowest(bins: list[tuple[int, float, int]], precision: float) -> float | None:
     """The lowest threshold from which upwards the share of good ones is ``precision``; bins are (bin, good, all)."""
     good = n = 0
@@ -186,7 +238,8 @@ def family_thresholds(counts: list[tuple[str, int, float, int]], precision: floa
     A family has its own if it holds accepted and rejected candidates.  One
     without (no labels, or nothing rejected, as with e-mails) takes the
     threshold of all candidates of the families that do, and of plain digit
-    runs, taken together.  None: no threshold keeps the precision, nothing is added.
+    runs, taken together, but for base kinds that failed their check.  None: no
+    threshold keeps the precision, nothing is added.
     """
     bins: dict[str, dict[int, tuple[float, int]]] = {}
     for kind, at, good, n in counts:
@@ -200,7 +253,7 @@ def family_thresholds(counts: list[tuple[str, int, float, int]], precision: floa
         for at, g, n in listed.get(f, []):
             together[at] = (together.get(at, (0, 0))[0] + g, together.get(at, (0, 0))[1] + n)
     pooled = lowest([(at, g, n) for at, (g, n) in together.items()], precision)
-    return {kind: own.get(FAMILY.get(kind, kind), pooled) for kind in WIDER_KINDS}
+    return {kind: own.get(FAMILY.get(kind, kind), None if kind.endswith("_loose") else pooled) for kind in WIDER_KINDS}
 
 
 def fit_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS, precision: float = PRECISION):
@@ -253,18 +306,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.filter("found", lambda s: s["kind"].isin(*BASE_KINDS) & s["good"]),
         lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("order"),
                            s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    each = with_features(at.select("_row", F.explode("found").alias("s")).select("_row", "s.*"))
+    # Candidates are short; a document's meet in one window, its text stays behind.
+    each = materialize(among(at.select("_row", F.explode("found").alias("s")).select("_row", "s.*")), "candidates")
     is_base = F.col("kind").isin(*BASE_KINDS)
-    known = (each.where(is_base | F.col("kind").isin(DECOY, "iban"))
-             .withColumn("label", ((F.col("kind") != DECOY) & F.col("good")).cast("double")))
-    fitted = fit_trees(known)
+    fitted = fit_trees(with_features(labelled(each)))
     out = at.select("_row", F.col("_id").alias(id_col), base.alias("base"))
     empty = F.array().cast("array<struct<order:bigint,start:bigint,end:bigint,kind:string>>")
     if fitted is None:
         return out.withColumn("added", empty)
     score, thresholds = fitted
     least = F.coalesce(*[F.when(F.col("kind") == k, F.lit(float(t))) for k, t in thresholds.items() if t is not None], F.lit(2.0))
-    open_ones = (each.where(~is_base | ~F.col("good")).where(F.col("kind") != DECOY)
+    open_ones = (with_features(each.where((~is_base | ~F.col("good")) & ~F.col("in_base") & (F.col("kind") != DECOY)))
                  .withColumn("kind", F.when(is_base, F.concat("kind", F.lit("_loose"))).otherwise(F.col("kind"))))
     added = (score(open_ones).where(F.col("p") >= least).groupBy("_row")
              .agg(F.array_sort(F.collect_list(F.struct(order.alias("order"), "start", "end", "kind"))).alias("added")))
