@@ -279,7 +279,7 @@ def fit_trees(labelled: DataFrame, fit_rows: int = FIT_ROWS, precision: float =
     if inside.select("label").distinct().count() < 2:
         return None
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    model = GBTClassifier(labelCol="label", maxIter=8, maxDepth=3, seed=7).fit(ready.transform(inside))
+    model = GBTClassifier(labelCol="label", maxIter=12, maxDepth=4, seed=7).fit(ready.transform(inside))
 
     def score(rows: DataFrame) -> DataFrame:
         return model.transform(ready.transform(rows)).withColumn("p", vector_to_array("probability")[1]).drop(
