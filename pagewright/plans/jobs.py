@@ -164,7 +164,9 @@ def embed(requests: DataFrame, inodes: DataFrame, pages: DataFrame,
     ok, rejected = E.embeddable(found)
     ids = ok.select("id").distinct()
     sel = E.embed_selection(inodes.join(ids, "id", "left_semi"), pages)
-    text = E.embed_input(sel)
+    # Written once: in one plan with the table it fills, the tree of inodes stands in so many
+    # places that the optimizer's union rule breaks the plan on larger tables.
+    text = materialize(E.embed_input(sel).select("id", "inode_id", "index", "text"), "embed-input")
     failed_ids = None
     if embedder is None:
         vectors = E.hashed_embeddings(text, "id", "text", dim)
