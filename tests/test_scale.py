@@ -32,3 +32,33 @@ def test_embed_vectors_can_be_written(spark, tables, tmp_path):
     QUERIES["embed_vectors"](spark, tables).write.parquet(str(tmp_path / "out"))
     out = spark.read.parquet(str(tmp_path / "out")).toPandas()
     assert len(out) == out["id"].nunique() > 0
+
+
+def test_nearest_rows_decided_in_double_precision(spark):
+    """Rows that single precision cannot tell apart, ties, and vectors without a distance."""
+    from pagewright.operators import knn as K
+    rng = np.random.default_rng(3)
+    base = rng.random(16)
+    V = np.vstack([base + 1e-5 * rng.random((900, 16)), rng.random((300, 16)), np.repeat(base[None], 20, 0)])
+    Q = np.vstack([base + 1e-5 * rng.random((5, 16)), rng.random((30, 16)) * 100])
+    vectors = pd.DataFrame({"vid": rng.permutation(len(V) + 1), "vvec": [*V, np.full(16, np.nan)]})
+    r, v, d = (np.concatenate(x) for x in K._topk_one(10, 64, pd.DataFrame({"qid": np.arange(len(Q)), "qvec": list(Q)}), vectors))
+    for n, one in enumerate(Q):
+        exact = ((V - one) ** 2).sum(1)
+        want = vectors["vid"].to_numpy()[:-1][np.lexsort((vectors["vid"].to_numpy()[:-1], np.round(exact, 9)))[:10]]
+        assert v[r == n].tolist() == want.tolist()
+
+
+def test_coded_search_hands_on_a_bounded_number_of_rows(spark):
+    """Per query at most ``rerank`` rows of a block, however many lists it probes."""
+    from pagewright.operators import pq as PQ
+    rng = np.random.default_rng(5)
+    vdf = spark.createDataFrame([(i, rng.random(8).tolist()) for i in range(600)], "id bigint, embedding array<double>")
+    qdf = vdf.where("id < 20")
+    codec = PQ.fit(vdf, parts=4, cells=6)
+    codes = PQ.encode(vdf, codec)
+    found, scored = PQ.search(qdf, vdf, codes, codec, k=3, nprobe=6, rerank=600)
+    assert scored.count() == 20 * 600 and found.where("rank = 1").select("qid", "vid").where("qid = vid").count() == 20
+    points = np.array([r[0] for r in vdf.orderBy("id").select("embedding").collect()])
+    decoded = codec.decode(codec.encode(points))
+    assert decoded.shape == points.shape and ((decoded - points) ** 2).sum(1).mean() < ((points - points.mean(0)) ** 2).sum(1).mean() / 4
