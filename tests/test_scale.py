@@ -62,3 +62,21 @@ def test_coded_search_hands_on_a_bounded_number_of_rows(spark):
     points = np.array([r[0] for r in vdf.orderBy("id").select("embedding").collect()])
     decoded = codec.decode(codec.encode(points))
     assert decoded.shape == points.shape and ((decoded - points) ** 2).sum(1).mean() < ((points - points.mean(0)) ** 2).sum(1).mean() / 4
+
+
+def test_blocks_meet_in_any_number_of_partitions(spark):
+    from pagewright.operators import knn as K, pq as PQ
+    rng = np.random.default_rng(6)
+    vdf = spark.createDataFrame([(i, rng.random(4).tolist()) for i in range(300)], "id bigint, embedding array<double>")
+    codec = PQ.fit(vdf, parts=2, cells=4)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        exact = K.knn_exact(vdf, vdf, k=5, q_block=40, v_block=50).collect()
+        cells = K.knn_approx(vdf, vdf, k=5, cells=3, nprobe=3, q_block=40, v_block=50).collect()
+        found, _ = PQ.search(vdf, vdf, PQ.encode(vdf, codec), codec, k=5, nprobe=4, rerank=300)
+        coded = found.collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(exact) == 1500
+    assert sorted((r.qid, r.vid) for r in exact) == sorted((r.qid, r.vid) for r in cells) == sorted((r.qid, r.vid) for r in coded)
