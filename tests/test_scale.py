@@ -80,3 +80,19 @@ def test_blocks_meet_in_any_number_of_partitions(spark):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
     assert len(exact) == 1500
     assert sorted((r.qid, r.vid) for r in exact) == sorted((r.qid, r.vid) for r in cells) == sorted((r.qid, r.vid) for r in coded)
+
+
+def test_words_are_cut_inside_their_documents_row(spark):
+    from pagewright.operators import search as S
+    docs = spark.createDataFrame([(1, "Ab, cd é12 ab"), (2, ""), (3, None), (4, "  x"), (5, "a b"), (5, "a b"), (None, "z")], "id bigint, contents string")
+    tv = S.term_vectors(docs, with_next=True)
+    rows = sorted((tuple(r) for r in tv.collect()), key=str)
+    assert sorted((r for r in rows if r[0] == 1), key=lambda r: r[2]) == [
+        (1, "ab", 0, 0, 2, "cd", 6), (1, "cd", 1, 4, 6, "é12", 10), (1, "é12", 2, 7, 10, "ab", 13), (1, "ab", 3, 11, 13, None, None)]
+    assert [r for r in rows if r[0] in (4, None)] == [(4, "x", 0, 2, 3, None, None), (None, "z", 0, 0, 1, None, None)]
+    # Rows of one id are counted run by run, as one document.
+    assert sorted(r[1:5] for r in rows if r[0] == 5) == [("a", 0, 0, 1), ("a", 1, 1, 2), ("b", 2, 4, 5), ("b", 3, 5, 6)]
+    stats = {r.term: (r.df, r.cf) for r in S.term_stats(S.term_rows(docs)).collect()}
+    assert stats == {r.term: (r.df, r.cf) for r in S.term_stats(S.term_vectors(docs)).collect()} and stats["ab"] == (1, 2)
+    for frame in (S.term_vectors(docs), S.next_words(tv), S.term_rows(docs)):
+        assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
