@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
 from ..functions import in_page_range, needs_embedding, non_empty, squash_ws, truncate_tokens
-from ..session import materialize
+from ..session import materialize, work_dir
 from .ids import assign_batches
 
 
@@ -187,8 +187,15 @@ def embed_stored(pages: DataFrame, embedder: Callable[[list[str]], list[list[flo
     todo = materialize(todo.select("id", "inode_id", "index", "text", "batch", "text_md5"), "requests")
     requests = todo.select("inode_id", "batch").distinct().count()
     commits = -(-requests // per_commit)
+    if commits > 1:     # written by commit, so that each reads its own requests only
+        path = work_dir(spark, "commits")
+        (todo.withColumn("at", F.pmod(F.xxhash64("inode_id", "batch"), F.lit(commits)).cast("int"))
+         .repartition("at").write.partitionBy("at").parquet(path))
+        todo = spark.read.parquet(path)
+    else:
+        todo = todo.withColumn("at", F.lit(0))
     for at in range(commits):
-        part = todo.where(F.pmod(F.xxhash64("inode_id", "batch"), F.lit(commits)) == at)
+        part = todo.where(F.col("at") == at).drop("at")
         replies = embed_pages(part, embedder, batch).join(part.select("id", "text_md5"), "id")
         replies.write.mode("overwrite").parquet(f"{store.rstrip('/')}/run={run}/commit={at}")
     # A page's newest reply for its present text: the vector, once there is one.
