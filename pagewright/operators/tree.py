@@ -92,13 +92,13 @@ def tree_intervals(inodes: DataFrame) -> DataFrame:
     """
     ids = inodes.select("id", "parent_id")
     tops = ids.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there"))
-    linked = ids.join(tops, "parent_id", "left").select("id", F.when(F.col("_there"), F.col("parent_id")).alias("up"))
+    linked = ids.join(tops.hint("merge"), "parent_id", "left").select("id", F.when(F.col("_there"), F.col("parent_id")).alias("up"))
     place = materialize(global_positions(linked, [F.col("up").asc_nulls_first(), "id"], "k"), "places")
     parents = place.select(F.col("id").alias("up"), F.col("k").alias("up_k"))
-    numbered = materialize(place.join(parents, "up", "left").select("id", "k", "up_k"), "numbered")
+    numbered = materialize(place.join(parents.hint("merge"), "up", "left").select("id", "k", "up_k"), "numbered")
     first = numbered.where(F.col("up_k").isNotNull()).groupBy(F.col("up_k").alias("k")).agg(F.min("k").alias("child"))
     after = numbered.select((F.col("k") - 1).alias("k"), F.col("up_k").alias("after_up"), F.lit(True).alias("more"))
-    both = numbered.join(first, "k", "left").join(after, "k", "left")
+    both = numbered.join(first.hint("merge"), "k", "left").join(after.hint("merge"), "k", "left")
     sibling = F.coalesce(F.col("more"), F.lit(False)) & F.col("after_up").eqNullSafe(F.col("up_k"))
     # Step 2 k enters inode k, step 2 k + 1 leaves it.
     steps = both.select(F.explode(F.array(
@@ -111,7 +111,8 @@ def tree_intervals(inodes: DataFrame) -> DataFrame:
     while reached < 2 * total:          # a step's distance to the end of the walk, covered twice as far each round
         on = (done.select(F.col("step").alias("then"), F.lit(None).cast("bigint").alias("_then"), F.col("left").alias("_left"))
               .unionByName(live.select(F.col("step").alias("then"), F.col("then").alias("_then"), F.col("left").alias("_left"))))
-        jumped = materialize(live.join(on, "then").select("step", F.col("_then").alias("then"), (F.col("left") + F.col("_left")).alias("left")), "walk")
+        # Merged, as a broadcast would send the walk through the driver in every round.
+        jumped = materialize(live.join(on.hint("merge"), "then").select("step", F.col("_then").alias("then"), (F.col("left") + F.col("_left")).alias("left")), "walk")
         done = materialize(done.unionByName(jumped.where(F.col("then").isNull()).select("step", "left")), "done")
         live = jumped.where(F.col("then").isNotNull())
         if not live.limit(1).count():
@@ -120,7 +121,7 @@ def tree_intervals(inodes: DataFrame) -> DataFrame:
     length = done.agg(F.coalesce(F.max("left"), F.lit(0))).first()[0]
     at = done.select("step", (F.lit(length) - F.col("left")).alias("at"))
     pair = at.groupBy(F.floor(F.col("step") / 2).alias("k")).agg(F.min("at").alias("enter"), F.max("at").alias("leave"))
-    return materialize(numbered.join(pair, "k", "left").select("id", "enter", "leave"), "intervals")
+    return materialize(numbered.join(pair.hint("merge"), "k", "left").select("id", "enter", "leave"), "intervals")
 
 
 def inside(intervals: DataFrame, roots: DataFrame, block: int = 1 << 16, most_blocks: int = 10_000) -> DataFrame:
