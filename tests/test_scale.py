@@ -25,6 +25,7 @@ def tables(spark, tmp_path_factory):
      .write.parquet(f"{root}/events.parquet"))
     pages = [(i, f"http://x/{i}", f"<html><body>{w} {i}</body></html>") for i, w in enumerate(words[:3])]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{root}/pages.parquet")
+    spark.createDataFrame([(1, 0, "user", "gamma beta")], "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{root}/conversations.parquet")
     return root
 
 
@@ -96,3 +97,35 @@ def test_words_are_cut_inside_their_documents_row(spark):
     assert stats == {r.term: (r.df, r.cf) for r in S.term_stats(S.term_vectors(docs)).collect()} and stats["ab"] == (1, 2)
     for frame in (S.term_vectors(docs), S.next_words(tv), S.term_rows(docs)):
         assert "Window" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_documents_that_were_hit_are_cut_for_highlights(spark, tables, monkeypatch):
+    from pagewright.plans import catalog
+    cut, real = [], catalog.S.term_vectors
+    monkeypatch.setattr(catalog.S, "term_vectors", lambda docs, **kw: cut.append(docs.count()) or real(docs, **kw))
+    assert QUERIES["highlights"](spark, tables).select("id").distinct().count() == 10
+    assert cut == [10]
+
+
+def test_tree_walk_is_not_sent_through_the_driver(spark, monkeypatch):
+    from pagewright.operators import tree
+    plans, real = [], tree.materialize
+
+    def noted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(tree, "materialize", noted)
+    rows = tree.tree_intervals(spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 3)], "id bigint, parent_id bigint")).collect()
+    assert {r.id: (r.leave - r.enter - 1) // 2 for r in rows} == {1: 3, 2: 0, 3: 1, 4: 0}
+    assert sum(p.count("SortMergeJoin") for p in plans) >= 6 and not any("BroadcastHashJoin" in p for p in plans if "_off" not in p)
+
+
+def test_each_commit_reads_its_own_requests(spark, tmp_path, monkeypatch):
+    from pagewright.operators import embed as E
+    read, real = [], E.embed_pages
+    monkeypatch.setattr(E, "embed_pages", lambda pages, *a: read.append(pages._jdf.queryExecution().optimizedPlan().toString()) or real(pages, *a))
+    pages = spark.createDataFrame([(i, i, 0, f"text {i}") for i in range(6)], "id bigint, inode_id bigint, index int, text string")
+    out = E.embed_stored(pages, E.hashed_embedder(4), str(tmp_path / "store"), 64, 1).collect()
+    assert len(out) == 6 and all(r.status == "ok" for r in out)
+    assert len(read) == 6 and not any("xxhash64" in plan for plan in read)     # a partition each, not a filter over all
