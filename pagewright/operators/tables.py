@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas
 from ..functions import is_ready as _is_ready
+from ..session import materialize
 from .ids import assign_ids, latest_by_key
 
 
@@ -85,29 +86,23 @@ def upsert_pages(current: DataFrame, incoming: DataFrame, reset_embedding_on_cha
     inc = incoming.select(*keys, *(order or []), F.col("contents"))
     if order:
         inc = latest_by_key(inc, keys, order).select(*keys, "contents")
-    inc = inc.select(*keys, F.col("contents").alias("_new"), F.lit(True).alias("_in"))
-    # Only pages of documents in ``incoming`` take part in the merge; the
-    # rest of the table passes through (semi / anti join against the small
-    # set of touched documents, so a small batch does not shuffle it all).
-    touched_ids = inc.select("inode_id").distinct()
-    untouched = current.join(touched_ids, "inode_id", "left_anti").select("id", *keys, "contents", "embedding")
-    cur = (current.join(touched_ids, "inode_id", "left_semi")
-           .select("id", *keys, "contents", "embedding", F.lit(True).alias("_cur")))
-    j = cur.join(inc, keys, "full_outer")
-    new_text = F.coalesce(F.col("_new"), F.col("contents"))
+    # Written once: the new texts are read for the pages they replace and for those they add.
+    inc = materialize(inc.select(*keys, F.col("contents").alias("_new"), F.lit(True).alias("_in")), "incoming", "zstd")
+    # The table's texts and vectors are shuffled once, for this join; the keys
+    # that are new are found from the keys alone.
+    kept = current.select("id", *keys, "contents", "embedding").join(inc, keys, "left")
+    if prune:
+        # The old pages of incoming documents that the new extraction no longer has.
+        touched = inc.select("inode_id").distinct().withColumn("_touched", F.lit(True))
+        kept = kept.join(touched, "inode_id", "left").where(F.col("_in").isNotNull() | F.col("_touched").isNull())
     emb = F.col("embedding")
     if reset_embedding_on_change:
         emb = F.when(F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("contents")),
                      F.lit(None)).otherwise(emb)
-    merged = j.select("id", *keys, new_text.alias("contents"), emb.alias("embedding"),
-                      F.col("_cur"), F.col("_in"))
-    if prune:
-        # Every merged row belongs to a touched document: drop the old pages
-        # the new extraction no longer has.
-        merged = merged.where(~(F.col("_cur").isNotNull() & F.col("_in").isNull()))
-    kept = merged.where(F.col("_cur").isNotNull()).select("id", *keys, "contents", "embedding")
-    fresh = merged.where(F.col("_cur").isNull()).select(*keys, "contents", "embedding")
+    kept = kept.select("id", *keys, F.coalesce("_new", "contents").alias("contents"), emb.alias("embedding"))
+    fresh = inc.join(current.select(*keys), keys, "left_anti").select(
+        *keys, F.col("_new").alias("contents"), F.lit(None).cast(current.schema["embedding"].dataType).alias("embedding"))
     if next_id is None:
         next_id = (current.agg(F.max("id")).first()[0] or 0) + 1
     fresh = assign_ids(fresh, keys, start=next_id).select("id", *keys, "contents", "embedding")
-    return untouched.unionByName(kept).unionByName(fresh)
+    return kept.unionByName(fresh)

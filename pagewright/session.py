@@ -78,10 +78,11 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/pagewright-{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df, name: str = "tmp"):
+def materialize(df, name: str = "tmp", compression: str | None = None):
     """Write ``df`` once as Parquet in the shared checkpoint folder and read
     it back: cuts the lineage (a lost executor re-reads instead of
-    recomputing) and lets a result used twice be computed once."""
+    recomputing) and lets a result used twice be computed once.
+    ``compression`` names a codec other than the session's (long texts)."""
     path = work_dir(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)

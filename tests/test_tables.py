@@ -73,3 +73,19 @@ def test_set_flags_and_defaults(spark):
     assert r.type == "folder" and r.is_indexed is False and r.from_page == 0 and r.created_at is not None
     flagged = set_flags(full, spark.createDataFrame([(1,)], "id long"), is_indexed=True)
     assert flagged.first().is_indexed is True
+
+
+def test_upsert_reads_texts_and_vectors_once(spark, tmp_path):
+    """A pass over the keys finds the new pages; texts and vectors go through one join."""
+    data = [(1, 10, 0, "old a", [1.0]), (2, 10, 0, "twin", [2.0]), (3, 10, 2, "old c", None), (4, None, 0, "lost", None)]
+    kinds = "id long, inode_id long, index int, contents string, embedding array<float>"
+    spark.createDataFrame(data, kinds).write.parquet(str(tmp_path / "pages"))
+    inc = spark.createDataFrame([(10, 0, "new a"), (10, 1, "b"), (10, 2, None), (10, 3, "d"), (10, 3, "d"), (None, 0, "x")],
+                                "inode_id long, index int, contents string")
+    out = upsert_pages(spark.read.parquet(str(tmp_path / "pages")), inc)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("embedding" in line.split("ReadSchema:")[1] for line in plan.splitlines() if "ReadSchema:" in line) == 1
+    got = out.select("id", "inode_id", "index", "contents").collect()
+    assert sorted((r.id, r.inode_id or 0, r["index"], r.contents) for r in got) == [
+        (1, 10, 0, "new a"), (2, 10, 0, "new a"), (3, 10, 2, "old c"), (4, 0, 0, "lost"),
+        (5, 0, 0, "x"), (6, 10, 1, "b"), (7, 10, 3, "d"), (8, 10, 3, "d")]
