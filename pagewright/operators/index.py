@@ -11,17 +11,18 @@ from ..session import materialize
 _DOC_COLS = [f.name for f in schemas.DOCS.fields]
 
 
-def _conform(df: DataFrame) -> DataFrame:
-    """Give a doc frame the full docs column list and types."""
+def _conform(df: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Give a doc frame the full docs column list and types (and the columns ``extra``)."""
     cols = []
     for f in schemas.DOCS.fields:
         c = F.col(f.name) if f.name in df.columns else F.lit(None)
         cols.append(c.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    return df.select(*cols, *extra)
 
 
-def inode_docs(inodes: DataFrame) -> DataFrame:
-    """One parent document per inode (its id is the inode id)."""
+def inode_docs(inodes: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One parent document per inode (its id is the inode id).  ``extra`` names further
+    columns of the inodes that are handed on."""
     return _conform(inodes.select(
         F.col("id").cast("string").alias("doc_id"),
         F.lit(None).cast("string").alias("parent_id"),
@@ -33,22 +34,24 @@ def inode_docs(inodes: DataFrame) -> DataFrame:
         F.col("path"), F.col("type"),
         parent_folder("path").alias("folder"),
         F.col("name").alias("filename"),
-    ))
+        *extra,
+    ), extra)
 
 
-def indexable_pages(inodes: DataFrame, pages: DataFrame) -> DataFrame:
+def indexable_pages(inodes: DataFrame, pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """Non-empty pages of the given inodes, with the inode fields a page doc
     needs.  Equi-join on inode_id; the filter is pushed into the page scan."""
-    ino = inodes.select(F.col("id").alias("inode_id"), "owner_id", "is_public", "from_page")
+    ino = inodes.select(F.col("id").alias("inode_id"), "owner_id", "is_public", "from_page", *extra)
     return pages.where(non_empty("contents")).join(ino, "inode_id")
 
 
-def page_docs(inodes: DataFrame, pages: DataFrame):
-    """Child documents for non-empty pages: returns ``(docs, quarantine)``.
+def page_docs(inodes: DataFrame, pages: DataFrame, extra: tuple[str, ...] = ()):
+    """Child documents for non-empty pages: returns ``(docs, quarantine)``.  ``extra``
+    names further columns of the inodes that the docs keep.
 
     A page without a vector cannot be indexed; it goes to ``quarantine`` with
     a reason instead of failing the whole document."""
-    p = indexable_pages(inodes, pages)
+    p = indexable_pages(inodes, pages, extra)
     docs = p.select(
         page_doc_id("inode_id", "index").alias("doc_id"),
         F.col("inode_id").cast("string").alias("parent_id"),
@@ -60,8 +63,9 @@ def page_docs(inodes: DataFrame, pages: DataFrame):
         relative_index("index", "from_page").cast("int").alias("index"),
         F.col("contents"),
         F.col("embedding"),
+        *extra,
     )
-    ok = _conform(docs.where(F.col("embedding").isNotNull()))
+    ok = _conform(docs.where(F.col("embedding").isNotNull()), extra)
     bad = docs.where(F.col("embedding").isNull()).select(
         "doc_id", "parent_id", F.col("id").alias("page_id"), F.lit("missing_embedding").alias("reason"))
     return ok, bad

@@ -1102,9 +1102,10 @@ def _feed_world(t, name: str):
 
 
 def _feed_docs(store) -> DataFrame:
-    docs = store.read("docs")
+    # Only a text's hash is shown: it is taken before the changes are folded.
+    docs = store.read("docs", prepare=lambda rows: rows.withColumn("contents", F.md5("contents")))
     return docs.select(F.lit("doc").alias("kind"), F.coalesce("parent_id", "doc_id").cast("bigint").alias("id"),
-                       F.concat_ws(" ", "doc_id", F.coalesce("path", F.md5("contents"))).alias("detail"))
+                       F.concat_ws(" ", "doc_id", F.coalesce("path", "contents")).alias("detail"))
 
 
 @query("run_feed", V.with_views("fx_object_inodes", "msgs", "fx_inodes", "fx_pages", recursive=True, extra=FEED_CTE) + FEED_DOCS + """

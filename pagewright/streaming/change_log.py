@@ -10,10 +10,11 @@ order decides, not the order in which workers came to it.
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
-from ..session import materialize
 
 ROWS_PER_BUCKET = 500_000
 SEED_VERSION = -1
@@ -29,6 +30,10 @@ def owner_of(table: str) -> Column:
             "docs": F.coalesce("parent_id", "doc_id").cast("bigint")}[table]
 
 
+# Where that is a plain column; the joins by it then serve what groups by it.
+OWNER_COLUMNS = {"inodes": "id", "pages": "inode_id", "deleted": "id"}
+
+
 def _with_partitions(fields) -> T.StructType:
     loose = [T.StructField(f.name, f.dataType) for f in fields]
     return T.StructType(loose + [T.StructField("version", T.LongType()), T.StructField("bucket", T.IntegerType()),
@@ -67,29 +72,52 @@ class FeedTables:
         return rows
 
     def read(self, table: str, touched: DataFrame | None = None, buckets: list[int] | None = None,
-             without: tuple[str, int] | None = None) -> DataFrame:
-        """The table as the changes make it, of the inodes ``touched`` (in ``buckets``) or of all."""
-        rows, gone = self.changes(table, without), self.changes("deleted", without)
-        if buckets is not None:
-            rows, gone = rows.where(F.col("bucket").isin(buckets)), gone.where(F.col("bucket").isin(buckets))
-        rows = rows.withColumn("_owner", owner_of(table))
-        if touched is not None:
-            rows = rows.join(touched.select(F.col("id").alias("_owner")), "_owner", "left_semi")
-        rows = rows.join(gone.select(F.col("id").alias("_owner")), "_owner", "left_anti")
+             without: tuple[str, int] | None = None, added: DataFrame | None = None,
+             prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """The table as the changes make it, of the inodes ``touched`` (in ``buckets``) or of all.
+
+        ``added`` are changes that are not written yet.  ``prepare`` changes columns row by
+        row before the changes are folded, so what it leaves out is not shuffled."""
+        rows = self._changes_of(table, touched, buckets, without, added)
+        rows = rows if prepare is None else prepare(rows)
         keys, first = KEYS[table], KEEPS_FIRST.get(table, [])
         names = [f.name for f in TABLE_SCHEMAS[table].fields if f.name not in keys]
+        if table == "pages" and touched is not None:
+            # The joins and the fold of some documents' pages share one shuffle, by document.
+            rows = rows.repartition("inode_id")
 
         def folded(name: str) -> Column:
-            if table == "docs":         # a document is replaced as a whole
-                return F.col(f"_row.{name}")
-            at = F.when(F.col(name).isNotNull(), F.col("version"))
+            # A document is replaced as a whole, with its nulls; other rows column by column.
+            at = F.col("version") if table == "docs" else F.when(F.col(name).isNotNull(), F.col("version"))
             return (F.min_by if name in first else F.max_by)(name, at).alias(name)
 
-        if table == "docs":
-            out = rows.groupBy(*keys).agg(F.max_by(F.struct(*names), "version").alias("_row")).select(*keys, *[folded(n) for n in names])
-        else:
-            out = rows.groupBy(*keys).agg(*[folded(n) for n in names])
-        return out.select(*[f.name for f in TABLE_SCHEMAS[table].fields])
+        return rows.groupBy(*keys).agg(*[folded(n) for n in names]).select(*[f.name for f in TABLE_SCHEMAS[table].fields])
+
+    def _changes_of(self, table: str, touched: DataFrame | None, buckets: list[int] | None,
+                    without: tuple[str, int] | None, added: DataFrame | None = None) -> DataFrame:
+        """Changes of the inodes ``touched`` (or of all) that are not deleted."""
+        rows, gone = self.changes(table, without), self.changes("deleted", without)
+        if buckets is not None:
+            rows, gone = rows.where(F.col("bucket").isin(buckets)), gone.where(F.col("bucket").isin(buckets))
+        if added is not None:
+            rows = rows.unionByName(added, allowMissingColumns=True)
+        owner = OWNER_COLUMNS.get(table, "_owner")
+        if owner == "_owner":
+            rows = rows.withColumn("_owner", owner_of(table))
+        if touched is not None:
+            rows = rows.join(touched.select(F.col("id").alias(owner)), owner, "left_semi")
+        return rows.join(gone.select(F.col("id").alias(owner)), owner, "left_anti")
+
+    def bare_pages(self, touched: DataFrame, buckets: list[int], without: tuple[str, int] | None = None) -> DataFrame:
+        """The pages without a vector of the inodes ``touched``.  No change of such a page has
+        a vector, so the texts of the others are not shuffled."""
+        rows, keys = self._changes_of("pages", touched, buckets, without), KEYS["pages"]
+        bare, filled = rows.where(F.col("embedding").isNull()), rows.where(F.col("embedding").isNotNull()).select(*keys)
+        at = F.col("version")
+        return (bare.groupBy(*keys).agg(F.min_by("id", F.when(F.col("id").isNotNull(), at)).alias("id"),
+                                        F.max_by("contents", F.when(F.col("contents").isNotNull(), at)).alias("contents"))
+                .join(filled, keys, "left_anti")
+                .select("id", *keys, "contents", F.lit(None).cast(schemas.VECTOR).alias("embedding")))
 
     def output(self, name: str) -> DataFrame:
         return self.spark.read.option("basePath", f"{self.root}/out/{name}").parquet(f"{self.root}/out/{name}")
@@ -103,7 +131,7 @@ class FeedTables:
         kinds = {f.name: f.dataType for f in CHANGE_SCHEMAS[table].fields}
         cols = [(F.col(n) if n in rows.columns else F.lit(None)).cast(kinds[n]).alias(n) for n in names]
         (rows.select(*cols, self.bucket(owner_of(table)).alias("bucket"), F.lit(query).alias("query"), F.lit(batch).cast("bigint").alias("batch"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "query", "batch")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("bucket", "query", "batch")
          .parquet(f"{self.root}/{table}"))
 
     def write_output(self, name: str, rows: DataFrame, query: str, batch: int) -> None:
@@ -116,10 +144,10 @@ class FeedTables:
 
 def seed_store(tables: FeedTables, inodes: DataFrame, pages: DataFrame, docs: DataFrame | None = None,
                rows_per_bucket: int = ROWS_PER_BUCKET) -> None:
-    """Write the first state of all tables; their size sets the number of buckets."""
+    """Write the first state of all tables, each once; their size, counted before, sets
+    the number of buckets."""
     spark = tables.spark
     given = {"inodes": inodes, "pages": pages, "docs": docs if docs is not None else spark.createDataFrame([], schemas.DOCS)}
-    given = {t: materialize(df, f"seed-{t}") for t, df in given.items()}
     rows = sum(df.count() for df in given.values())
     spark.range(1).select(F.lit(max(1, -(-rows // rows_per_bucket))).alias("buckets")).write.parquet(f"{tables.root}/layout")
     for table, df in given.items():

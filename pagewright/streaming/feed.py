@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas
 from ..functions import is_file, non_empty, object_path, path_changed
+from ..operators import embed as E
 from ..operators import index as IX
 from ..operators import messages as M
 from ..operators.tree import resolve_paths_of
@@ -80,7 +81,6 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     touched = materialize(messages.select("id").union(ends.select("id")).distinct(), "touched")
     buckets = sorted(r[0] for r in touched.select(tables.bucket(F.col("id"))).distinct().collect())
     inodes = materialize(tables.read("inodes", touched, buckets, here), "inodes")
-    pages = materialize(tables.read("pages", touched, buckets, here), "pages")
 
     # The moments of every inode.
     asked = (lambda task: messages.where(F.col("task") == task).select("id").distinct())
@@ -100,32 +100,43 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     known = messages.join(facts, "id").where(F.col("seq") < F.col("end"))
 
     def embedded(ids: DataFrame, inodes: DataFrame, pages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """Pages with the vectors of ``ids`` filled in, and the ids that failed."""
+        """New vectors of the pages of ``ids`` by page id, and the ids that failed."""
         if not ids.limit(1).count():
-            return pages, nobody
+            return spark.createDataFrame([], "id bigint, embedding array<float>"), nobody
         r = J.embed(_requests(ids), inodes, pages, embedder=embedder)
         lost = r["dead_letters"].where(F.col("reason") == "embedding_failed").select(F.col("seq").alias("id"))
-        return materialize(r["pages"], name), materialize(lost.distinct(), "failed")
-
-    # Embedding before the first ingest, ingest, embedding after it.
-    early = known.where((F.col("task") == "embed_inode") & ~fold.phase_of(F.col("seq")) & F.col("error").isNull()).select("id").distinct()
-    pages_early, failed_early = embedded(early, inodes, pages, "pages-early")
-    ingested = facts.where(F.col("ingest_at") != fold.NEVER).select("id")
-    inodes_late, pages_late, tags = inodes, pages_early, None
+        return materialize(r["vectors"], name), materialize(lost.distinct(), "failed")
+
+    # Embedding before the first ingest, ingest, embedding after it.  Only ingested inodes have
+    # a time before; of the others only pages without a vector are needed before the documents.
+    ingested = materialize(facts.where(F.col("ingest_at") != fold.NEVER).select("id"), "ingested")
+    pages = spark.createDataFrame([], schemas.PAGES)
+    pages_early, failed_early, inodes_late, tags = pages, nobody, inodes, None
+    pages_late = pages
     if ingested.limit(1).count():
+        pages = materialize(tables.read("pages", ingested, buckets, here), "pages", "zstd")
+        early = known.where((F.col("task") == "embed_inode") & ~fold.phase_of(F.col("seq")) & F.col("error").isNull()).select("id").distinct()
+        vectors_early, failed_early = embedded(early, inodes, pages, "vectors-early")
+        pages_early = materialize(E.attach_embeddings(pages, vectors_early), "pages-early", "zstd")
         next_page = (tables.changes("pages", here).agg(F.max("id")).first()[0] or 0) + 1
         r = J.ingest(_requests(ingested), inodes, objects, pages_early, extractor=extractor, page_count=page_count, next_page_id=next_page)
-        inodes_late, pages_late = materialize(r["inodes"], "inodes-late"), materialize(r["pages"], "pages-late")
+        inodes_late, pages_late = materialize(r["inodes"], "inodes-late"), materialize(r["pages"], "pages-late", "zstd")
         tags = r["tags"]
+    others = materialize(inodes.select("id").join(ingested, "id", "left_anti"), "others")
+    bare = materialize(tables.bare_pages(others, buckets, here), "bare", "zstd")
+    bare_late = bare.unionByName(pages_late.where(F.col("embedding").isNull()))
     facts = facts.join(inodes_late.select("id", F.col("error").alias("error_after"), F.col("to_page").alias("new_to_page")), "id")
     chain_embed, chain_index = mine("embed_inode"), mine("index_inode")
     no_failures = facts.withColumn("failed_early", F.lit(False)).withColumn("failed_late", F.lit(False))
     late = fold.embed_events(messages, no_failures, chain_embed).where(F.col("late") & (F.col("outcome") == "ok")).select("id").distinct()
-    pages_done, failed_late = embedded(late, inodes_late, pages_late, "pages-done")
+    vectors, failed_late = embedded(late, inodes_late, bare_late, "vectors")
+    pages_done = materialize(E.attach_embeddings(pages_late, vectors), "pages-done", "zstd") if tags is not None else pages_late
+    filled = bare.drop("embedding").join(vectors, "id")
 
     # What every message finds.
     flags = [failed_early.withColumn("failed_early", F.lit(True)), failed_late.withColumn("failed_late", F.lit(True)),
-             _open(pages, "open_early"), _open(pages_early, "open_early_after"), _open(pages_late, "open_late"), _open(pages_done, "open_late_after")]
+             _open(pages, "open_early"), _open(pages_early, "open_early_after"), _open(bare_late, "open_late"),
+             _open(bare_late.join(vectors.select("id"), "id", "left_anti"), "open_late_after")]
     for flag in flags:
         name = flag.columns[1]
         facts = facts.join(flag, "id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
@@ -144,14 +155,19 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     seen = indexes.groupBy("id").agg(F.max(F.when(F.col("late"), F.col("seq"))).alias("late_at"), F.max(F.when(~F.col("late"), F.col("seq"))).alias("early_at"))
     living = facts.where(F.col("end") == fold.NEVER).join(seen, "id").select("id", "new_path", "move_at", "late_at", "early_at")
 
-    def documents(at: str, inodes: DataFrame, pages: DataFrame) -> DataFrame:
+    def indexed(at: str, inodes: DataFrame) -> DataFrame:
         rows = inodes.join(living.where(F.col(at).isNotNull()), "id").withColumn(
             "path", F.when(F.col(at) >= F.col("move_at"), F.col("new_path")).otherwise(F.col("path")))
-        made = IX.inode_docs(rows).unionByName(IX.page_docs(rows, pages)[0])
-        return made.withColumn("_id", F.coalesce("parent_id", "doc_id").cast("bigint")).join(
-            rows.select(F.col("id").alias("_id"), F.col(at).alias("version")), "_id").drop("_id")
+        return materialize(rows.withColumn("version", F.col(at)), "indexed")
 
-    docs = documents("late_at", inodes_late, pages_done).unionByName(documents("early_at", inodes, pages_early))
+    early_rows, late_rows = indexed("early_at", inodes), indexed("late_at", inodes_late)
+    # Texts and vectors of the inodes that were not ingested come from the store for this only.
+    stored = tables.read("pages", late_rows.select("id").join(ingested, "id", "left_anti"), buckets, here,
+                         added=filled.withColumn("version", never))
+    docs = IX.inode_docs(late_rows, ("version",))
+    for more in (IX.inode_docs(early_rows, ("version",)), IX.page_docs(early_rows, pages_early, ("version",))[0],
+                 IX.page_docs(late_rows, pages_done, ("version",))[0], IX.page_docs(late_rows, stored, ("version",))[0]):
+        docs = docs.unionByName(more)
 
     # What changed.
     true = F.lit(True)
@@ -169,7 +185,10 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     before = pages.select(F.col("id").alias("_id"), F.col("contents").alias("_contents"), F.col("embedding").isNotNull().alias("_filled"))
     new_text = ~F.col("contents").eqNullSafe(F.col("_contents"))
     new_vector = F.col("embedding").isNotNull() & ~F.coalesce("_filled", F.lit(False))
-    page_changes = (pages_done.join(before, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | new_text | new_vector)
+    changed = pages_done.join(before, F.col("id") == F.col("_id"), "left").where(F.col("_id").isNull() | new_text | new_vector)
+    given = filled.select("id", "inode_id", "index", F.lit(None).cast("string").alias("contents"), "embedding", F.col("id").alias("_id"),
+                          F.lit(None).cast("string").alias("_contents"), F.lit(False).alias("_filled"))
+    page_changes = (changed.unionByName(given)
                     .join(living.select(F.col("id").alias("inode_id"), "ingest_at", embed_at.alias("_embed_at")), "inode_id")
                     .select("id", "inode_id", "index", F.when(F.col("_id").isNull() | new_text, F.col("contents")).alias("contents"),
                             F.when(new_vector, F.col("embedding")).alias("embedding"),
@@ -236,7 +255,7 @@ def write_feed(feed: DataFrame, path: str, files: int, rows_per_file: int = ROWS
     frozen = materialize(feed.withColumn("_range", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")), "feed")
     for k in range(files):
         (frozen.where(F.col("_range") == k).drop("_range").repartitionByRange(parts, "seq").sortWithinPartitions("seq")
-         .write.mode("append").json(path))
+         .write.mode("append").json(path, compression="gzip"))
     return parts
 
 

@@ -179,3 +179,36 @@ def test_feed_files_grow_with_the_rows(spark):
     assert write_feed(feed, f"{root}/a", files=2) == 1
     assert write_feed(feed, f"{root}/b", files=2, rows_per_file=10) == 5
     assert spark.read.json(f"{root}/b").count() == 100 and len(spark.read.json(f"{root}/b").inputFiles()) == 10
+
+
+def _indexed_world(spark):
+    """A store whose pages are far larger than anything else, and index messages for all of them."""
+    rng = random.Random(4)
+    ino = apply_defaults(spark.createDataFrame([(i, "u", "file", f"{i}.pdf", f"/{i}.pdf") for i in range(1, 41)],
+                                               "id long, owner_id string, type string, name string, path string"), "inodes")
+    pg = spark.createDataFrame([(i * 10 + k, i, k, rng.randbytes(20_000).hex(), [0.5] * 64) for i in range(1, 41) for k in range(3)], schemas.PAGES)
+    store = FeedTables(spark, tempfile.mkdtemp(prefix="light-", dir="/tmp"))
+    feed = spark.createDataFrame([_message(i, "index_inode", i) for i in range(1, 41)], schemas.FEED)
+    return store, ino, pg, feed
+
+
+def test_texts_of_pages_are_not_copied_on_the_way_to_the_index(spark):
+    from pathlib import Path
+    from pagewright.session import ensure_checkpoint_dir
+    store, ino, pg, feed = _indexed_world(spark)
+    size = (lambda root: sum(p.stat().st_size for p in Path(root).rglob("*.parquet")))
+    scratch = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = size(scratch)
+    seed_store(store, ino, pg)
+    apply_batch(store, feed, 0)
+    assert store.read("docs").where("contents is not null").count() == 120
+    assert size(scratch) - before < size(f"{store.root}/pages") / 2
+
+
+def test_texts_are_hashed_before_their_changes_are_folded(spark):
+    from pagewright.plans.catalog import _feed_docs
+    store, ino, pg, feed = _indexed_world(spark)
+    seed_store(store, ino, pg)
+    apply_batch(store, feed, 0)
+    plan = _feed_docs(store)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Exchange") < plan.index("md5(")
