@@ -13,7 +13,7 @@ import sys
 
 import numpy as np
 
-TABLE_BYTES = 64 << 20                  # a worker's remembered words, as estimated
+TABLE_BYTES = 128 << 20                 # a worker's remembered words, as estimated
 ODD_SPACE = re.compile("[\x1c-\x1f\x85]")   # white space to Python or the library, not to both
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 # The tokenizer file's own splitting pattern, for the letters of PLAIN.
@@ -35,6 +35,7 @@ class WordTokens:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = byte_letters()
+        self.bytes_of = {i: i.to_bytes(4, "little") for i in self.tokenizer.get_vocab().values()}
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
         self.held = 0
@@ -43,11 +44,14 @@ class WordTokens:
         return [np.array(e.ids, dtype="<u4").tobytes()
                 for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, run: str) -> bytes:
+        shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.bytes_of[t.id] for t in self.model.tokenize(shown)])
+
     def _run(self, run: str) -> bytes:
         ids = self.runs.get(run)
         if ids is None:
-            shown = run.encode().decode("latin-1").translate(self.letters)
-            ids = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], dtype="<u4").tobytes()
+            ids = self.runs[run] = self._ids(run)
             self.held += 200 + 2 * len(run) + len(ids)
         return ids
 
@@ -62,13 +66,16 @@ class WordTokens:
         fresh = {w for ws in split if ws for w in ws if w not in words}
         other = []
         for w in fresh:
-            if PLAIN(w):
-                words[w] = b"".join([self._run(r) for r in RUNS(w.lower())])
-            else:
+            if not PLAIN(w):
                 other.append(w)
+            elif w.isalpha():       # one run, which needs no entry beside the word's
+                low = w.lower()
+                words[w] = words[low] if low in words else self._ids(low)
+            else:
+                words[w] = b"".join([self._run(r) for r in RUNS(w.lower())])
         words.update(zip(other, self._library(other)))
         self.held += 250 * len(fresh) + 4 * sum(map(len, fresh))
-        return [self._library([t])[0] if ws is None else b"".join(map(words.__getitem__, ws))
+        return [self._library([t])[0] if ws is None else b"".join([words[w] for w in ws])
                 for t, ws in zip(texts, split)]
 
 

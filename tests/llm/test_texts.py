@@ -397,3 +397,14 @@ def test_shards_are_contiguous_and_balanced(spark, documents, edge):
     assert sharding.byte_shards(edge.limit(0), 16).count() == 0
     same = spark.range(1000).selectExpr("5L as doc_id", "'x' as text")
     assert sorted(Counter(r["shard"] for r in sharding.byte_shards(same, 4).collect()).values()) == [250] * 4
+
+
+def test_plain_words_are_remembered_once():
+    """A word that is one run has no second entry; its ids are the library's."""
+    from pagewright.llm.queries import tokenizer_file
+    from pagewright.llm.tokens import WordTokens
+    tokens = WordTokens(tokenizer_file("word_bpe_49k.json").decode())
+    text = "Thinheha thinheha ÀÉß keitäß. straße ÿ a'll x9y Kelvin don't ### Übung,übung"
+    want = np.array(tokens.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert tokens.encode_batch([text, text]) == [want, want]
+    assert not {"thinheha", "straße", "àéß"} & tokens.runs.keys()
