@@ -72,7 +72,7 @@ def ingest(requests: DataFrame, inodes: DataFrame, objects: DataFrame, pages: Da
               .withColumn("n_texts", F.col("n_pages"))
               .drop("_corrupt", "n_pages"))
     # Written once: one extraction per object, however many outputs use it.
-    status = materialize(status, "extracted")
+    status = materialize(status, "extracted", "zstd")
     ok = status.where(F.col("new_error").isNull() & F.col("texts").isNotNull())
     numbered = X.number_pages(ok.join(inodes.select("id", "from_page"), "id"), texts="texts")
     new_pages = upsert_pages(pages, numbered, next_id=next_page_id)
@@ -166,7 +166,7 @@ def embed(requests: DataFrame, inodes: DataFrame, pages: DataFrame,
     sel = E.embed_selection(inodes.join(ids, "id", "left_semi"), pages)
     # Written once: in one plan with the table it fills, the tree of inodes stands in so many
     # places that the optimizer's union rule breaks the plan on larger tables.
-    text = materialize(E.embed_input(sel).select("id", "inode_id", "index", "text"), "embed-input")
+    text = materialize(E.embed_input(sel).select("id", "inode_id", "index", "text"), "embed-input", "zstd")
     failed_ids = None
     if embedder is None:
         vectors = E.hashed_embeddings(text, "id", "text", dim)

@@ -15,8 +15,11 @@ from typing import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .. import schemas
+from ..session import materialize
 
 ROWS_PER_BUCKET = 500_000
+# So many ids go to every task (about 30 MB there); more are joined by a shuffle.
+FEW_IDS = 500_000
 SEED_VERSION = -1
 TABLE_SCHEMAS = {"inodes": schemas.INODES, "pages": schemas.PAGES, "docs": schemas.DOCS}
 KEYS = {"inodes": ["id"], "pages": ["inode_id", "index"], "docs": ["doc_id"]}
@@ -78,13 +81,9 @@ class FeedTables:
 
         ``added`` are changes that are not written yet.  ``prepare`` changes columns row by
         row before the changes are folded, so what it leaves out is not shuffled."""
-        rows = self._changes_of(table, touched, buckets, without, added)
-        rows = rows if prepare is None else prepare(rows)
+        rows = self._changes_of(table, touched, buckets, without, added, prepare, by_owner=table == "pages")
         keys, first = KEYS[table], KEEPS_FIRST.get(table, [])
         names = [f.name for f in TABLE_SCHEMAS[table].fields if f.name not in keys]
-        if table == "pages" and touched is not None:
-            # The joins and the fold of some documents' pages share one shuffle, by document.
-            rows = rows.repartition("inode_id")
 
         def folded(name: str) -> Column:
             # A document is replaced as a whole, with its nulls; other rows column by column.
@@ -94,8 +93,10 @@ class FeedTables:
         return rows.groupBy(*keys).agg(*[folded(n) for n in names]).select(*[f.name for f in TABLE_SCHEMAS[table].fields])
 
     def _changes_of(self, table: str, touched: DataFrame | None, buckets: list[int] | None,
-                    without: tuple[str, int] | None, added: DataFrame | None = None) -> DataFrame:
-        """Changes of the inodes ``touched`` (or of all) that are not deleted."""
+                    without: tuple[str, int] | None, added: DataFrame | None = None,
+                    prepare: Callable[[DataFrame], DataFrame] | None = None, by_owner: bool = False) -> DataFrame:
+        """Changes of the inodes ``touched`` (or of all) that are not deleted.  ``by_owner``
+        leaves those of ``touched`` dealt out by inode, for joins and the fold to come."""
         rows, gone = self.changes(table, without), self.changes("deleted", without)
         if buckets is not None:
             rows, gone = rows.where(F.col("bucket").isin(buckets)), gone.where(F.col("bucket").isin(buckets))
@@ -104,9 +105,21 @@ class FeedTables:
         owner = OWNER_COLUMNS.get(table, "_owner")
         if owner == "_owner":
             rows = rows.withColumn("_owner", owner_of(table))
-        if touched is not None:
-            rows = rows.join(touched.select(F.col("id").alias(owner)), owner, "left_semi")
-        return rows.join(gone.select(F.col("id").alias(owner)), owner, "left_anti")
+        rows = rows if prepare is None else prepare(rows)
+        gone = gone.select(F.col("id").alias(owner))
+        if touched is None:
+            return rows.join(gone, owner, "left_anti")
+        # The deleted leave the ids, so the rows, which may be wide, meet one join only.
+        ids = touched.select(F.col("id").alias(owner)).distinct().join(gone, owner, "left_anti")
+        if not by_owner:
+            return rows.join(ids, owner, "left_semi")
+        # One shuffle of the rows: of those wanted, or of all before a join that needs it too.
+        ids = materialize(ids, "wanted")
+        if ids.count() > FEW_IDS:
+            ids = materialize(ids.join(rows.select(owner), owner, "left_semi"), "wanted")
+        if ids.count() > FEW_IDS:
+            return rows.repartition(owner).join(ids, owner, "left_semi")
+        return rows.join(F.broadcast(ids), owner, "left_semi").repartition(owner)
 
     def bare_pages(self, touched: DataFrame, buckets: list[int], without: tuple[str, int] | None = None) -> DataFrame:
         """The pages without a vector of the inodes ``touched``.  No change of such a page has
@@ -135,7 +148,7 @@ class FeedTables:
          .parquet(f"{self.root}/{table}"))
 
     def write_output(self, name: str, rows: DataFrame, query: str, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.root}/out/{name}/query={query}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{self.root}/out/{name}/query={query}/batch={batch}", compression="zstd")
 
     def finish(self, query: str, batch: int) -> None:
         """Mark a batch as whole; until then it is not seen as applied and runs again."""

@@ -68,7 +68,9 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     ident = F.when(F.col("routing_key") == "delete_inode", F.col("before_id")).otherwise(F.col("after_id"))
     # Read again by the tables' own session: a micro-batch's session plans without AQE.
     path = work_dir(spark, "decoded")
-    M.route(decode_messages(feed)).withColumn("id", ident).write.parquet(path)
+    (M.route(decode_messages(feed)).withColumn("id", ident)
+     .select("seq", "routing_key", "id", "task", "status", "before_id", "before_type", "before_owner_id", "before_path")
+     .write.parquet(path, compression="zstd"))
     decoded = spark.read.parquet(path)
     messages = decoded.where(F.col("status") == "ok").select("seq", "id", "task")
     tasks = {r["task"] for r in messages.select("task").distinct().collect()}
@@ -99,13 +101,17 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
                         .withColumn("move_at", F.coalesce("move_at", never)), "facts")
     known = messages.join(facts, "id").where(F.col("seq") < F.col("end"))
 
-    def embedded(ids: DataFrame, inodes: DataFrame, pages: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """New vectors of the pages of ``ids`` by page id, and the ids that failed."""
+    def embedded(ids: DataFrame, inodes: DataFrame, pages: DataFrame, name: str) -> tuple[DataFrame | None, DataFrame]:
+        """New vectors of the pages of ``ids`` by page id (None: no page needs one), and the ids that failed."""
         if not ids.limit(1).count():
-            return spark.createDataFrame([], "id bigint, embedding array<float>"), nobody
+            return None, nobody
         r = J.embed(_requests(ids), inodes, pages, embedder=embedder)
         lost = r["dead_letters"].where(F.col("reason") == "embedding_failed").select(F.col("seq").alias("id"))
-        return materialize(r["vectors"], name), materialize(lost.distinct(), "failed")
+        vectors = materialize(r["vectors"], name)
+        return vectors if vectors.limit(1).count() else None, materialize(lost.distinct(), "failed")
+
+    def attached(pages: DataFrame, vectors: DataFrame | None, name: str) -> DataFrame:
+        return pages if vectors is None else materialize(E.attach_embeddings(pages, vectors), name, "zstd")
 
     # Embedding before the first ingest, ingest, embedding after it.  Only ingested inodes have
     # a time before; of the others only pages without a vector are needed before the documents.
@@ -117,7 +123,7 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
         pages = materialize(tables.read("pages", ingested, buckets, here), "pages", "zstd")
         early = known.where((F.col("task") == "embed_inode") & ~fold.phase_of(F.col("seq")) & F.col("error").isNull()).select("id").distinct()
         vectors_early, failed_early = embedded(early, inodes, pages, "vectors-early")
-        pages_early = materialize(E.attach_embeddings(pages, vectors_early), "pages-early", "zstd")
+        pages_early = attached(pages, vectors_early, "pages-early")
         next_page = (tables.changes("pages", here).agg(F.max("id")).first()[0] or 0) + 1
         r = J.ingest(_requests(ingested), inodes, objects, pages_early, extractor=extractor, page_count=page_count, next_page_id=next_page)
         inodes_late, pages_late = materialize(r["inodes"], "inodes-late"), materialize(r["pages"], "pages-late", "zstd")
@@ -130,7 +136,9 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     no_failures = facts.withColumn("failed_early", F.lit(False)).withColumn("failed_late", F.lit(False))
     late = fold.embed_events(messages, no_failures, chain_embed).where(F.col("late") & (F.col("outcome") == "ok")).select("id").distinct()
     vectors, failed_late = embedded(late, inodes_late, bare_late, "vectors")
-    pages_done = materialize(E.attach_embeddings(pages_late, vectors), "pages-done", "zstd") if tags is not None else pages_late
+    pages_done = attached(pages_late, vectors, "pages-done") if tags is not None else pages_late
+    if vectors is None:
+        vectors = spark.createDataFrame([], "id bigint, embedding array<float>")
     filled = bare.drop("embedding").join(vectors, "id")
 
     # What every message finds.
@@ -214,7 +222,7 @@ def apply_batch(tables: FeedTables, feed: DataFrame, batch_id: int, objects: Dat
     if publish_dir:
         foreign = followups.where(~F.col("routing_key").isin(*(keys or list(schemas.ROUTING_KEYS))))
         (foreign.select("seq", F.lit(None).cast("timestamp").alias("ts"), "routing_key", "body").hint("rebalance")
-         .write.mode("append").json(publish_dir))
+         .write.mode("append").json(publish_dir, compression="gzip"))
     tables.finish(query_id, batch_id)
     return True
 
@@ -248,13 +256,14 @@ def write_feed(feed: DataFrame, path: str, files: int, rows_per_file: int = ROWS
     """Write feed rows as JSON in ``seq`` order: ``files`` equal ranges of ``seq``, one
     after the other (the stream takes files by age), each cut into as many files as
     its rows need.  Returns that number, the ``max_files`` of a range."""
-    lo, hi, n = feed.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    frozen = materialize(feed, "feed", "zstd")
+    lo, hi, n = frozen.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
     lo, hi = (lo or 0), (hi or 0)
     span = hi - lo + 1
     parts = max(1, -(-n // (files * rows_per_file)))
-    frozen = materialize(feed.withColumn("_range", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int")), "feed")
+    ranged = frozen.withColumn("_range", F.floor((F.col("seq") - F.lit(lo)) * files / F.lit(span)).cast("int"))
     for k in range(files):
-        (frozen.where(F.col("_range") == k).drop("_range").repartitionByRange(parts, "seq").sortWithinPartitions("seq")
+        (ranged.where(F.col("_range") == k).drop("_range").repartitionByRange(parts, "seq").sortWithinPartitions("seq")
          .write.mode("append").json(path, compression="gzip"))
     return parts
 

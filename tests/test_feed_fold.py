@@ -205,6 +205,27 @@ def test_texts_of_pages_are_not_copied_on_the_way_to_the_index(spark):
     assert size(scratch) - before < size(f"{store.root}/pages") / 2
 
 
+def test_texts_are_shuffled_once_where_ids_are_not_broadcast(spark, monkeypatch):
+    from pagewright.plans.catalog import _feed_docs
+    from pagewright.streaming import change_log
+    store, ino, pg, feed = _indexed_world(spark)
+    seed_store(store, ino, pg)
+    apply_batch(store, feed.unionByName(spark.createDataFrame([_message(90, "delete_inode", 7)], schemas.FEED)), 0)
+    touched = spark.createDataFrame([(i,) for i in (3, 7, 8, 8, 99)], "id bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few, shuffles in ((change_log.FEW_IDS, 1), (0, 2)):      # the ids' own besides
+            monkeypatch.setattr(change_log, "FEW_IDS", few)
+            pages = store.read("pages", touched, list(range(store.buckets)))
+            plan = pages._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == shuffles and plan.count("Join") == 1
+            assert rows(pages, "id") == [(30,), (31,), (32,), (80,), (81,), (82,)]
+        plan = _feed_docs(store)._jdf.queryExecution().executedPlan().toString()
+        assert plan[:plan.index("md5(")].count("Exchange") == 2      # for the deleted and for the fold
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_texts_are_hashed_before_their_changes_are_folded(spark):
     from pagewright.plans.catalog import _feed_docs
     store, ino, pg, feed = _indexed_world(spark)
