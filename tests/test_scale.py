@@ -129,3 +129,20 @@ def test_each_commit_reads_its_own_requests(spark, tmp_path, monkeypatch):
     out = E.embed_stored(pages, E.hashed_embedder(4), str(tmp_path / "store"), 64, 1).collect()
     assert len(out) == 6 and all(r.status == "ok" for r in out)
     assert len(read) == 6 and not any("xxhash64" in plan for plan in read)     # a partition each, not a filter over all
+
+
+def test_queries_pass_by_slices_of_postings(spark, monkeypatch):
+    """Any number of slices gives the same pages, and no group of queries meets a block as a whole."""
+    from pagewright.operators import postings as P
+    rng = np.random.default_rng(11)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefgh"), 1 + i % 9))) for i in range(300)], "id bigint, contents string")
+    queries = spark.createDataFrame([(i, " ".join(rng.choice(list("abcdefghz"), 3))) for i in range(40)] + [(90, "zz"), (91, None)], "id bigint, query string")
+    index = P.bm25_index(docs, pages_per_block=16)
+    found = {}
+    for slices, postings in ((1, 10_000), (24, 10_000), (1, 60)):
+        monkeypatch.setattr(P, "SLICES", slices)
+        monkeypatch.setattr(P, "POSTINGS_PER_SLICE", postings)
+        out = P.bm25(index, queries, k=5)
+        assert "FlatMapCoGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        found[slices, postings] = sorted((r.qid, r.rank, r.id, round(r.score, 9)) for r in out.collect())
+    assert len(found[1, 10_000]) == 200 and found[1, 10_000] == found[24, 10_000] == found[1, 60]
