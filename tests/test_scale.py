@@ -146,3 +146,18 @@ def test_queries_pass_by_slices_of_postings(spark, monkeypatch):
         assert "FlatMapCoGroups" not in out._jdf.queryExecution().executedPlan().toString()
         found[slices, postings] = sorted((r.qid, r.rank, r.id, round(r.score, 9)) for r in out.collect())
     assert len(found[1, 10_000]) == 200 and found[1, 10_000] == found[24, 10_000] == found[1, 60]
+
+
+def test_vectors_are_dealt_out_once_whatever_the_queries(spark):
+    """Queries pass by slices of the vectors: no copies of a vector, and any cut gives the same rows."""
+    from pagewright.operators import knn as K
+    rng = np.random.default_rng(12)
+    vdf = spark.createDataFrame([(i, rng.random(6).tolist()) for i in range(400)] + [(7, [0.5] * 6), (401, None), (402, [float("nan")] * 6)], "id bigint, embedding array<float>")
+    qdf = spark.createDataFrame([(i, rng.random(6).tolist()) for i in range(90)] + [(99, None)], "id bigint, embedding array<float>")
+    whole = K.knn_exact(qdf, vdf, k=4)
+    assert "FlatMapCoGroups" not in whole._jdf.queryExecution().executedPlan().toString()
+    want = sorted(tuple(r) for r in whole.collect())
+    assert len(want) == 360
+    for found in (K.knn_exact(qdf, vdf, k=4, q_block=11, v_block=30), K.knn_approx(qdf, vdf.where("id != 402"), k=4, cells=5, nprobe=5, v_block=50)):
+        assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == want
