@@ -161,3 +161,19 @@ def test_vectors_are_dealt_out_once_whatever_the_queries(spark):
     for found in (K.knn_exact(qdf, vdf, k=4, q_block=11, v_block=30), K.knn_approx(qdf, vdf.where("id != 402"), k=4, cells=5, nprobe=5, v_block=50)):
         assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
         assert sorted(tuple(r) for r in found.collect()) == want
+
+
+def test_coded_search_shuffles_codes_by_the_thousand(spark):
+    """Codes travel packed, and a query hands on one row, not its best of every block."""
+    from pagewright.operators import knn as K, pq as PQ
+    rng = np.random.default_rng(13)
+    vdf = spark.createDataFrame([(i, rng.random(6).tolist()) for i in range(5000)], "id bigint, embedding array<float>").repartition(1)
+    qdf = vdf.where("id < 60")
+    codec = PQ.fit(vdf, parts=3, cells=4)
+    codes = PQ.encode(vdf, codec)
+    packed = codes.mapInArrow(PQ._packed, "ids array<bigint>, cells array<int>, codes binary")
+    assert packed.count() == 2 and tuple(packed.selectExpr("sum(size(ids))", "sum(length(codes))").first()) == (5000, 15000)
+    found, scored = PQ.search(qdf, vdf, codes, codec, k=3, nprobe=4, rerank=5000)
+    assert scored.count() == 60 * 5000
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.qid, r.vid, r.rank) for r in found.collect()) == sorted((r.qid, r.vid, r.rank) for r in K.knn_exact(qdf, vdf, k=3).collect())
