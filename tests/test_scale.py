@@ -177,3 +177,19 @@ def test_coded_search_shuffles_codes_by_the_thousand(spark):
     assert scored.count() == 60 * 5000
     assert "FlatMapCoGroups" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.qid, r.vid, r.rank) for r in found.collect()) == sorted((r.qid, r.vid, r.rank) for r in K.knn_exact(qdf, vdf, k=3).collect())
+
+
+def test_many_small_objects_are_read_by_few_tasks(spark, tmp_path):
+    from pagewright.sources.objects import LISTING, read_objects
+    for n in range(120):
+        (tmp_path / f"d{n}").mkdir()
+        (tmp_path / f"d{n}" / "x.txt").write_bytes(b"%d" % n)
+    before = spark.conf.get(LISTING)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        objects = read_objects(spark, str(tmp_path), glob="*.txt")
+        assert objects.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism < 120
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get(LISTING) == before
+    assert sorted((r.key, bytes(r.content)) for r in objects.collect()) == sorted((f"d{n}/x.txt", b"%d" % n) for n in range(120))
